@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from skimmer.llm import simhash
+from skimmer.llm import decontaminate, secret_scan, simhash
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.query,
+    "op6_secret_scan": secret_scan.query,
+    "op7_benchmark_decontamination": decontaminate.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_secret_scan": secret_scan.ORACLE,
+    "op7_benchmark_decontamination": decontaminate.ORACLE,
+}
