@@ -56,7 +56,8 @@ def hits(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", item_i
     rows = docs.select(*_key(doc_id, text), words_of(F.col(text)).alias("words"))
     rows = rows.select("doc_id", "text_hash", "words", (F.concat(*cut) if cut else F.array().cast("array<bigint>")).alias("hashes"))
     before = sum((F.when(F.col("len") > k, places(k)).otherwise(0) for k in lens), F.lit(0))
-    met = rows.select("doc_id", "text_hash", "words", F.posexplode("hashes").alias("at", "h")).join(tests, "h")
+    # The outer form: for the inner one Catalyst adds a filter on the array and computes words and hashes again to test it.
+    met = rows.select("doc_id", "text_hash", "words", F.posexplode_outer("hashes").alias("at", "h")).join(tests, "h")
     met = met.withColumn("start", F.col("at") - before)
     met = met.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= n) & (F.slice("words", F.greatest(F.col("start") + 1, F.lit(1)), F.col("len")) == F.col("window")))
     met = met.select("doc_id", "text_hash", F.struct(F.col("start"), (F.col("start") + F.col("len")).alias("end")).alias("span"), "items")
