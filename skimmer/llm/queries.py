@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from skimmer.llm import decontaminate, secret_scan, simhash
+from skimmer.llm import decontaminate, license_scan, secret_scan, simhash, token_file
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.query,
     "op6_secret_scan": secret_scan.query,
     "op7_benchmark_decontamination": decontaminate.query,
+    "op8_license_scan": license_scan.query,
+    "op9_token_file": token_file.query,
 }
 
 ORACLES: dict[str, str] = {
