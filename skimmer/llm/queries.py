@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from skimmer.llm import decontaminate, license_scan, secret_scan, simhash, token_file
+from skimmer.llm import decontaminate, license_scan, lm_score, secret_scan, simhash, token_file, toxicity
 
 QUERIES = {
+    "op1_lm_score": lm_score.query,
+    "op3_toxicity": toxicity.query,
     "op4_simhash_near_dedup": simhash.query,
     "op6_secret_scan": secret_scan.query,
     "op7_benchmark_decontamination": decontaminate.query,

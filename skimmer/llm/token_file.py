@@ -37,6 +37,10 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return symbols.astype(np.uint32), f.astype(np.uint64), scale
 
 
+def _state(scale: int) -> str:
+    return "<u4" if scale <= 16 else "<u8"  # a state has scale + 16 bits
+
+
 def encode(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     """One segment. ids: all tokens of its documents; doc_ids may hold None."""
     symbols, f, scale = frequencies(ids)
@@ -63,7 +67,7 @@ def encode(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     null = np.array([d is None for d in doc_ids], np.uint8)
     named = np.array([d or 0 for d in doc_ids], "<i8")
     head = struct.pack("<8sBIIIQ", MAGIC, scale, len(symbols), blocks, len(doc_ids), len(ids))
-    parts = [head, symbols.astype("<u4"), f.astype("<u4"), named, null, lengths.astype("<i8"), sizes.astype("<u4"), checks.astype("<u4"), x.astype("<u8"), stream.astype("<u2")]
+    parts = [head, symbols.astype("<u4"), f.astype("<u4"), named, null, lengths.astype("<i8"), sizes.astype("<u4"), checks.astype("<u4"), x.astype(_state(scale)), stream.astype("<u2")]
     body = b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -84,7 +88,7 @@ def decode(payload: bytes) -> tuple[np.ndarray, list, np.ndarray]:
     symbols, f = take("<u4", n_symbols), take("<u4", n_symbols).astype(np.uint64)
     named, null, lengths = take("<i8", n_docs), take("u1", n_docs), take("<i8", n_docs)
     sizes, checks = take("<u4", blocks).astype(np.int64), take("<u4", blocks)
-    x = take("<u8", blocks * LANES).reshape(blocks, LANES)
+    x = take(_state(scale), blocks * LANES).astype(np.uint64).reshape(blocks, LANES)
     stream = take("<u2", int(sizes.sum()))
     start = np.cumsum(f) - f
     slots = np.repeat(np.arange(n_symbols, dtype=np.int32), f.astype(np.int64))
