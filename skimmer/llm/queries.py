@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from skimmer.llm import decontaminate, license_scan, lm_score, secret_scan, simhash, token_file, toxicity
+from skimmer.llm import decontaminate, language_id, license_scan, lm_score, nearest, secret_scan, simhash, token_file, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.query,
     "op3_toxicity": toxicity.query,
     "op4_simhash_near_dedup": simhash.query,
+    "op5_nearest_neighbours": nearest.query,
     "op6_secret_scan": secret_scan.query,
     "op7_benchmark_decontamination": decontaminate.query,
     "op8_license_scan": license_scan.query,
     "op9_token_file": token_file.query,
+    "op10_language_id": language_id.query,
 }
 
 ORACLES: dict[str, str] = {
