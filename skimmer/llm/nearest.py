@@ -3,7 +3,8 @@
 Codes: vectors of unit length are turned by a learned rotation (iterative quantisation on a bounded sample) and reduced to signs.
 Index: each task holds a partition of the vectors; a code is cut into substrings and each substring table is sorted. Search:
 a code within radius r of a query agrees with it up to r // tables bits on one substring at least, so probing each table with
-all values that near retrieves every code within the radius; the radius grows until ``candidates`` codes of the partition are within it. Those are
+all values that near retrieves every code within the radius; the radius grows until ``candidates`` codes, and
+a ``share`` of the partition's, are within it. Those are
 reranked by the cosine of the original vectors in double precision, and the best of all partitions are kept.
 
 Equal vectors form one class, searched and compared once: of each class only the least ids can be among the nearest.
@@ -98,7 +99,7 @@ def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0].n if sizes else 0))
 
 
-def search(df: DataFrame, vec_id="vec_id", vector="embedding", queries=None, k: int = 5, bits: int = 64, tables: int = 4, candidates: int = 64, sample: int = 20_000, block: int = 4096, parts: int | None = None) -> DataFrame:
+def search(df: DataFrame, vec_id="vec_id", vector="embedding", queries=None, k: int = 5, bits: int = 64, tables: int = 4, candidates: int = 256, share: float = 1 / 16, sample: int = 20_000, block: int = 4096, parts: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each query by cosine, ties to the smaller id; fewer if there are fewer.
 
     queries: a condition on vec_id (default: divisible by 50). Vectors that are null, zero, not finite or of another length than
@@ -143,7 +144,7 @@ def search(df: DataFrame, vec_id="vec_id", vector="embedding", queries=None, k:
             size, qsize = np.sqrt((x * x).sum(axis=1)), np.sqrt((qx * qx).sum(axis=1))
             out = []
             for i in range(len(names)):
-                near = index.near(q[i], candidates)
+                near = index.near(q[i], max(candidates, int(share * len(ids))))
                 score = (x[near] @ qx[i]) / (size[near] * qsize[i])
                 best = np.lexsort((ids[near], -score))[: k + 1]
                 out.append((np.full(len(best), names[i]), ids[near][best], score[best]))

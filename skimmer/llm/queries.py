@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from skimmer.llm import decontaminate, language_id, license_scan, lm_score, nearest, secret_scan, simhash, token_file, toxicity
+from skimmer.llm import decontaminate, language_id, license_scan, lm_score, nearest, pieces, secret_scan, simhash, token_file, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.query,
+    "op2_piece_sampling": pieces.query,
     "op3_toxicity": toxicity.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_nearest_neighbours": nearest.query,
