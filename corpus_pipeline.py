@@ -1,20 +1,55 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: each stage takes what the one before kept and hands on the columns of documents; the last one
+encodes what is left.
+
+Defined results: a null or empty text is kept by every filter (it is neither toxic nor a test passage) but for
+near-duplicates, where texts without words are alike; a row without an id is never taken for a duplicate; repeated rows
+count as copies; an empty table goes through as one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skimmer.llm import simhash
+from skimmer.llm import decontaminate, pieces, secret_scan, simhash, toxicity
 from skimmer.llm.common import scratch, table
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of severity grade 1 or more go."""
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("`__grade` = 0").select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
+    """One document of each near-duplicate component stays: the one of the smallest id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go of whose words a twentieth or more are in benchmark windows."""
+    return decontaminate.drop_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; values that look like live secrets are masked and n_chars follows the text."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each document, with their piece ids."""
+    return pieces.sample_encodings(docs)
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminated),
+    ("secret scan", redacted),
+    ("piece encoding", encoded),
+]
 
+#: The model, the fingerprints and the sampled pieces are beyond SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
