@@ -1,7 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams against the token windows of each text.
 
-DataFrame functions only. Windows are hashed inside the row, exploded straight into a broadcast hash join (no shuffle), and
-each hit is verified by its words. Only hits are shuffled.
+DataFrame functions only. Each word position is exploded straight into a broadcast hash join on the hash of the window that
+begins there, all in one stage of generated code without a shuffle, and each hit is verified by its words. Only hits are shuffled.
 """
 
 from __future__ import annotations
@@ -51,15 +51,19 @@ def hits(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", item_i
     if count <= broadcast_rows:
         tests = F.broadcast(tests)
     n = F.size("words")
-    places = lambda k: F.greatest(n - k + 1, F.lit(0))
-    cut = [F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.xxhash64(F.slice("words", i, F.lit(k))))).otherwise(F.array().cast("array<bigint>")) for k in lens]
+    # Plain array access in generated code: slice() copies the whole array, once for each window.
+    window = lambda k: [F.get("words", F.col("start") + j) for j in range(k)]
     rows = docs.select(*_key(doc_id, text), words_of(F.col(text)).alias("words"))
-    rows = rows.select("doc_id", "text_hash", "words", (F.concat(*cut) if cut else F.array().cast("array<bigint>")).alias("hashes"))
-    before = sum((F.when(F.col("len") > k, places(k)).otherwise(0) for k in lens), F.lit(0))
-    # The outer form: for the inner one Catalyst adds a filter on the array and computes words and hashes again to test it.
-    met = rows.select("doc_id", "text_hash", "words", F.posexplode_outer("hashes").alias("at", "h")).join(tests, "h")
-    met = met.withColumn("start", F.col("at") - before)
-    met = met.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= n) & (F.slice("words", F.greatest(F.col("start") + 1, F.lit(1)), F.col("len")) == F.col("window")))
+    # The outer form: for the inner one Catalyst adds a filter on the array and tokenises again to test it.
+    met = rows.select("doc_id", "text_hash", "words", F.posexplode_outer("words").alias("start", "word")).drop("word")
+    met = met.where(F.col("start") + min(lens, default=1) <= n)
+    if len(lens) == 1:
+        met = met.withColumn("h", F.xxhash64(*window(lens[0])))
+    else:
+        met = met.withColumn("h", F.explode(F.array(*(F.xxhash64(*window(k)) for k in lens)).cast("array<bigint>")))
+    met = met.join(tests, "h")
+    same = [F.when(F.col("len") == k, F.array(*window(k)) == F.col("window")) for k in lens]
+    met = met.where((F.col("start") + F.col("len") <= n) & F.coalesce(*same, F.lit(False)))
     met = met.select("doc_id", "text_hash", F.struct(F.col("start"), (F.col("start") + F.col("len")).alias("end")).alias("span"), "items")
     per = met.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("span")).alias("all"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     kind = "array<struct<start:int,end:int>>"
