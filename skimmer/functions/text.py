@@ -21,6 +21,16 @@ STOPWORDS = (
 ).split()
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; else each use inside a lambda computes it again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def characters(text: Column) -> Column:
+    """An array of them: reaching the n-th character of a string takes n steps, of an array one."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
 def collapse_breaks(text: Column, by: str = " ") -> Column:
     return F.regexp_replace(text, BREAKS, by)
 
@@ -126,7 +136,7 @@ def compose_tones(text: Column) -> Column:
                 t = F.replace(t, F.lit(base + tone), F.lit(unicodedata.normalize("NFC", base + tone)))
         return t
 
-    return F.when(text.rlike(r"[\u0300-\u0323]"), all_of(text)).otherwise(text)
+    return let(text, lambda t: F.when(t.rlike(r"[\u0300-\u0323]"), all_of(t)).otherwise(t))
 
 
 def normalise_language(text: Column, two_laughs_only: bool = False) -> Column:

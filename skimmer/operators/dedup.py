@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skimmer.functions.text import characters, let
+
 
 def bit_votes(words: Column, bits: int = 64) -> Column:
     """A fingerprint by bit majority of the words' hashes, as a long; equal texts have equal ones. No words: zero."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    vote = lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.shiftright(h, i).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)) > 0
-    total = F.lit(0).cast("long")
-    for i in range(bits):
-        total = total.bitwiseOR(F.when(vote(i), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return total
+
+    def vote(hashes: Column) -> Column:
+        ones = F.aggregate(
+            hashes, F.array_repeat(F.lit(0), bits),
+            lambda s, h: F.transform(s, lambda n, i: n + F.call_function("shiftright", h, i).bitwiseAND(F.lit(1)).cast("int")),
+        )
+        set_bits = F.transform(ones, lambda n, i: F.when(2 * n > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(set_bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), vote)
 
 
 def shingled(text: Column, width: int = 4) -> Column:
-    """Overlapping character groups of lower-case letters and digits."""
-    plain = F.regexp_replace(F.lower(text), r"[^\w]+", "")
-    last = F.greatest(F.length(plain) - width + 1, F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(plain, i, F.lit(width)))
+    """Overlapping groups of lower-case letters and digits; a shorter text is one group."""
+
+    def groups(chars: Column) -> Column:
+        last = F.greatest(F.size(chars) - width, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws("", *(F.get(chars, i + j) for j in range(width))))
+
+    return let(characters(F.regexp_replace(F.lower(text), r"[^\w]+", "")), groups)
 
 
 def first_by(rows: DataFrame, keys: list, order: list) -> DataFrame:

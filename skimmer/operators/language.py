@@ -11,16 +11,17 @@ from skimmer.operators.match import small
 LEAST_PROBABILITY = 0.6
 
 
-def substrings(text: Column, longest: int) -> Column:
-    """All substrings of up to ``longest`` characters, repeats included."""
-    n = F.length(text)
-    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.substr(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(*(of(k) for k in range(1, longest + 1)))
+def substrings(docs: DataFrame, key: str, text: Column, longest: int) -> DataFrame:
+    """(key, ngram): all substrings of up to ``longest`` characters, repeats included, made in generated code."""
+    rows = docs.select(key, X.characters(text).alias("chars"))
+    rows = rows.select(key, "chars", F.posexplode_outer("chars").alias("at", "c")).where("c is not null")
+    here = lambda k: F.concat(*(F.get("chars", F.col("at") + j) for j in range(k)))  # noqa: E731  null past the end
+    return rows.select(key, F.explode(F.array(*(here(k) for k in range(1, longest + 1)))).alias("ngram")).where("ngram is not null")
 
 
 def ngram_counts(docs: DataFrame, key: str, text: Column, longest: int, dictionary: DataFrame | None = None) -> DataFrame:
     """(key, ngram, n); only n-grams of the dictionary, looked up before anything is shuffled."""
-    rows = docs.select(key, F.explode(substrings(text, longest)).alias("ngram"))
+    rows = substrings(docs, key, text, longest)
     if dictionary is not None:
         rows = rows.join(small(dictionary.select("ngram").distinct(), 2_000_000), "ngram")
     return rows.groupBy(key, "ngram").agg(F.count("*").alias("n"))
@@ -44,7 +45,7 @@ def train(corpus: DataFrame, longest: int = 3, smoothing: float = 0.5, least: in
     """(ngram, lang, weight): log-probabilities of n-grams by language against their mean, from texts (lang, text).
 
     Counts are grouped with partial sums; n-grams of fewer than ``least`` occurrences are left out."""
-    rows = corpus.select("lang", F.explode(substrings(X.with_bounds(X.normalise_language(F.col("text"))), longest)).alias("ngram"))
+    rows = substrings(corpus, "lang", X.with_bounds(X.normalise_language(F.col("text"))), longest)
     n = rows.groupBy("ngram", "lang").agg(F.count("*").alias("n"))
     langs, by_lang = n.select("lang").distinct(), n.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = n.groupBy("ngram").agg(F.sum("n").alias("seen")).where(F.col("seen") >= least).select("ngram")
