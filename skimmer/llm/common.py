@@ -2,39 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skimmer.scratch import scratch_path, scratch_root  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where all tasks run in this JVM."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="skimmer-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
 def scratch(df: DataFrame) -> DataFrame:
     """Writes df as Parquet under the shared scratch folder and reads it back: lineage ends there, so a
     lost executor costs no recomputation. Column types and order stay. The folder goes when the JVM ends."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/skimmer-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch_path(df.sparkSession)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,10 +41,11 @@ _POWERS = np.cumprod(np.full(256, _STEP, np.uint64), dtype=np.uint64)
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that low bits depend on all."""
     h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0x7FB5D329728EA185)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
+    h *= np.uint64(0x7FB5D329728EA185)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x81DADEF4BC2DD44D)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def chunks(column, most: int = 1 << 20):

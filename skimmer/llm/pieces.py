@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,6 +49,7 @@ class Vocabulary:
             raise ValueError("a piece goes on after a blank; chunks are no unit of this vocabulary")
         if len(self.byte_id) != 256:
             raise ValueError("the vocabulary has no byte pieces")
+        self.of_byte = np.array([self.byte_id[b] for b in range(256)])
         self.bytes = [b""] * len(ids)
         for i in plain:
             self.bytes[i] = sp.id_to_piece(i).replace(BLANK, " ").encode()
@@ -67,58 +68,110 @@ def chunked(text: str) -> tuple[list[str], str]:
     return _CHUNK.findall(BLANK + text.replace(" ", BLANK)), own
 
 
+class Trie:
+    """The vocabulary's pieces by character, as sorted (node, character) keys: one search steps many strings at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        child: dict[tuple[int, str], int] = {}
+        value, logp = [-1], [0.0]
+        for piece, (p, i) in vocabulary.logp.items():
+            node = 0
+            for c in piece:
+                if (node, c) not in child:
+                    child[node, c] = len(value)
+                    value.append(-1)
+                    logp.append(0.0)
+                node = child[node, c]
+            value[node], logp[node] = i, p
+        keys = np.array([(n << 21) | ord(c) for n, c in child], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.next = keys[order], np.array(list(child.values()), np.int64)[order]
+        self.value, self.logp = np.array(value), np.array(logp)
+
+    def step(self, node: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which go on, their next nodes)."""
+        key = (node << 21) | c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        on = np.flatnonzero(self.keys[at] == key)
+        return on, self.next[at[on]]
+
+
 class Lattices:
-    """The lattices of many chunks in common arrays. Nodes are numbered through; cum[e] is the node plus the summed
-    conditional probability of its edges up to e, so one sorted search draws an edge for any node."""
-
-    def __init__(self, vocabulary: Vocabulary, alpha: float = 1.0, most_nodes: int = 1_000_000):
-        self.v, self.alpha, self.most = vocabulary, alpha, most_nodes
-        self.clear()
-
-    def clear(self):
-        self.at: dict[str, int] = {}
-        self.edge, self.to, self.id, self.cum, self.logq = array("q", [0]), array("q"), array("q"), array("d"), array("d")
-
-    def add(self, chunk: str) -> int:
-        logp, longest, n = self.v.logp, self.v.longest, len(chunk)
-        base, beta, edges, alpha = len(self.edge) - 1, [0.0] * (n + 1), [None] * n, self.alpha
-        for i in range(n - 1, -1, -1):
-            out = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                got = logp.get(chunk[i:j])
-                if got is not None:
-                    out.append((alpha * got[0] + beta[j], j, got[1]))
-                elif j == i + 1:
-                    out.append((alpha * self.v.byte_logp * len(chunk[i].encode("utf-8", "replace")) + beta[j], j, -ord(chunk[i])))
-            if len(out) == 1:
-                beta[i] = out[0][0]
-            else:
-                top = max(out)[0]
-                beta[i] = top + math.log(sum([math.exp(e[0] - top) for e in out]))
-            edges[i] = out
-        for i in range(n):
-            node, total, out, b = base + i, 0.0, edges[i], beta[i]
-            for s, j, piece in out:
-                total += math.exp(s - b)
-                self.to.append(base + j)
-                self.id.append(piece)
-                self.cum.append(node + total)
-                self.logq.append(s - b)
-            self.cum[-1] = node + 1.0
-            self.edge.append(len(self.to))
-        self.edge.append(len(self.to))  # the last node has no edges
-        self.at[chunk] = base
-        return base
-
-    def nodes(self, chunks: list[str]) -> np.ndarray:
-        at = self.at
-        for c in set(chunks).difference(at):
-            self.add(c)
-        return np.fromiter(map(at.__getitem__, chunks), np.int64, len(chunks))
-
-    def arrays(self):
-        """Views; they must be gone before chunks are added."""
-        return tuple(np.frombuffer(a, k) for a, k in ((self.edge, np.int64), (self.to, np.int64), (self.id, np.int64), (self.cum, float), (self.logq, float)))
+    """The lattices of many chunks in common arrays. A chunk has a node per character and a last one; edges stand in the
+    order of their nodes. cum[e] is the node plus the summed conditional probability of its edges up to e, so one sorted
+    search draws an edge for any node."""
+
+    def __init__(self, vocabulary: Vocabulary, alpha: float = 1.0):
+        self.v, self.alpha, self.trie = vocabulary, alpha, Trie(vocabulary)
+
+    def build(self, chunks: list[str]):
+        """((edge, to, id, cum, logq), first node of each chunk)."""
+        lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        text = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        last = np.cumsum(lens)  # of each chunk's characters, exclusive
+        end = np.repeat(last, lens)
+        pos = np.arange(len(text))
+        node, frm, to, ids, own = np.zeros(len(text), np.int64), [], [], [], []
+        here = pos
+        for k in range(1, self.v.longest + 1):
+            on, node = self.trie.step(node, text[here + k - 1])
+            here = here[on]
+            found = self.trie.value[node] >= 0
+            frm.append(here[found])
+            to.append(here[found] + k)
+            ids.append(self.trie.value[node[found]])
+            own.append(self.trie.logp[node[found]])
+            if k == 1:  # a character that is no piece is spelled in bytes
+                known = np.zeros(len(text), bool)
+                known[here[found]] = True
+                spelt = np.flatnonzero(~known)
+                size = 1 + (text[spelt] > 0x7F) + (text[spelt] > 0x7FF) + (text[spelt] > 0xFFFF)
+                frm.append(spelt)
+                to.append(spelt + 1)
+                ids.append(-text[spelt])
+                own.append(size * self.v.byte_logp)
+            more = here + k < end[here]
+            here, node = here[more], node[more]
+            if not len(here):
+                break
+        # edges come by length; each goes to its place among those of its node
+        taken, ranks = np.zeros(len(text), np.int64), []
+        for f in frm:
+            ranks.append(taken[f])
+            taken[f] += 1
+        frm, to, ids, own, rank = (np.concatenate(x) for x in (frm, to, ids, own, ranks))
+        order = np.empty(len(frm), np.int64)
+        order[(np.cumsum(taken) - taken)[frm] + rank] = np.arange(len(frm))
+        frm, to, ids, own = frm[order], to[order], ids[order], own[order] * self.alpha
+        # nodes: characters, and one more per chunk behind its last
+        chunk = np.repeat(np.arange(len(chunks)), lens)
+        n_edges = np.bincount(frm, minlength=len(text))
+        first_edge = np.cumsum(n_edges) - n_edges
+        beta, far = np.zeros(len(text) + 1), (end - pos)
+        value = np.empty(len(frm))
+        # backward sums, from the last characters of all chunks to the first ones; a chunk's end has the sum of nothing, 0
+        ends_there = to == end[frm]
+        by = far[frm]
+        by = np.argsort(by.astype(np.uint16) if by.max(initial=0) < 1 << 16 else by, kind="stable")  # short keys: radix sort
+        d = far[frm][by]
+        cuts = np.flatnonzero(np.diff(d, prepend=-1))
+        for i, j in zip(cuts, np.append(cuts[1:], len(by))):
+            e = by[i:j]
+            v = value[e] = own[e] + np.where(ends_there[e], 0.0, beta[np.minimum(to[e], len(text))])
+            f = frm[e]
+            heads = np.flatnonzero(np.diff(f, prepend=-1))
+            top = np.maximum.reduceat(v, heads)
+            sizes = np.diff(np.append(heads, len(f)))
+            beta[f[heads]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, sizes)), heads))
+        logq = value - beta[frm]
+        run = np.cumsum(np.exp(logq))
+        before = np.where(first_edge > 0, run[np.maximum(first_edge - 1, 0)], 0.0)
+        number = pos + chunk
+        cum = number[frm] + np.minimum(run - before[frm], 1.0)
+        cum[first_edge + n_edges - 1] = number + 1.0
+        edge = np.zeros(len(text) + len(chunks) + 1, np.int64)
+        edge[number + 1] = n_edges
+        return (np.cumsum(edge), to + chunk[frm], ids, cum, logq), last - lens + np.arange(len(chunks))
 
 
 def uniform(key: np.ndarray, *at) -> np.ndarray:
@@ -129,6 +182,19 @@ def uniform(key: np.ndarray, *at) -> np.ndarray:
     return ((h >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
+def uniform_one(key: int, *at: int) -> float:
+    """uniform() of single numbers, without arrays."""
+    h, m = key, (1 << 64) - 1
+    for x in at:
+        h = (h + 0x9E3779B97F4A7C15 * (x + 1)) & m
+        h ^= h >> 31
+        h = h * 0x7FB5D329728EA185 & m
+        h ^= h >> 27
+        h = h * 0x81DADEF4BC2DD44D & m
+        h ^= h >> 33
+    return ((h >> 12) + 0.5) / float(1 << 52)
+
+
 def truncated(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """The maximum of a Gumbel process over a set of log-mass ``mass``, known to be under ``bound``."""
     return -np.logaddexp(-bound, np.log(-np.log(u)) - mass)
@@ -140,7 +206,8 @@ class Draw:
     def __init__(self, arrays, start: np.ndarray, key: np.ndarray, place: np.ndarray, sample: int):
         edge, to, ids, cum, logq = arrays
         n = len(start)
-        self.logp, steps, now, live = np.zeros(n), [], start.copy(), np.arange(n)
+        live = np.argsort(start, kind="stable")  # like chunks together: the searches stay in the same places
+        self.logp, steps, now = np.zeros(n), [], start[live]
         salted = mix(key + np.uint64(0x9E3779B97F4A7C15) * (place.astype(np.uint64) * np.uint64(64) + np.uint64(sample)))
         self.count = np.zeros(n, np.int64)
         while len(live):
@@ -189,8 +256,13 @@ def redraw(arrays, start: int, banned: list[tuple[int, ...]], draw) -> tuple[tup
 def sample_group(lattices: Lattices, keys: np.ndarray, chunk_lists: list[list[str]], k: int):
     """For each text of a group a list of (edges, log-probability, perturbed value), best first, and the bound that was left."""
     counts = np.array([len(c) for c in chunk_lists], np.int64)
-    start = lattices.nodes([c for x in chunk_lists for c in x])
-    arrays = lattices.arrays()
+    kinds = list(dict.fromkeys(chain.from_iterable(chunk_lists)))
+    number = dict(zip(kinds, range(len(kinds))))
+    if kinds:
+        arrays, first = lattices.build(kinds)
+        start = first[np.fromiter(map(number.__getitem__, chain.from_iterable(chunk_lists)), np.int64, int(counts.sum()))]
+    else:
+        arrays, start = None, np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     begin = ends - counts
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -230,8 +302,8 @@ def sample_group(lattices: Lattices, keys: np.ndarray, chunk_lists: list[list[st
                 if not np.isfinite(g):
                     continue
                 gone = banned.setdefault((int(q), int(i)), [tuple(int(e) for e in edges_of[q](int(i)))])
-                salt = np.array([keys[full[t]]], np.uint64)
-                got = redraw(arrays, int(start[i]), gone, lambda s, i=i, r=r, salt=salt: float(uniform(salt, place[i], 1 << 20, r, s)[0]))
+                salt, here = int(keys[full[t]]), int(place[i])
+                got = redraw(arrays, int(start[i]), gone, lambda s, r=r, salt=salt, here=here: uniform_one(salt, here, 1 << 20, r, s))
                 if got is None:
                     bounds[q][i], fork[t] = -np.inf, -2
                     continue
@@ -239,7 +311,7 @@ def sample_group(lattices: Lattices, keys: np.ndarray, chunk_lists: list[list[st
                 gone.append(got[0])
                 rest = 1 - sum(math.exp(sum(arrays[4][e] for e in b)) for b in gone)
                 mass = float(logps[q][begin[full[t]] : i].sum()) + math.log(rest) if rest > 1e-12 else -math.inf
-                bounds[q][i] = truncated(np.array(mass), np.array(g), uniform(salt, place[i], 1 << 21, r))[0] if mass > -math.inf else -math.inf
+                bounds[q][i] = float(truncated(np.array(mass), np.array(g), np.array(uniform_one(salt, here, 1 << 21, r)))) if mass > -math.inf else -math.inf
             open_ = np.zeros(len(counts), bool)
             open_[full[fork != -2]] = True
             at = np.full(len(counts), -2, np.int64)
@@ -324,10 +396,15 @@ def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> bytes:
     return b"".join(map(vocabulary.bytes.__getitem__, ids))[1:]
 
 
-def spelled(vocabulary: Vocabulary, ids: np.ndarray, own: str) -> list[int]:
+def spelled(vocabulary: Vocabulary, ids: np.ndarray, own: str) -> np.ndarray:
     """Piece ids, with characters outside the vocabulary as their bytes. own: stands for a BLANK of the text itself."""
-    if not (ids < 0).any():
-        return ids.tolist()
+    odd = np.flatnonzero(ids < 0)
+    if not len(odd):
+        return ids
+    if ids[odd].min() > -0x80:
+        ids = ids.copy()
+        ids[odd] = vocabulary.of_byte[-ids[odd]]
+        return ids
     out: list[int] = []
     for i in ids.tolist():
         if i >= 0:
@@ -335,7 +412,7 @@ def spelled(vocabulary: Vocabulary, ids: np.ndarray, own: str) -> list[int]:
         else:
             c = chr(-i)
             out += [vocabulary.byte_id[b] for b in (BLANK if c == own else c).encode("utf-8", "replace")]
-    return out
+    return np.array(out, np.int64)
 
 
 _loaded: dict = {}
@@ -388,8 +465,6 @@ def sample_encodings(docs: DataFrame, doc_id="doc_id", text="text", k: int = 2,
                     owns.append(own)
                     size += len(c)
                     to += 1
-                if len(lat.edge) > lat.most:
-                    lat.clear()
                 keys = np.array([(x if x is not None else -(1 << 63)) & (2**64 - 1) for x in names[at:to]], np.uint64)
                 keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed + 1))
                 results, left, arrays = sample_group(lat, keys, lists, k)
@@ -397,14 +472,14 @@ def sample_encodings(docs: DataFrame, doc_id="doc_id", text="text", k: int = 2,
                 for i, (found, bound) in enumerate(zip(results, left)):
                     whole = texts[at + i].encode("utf-8", "replace")
                     for s, (edges, logp, value) in enumerate(found):
-                        ids = spelled(v, arrays[2][edges], owns[i])
-                        raw = np.array(ids, "<u4").tobytes()
+                        ids = spelled(v, arrays[2][edges], owns[i]) if len(edges) else np.zeros(0, np.int64)
+                        raw, ids = ids.astype("<u4").tobytes(), ids.tolist()
                         row = (names[at + i], s, len(ids), logp, value, log_inclusion(logp, bound), zlib.crc32(raw), decode_ids(v, ids) == whole)
                         rows.append((*row, ids) if with_ids else row)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()] + [pa.list_(pa.int32())] * with_ids
                 cols = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(x.split()[0] for x in SAMPLE.split(", "))] + ["ids"] * with_ids)
-                at, arrays = to, None
+                at = to
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id long, {SAMPLE}" + ", ids array<int>" * with_ids)
