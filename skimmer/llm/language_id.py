@@ -82,7 +82,7 @@ def train(docs: DataFrame, text="text", lang="lang", doc_id="doc_id", sample: in
             k = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(k)), pa.array(k.astype(np.int32)), pa.array(n[k])], ["lang", "bucket", "n"])
 
-    got = some.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = some.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(got["lang"].unique())
     table_ = np.full((len(langs), 1 << BITS), 0.5)
     for i, x in enumerate(langs):

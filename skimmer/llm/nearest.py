@@ -113,7 +113,7 @@ def search(df: DataFrame, vec_id="vec_id", vector="embedding", queries=None, k:
     members = scratch(rows.withColumn("at", F.row_number().over(least)).where(F.col("at") <= k + 1).select("key", "at", "vec_id"))
     classes = members.where("at = 1").join(rows, ["key", "vec_id"]).select("key", F.col("vec_id").alias("class"), "v")
     classes = scratch(classes)
-    few = classes.orderBy(F.xxhash64("class"), "class").limit(sample).select("v").toPandas()
+    few = classes.orderBy(F.xxhash64("class"), "class").limit(sample).select("v").toArrow().to_pandas()
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(few):
         return none
@@ -126,7 +126,7 @@ def search(df: DataFrame, vec_id="vec_id", vector="embedding", queries=None, k:
     found = None
     for b in range(max(blocks, 1)):
         mine = wanted if blocks <= 1 else wanted.where(F.pmod(F.xxhash64("class"), F.lit(blocks)) == b)
-        got = mine.toPandas()
+        got = mine.toArrow().to_pandas()
         if not len(got):
             continue
         shared = spark.sparkContext.broadcast((got["class"].to_numpy(), np.stack(got["v"].to_numpy()), model))

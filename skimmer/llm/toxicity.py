@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", labe
                 lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (at, count)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k), *lists, pa.array(share)], ["grade", "at", "count", "share"])
 
-    got = rows.mapInArrow(pick, "grade int, at array<int>, count array<int>, share double").toPandas()
+    got = rows.mapInArrow(pick, "grade int, at array<int>, count array<int>, share double").toArrow().to_pandas()
     grades, share = got["grade"].to_numpy(), got["share"].to_numpy()
     if grades.max(initial=0) == 1:
         grades = grades + ((grades > 0) & (share >= np.median(share[grades > 0])))
