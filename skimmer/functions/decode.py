@@ -1,7 +1,5 @@
 """HTML entities: no built-in decodes them, so an Arrow batch at a time."""
 
-from __future__ import annotations
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 

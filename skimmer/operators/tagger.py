@@ -1,7 +1,5 @@
 """A pluggable part-of-speech filter. The default goes by a few closed word classes and endings, JVM-side."""
 
-from __future__ import annotations
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 

@@ -53,8 +53,9 @@ def write_history_matrix(wide: DataFrame, path: str, days: list[str]) -> None:
 
 def read_history_matrix(spark, path: str) -> DataFrame:
     """(pid, values) back from it; rows stand in the order of profiles."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("at", "line"))
-    return lines.where("at >= 2").select((F.col("at") - 2).alias("pid"), F.split("line", "\t").cast("array<double>").alias("values"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    kept = lines.where("at >= 2 and line <> ''")
+    return kept.select((F.col("at") - 2).alias("pid"), F.transform(F.split("line", "\t"), lambda x: x.try_cast("double")).alias("values"))
 
 
 def write_lines(rows: DataFrame, column: str, path: str, mode: str = "overwrite") -> None:
