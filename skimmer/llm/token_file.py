@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +26,9 @@ MAGIC = b"SKRANS01"
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols, frequencies that sum to 2**scale, scale); each symbol there gets one at least."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     scale = max(16, int(len(symbols)).bit_length() + 1)
     f = np.maximum(1, counts * (1 << scale) // counts.sum())
     over = int(f.sum()) - (1 << scale)
@@ -47,7 +51,9 @@ def encode(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     start = np.cumsum(f) - f
     blocks = -(-len(ids) // BLOCK)
     sym = np.full(blocks * BLOCK, int(np.argmax(f)), np.int64)  # the last block is filled up with the cheapest symbol
-    sym[: len(ids)] = np.searchsorted(symbols, ids)
+    index = np.zeros(int(symbols[-1]) + 1, np.int64)
+    index[symbols] = np.arange(len(symbols))
+    sym[: len(ids)] = index[ids]
     sym = np.ascontiguousarray(sym.reshape(blocks, STEPS, LANES).transpose(1, 0, 2))
     x = np.full((blocks, LANES), 1 << scale, np.uint64)
     words, out = np.zeros((STEPS, blocks, LANES), np.uint16), np.zeros((STEPS, blocks, LANES), bool)
@@ -114,7 +120,7 @@ class Encoder:
     """The tokenizers library's ids of whole texts. Its pre-tokenizer never joins what stands before a single space between
     non-blank characters with what follows, so the parts between such spaces are encoded one by one and kept."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -123,15 +129,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most, self.known = most, {}
+        self.mark = dict(zip(".,", self.raw([".", ","])))
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, parts: set[str]) -> None:
+        """Encodes parts that aren't known. A mark after a letter or digit is always a token of its own, so it is taken off."""
+        known, mark = self.known, self.mark
+        marked = [p for p in parts if p and p[-1] in mark and p[:-1].isalnum()]
+        bare = parts.difference(marked)
+        bare.update(p[:-1] for p in marked)
+        bare = [p for p in bare if p not in known]
+        known.update(zip(bare, self.raw([" " + p for p in bare])))
+        for p in marked:
+            known[p] = known[p[:-1]] + mark[p[-1]]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         import re
 
-        if len(self.known) > self.most:
-            self.known.clear()
+        if len(self.known) > self.most:  # the older half goes; what is common comes back at once
+            for p in list(islice(self.known, self.most // 2)):
+                del self.known[p]
         known, split, odd = self.known, re.compile(r"(?<=\S) (?=\S)").split, re.compile(r" (?:\s|\Z)").search
         heads, tails, new = [], [], set()
         for text in texts:
@@ -139,17 +158,13 @@ class Encoder:
             heads.append(first)
             tails.append(rest)
             new.update(rest)
-        new.difference_update(known)
-        short = [p for p in new if len(p) <= 40]
-        long = [p for p in new if len(p) > 40]
-        known.update(zip(short, self.raw([" " + p for p in short])))
-        once = dict(zip(long, self.raw([" " + p for p in long])))
-        begin = self.raw(heads)
-        if once:
-            get = lambda p: known.get(p) or once[p]
-        else:
-            get = known.__getitem__
-        return [np.frombuffer(b"".join([h, *map(get, t)]), "<u4") for h, t in zip(begin, tails)]
+        self.learn({p for p in new if p not in known})
+        begin, get = self.raw(heads), known.__getitem__
+        out = [np.frombuffer(b"".join([h, *map(get, t)]), "<u4") for h, t in zip(begin, tails)]
+        for p in new:
+            if len(p) > 40:  # not worth its place
+                known.pop(p, None)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", labe
     df = rows.mapInArrow(count, "bucket int, n int, a int").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).where(F.col("n") >= least_docs)
     expect = F.col("n") * F.lit(bad / n)
     z = (F.col("a") - expect) / F.sqrt(expect * F.lit(1 - bad / n) + 1e-9)
-    best = df.select("bucket", z.alias("z"), "n", "a").orderBy(F.abs("z").desc(), "bucket").limit(most_features).collect()
+    best = df.select("bucket", z.alias("z"), "n", "a").where(F.abs("z") >= 3).orderBy(F.abs("z").desc(), "bucket").limit(most_features).collect()
     best = sorted(best, key=lambda r: r.bucket)
     features = np.array([r.bucket for r in best], np.int64)
     toxic = np.array([r.a > 0.5 * r.n for r in best], bool)

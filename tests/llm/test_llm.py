@@ -1,0 +1,313 @@
+"""The training-data operators against brute force on small tables, with nulls, ties, repeats, empty tables and extra columns."""
+
+import hashlib
+import math
+import random
+import re
+import string
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skimmer.llm import decontaminate, language_id, license_scan, lm_score, nearest, pieces, secret_scan, simhash, toxicity
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, fp string, h int, spans string, words int, start int, hit_id int, all string"
+
+
+def docs(spark, texts, ids=None, schema=DOC):
+    ids = list(range(len(texts))) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", f"s{k % 3}", 1, "x", 1, "x", 1, 1, 1, "x") for k, (i, t) in enumerate(zip(ids, texts))], schema)
+
+
+WORDS = ["alpha", "beta", "gamma", "delta", "Épsilon", "zeta", "eta", "theta", "iota", "kappa", "漢字", "x1", "u"]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(["", "", ".", ",\n"]) for _ in range(n))
+
+
+# -- 4 ------------------------------------------------------------------------------------------------------------------
+
+
+def slow_fingerprint(text):
+    import xxhash
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def closure(n, linked):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+def test_simhash_components(spark):
+    rng = random.Random(3)
+    base = [prose(rng, 60) for _ in range(12)]
+    texts = base + [b.replace("alpha", "alpha", 1) + (" tail" if k % 2 else "") for k, b in enumerate(base)] + base[:4] + ["", None, " \n", "one", "ONE", "two three"] + [prose(rng, rng.randrange(1, 12)) for _ in range(60)]
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    fps = [slow_fingerprint(t) for t in texts]
+    assert [got[i][0] & (2**64 - 1) for i in range(len(texts))] == fps
+    want = closure(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4])
+    assert [got[i][1] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("tile", [4096, 20])
+def test_links_lose_none(spark, tile):
+    rng = np.random.default_rng(4)
+    fp = [int(x) for x in rng.integers(0, 1 << 63, 60)]
+    for f in fp[:10]:  # chains of near ones, and one crowd
+        g = f
+        for _ in range(6):
+            for b in rng.choice(64, 4, replace=False):
+                g ^= 1 << int(b)
+            fp.append(g)
+    fp += [fp[0] ^ (1 << int(a)) ^ (1 << int(b)) for a in range(12) for b in range(a)]
+    fp = sorted(set(fp))
+    signed = [(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fp)]
+    got = simhash.links(spark.createDataFrame(signed, "fp long, node long"), tile=tile)
+    pairs = [(r.a, r.b) for r in got.collect()]
+    assert all((fp[a] ^ fp[b]).bit_count() <= 4 for a, b in pairs)
+    every = [(a, b) for a in range(len(fp)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 4]
+    assert closure(len(fp), pairs) == closure(len(fp), every)
+
+
+def test_components_of_a_long_chain(spark):
+    chain = [(i, i + 1) for i in range(100, 160)] + [(7, 5), (5, 9), (3, 3)]
+    got = dict(map(tuple, simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()))
+    assert got == {i: 100 for i in range(101, 161)} | {7: 5, 9: 5}
+
+
+def test_keep_one(spark):
+    d = docs(spark, ["a b c d e", "a b c d e", "other words are here", None, "a b c d e", "a b c d e"], [4, 2, 7, None, 2, None])
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in simhash.keep_one(d).collect() if r.doc_id is not None) == [(False, 2, "a b c d e"), (False, 7, "other words are here")]
+    assert simhash.keep_one(d).where("doc_id is null").count() == 2
+    assert simhash.keep_one(d.limit(0)).count() == 0
+
+
+# -- 5 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 16))
+    x = (centres[rng.integers(0, 8, 900)] + 0.6 * rng.normal(size=(900, 16))).astype(np.float32)
+    x[300:420] = x[300]
+    x[500] = 2 * x[300]
+    rows = [(i, v.tolist(), "e") for i, v in enumerate(x)] + [(1000, None, "e"), (1050, [0.0] * 16, "e"), (1100, [float("nan")] * 16, "e"), (1150, [None] * 16, "e"), (1200, [1.0], "e")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, key string")
+    got: dict = {}
+    for r in nearest.search(df, candidates=32, parts=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = total = 0
+    assert sorted(got) == list(range(0, 900, 50))
+    for q, found in got.items():
+        found.sort()
+        s = u @ u[q]
+        s[q] = -9
+        want = np.lexsort((np.arange(900), -np.round(s, 9)))[:5]
+        assert [f[0] for f in found] == [1, 2, 3, 4, 5] and all(abs(f[2] - s[f[1]]) < 1e-9 for f in found)
+        hit, total = hit + len({f[1] for f in found} & set(want)), total + 5
+    assert hit / total >= 0.9
+    assert nearest.search(df.limit(0)).count() == 0
+    few = nearest.search(df.where("vec_id in (0, 1, 2)"), queries=F.col("vec_id") == 0).collect()
+    assert sorted(r["rank"] for r in few) == [1, 2]
+
+
+def test_index_probes_every_code_within_the_radius():
+    rng = np.random.default_rng(8)
+    code = rng.integers(0, 1 << 32, 3000, dtype=np.uint64)
+    index = nearest.Index(code, 32, 4)
+    for q in code[:5]:
+        found = index.near(q, 40)
+        d = np.bitwise_count(code ^ q)
+        assert len(found) >= 40 and set(np.flatnonzero(d <= d[found].max())) == set(found)
+
+
+# -- 6 ------------------------------------------------------------------------------------------------------------------
+
+
+def slow_spans(text):
+    kinds = [("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)]
+    found = [(m.start(), k, kind, m.end()) for k, (kind, p, g, least) in enumerate(kinds) for m in re.finditer(p, text or "") if len(m[g]) >= least]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
+
+
+SECRETS = ["token:token:abcdefgh12", 'password = "hunter2hunter2"', "api_key=short", "AKIA" + "A1" * 8, "AKIAX", "f" * 31, "0a" * 20, "é漢 secret : '" + "0f" * 16 + "'", "", None, "aB3" * 15, "😀token=12345678 " * 3]
+
+
+def test_secret_spans(spark):
+    rng = random.Random(1)
+    parts = [s for s in SECRETS if s] + ["word", "\n", "漢"]
+    texts = SECRETS + [rng.choice(["", " "]).join(rng.choice(parts) for _ in range(6)) for _ in range(60)]
+    rows = secret_scan.scan(docs(spark, texts)).select("doc_id", secret_scan.digest(F.col("base")).alias("d")).collect()
+    assert {r.doc_id: r.d for r in rows} == {i: slow_spans(t) for i, t in enumerate(texts)}
+
+
+def test_ownership_and_redaction(spark):
+    shared, own = "password=" + "Z" * 12, "password=" + "Q" * 12
+    d = docs(spark, [f"a {shared} b"] * 6 + [f"é {own} end", "clean", None])
+    got = {r.doc_id: r.text for r in secret_scan.redact(d).collect()}
+    assert got[0] == f"a {shared} b" and got[6] == "é password=[SECRET] end" and got[7] == "clean" and got[8] is None
+    assert secret_scan.redact(d.limit(0)).count() == 0 and secret_scan.redact(d).columns == d.columns
+
+
+# -- 7 ------------------------------------------------------------------------------------------------------------------
+
+
+def slow_words(text):
+    low = "".join(c.lower() if c in string.ascii_uppercase else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def slow_report(text, items):
+    w, hit, names = slow_words(text), set(), set()
+    for name, item in items:
+        v = slow_words(item)
+        k = min(13, len(v))
+        for win in {tuple(v[i : i + k]) for i in range(max(1, len(v) - 12))} if v else ():
+            for i in range(len(w) - k + 1):
+                if tuple(w[i : i + k]) == win:
+                    hit |= set(range(i, i + k))
+                    names.add(str(name))
+    return len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_decontamination(spark):
+    rng = random.Random(2)
+    items = [(i, prose(rng, rng.randrange(14, 30))) for i in range(6)] + [(10, "short One here"), (11, "short one here"), (12, ""), (13, None), (None, "alpha beta"), (14, prose(rng, 13))]
+    texts = [prose(rng, 40), "", None, "SHORT one, here", "short one here short one here", items[0][1].upper(), prose(rng, 300) + " " + items[1][1], items[2][1] + items[3][1], items[2][1] + " x " + items[2][1], "Éa éa"] + [prose(rng, 25) for _ in range(20)]
+    d = docs(spark, texts)
+    bench = spark.createDataFrame([(*x, "e") for x in items], "item_id long, text string, h string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(d, bench).collect()}
+    real = [x for x in items if x[0] is not None]
+    assert got == {i: slow_report(t, real) for i, t in enumerate(texts)}
+    wide = decontaminate.report(d, bench, broadcast_rows=0).where("n_hit > 0").count()
+    assert wide == sum(v[1] > 0 for v in got.values())
+    kept = {r.doc_id for r in decontaminate.drop_documents(d, bench).collect()}
+    assert kept == {i for i, v in got.items() if not v[4]}
+    cut = {r.doc_id: r.text for r in decontaminate.drop_spans(d, bench).collect()}
+    assert cut[2] is None and cut[0] == texts[0] and slow_words(cut[4]) == []
+    assert decontaminate.report(d, bench.limit(0)).where("n_hit > 0").count() == 0 and decontaminate.report(d.limit(0), bench).count() == 0
+
+
+# -- 8 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_license_base_and_fuzzy(spark):
+    import regex
+
+    rng = random.Random(9)
+    near = ["licensed under the apache license", "licenced under the apache license", "licensed under teh apache licence", "relased under the mit license", "unrelated"]
+    texts = ["CC BY cc-by", "xcc by", "GNU General  Public\nLicense all rights reserved", "", None] + [prose(rng, 5) + " " + rng.choice(near) + " " + prose(rng, 5) for _ in range(40)]
+    rows = {r.doc_id: r for r in license_scan.scan(docs(spark, texts)).collect()}
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    for i, t in enumerate(texts):
+        w = slow_words(t)
+        places = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        r = rows[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), min((p[0] for p in places), default=None), max((p[0] for p in places), default=None), ",".join(sorted({p[1] for p in places})))
+        joined, want = " ".join(w), {p[1] for p in places}
+        for notice, label in license_scan.NOTICES.items():  # the whole text at once, without seeds
+            if regex.search(rf"(?:{regex.escape(notice)}){{e<={license_scan.allowed(notice, 12)}}}", joined):
+                want.add(label)
+        assert set(filter(None, r.labels.split(","))) == want and 0 <= r.score <= 1
+
+
+# -- 1, 3, 10 -----------------------------------------------------------------------------------------------------------
+
+
+def test_lm_losses_and_counts(spark):
+    rng = random.Random(7)
+    texts = [prose(rng, 30) for _ in range(20)] + ["", None, "alpha"]
+    d = docs(spark, texts).withColumn("target", F.col("doc_id") < 5)
+    models = lm_score.train(d)
+    total = sum(len(slow_words(t)) for t in texts)
+    assert models[1].words.sum() == total and models[0].words.sum() == sum(len(slow_words(t)) for t in texts[:5])
+    rows = {r.doc_id: r for r in lm_score.score(d, models).collect()}
+    assert rows[20].score is None and rows[21].n_tokens == 0
+    n, word = models[1].words.sum(), texts[22]
+    c = sum(slow_words(t).count(word) for t in texts)
+    assert rows[22].ce_background == pytest.approx(-math.log((c + 0.5) / (n + 0.5 * (1 << lm_score.WORD_BITS))), rel=1e-5)
+    assert np.mean([rows[i].score for i in range(5)]) < np.mean([rows[i].score for i in range(5, 20)])
+
+
+def test_ordinal_fit_shares_weights():
+    rng = np.random.default_rng(1)
+    n = 3000
+    f = rng.integers(0, 6, n)
+    x = np.array([-2.0, -1, 0, 1, 2, 3])[f] + rng.logistic(size=n)
+    grades = (x > 0).astype(int) + (x > 1.5)
+    w, b = toxicity.fit_ordinal(np.arange(n), f, np.ones(n), grades, 6, ridge=1e-5)
+    assert b[1] - b[0] == pytest.approx(1.5, abs=0.25) and (np.diff(w) > 0.5).all()
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, 40) + (" " + " ".join(rng.choice(["blorg", "snarfling", "snarfed"]) for _ in range(1 + i % 5)) if i % 4 == 0 else "") for i in range(400)]
+    d = docs(spark, texts + ["", None])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(d, toxicity.train(d, labels)).collect()}
+    assert all((out[i]["__grade"] > 0) == (i % 4 == 0) for i in range(300, 400))
+    assert out[400]["__grade"] == 0 and out[401]["__grade"] == 0
+    heavy, light = [out[i]["__severity"] for i in range(304, 400, 20)], [out[i]["__severity"] for i in range(300, 400, 20)]
+    assert np.mean(heavy) > np.mean(light)
+    none = toxicity.score(d, toxicity.train(d, labels.limit(0))).agg(F.max("__severity")).first()[0]
+    assert none == 0
+
+
+def test_language_fusion(spark):
+    en, fr = ["the cat and the dog with that thing"], ["le chat et le chien avec cette chose"]
+    d = spark.createDataFrame([(i, (en if i % 2 else fr)[0] + f" {i}", "en" if i % 2 else "fr") for i in range(40)], "doc_id long, text string, lang string")
+    model = language_id.train(d)
+    rows = [(1, "http://a.example.com/x", f"<html><body>{en[0]}</body></html>"), (2, "http://b.example.fr/", '<html lang="fr"><script>the the the</script><p>' + fr[0]), (3, "http://b.example.fr/2", None), (4, None, ""), (5, "http://only.example.net/fr/7", "<p></p>")]
+    pages = spark.createDataFrame([(*r, "e") for r in rows], "page_id long, url string, html string, host string")
+    got = {r.page_id: r for r in language_id.identify(pages, model).collect()}
+    assert [got[i].lang for i in (1, 2, 3, 5)] == ["en", "fr", "fr", "fr"] and got[4].text_lang is None and got[4].lang in ("en", "fr")
+    assert all(0 < got[i].confidence <= 1 for i in got) and got[2].host_pages == 2
+    assert language_id.identify(pages.limit(0), model).count() == 0
+    assert language_id.identify(pages, ([], None)).where("lang is null").count() == 5
+
+
+# -- 2 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_sampling_without_replacement():
+    lat, n, k = pieces.lattices(None, 0.3), 6000, 3
+    found, left, arrays = pieces.sample_group(lat, pieces.mix(np.arange(n, dtype=np.uint64)), [pieces.chunked("the at")[0]] * n, k)
+    p = {tuple(e.tolist()): math.exp(lp) for x in found for e, lp, _ in x}
+    assert sum(p.values()) == pytest.approx(1, abs=1e-3)
+    first = [tuple(x[0][0].tolist()) for x in found]
+    assert all(abs(first.count(s) / n - q) < 0.03 for s, q in p.items())
+    assert all(len({tuple(e.tolist()) for e, _, _ in x}) == k for x in found)
+    assert all(x[0][2] > x[1][2] > x[2][2] > b for x, b in zip(found, left))
+    weight = np.mean([sum(math.exp(lp - pieces.log_inclusion(lp, b)) for _, lp, _ in x) for x, b in zip(found, left)])
+    assert weight == pytest.approx(1, abs=0.03)  # weighted by inclusion, samples stand for the whole
+
+
+def test_encode_and_decode(spark):
+    texts = ["Hello  world\n", "", None, " x", "a▁b", "漢字 😀", "ab", "x" * 3000, "tab\tand more "]
+    d = docs(spark, texts)
+    enc = pieces.sample_encodings(d, k=3, alpha=0.5)
+    rows = pieces.decode(enc).collect()
+    assert all(r.exact and r.text == (texts[r.doc_id] or "") for r in rows)
+    per = {i: [r for r in rows if r.doc_id == i] for i in range(len(texts))}
+    assert len(per[1]) == 1 and per[1][0].n_pieces == 0 and len(per[0]) == 3
+    again = {(r.doc_id, r["sample"]): r.ids_crc32 for r in pieces.sample_encodings(d.repartition(3), k=3, alpha=0.5).collect()}
+    assert again == {(r.doc_id, r["sample"]): r.ids_crc32 for r in rows}  # however rows are dealt out
+    assert pieces.sample_encodings(d.limit(0)).count() == 0

@@ -12,7 +12,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def test_parts_encode_like_whole_texts():
     code = T.Encoder(PATH)
     rng = random.Random(5)
-    bits = ["the", "a", " ", "  ", "\n", "\t", " ", "　", "'s", "don't", "12", "é", "漢", "!", "...", "<|endoftext|>", "\x1c", "\r\n", "x" * 50, ""]
+    bits = ["the", "a", " ", "  ", "\n", "\t", " ", "　", "'s", "don't", "12", "é", "漢", "!", "...", "end.", "mid,", "é.", "²,", "a\u0301.", "5.", ".", "x.,", "<|endoftext|>", "\x1c", "\r\n", "x" * 50, ""]
     texts = ["", " ", "  ", "a", " a", "a ", "foo\n \tbar", "foo \n\n y"] + ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(30))) for _ in range(3000)]
     got = code(texts)
     for text, ids in zip(texts, got):
