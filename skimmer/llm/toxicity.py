@@ -4,8 +4,8 @@ Features are hashed words and word beginnings. The model has one weight per chos
 one threshold per grade step: P(grade > j) = logistic(w x - b_j); the sum over j is the expected severity. It is fitted on a
 bounded sample of labelled rows (``sample`` rows of smallest hash of the id) and scores every row.
 
-Labels may be grades of any number. Where they are 0 and 1 only, the labelled toxic rows are split at the median share of
-words that carry a toxic feature, into grade 1 (below) and grade 2.
+Labels may be grades of any number. Where they are 0 and 1 only, the labelled toxic rows are split at the median strength of
+their toxic features (each counting 1 + log of its occurrences), into grade 1 (below) and grade 2.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def counted(data: np.ndarray, offsets: np.ndarray, place: np.ndarray):
     return pairs >> 20, pairs & ((1 << 20) - 1), count, n_words
 
 
-def fit_ordinal(rows, features, values, grades, n_features: int, ridge: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows, features, values, grades, n_features: int, ridge: float = 1e-5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """(weights, ascending thresholds) by Adam on the mean cumulative-link loss; rows, features, values: a sparse matrix."""
     n, levels = len(grades), int(grades.max(initial=0))
     w, b = np.zeros(n_features), np.linspace(1.0, 2.0, max(levels, 1))
@@ -101,11 +101,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", labe
     n, bad = totals[0], totals[1] or 0
     if not n:
         return None
-    # Chosen: the buckets that tell most about the label, by the signed root of the chi-square statistic.
+    # Chosen: the buckets that tell most about the label, by the signed root of a chi-square statistic, damped so that
+    # a rare bucket can't pass by chance.
     df = rows.mapInArrow(count, "bucket int, n int, a int").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).where(F.col("n") >= least_docs)
     expect = F.col("n") * F.lit(bad / n)
-    z = (F.col("a") - expect) / F.sqrt(expect * F.lit(1 - bad / n) + 1e-9)
-    best = df.select("bucket", z.alias("z"), "n", "a").where(F.abs("z") >= 3).orderBy(F.abs("z").desc(), "bucket").limit(most_features).collect()
+    z = (F.col("a") - expect) / F.sqrt(expect * F.lit(1 - bad / n) + 1)
+    best = df.select("bucket", z.alias("z"), "n", "a").where(F.abs("z") >= 4).orderBy(F.abs("z").desc(), "bucket").limit(most_features).collect()
     best = sorted(best, key=lambda r: r.bucket)
     features = np.array([r.bucket for r in best], np.int64)
     toxic = np.array([r.a > 0.5 * r.n for r in best], bool)
@@ -119,10 +120,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", labe
         place, toxic = shared.value
         for batch in batches:
             for first, data, offsets in chunks(batch.column(1)):
-                row, at, count, n_words = counted(data, offsets, place)
+                row, at, count, _ = counted(data, offsets, place)
                 k = len(offsets) - 1
                 cut = np.searchsorted(row, np.arange(k + 1))
-                share = np.bincount(row, toxic[at] * count, k) / np.maximum(n_words, 1)
+                share = np.bincount(row, toxic[at] * (1 + np.log(count)), k)
                 lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (at, count)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k), *lists, pa.array(share)], ["grade", "at", "count", "share"])
 
@@ -132,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", labe
         grades = grades + ((grades > 0) & (share >= np.median(share[grades > 0])))
     sizes = got["at"].map(len).to_numpy()
     flat = lambda c: np.concatenate([*got[c], np.zeros(0, np.int32)]).astype(np.int64)
-    w, b = fit_ordinal(np.repeat(np.arange(len(got)), sizes), flat("at"), np.log1p(flat("count")), grades, max(len(features), 1))
+    w, b = fit_ordinal(np.repeat(np.arange(len(got)), sizes), flat("at"), 1 + np.log(flat("count")), grades, max(len(features), 1))
     return Model(features, w[: len(features)], b, toxic)
 
 
@@ -158,7 +159,7 @@ def score(docs: DataFrame, model: Model | None, doc_id="doc_id", text="text") ->
             x = np.zeros(batch.num_rows)
             for first, data, offsets in chunks(batch.column(at_text)):
                 row, at, count, _ = counted(data, offsets, place)
-                x[first : first + len(offsets) - 1] = np.bincount(row, model.weights[at] * np.log1p(count), len(offsets) - 1)
+                x[first : first + len(offsets) - 1] = np.bincount(row, model.weights[at] * (1 + np.log(count)), len(offsets) - 1)
             over = model.over(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array((over >= 0.5).sum(axis=1).astype(np.int32))], [*batch.schema.names, "__severity", "__p_toxic", "__grade"])
 
