@@ -13,7 +13,9 @@ Queries go in blocks of a fixed size, so what is broadcast is bounded.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -44,6 +46,12 @@ def codes(x: np.ndarray, model) -> np.ndarray:
     return (bits.astype(np.uint64) << np.arange(turn.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+@lru_cache(maxsize=256)
+def flips(width: int, step: int) -> np.ndarray:
+    """All values of ``step`` set bits among ``width``."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), step)], np.uint64)
+
+
 class Index:
     """Substring tables over the codes of one partition."""
 
@@ -59,23 +67,25 @@ class Index:
 
     def near(self, q: np.uint64, least: int) -> np.ndarray:
         """The rows of all codes within the smallest radius of the ladder that holds ``least`` codes (or all there are)."""
-        n, got = len(self.code), []
+        n = len(self.code)
+        seen, apart = np.zeros(n, bool), {}
         for step in range(max(w for _, w in self.parts) + 1):
             # Probing up to ``step`` bits on each table is complete for this radius.
             radius = self.tables * (step + 1) - 1
-            for (shift, width), (value, order) in zip(self.parts, self.sorted):
+            for t, ((shift, width), (value, order)) in enumerate(zip(self.parts, self.sorted)):
                 if step > width:
                     continue
                 own = (q >> shift) & np.uint64((1 << width) - 1)
-                flips = [sum(1 << b for b in c) for c in combinations(range(width), step)]
-                if len(flips) > n:  # fewer rows than probes: look at the rows instead
-                    rows = order[np.bitwise_count(value ^ own) == step]
+                if comb(width, step) * 8 > n:  # probes cost more than a look at each row's substring
+                    if t not in apart:
+                        apart[t] = np.bitwise_count(value ^ own)
+                    seen[order[apart[t] == step]] = True
                 else:
-                    probes = own ^ np.array(flips, np.uint64)
-                    a, b = np.searchsorted(value, probes, "left"), np.searchsorted(value, probes, "right")
-                    rows = np.concatenate([order[i:j] for i, j in zip(a, b) if i < j] or [np.zeros(0, np.int64)])
-                got.append(rows)
-            found = np.unique(np.concatenate(got))
+                    probes = own ^ flips(width, step)
+                    for i, j in zip(np.searchsorted(value, probes, "left"), np.searchsorted(value, probes, "right")):
+                        if i < j:
+                            seen[order[i:j]] = True
+            found = np.flatnonzero(seen)
             found = found[np.bitwise_count(self.code[found] ^ q) <= radius]
             if len(found) >= min(least, n):
                 return found
