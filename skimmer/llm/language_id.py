@@ -150,14 +150,10 @@ def identify(pages: DataFrame, model, page_id="page_id", url="url", html="html",
 
     host = own.groupBy("host", "domain", "suffix").agg(*(F.sum(F.when(F.col("vote") == x, 1).otherwise(0)).cast("double").alias(v) for x, v in zip(langs, votes)))
     host = scratch(host)
-    domain, suffix, whole = summed(host, ["domain", "suffix"]), summed(host, ["suffix"]), summed(host, [])
-
-    def under(child, parent, keys):
-        """child with the counts of its parents as p-columns below its own: smoothing is done where the own vote is known."""
-        named = parent.withColumnsRenamed({v: f"{keys[0] if keys else 'all'}_{v}" for v in votes})
-        return child.join(named, keys) if keys else child.crossJoin(F.broadcast(named))  # one row
-
-    domain = under(under(domain, suffix, ["suffix"]), whole, [])
+    domain, suffix = summed(host, ["domain", "suffix"]), summed(host, ["suffix"])
+    whole = summed(host, []).first()
+    domain = domain.join(suffix.withColumnsRenamed({v: f"suffix_{v}" for v in votes}), "suffix")
+    domain = domain.withColumns({f"all_{v}": F.lit(float(whole[v] or 0)) for v in votes})
     prior = host.join(domain.withColumnsRenamed({v: f"domain_{v}" for v in votes}), ["domain", "suffix"])
     rows = own.join(prior.drop("domain", "suffix"), "host")
 
