@@ -360,6 +360,7 @@ def sample_group(lattices: Lattices, keys: np.ndarray, chunk_lists: list[list[st
         whole = np.add.reduceat(some, begin[full])
         for t, i in enumerate(full):
             if fork[t] == -2:
+                results[i].append(None)  # results are found by their round
                 continue
             if r == 0:
                 a, b = begin[i], ends[i] - 1
@@ -384,7 +385,7 @@ def sample_group(lattices: Lattices, keys: np.ndarray, chunk_lists: list[list[st
             c[after] = d.count
             count_of.append(c)
     left[full] = best()[2]
-    return results, left, arrays
+    return [[x for x in found if x] for found in results], left, arrays
 
 
 def sum_counts(count_of, q, a, b):
