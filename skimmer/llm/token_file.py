@@ -45,19 +45,26 @@ def _state(scale: int) -> str:
     return "<u4" if scale <= 16 else "<u8"  # a state has scale + 16 bits
 
 
+def _kind(scale: int, f: np.ndarray):
+    """The numbers to reckon in: 32 bits hold all states unless one symbol has the whole range."""
+    return np.uint32 if scale <= 16 and f.max() < 1 << 16 else np.uint64
+
+
 def encode(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     """One segment. ids: all tokens of its documents; doc_ids may hold None."""
     symbols, f, scale = frequencies(ids)
-    start = np.cumsum(f) - f
+    kind = _kind(scale, f)
+    f = f.astype(kind)
+    start = (np.cumsum(f) - f).astype(kind)
     blocks = -(-len(ids) // BLOCK)
     sym = np.full(blocks * BLOCK, int(np.argmax(f)), np.int64)  # the last block is filled up with the cheapest symbol
     index = np.zeros(int(symbols[-1]) + 1, np.int64)
     index[symbols] = np.arange(len(symbols))
     sym[: len(ids)] = index[ids]
     sym = np.ascontiguousarray(sym.reshape(blocks, STEPS, LANES).transpose(1, 0, 2))
-    x = np.full((blocks, LANES), 1 << scale, np.uint64)
+    x = np.full((blocks, LANES), 1 << scale, kind)
     words, out = np.zeros((STEPS, blocks, LANES), np.uint16), np.zeros((STEPS, blocks, LANES), bool)
-    sixteen, shift = np.uint64(16), np.uint64(scale)
+    sixteen, shift = kind(16), kind(scale)
     for t in range(STEPS - 1, -1, -1):
         g = f[sym[t]]
         big = x >= (g << sixteen)
@@ -91,16 +98,18 @@ def decode(payload: bytes) -> tuple[np.ndarray, list, np.ndarray]:
         at += got.nbytes
         return got
 
-    symbols, f = take("<u4", n_symbols), take("<u4", n_symbols).astype(np.uint64)
+    symbols, f = take("<u4", n_symbols), take("<u4", n_symbols)
+    kind = _kind(scale, f)
+    f = f.astype(kind)
     named, null, lengths = take("<i8", n_docs), take("u1", n_docs), take("<i8", n_docs)
     sizes, checks = take("<u4", blocks).astype(np.int64), take("<u4", blocks)
-    x = take(_state(scale), blocks * LANES).astype(np.uint64).reshape(blocks, LANES)
+    x = take(_state(scale), blocks * LANES).astype(kind).reshape(blocks, LANES)
     stream = take("<u2", int(sizes.sum()))
-    start = np.cumsum(f) - f
+    start = (np.cumsum(f) - f).astype(kind)
     slots = np.repeat(np.arange(n_symbols, dtype=np.int32), f.astype(np.int64))
     at_word = np.cumsum(sizes) - sizes
     out = np.zeros((STEPS, blocks, LANES), np.int32)
-    low, shift, sixteen, mask = np.uint64(1 << scale), np.uint64(scale), np.uint64(16), np.uint64((1 << scale) - 1)
+    low, shift, sixteen, mask = kind(1 << scale), kind(scale), kind(16), kind((1 << scale) - 1)
     for t in range(STEPS):
         slot = x & mask
         s = out[t] = slots[slot.astype(np.int64)]
@@ -120,7 +129,7 @@ class Encoder:
     """The tokenizers library's ids of whole texts. Its pre-tokenizer never joins what stands before a single space between
     non-blank characters with what follows, so the parts between such spaces are encoded one by one and kept."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
