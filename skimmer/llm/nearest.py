@@ -76,7 +76,7 @@ class Index:
                 if step > width:
                     continue
                 own = (q >> shift) & np.uint64((1 << width) - 1)
-                if comb(width, step) * 8 > n:  # probes cost more than a look at each row's substring
+                if comb(width, step) * 64 > n:  # probes cost more than a look at each row's substring
                     if t not in apart:
                         apart[t] = np.bitwise_count(value ^ own)
                     seen[order[apart[t] == step]] = True
