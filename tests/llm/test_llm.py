@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -247,6 +248,39 @@ def test_lm_losses_and_counts(spark):
     assert np.mean([rows[i].score for i in range(5)]) < np.mean([rows[i].score for i in range(5, 20)])
 
 
+def slow_lm(texts, target):
+    """{row: (tokens, target's loss, background's loss)} by exact counts."""
+    split = [slow_words(t) for t in texts]
+    kinds = [[w for w, good in zip(split, target) if good], split]
+    size = max(1 << lm_score.WORD_BITS, len({w for ws in split for w in ws}))
+    out = [[len(ws)] for ws in split]
+    for rows in kinds:
+        one = Counter(w for ws in rows for w in ws)
+        two = Counter(p for ws in rows for p in zip(ws, ws[1:]))
+        total = sum(one.values())
+        for ws, o in zip(split, out):
+            base = [(one[w] + 0.5) / (total + 0.5 * size) for w in ws]
+            p = base[:1] + [(two[a, b] + 20 * q) / (one[a] + 20) for a, b, q in zip(ws, ws[1:], base[1:])]
+            o.append(-sum(map(math.log, p)) / len(ws) if ws else None)
+    return out
+
+
+def test_lm_counts_grow_with_the_corpus(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(400_000)}" for _ in range(20_000)) for _ in range(40)] + ["w1 w2 w1 w2 w1", "alone", "", None]
+    ids = [None, None, *range(len(texts) - 2)]
+    good = [i is not None and i % 3 == 0 for i in ids]
+    want = slow_lm([t or "" for t in texts], good)
+    d = docs(spark, texts, ids)
+    models = lm_score.train(d, good=spark.createDataFrame([(i,) for i, g in zip(ids, good) if g] + [(None,), (10**6,)], "doc_id long"))
+    assert models[1].vocabulary > 1 << lm_score.WORD_BITS  # more words than the old table had places, and no shared place
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    for other in (d, d.select("doc_id", "text").where("true")):  # the counted rows, and the same as rows not seen before
+        got = sorted(((r.doc_id, r.n_tokens, r.ce_target, r.ce_background) for r in lm_score.score(other, models).collect()), key=key)
+        for g, w in zip(got, sorted(((i, *w) for i, w in zip(ids, want)), key=key), strict=True):
+            assert g[:2] == w[:2] and g[2:] == (pytest.approx(w[2:], rel=1e-9) if w[1] else w[2:])
+
+
 def test_ordinal_fit_shares_weights():
     rng = np.random.default_rng(1)
     n = 3000
