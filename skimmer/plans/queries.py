@@ -305,7 +305,7 @@ def dedup_exact(spark, sf_dir):
 
 
 def simhash(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", dedup.bit_votes(dedup.shingled(F.substring("text", 1, 120))).alias("hash"))
+    return _docs(spark, sf_dir).select("doc_id", dedup.fingerprint(F.col("text")).alias("hash"))
 
 
 def ngram_counts(spark, sf_dir):

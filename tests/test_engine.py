@@ -4,12 +4,14 @@ import gzip
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from skimmer.functions import decode, features as R, text as X
 from skimmer.operators import checks, dedup, feedback, history, keywords as K, language, match, push, similarity, tagger
+from skimmer.plans import queries
 from skimmer.sources import readers, writers
 
 
@@ -126,6 +128,28 @@ def test_fingerprints(spark):
     assert a == b != c
 
 
+def slow_fingerprint(text):
+    import xxhash
+
+    kept = re.sub(r"[^a-z0-9_]+", "", text.lower())
+    h = [xxhash.xxh64_intdigest(kept[i : i + 4], seed=42) for i in range(max(1, len(kept) - 3))]
+    bits = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return bits - (1 << 64) * (bits >> 63)
+
+
+def test_fingerprints_of_whole_texts(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["the", "Thon!", "é", "12", "a_b", "漢字", "REED", "\n", "x"]
+    head = " ".join(rng.choice(words) for _ in range(100))
+    texts = ["", "a", "abc", "abcd", "漢", head, head + " one end", head + " the other end", *(head + " ".join(rng.choice(words) for _ in range(n)) for n in (3, 400, 40_000))]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, None])], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.hash for r in queries.simhash(spark, str(tmp_path)).collect()}
+    assert got == {i: slow_fingerprint(t) for i, t in enumerate(texts)} | {len(texts): None}
+    assert len({got[i] for i in (5, 6, 7)}) == 3
+    short = texts[:8]
+    assert col(spark, short, lambda v: dedup.bit_votes(dedup.shingled(v))) == [got[i] for i in range(8)]
+
+
 def test_feedback(spark):
     rows = spark.createDataFrame([(1, 0, 0.9), (2, 0, 1.2), (3, 0, 1.1), (4, 0, 1.5)], "seq int, pid int, sim double")
     rec = feedback.record_rows(rows)
