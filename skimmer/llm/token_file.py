@@ -127,7 +127,8 @@ def decode(payload: bytes) -> tuple[np.ndarray, list, np.ndarray]:
 
 class Encoder:
     """The tokenizers library's ids of whole texts. Its pre-tokenizer never joins what stands before a single space between
-    non-blank characters with what follows, so the parts between such spaces are encoded one by one and kept."""
+    non-blank characters with what follows, so the parts between such spaces are encoded one by one and kept. Texts that hold
+    an added token are encoded whole, as the library cuts them at that token first."""
 
     def __init__(self, path: str, most: int = 1_300_000):
         import os
@@ -136,7 +137,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.known = most, {}
         self.mark = dict(zip(".,", self.raw([".", ","])))
 
@@ -163,7 +164,10 @@ class Encoder:
         known, split, odd = self.known, re.compile(r"(?<=\S) (?=\S)").split, re.compile(r" (?:\s|\Z)").search
         heads, tails, new = [], [], set()
         for text in texts:
-            first, *rest = split(text) if odd(text) else text.split(" ")
+            if any(a in text for a in self.added):
+                first, rest = text, []
+            else:
+                first, *rest = split(text) if odd(text) else text.split(" ")
             heads.append(first)
             tails.append(rest)
             new.update(rest)

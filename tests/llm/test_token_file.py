@@ -19,6 +19,20 @@ def test_parts_encode_like_whole_texts():
         assert ids.tolist() == code.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_have_the_ids_of_an_unchanged_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>. y  <|endoftext|>\n z", " <|endoftext|>, <|endoftext", "no such token, here.", "a <|endoftext|>"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [i.tolist() for i in T.Encoder(PATH)(texts)] == want
+    T.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "f"))
+    rows = sorted(T.read(spark, str(tmp_path / "f"), with_ids=True).collect(), key=lambda r: r.doc_id)
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in rows] == [w + [2] for w in want]
+    assert [r.start for r in rows] == [sum(len(w) + 1 for w in want[:i]) for i in range(len(want))]
+
+
 @pytest.mark.parametrize("n", [1, 2, 31, 4096, 4097, 50_000])
 @pytest.mark.parametrize("kind", ["one", "skewed", "wide", "large"])
 def test_round_trip(n, kind):
