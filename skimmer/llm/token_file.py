@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skimmer.llm.common import scratch_root, table
+from skimmer.llm.common import scratch_path, table
 
 LANES, BLOCK, SEGMENT = 32, 4096, 1 << 21
 STEPS = BLOCK // LANES
@@ -85,52 +85,90 @@ def encode(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     return body + struct.pack("<I", zlib.crc32(body))
 
 
+class Segment:
+    """A payload's tables, checked against its checksum; ``blocks`` decodes any of its blocks."""
+
+    def __init__(self, payload: bytes):
+        if payload[:8] != MAGIC or zlib.crc32(memoryview(payload)[:-4]) != struct.unpack("<I", payload[-4:])[0]:
+            raise ValueError("not a segment, or a damaged one")
+        _, self.scale, n_symbols, self.n_blocks, n_docs, self.n = struct.unpack_from("<8sBIIIQ", payload)
+        at = struct.calcsize("<8sBIIIQ")
+
+        def take(kind, count):
+            nonlocal at
+            got = np.frombuffer(payload, kind, count, at)
+            at += got.nbytes
+            return got
+
+        self.symbols, f = take("<u4", n_symbols), take("<u4", n_symbols)
+        self.kind = _kind(self.scale, f)
+        self.f = f.astype(self.kind)
+        self.named, self.null, self.lengths = take("<i8", n_docs), take("u1", n_docs), take("<i8", n_docs)
+        self.sizes, self.checks = take("<u4", self.n_blocks).astype(np.int64), take("<u4", self.n_blocks)
+        self.states = take(_state(self.scale), self.n_blocks * LANES).reshape(self.n_blocks, LANES)
+        self.stream = take("<u2", int(self.sizes.sum()))
+
+    def doc_ids(self) -> list:
+        return [None if z else int(d) for d, z in zip(self.named, self.null)]
+
+    def blocks(self, first: int, end: int) -> np.ndarray:
+        """The ids of blocks first .. end - 1, each from its own checkpoint; ValueError if a checksum fails."""
+        kind, f, scale, many = self.kind, self.f, self.scale, end - first
+        x = self.states[first:end].astype(kind)
+        start = (np.cumsum(f) - f).astype(kind)
+        slots = np.repeat(np.arange(len(f), dtype=np.int32), f.astype(np.int64))
+        at_word = (np.cumsum(self.sizes) - self.sizes)[first:end]
+        out = np.zeros((STEPS, many, LANES), np.int32)
+        low, shift, sixteen, mask = kind(1 << scale), kind(scale), kind(16), kind((1 << scale) - 1)
+        for t in range(STEPS):
+            slot = x & mask
+            s = out[t] = slots[slot.astype(np.int64)]
+            x = f[s] * (x >> shift) + slot - start[s]
+            need = x < low
+            where = (at_word[:, None] + np.cumsum(need, axis=1) - 1)[need]
+            x[need] = (x[need] << sixteen) | self.stream[where]
+            at_word = at_word + need.sum(axis=1)
+        ids = self.symbols[out.transpose(1, 0, 2).ravel()[: self.n - first * BLOCK]]
+        for b in range(many):
+            if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) != self.checks[first + b]:
+                raise ValueError(f"block {first + b} is damaged")
+        return ids
+
+
 def decode(payload: bytes) -> tuple[np.ndarray, list, np.ndarray]:
     """(ids, doc_ids, lengths) of a segment; ValueError if a checksum fails."""
-    if payload[:8] != MAGIC or zlib.crc32(memoryview(payload)[:-4]) != struct.unpack("<I", payload[-4:])[0]:
-        raise ValueError("not a segment, or a damaged one")
-    _, scale, n_symbols, blocks, n_docs, n = struct.unpack_from("<8sBIIIQ", payload)
-    at = struct.calcsize("<8sBIIIQ")
-
-    def take(kind, count):
-        nonlocal at
-        got = np.frombuffer(payload, kind, count, at)
-        at += got.nbytes
-        return got
-
-    symbols, f = take("<u4", n_symbols), take("<u4", n_symbols)
-    kind = _kind(scale, f)
-    f = f.astype(kind)
-    named, null, lengths = take("<i8", n_docs), take("u1", n_docs), take("<i8", n_docs)
-    sizes, checks = take("<u4", blocks).astype(np.int64), take("<u4", blocks)
-    x = take(_state(scale), blocks * LANES).astype(kind).reshape(blocks, LANES)
-    stream = take("<u2", int(sizes.sum()))
-    start = (np.cumsum(f) - f).astype(kind)
-    slots = np.repeat(np.arange(n_symbols, dtype=np.int32), f.astype(np.int64))
-    at_word = np.cumsum(sizes) - sizes
-    out = np.zeros((STEPS, blocks, LANES), np.int32)
-    low, shift, sixteen, mask = kind(1 << scale), kind(scale), kind(16), kind((1 << scale) - 1)
-    for t in range(STEPS):
-        slot = x & mask
-        s = out[t] = slots[slot.astype(np.int64)]
-        x = f[s] * (x >> shift) + slot - start[s]
-        need = x < low
-        where = (at_word[:, None] + np.cumsum(need, axis=1) - 1)[need]
-        x[need] = (x[need] << sixteen) | stream[where]
-        at_word = at_word + need.sum(axis=1)
-    ids = symbols[out.transpose(1, 0, 2).ravel()[:n]]
-    for b in range(blocks):
-        if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) != checks[b]:
-            raise ValueError(f"block {b} is damaged")
-    return ids, [None if z else int(d) for d, z in zip(named, null)], lengths
+    segment = Segment(payload)
+    return segment.blocks(0, segment.n_blocks), segment.doc_ids(), segment.lengths
+
+
+def crc32_joined(a: int, b: int, size: int) -> int:
+    """The crc32 of two byte strings in a row, from that of each and the second one's size."""
+
+    def times(x: int, y: int) -> int:  # polynomials over two elements, lowest power in the highest bit
+        out = 0
+        for bit in range(31, -1, -1):
+            if x >> bit & 1:
+                out ^= y
+            y = y >> 1 ^ (0xEDB88320 if y & 1 else 0)
+        return out
+
+    power, square, n = 1 << 31, 1 << 23, size  # x**0 and x**8
+    while n:
+        if n & 1:
+            power = times(power, square)
+        square, n = times(square, square), n >> 1
+    return times(power, a) ^ b
 
 
 class Encoder:
     """The tokenizers library's ids of whole texts. Its pre-tokenizer never joins what stands before a single space between
-    non-blank characters with what follows, so the parts between such spaces are encoded one by one and kept. Texts that hold
-    an added token are encoded whole, as the library cuts them at that token first."""
+    non-blank characters with what follows, so the parts between such spaces are kept with their ids, up to ``most`` of them;
+    unknown ones are encoded many in a row and cut apart by the bytes that each id stands for. Texts that hold an added token
+    are encoded whole, as the library cuts them at that token first."""
 
-    def __init__(self, path: str, most: int = 1_300_000):
+    RUN, PIECE = 2048, 1 << 18
+
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -138,46 +176,86 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size[list(vocabulary.values())] = list(map(len, vocabulary))  # byte-level: a character stands for a byte
         self.most, self.known = most, {}
         self.mark = dict(zip(".,", self.raw([".", ","])))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def spaced(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part with a space before it."""
+        out = []
+        for at in range(0, len(parts), self.RUN):
+            some = parts[at : at + self.RUN]
+            (ids,) = self.raw([" " + " ".join(some)])
+            ends = np.cumsum(self.size[np.frombuffer(ids, "<u4")])
+            want = np.cumsum([len(p.encode()) + 1 for p in some])
+            cut = np.searchsorted(ends, want)
+            if not np.array_equal(ends[cut], want):
+                raise ValueError("a token goes on after a space; parts are no unit of this tokenizer")
+            cut = (4 * (cut + 1)).tolist()
+            out += map(ids.__getitem__, map(slice, [0, *cut], cut))
+        return out
+
     def learn(self, parts: set[str]) -> None:
-        """Encodes parts that aren't known. A mark after a letter or digit is always a token of its own, so it is taken off."""
+        """Encodes parts. A mark after a letter or digit is always a token of its own, so it is taken off."""
         known, mark = self.known, self.mark
+        if len(known) > self.most:  # the older half goes; what is common comes back at once
+            for p in list(islice(known, self.most // 2)):
+                del known[p]
         marked = [p for p in parts if p and p[-1] in mark and p[:-1].isalnum()]
         bare = parts.difference(marked)
         bare.update(p[:-1] for p in marked)
         bare = [p for p in bare if p not in known]
-        known.update(zip(bare, self.raw([" " + p for p in bare])))
+        known.update(zip(bare, self.spaced(bare)))
         for p in marked:
             known[p] = known[p[:-1]] + mark[p[-1]]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         import re
 
-        if len(self.known) > self.most:  # the older half goes; what is common comes back at once
-            for p in list(islice(self.known, self.most // 2)):
-                del self.known[p]
-        known, split, odd = self.known, re.compile(r"(?<=\S) (?=\S)").split, re.compile(r" (?:\s|\Z)").search
-        heads, tails, new = [], [], set()
-        for text in texts:
+        safe, odd = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" (?:\s|\Z)").search
+        heads, tails, owner = [], [], []  # a long text is more than one tail; later ones have no head
+        for i, text in enumerate(texts):
+            at, first = 0, True
             if any(a in text for a in self.added):
-                first, rest = text, []
-            else:
-                first, *rest = split(text) if odd(text) else text.split(" ")
-            heads.append(first)
-            tails.append(rest)
-            new.update(rest)
-        self.learn({p for p in new if p not in known})
-        begin, get = self.raw(heads), known.__getitem__
-        out = [np.frombuffer(b"".join([h, *map(get, t)]), "<u4") for h, t in zip(begin, tails)]
-        for p in new:
-            if len(p) > 40:  # not worth its place
-                known.pop(p, None)
-        return out
+                heads.append(text)
+                continue
+            while first or at >= 0:
+                cut = safe.search(text, at + self.PIECE) if len(text) - at > self.PIECE else None
+                piece = text[at : cut.start()] if cut else text[at:] if at else text
+                rest = safe.split(piece) if odd(piece) else piece.split(" ")
+                if first:
+                    heads.append(rest[0])
+                    del rest[0]
+                tails.append(rest)
+                owner.append(i)
+                first, at = False, cut.end() if cut else -1
+        begin = self.raw(heads)
+        out: list[list[bytes]] = [[h] for h in begin]
+        missing = set()
+        for k in range(0, len(tails), 64):
+            group = tails[k : k + 64]
+            found = [list(map(self.known.get, rest)) for rest in group]
+            missing.clear()
+            for rest, ids in zip(group, found):
+                if None in ids:
+                    missing.update(p for p, x in zip(rest, ids) if x is None)
+            if missing:
+                self.learn(set(missing))
+                get = self.known.__getitem__
+                for j, (rest, ids) in enumerate(zip(group, found)):
+                    if None in ids:
+                        found[j] = [get(p) if x is None else x for p, x in zip(rest, ids)]
+                for p in missing:
+                    if len(p) > 40:  # not worth its place
+                        self.known.pop(p, None)
+            for i, ids in zip(owner[k : k + 64], found):
+                out[i].append(b"".join(ids))
+        return [np.frombuffer(b"".join(x), "<u4") for x in out]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -194,67 +272,127 @@ def encoder(path: str | None) -> Encoder:
     return _encoders[path]
 
 
-def write(docs: DataFrame, path: str, doc_id="doc_id", text="text", tokenizer: str | None = None, end: int = 2) -> None:
-    """Writes the ids of docs, each text followed by the end id, in ascending order of doc_id (nulls first, ties by text)."""
+COLUMNS = "part int, segment int, n_tokens long, n_docs long, begun boolean, goes_on boolean, payload binary"
+
+
+def write(docs: DataFrame, path: str, doc_id="doc_id", text="text", tokenizer: str | None = None, end: int = 2, size: int = SEGMENT) -> None:
+    """Writes the ids of docs, each text followed by the end id, in ascending order of doc_id (nulls first, ties by the hash
+    of the text, then the text). Null texts are empty; repeated rows stay; an empty table gives an empty file. A segment has
+    ``size`` tokens, so a long text goes on from segment to segment."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         code, part, segment = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        held, names, count = [], [], 0
-
-        def flush():
-            nonlocal held, names, count, segment
-            row = [[part], [segment], [count], [len(names)], [encode(np.concatenate(held), names, np.array([len(h) for h in held]))]]
-            held, names, count, segment = [], [], 0, segment + 1
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "segment", "n_tokens", "n_docs", "payload"])
+        closing = np.array([end], "<u4").tobytes()
+        held, names, lengths, count, begun = [], [], [], 0, False
+
+        def flush(goes_on):
+            nonlocal held, names, lengths, count, segment, begun
+            payload = encode(np.frombuffer(b"".join(held), "<u4"), names, np.array(lengths, np.int64))
+            row = [part, segment, count, len(names), begun, goes_on, payload]
+            held, names, lengths, count, segment, begun = [], [], [], 0, segment + 1, goes_on
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in COLUMNS.split(", ")])
+
+        def hold(name, ids):
+            nonlocal count
+            held.append(ids)
+            names.append(name)
+            lengths.append(len(ids) // 4)
+            count += len(ids) // 4
 
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
             for at in range(0, len(ids), 256):
                 for i, got in zip(ids[at : at + 256], code(texts.slice(at, 256).fill_null("").to_pylist())):
-                    held.append(np.append(got, np.uint32(end)))
-                    names.append(i)
-                    count += len(held[-1])
-                    if count >= SEGMENT:
-                        yield flush()
+                    left = memoryview(got.tobytes() + closing)
+                    while count + len(left) // 4 > size:
+                        room = 4 * (size - count)
+                        hold(i, left[:room])
+                        left = left[room:]
+                        yield flush(True)
+                    hold(i, left)
+                    if count == size:
+                        yield flush(False)
         if names:
-            yield flush()
+            yield flush(False)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "part int, segment int, n_tokens long, n_docs long, payload binary").write.option("compression", "none").parquet(path)
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"))  # rows of one id, or of none, are dealt out too
+    ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    ordered.select("doc_id", "text").mapInArrow(run, COLUMNS).write.option("compression", "none").parquet(path)
 
 
-def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document in a token file, decoded segment by segment."""
+def _rows(segment: Segment, docs: np.ndarray, with_ids: bool):
+    """(doc numbers, begin, length, crc32[, ids]) of some documents of a segment: only their blocks are decoded."""
+    ends = np.cumsum(segment.lengths)
+    begins = ends - segment.lengths
+    if not len(docs):
+        return [[], [], [], []] + [[]] * with_ids
+    first, last = int(begins[docs[0]]) // BLOCK, -(-int(ends[docs[-1]]) // BLOCK)
+    ids = segment.blocks(first, last).astype("<u4")
+    each = [ids[a - first * BLOCK : b - first * BLOCK].tobytes() for a, b in zip(begins[docs], ends[docs])]
+    return [docs, begins[docs], segment.lengths[docs], [zlib.crc32(x) for x in each]] + [each] * with_ids
 
-    def run(batches):
+
+def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document in a token file, decoded segment by segment. The pieces of
+    documents that go on from one segment to the next are decoded apart and put together."""
+    kinds = "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+
+    def decoded(cut: bool):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                for i in range(b.num_rows):
+                    part, number, begun, goes_on = (b.column(k)[i].as_py() for k in range(4))
+                    segment = Segment(b.column(4)[i].as_py())
+                    n = len(segment.lengths)
+                    ends = sorted(set([0] * begun + [n - 1] * goes_on)) if cut else [slice(int(begun), n - int(goes_on))]
+                    names = segment.doc_ids()
+                    for e in ends:
+                        docs, *rest = _rows(segment, np.arange(n)[e] if isinstance(e, slice) else np.array([e]), with_ids)
+                        cols = [pa.array(np.full(len(docs), x, np.int32)) for x in (part, number)] + [pa.array([names[d] for d in docs], pa.int64())]
+                        cols += [pa.array(x, pa.int64()) for x in rest[:3]] + [pa.array(x, pa.binary()) for x in rest[3:]]
+                        yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in kinds.split(", ")])
+
+        return run
+
+    def joined(pieces):
         import pyarrow as pa
 
-        for b in batches:
-            for i in range(b.num_rows):
-                part, segment = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                ids, names, lengths = decode(b.column(2)[i].as_py())
-                ends = np.cumsum(lengths)
-                each = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, lengths)]
-                cols = [pa.array(np.full(len(names), part, np.int32)), pa.array(np.full(len(names), segment, np.int32)), pa.array(names, pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in each], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(each, pa.binary())] * with_ids, ["part", "segment", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+        rows = sorted(pieces.to_pylist(), key=lambda r: r["start"])
+        out = rows[0] | {"n_tokens": 0, "ids_crc32": 0}
+        for r in rows:
+            out |= {"ids_crc32": crc32_joined(out["ids_crc32"], r["ids_crc32"], 4 * r["n_tokens"]), "n_tokens": out["n_tokens"] + r["n_tokens"]}
+        if with_ids:
+            out["ids"] = b"".join(r["ids"] for r in rows)
+        return pa.table({c: pa.array([out[c]], pa.binary() if c == "ids" else pa.int64()) for c in names})
 
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     stored = spark.read.parquet(path)
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_tokens")
-    starts = stored.select("part", "segment", within.alias("within")).join(totals.select("part", "before"), "part")
-    rows = stored.select("part", "segment", "payload").mapInArrow(run, "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
-    rows = rows.join(starts, ["part", "segment"])
-    return rows.select("doc_id", (F.col("before") + F.col("within") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    by_segment = Window.partitionBy("part").orderBy("segment")
+    # a cut document is known by the segment where it began
+    starts = stored.select("part", "segment", "begun", (F.sum("n_tokens").over(by_segment) - F.col("n_tokens")).alias("within"), F.last(F.when(~(F.col("begun") & F.col("goes_on") & (F.col("n_docs") == 1)), F.col("segment")), True).over(by_segment.rowsBetween(Window.unboundedPreceding, -1)).alias("origin"))
+    starts = starts.join(totals.select("part", "before"), "part")
+    own = ["part", "segment", "begun", "goes_on", "payload"]
 
+    def placed(rows):
+        return rows.join(starts, ["part", "segment"]).withColumn("start", F.col("before") + F.col("within") + F.col("at"))
+
+    whole = placed(stored.select(*own).mapInArrow(decoded(False), kinds)).select(*names)
+    cut = placed(stored.where("begun or goes_on").select(*own).mapInArrow(decoded(True), kinds))
+    # the first piece of a segment that was begun belongs to its origin, the last one to its own segment
+    cut = cut.withColumn("origin", F.when(F.col("begun") & (F.col("at") == 0), F.col("origin")).otherwise(F.col("segment")))
+    return whole.unionByName(cut.groupBy("part", "origin").applyInArrow(lambda t: joined(t.select(names)), ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in names)))
 
-def query(spark, sf_dir: str) -> DataFrame:
-    import uuid
 
-    path = f"{scratch_root(spark)}/skimmer-tokens-{uuid.uuid4().hex}"
+def query(spark, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark)
     write(table(spark, sf_dir, "documents"), path)
     return read(spark, path)

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -63,3 +64,72 @@ def test_file(spark, tmp_path):
     assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
     T.write(docs.limit(0), str(tmp_path / "e"))
     assert T.read(spark, str(tmp_path / "e")).count() == 0
+
+
+def slow_rows(docs):
+    """(doc_id, start, n_tokens, crc32) by an unchanged tokenizer, in order."""
+    from tokenizers import Tokenizer
+
+    plain, at, out = Tokenizer.from_file(PATH), 0, []
+    for name, text in docs:
+        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        out.append((name, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    return out
+
+
+def test_query_equals_plain_ids(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["the", "river.", "é", "漢字", "x1,", "\n", "<|endoftext|>", "don't", "²"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(80)] + [None, "", "a " * 40_000 + "b"]
+    docs = [(i * 7 - 30, t) for i, t in enumerate(texts)]
+    spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, start int").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = T.query(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(map(tuple, got.collect())) == slow_rows(docs)
+
+
+@pytest.mark.parametrize("size", [3, 50, 300])
+def test_documents_go_on_from_segment_to_segment(spark, tmp_path, size):
+    texts = ["a b c", "", "one " * 400 + "end", None, "x", "y z " * 300, "last"]
+    docs = list(enumerate(texts))
+    source = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    T.write(source, str(tmp_path / "f"), size=size)
+    stored = spark.read.parquet(str(tmp_path / "f"))
+    assert stored.where(f"n_tokens > {size}").count() == 0 and stored.where("begun").count() > 0
+    rows = sorted(T.read(spark, str(tmp_path / "f"), with_ids=True).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows] == slow_rows(docs)
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+
+
+def test_a_block_is_decoded_alone():
+    ids = np.random.default_rng(2).integers(0, 5000, 3 * T.BLOCK + 77).astype(np.uint32)
+    segment = T.Segment(T.encode(ids, [1], np.array([len(ids)])))
+    for b in range(segment.n_blocks):
+        assert (segment.blocks(b, b + 1) == ids[b * T.BLOCK : (b + 1) * T.BLOCK]).all()
+
+
+def test_joined_checksums():
+    rng = random.Random(1)
+    for n in (0, 1, 5, 4096, 100_001):
+        a, b = rng.randbytes(37), rng.randbytes(n)
+        assert T.crc32_joined(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
+
+
+def test_a_long_text_and_a_small_cache():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    code = T.Encoder(PATH, most=500)
+    code.PIECE = 1000
+    texts = [" ".join(f"w{rng.randrange(3000)}" + rng.choice(["", ".", "\n", " "]) for _ in range(n)) for n in (20_000, 3, 700)]
+    plain = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in code(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_of_one_id_are_dealt_out(spark, tmp_path):
+    rows = [(None, f"text {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    T.write(docs, str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f")).select("part").distinct().count() > 1
+    assert T.read(spark, str(tmp_path / "f")).agg({"n_tokens": "sum"}).first()[0] == sum(r[2] for r in slow_rows(rows))
