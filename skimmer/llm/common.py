@@ -21,6 +21,22 @@ def scratch(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of docs has, in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,7 +5,11 @@ one threshold per grade step: P(grade > j) = logistic(w x - b_j); the sum over j
 bounded sample of labelled rows (``sample`` rows of smallest hash of the id) and scores every row.
 
 Labels may be grades of any number. Where they are 0 and 1 only, the labelled toxic rows are split at the median strength of
-their toxic features (each counting 1 + log of its occurrences), into grade 1 (below) and grade 2.
+their toxic features (each counting 1 + log of its occurrences), into grade 1 (below) and grade 2. That split comes from the
+features that also score: it orders texts by how much of the toxic vocabulary they hold, no more.
+
+What bounds the model are parameters: ``sample`` labelled rows, ``most_features`` features, each in ``least_docs`` labelled rows
+at least and ``least_z`` strong. Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -15,8 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from skimmer.llm.common import WORD_TABLE, chunks, mix, scratch, table, word_hashes
+from skimmer.llm.common import WORD_TABLE, chunks, col, fresh, mix, scratch, table, word_hashes
 
 BITS = 20
 BEGINNINGS = (4, 5, 6)  # bytes of a word
@@ -74,8 +79,9 @@ def fit_ordinal(rows, features, values, grades, n_features: int, ridge: float =
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="toxic", sample: int = 20_000, most_features: int = 4096, least_docs: int = 4) -> Model | None:
-    """Null when no row is labelled. labels: (doc_id, label); of a doc_id's labels the largest counts."""
+def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="toxic", sample: int = 20_000, most_features: int = 4096, least_docs: int = 4, least_z: float = 4.0) -> Model | None:
+    """None when nothing can be learned: no labelled row, one class only, or no feature that tells. labels: (doc_id, label);
+    of a doc_id's labels the largest counts; null ids and labels are no labels; null texts are empty."""
     spark = docs.sparkSession
     rated = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("grade"))
     rated = rated.orderBy(F.xxhash64("__id"), "__id").limit(sample)  # a bounded sample: small enough to broadcast
@@ -99,14 +105,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", labe
 
     totals = rows.agg(F.count("*"), F.sum(F.when(F.col("grade") > 0, 1).otherwise(0))).first()
     n, bad = totals[0], totals[1] or 0
-    if not n:
+    if not 0 < bad < n:
         return None
     # Chosen: the buckets that tell most about the label, by the signed root of a chi-square statistic, damped so that
     # a rare bucket can't pass by chance.
     df = rows.mapInArrow(count, "bucket int, n int, a int").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).where(F.col("n") >= least_docs)
     expect = F.col("n") * F.lit(bad / n)
     z = (F.col("a") - expect) / F.sqrt(expect * F.lit(1 - bad / n) + 1)
-    best = df.select("bucket", z.alias("z"), "n", "a").where(F.abs("z") >= 4).orderBy(F.abs("z").desc(), "bucket").limit(most_features).collect()
+    best = df.select("bucket", z.alias("z"), "n", "a").where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "bucket").limit(most_features).collect()
+    if not best:
+        return None
     best = sorted(best, key=lambda r: r.bucket)
     features = np.array([r.bucket for r in best], np.int64)
     toxic = np.array([r.a > 0.5 * r.n for r in best], bool)
@@ -123,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", labe
                 row, at, count, _ = counted(data, offsets, place)
                 k = len(offsets) - 1
                 cut = np.searchsorted(row, np.arange(k + 1))
-                share = np.bincount(row, toxic[at] * (1 + np.log(count)), k)
+                share = np.bincount(row, toxic[at] * (1 + np.log(count)), k).astype(float)  # of no feature at all: whole numbers
                 lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (at, count)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k), *lists, pa.array(share)], ["grade", "at", "count", "share"])
 
@@ -137,19 +145,21 @@ def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", labe
     return Model(features, w[: len(features)], b, toxic)
 
 
-def score(docs: DataFrame, model: Model | None, doc_id="doc_id", text="text") -> DataFrame:
-    """(row columns of docs, severity, p_toxic, grade) per row of docs.
+def score(docs: DataFrame, model: Model | None, doc_id="doc_id", text="text", names: tuple[str, str, str] = ("__severity", "__p_toxic", "__grade")) -> DataFrame:
+    """Row columns of docs, and severity, P(toxic) and grade under ``names``, which docs must not have.
 
     Null and empty texts have no features and get the model's base severity; without a model severity and grade are zero;
-    repeated rows get equal rows. The new columns are named __severity, __p_toxic and __grade."""
+    repeated rows get equal rows; an empty table gives none."""
     spark = docs.sparkSession
+    if set(fresh(docs, *names)) != set(names):
+        raise ValueError(f"docs has a column of {names}")
     if model is None or not len(model.features):
-        return docs.withColumns({"__severity": F.lit(0.0), "__p_toxic": F.lit(0.0), "__grade": F.lit(0)})
+        return docs.withColumns(dict(zip(names, (F.lit(0.0), F.lit(0.0), F.lit(0)))))
     place = np.full(1 << BITS, -1, np.int32)
     place[model.features] = np.arange(len(model.features))
     shared = spark.sparkContext.broadcast((model, place))
     at_text = docs.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __severity double, __p_toxic double, __grade int"
+    schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], DoubleType()), StructField(names[2], IntegerType())])
 
     def run(batches):
         import pyarrow as pa
@@ -161,12 +171,18 @@ def score(docs: DataFrame, model: Model | None, doc_id="doc_id", text="text") ->
                 row, at, count, _ = counted(data, offsets, place)
                 x[first : first + len(offsets) - 1] = np.bincount(row, model.weights[at] * (1 + np.log(count)), len(offsets) - 1)
             over = model.over(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array((over >= 0.5).sum(axis=1).astype(np.int32))], [*batch.schema.names, "__severity", "__p_toxic", "__grade"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array((over >= 0.5).sum(axis=1).astype(np.int32))], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, model: Model | None, doc_id="doc_id", text="text") -> DataFrame:
+    """docs without the rows of grade 1 or more; all columns stay."""
+    names = fresh(docs, "__severity", "__p_toxic", "__grade")
+    return score(docs, model, doc_id, text, tuple(names)).where(col(names[2]) == 0).drop(*names)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", F.col("__severity").alias("severity"), F.col("__p_toxic").alias("p_toxic"), F.col("__grade").alias("grade"), (F.col("__grade") > 0).alias("toxic"))
+    found = score(docs, train(docs, table(spark, sf_dir, "labels")), names=("severity", "p_toxic", "grade"))
+    return found.select("doc_id", "severity", "p_toxic", "grade", (F.col("grade") > 0).alias("toxic"))

@@ -305,6 +305,49 @@ def test_toxicity_held_out(spark):
     assert none == 0
 
 
+@pytest.mark.parametrize("grades", [[0] * 20, [1] * 20, [0, 1, 0, 1, 0, 1], [1], [0, 0, 1] * 4])
+def test_toxicity_of_labels_that_tell_nothing(spark, grades):
+    d = docs(spark, ["", None, "alpha beta", "gamma"] * 6)
+    model = toxicity.train(d, spark.createDataFrame(list(enumerate(grades)), "doc_id long, toxic int"))
+    rows = toxicity.score(d, model).collect()
+    assert model is None and len(rows) == 24 and all(r["__grade"] == 0 and r["__severity"] == 0 for r in rows)
+    assert toxicity.drop_toxic(d, model).columns == d.columns
+
+
+def slow_buckets(text):
+    """{bucket: count} of words and word beginnings, one by one."""
+    found = Counter()
+    for word in slow_words(text):
+        b = word.encode()
+        find = lambda h: int(h) & ((1 << toxicity.BITS) - 1)
+        h = 0
+        for i, x in enumerate(b):
+            h += x * pow(0x9E3779B97F4A7C15, i % 256 + 1, 1 << 64)
+        found[find(pieces.mix(np.array([h & (2**64 - 1)], np.uint64))[0])] += 1
+        for k in toxicity.BEGINNINGS:
+            if len(b) > k:
+                h = k
+                for x in b[:k]:
+                    h = h * 257 + x
+                found[find(pieces.mix(np.array([h & (2**64 - 1)], np.uint64))[0])] += 1
+    return found
+
+
+def test_toxicity_scores_by_hand(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, 30) + (" blorg snarfling" * (i % 3) if i % 2 else "") for i in range(60)] + ["", None, prose(rng, 30_000) + " blorg"]
+    d = docs(spark, texts).withColumn("__grade", F.lit(7))
+    model = toxicity.train(d, spark.createDataFrame([(i, int(i % 2 == 1 and i % 3 > 0)) for i in range(60)], "doc_id long, toxic int"))
+    at = {int(b): i for i, b in enumerate(model.features)}
+    got = {r.doc_id: r for r in toxicity.score(d, model, names=("s", "p", "g")).collect()}
+    for i, t in enumerate(texts):
+        x = sum(model.weights[at[b]] * (1 + math.log(n)) for b, n in slow_buckets(t).items() if b in at)
+        over = [1 / (1 + math.exp(-max(-40, min(40, x - b)))) for b in model.thresholds]
+        assert (got[i].s, got[i].p, got[i].g) == (pytest.approx(sum(over)), pytest.approx(over[0]), sum(o >= 0.5 for o in over))
+    kept = toxicity.drop_toxic(d, model)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.g == 0}
+
+
 def test_language_fusion(spark):
     en, fr = ["the cat and the dog with that thing"], ["le chat et le chien avec cette chose"]
     d = spark.createDataFrame([(i, (en if i % 2 else fr)[0] + f" {i}", "en" if i % 2 else "fr") for i in range(40)], "doc_id long, text string, lang string")
