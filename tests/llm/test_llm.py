@@ -100,6 +100,38 @@ def test_keep_one(spark):
     assert simhash.keep_one(d.limit(0)).count() == 0
 
 
+def test_keep_one_loses_no_other_text(spark):
+    rows = [(2, "a b c d e f"), (2, "other words stand in this text"), (2, "a b c d e f"), (3, "A b c d e f"), (9, None), (8, ""), (None, "a b c d e f")]
+    d = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, __id int, __hash string, root int")
+    kept = simhash.keep_one(d)
+    assert kept.columns == d.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(2, rows[0][1]), (2, rows[1][1]), (8, ""), (None, rows[6][1])]))
+    near = simhash.near_duplicates(d)
+    assert sorted(r.component_id for r in near.collect()) == [2, 2, 2, 2, 2, 8, 8]
+    assert simhash.near_duplicates(d.limit(0)).count() == 0
+    only_null = simhash.near_duplicates(d.where("doc_id is null"))
+    assert [r.component_id for r in only_null.collect()] == [None]
+
+
+def test_pivots_only_discard(spark):
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 1 << 63, 400)
+    fp = np.unique(np.concatenate([fp, fp ^ 1, fp ^ 6, fp ^ (1 << 40)]))
+    nodes = spark.createDataFrame([(int(x), i) for i, x in enumerate(fp)], "fp long, node long")
+    table = {r.node: list(r.pivots) for r in simhash.pivot_table(nodes).collect()}
+    refs = [int(x) for x in simhash.references()]
+    assert table == {i: [(int(x) ^ p).bit_count() for p in refs] for i, x in enumerate(fp)}
+    n = simhash.links(nodes, counted=True).first()
+    assert n.met >= n.kept >= n.linked >= len(fp) * 3 // 4
+    assert simhash.links(nodes.limit(0), counted=True).first().met == 0
+
+
+def test_very_long_text_has_the_plain_fingerprint():
+    rng = random.Random(2)
+    text = prose(rng, 60_000)
+    assert simhash.fingerprint(text.encode()) == slow_fingerprint(text)
+
+
 # -- 5 ------------------------------------------------------------------------------------------------------------------
 
 
