@@ -2,16 +2,16 @@
 
 Candidates are found in each whole text by patterns; the text between matches gives their code point offsets. Each
 candidate value is hashed, and hashes are counted over distinct repositories and owners of the whole corpus: a value that
-many owners hold is a copied example, a value of few owners looks live. Base spans are always reported; spans of the
+many owners or repositories hold is a copied example, a value of few of both looks live. Base spans are always reported; spans of the
 kind "opaque" (long tokens of mixed characters) only where their value looks live.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skimmer.llm.common import let, scratch, table
+from skimmer.llm.common import col, fresh, let, scratch, table
 
 # Fixed by the contract, in the order that breaks ties; the last is this operator's own. group: what is secret in a match.
 KINDS = ["assign", "access", "hex", "opaque"]
@@ -21,36 +21,21 @@ PATTERNS = {
     "hex": (r"[0-9a-f]{32,}", 0),  # the runs of 32 or more, as [0-9a-f]+ takes whole runs
     "opaque": (r"[A-Za-z0-9+/_-]{40,}", 0),
 }
-SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
+MATCH = "array<struct<rank:int,at:int,gap:int,size:int,gap_bytes:int,value:string>>"
+SALTS = 16
 
 
-def spans(text: Column, kind: str) -> Column:
-    """The kind's spans in text, from the lengths of matches and of what lies between them."""
+def matches(text: Column, kind: str) -> Column:
+    """The kind's matches in text in order: the length of each and of what lies before it, and what is secret in it."""
     pattern, group = PATTERNS[kind]
-    kind_at = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    all_of = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def place(found: Column) -> Column:
+    def zipped(found: Column) -> Column:
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-        gaps = F.split(text, pattern, -1)
-        rows = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), values.alias("v"))
-        rows = F.transform(rows, lambda r: F.struct(F.length(r["m"]).alias("m"), F.length(r["g"]).alias("g"), r["v"].alias("v")))
+        rows = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("g"), values.alias("v"))
+        one = lambda r, i: F.struct(F.lit(KINDS.index(kind)).alias("rank"), i.alias("at"), F.length(r["g"]).alias("gap"), F.length(r["m"]).alias("size"), F.octet_length(r["g"]).alias("gap_bytes"), r["v"].alias("value"))
+        return F.when(F.size(found) == 0, F.array().cast(MATCH)).otherwise(F.transform(rows, one).cast(MATCH))
 
-        def step(acc: Column, r: Column) -> Column:
-            start = acc["at"] + r["g"]
-            one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (start + r["m"]).alias("end"), r["v"].alias("value"))
-            return F.struct((start + r["m"]).alias("at"), F.concat(acc["out"], F.array(one)).cast(SPAN).alias("out"))
-
-        return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(F.aggregate(rows, kind_at, step)["out"])
-
-    got = let(all_of, place)
-    if kind == "assign":
-        return F.filter(got, lambda s: F.length(s["value"]) >= 8)
-    if kind == "access":
-        return F.filter(got, lambda s: F.length(s["value"]) >= 16)
-    if kind == "opaque":
-        return F.filter(got, lambda s: s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]") & s["value"].rlike("[0-9]"))
-    return got
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), zipped)
 
 
 def digest(found: Column) -> Column:
@@ -59,57 +44,104 @@ def digest(found: Column) -> Column:
 
 
 def candidates(docs: DataFrame, doc_id: str, text: str, repo: Column, owner: Column) -> DataFrame:
-    """(doc_id, text_hash, repo, owner, base, opaque) per row of docs; opaque tokens that overlap a base span are left out."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_hash"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"), whole.alias("whole"))
-    rows = rows.select("doc_id", "text_hash", "repo", "owner", *(spans(F.col("whole"), k).alias(k) for k in KINDS))
-    rows = rows.select("doc_id", "text_hash", "repo", "owner", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "opaque")
-    clear = F.filter("opaque", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    return rows.withColumn("opaque", F.when((F.size("base") == 0) | (F.size("opaque") == 0), F.col("opaque")).otherwise(clear))
-
-
-def ownership(found: DataFrame) -> DataFrame:
-    """(value_hash, n_owners, n_repos, n_seen): each step groups what the one before has made smaller, so a value that is
-    everywhere is summed on the map side."""
-    each = found.select("repo", "owner", F.explode(F.concat("base", "opaque")).alias("s"))
-    each = each.groupBy(F.sha2(F.col("s.value"), 256).alias("value_hash"), "owner", "repo").agg(F.count("*").alias("n"))
-    each = each.groupBy("value_hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    return each.groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_seen"))
-
-
-def scan(docs: DataFrame, doc_id="doc_id", text="text", repo: Column | None = None, owner: Column | None = None, most_owners: int = 2) -> DataFrame:
-    """One row per row of docs: base spans, all spans reported, and which of them look live (held by most_owners at most).
-
-    A repository counts once per owner. Null texts are empty; null repositories or owners count as one of their own;
-    repeated rows get equal rows; an empty table gives none; other columns are not read."""
+    """(doc_id, text_hash, repo, owner, found) per row of docs; found: matches of all kinds."""
+    whole = F.coalesce(col(text), F.lit(""))
+    rows = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_hash"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"), whole.alias("whole"))
+    return rows.select("doc_id", "text_hash", "repo", "owner", F.concat(*(matches(F.col("whole"), k) for k in KINDS)).alias("found"))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, rank, kind, start, end, end_bytes, value): the spans of each text. Places are running sums over its
+    matches in order; an opaque token that meets a base span is left out, by the furthest base end before it and the next base
+    start after it. Linear in the matches of a text but for their sort."""
+    some = found.where(F.size("found") > 0).groupBy("doc_id", "text_hash").agg(F.first("found").alias("found")).select("doc_id", "text_hash", F.inline("found"))
+    text = Window.partitionBy("doc_id", "text_hash")
+    so_far = Window.partitionBy("doc_id", "text_hash", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    # matches are ASCII: a byte a character
+    some = some.select("*", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("int").alias("end"), F.sum(F.col("gap_bytes") + F.col("size")).over(so_far).cast("int").alias("end_bytes"))
+    n, of = F.length("value"), lambda kind: F.col("rank") == KINDS.index(kind)
+    mixed = F.col("value").rlike("[A-Z]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[0-9]")
+    some = some.where(F.when(of("assign"), n >= 8).when(of("access"), n >= 16).when(of("opaque"), mixed).otherwise(True))
+    some = some.withColumn("start", F.col("end") - F.col("size"))
+    order, base = text.orderBy("start", "rank"), F.col("rank") < KINDS.index("opaque")
+    before = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    some = some.withColumns({"before": before, "after": after})
+    clear = (F.coalesce("before", F.lit(-1)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
+    return some.where(base | clear).select("doc_id", "text_hash", "rank", kind.alias("kind"), "start", "end", "end_bytes", "value")
+
+
+def ownership(spans: DataFrame, rows: DataFrame) -> DataFrame:
+    """(value_hash, n_owners, n_repos, n_seen) of spans (doc_id, text_hash, value_hash) in rows (doc_id, text_hash, owner, repo).
+    Each step groups what the one before has made smaller, so a value that is everywhere is summed on the map side."""
+    named = rows.groupBy("doc_id", "text_hash", "owner", "repo").agg(F.count("*").alias("n")).withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"})
+    each = spans.join(named, spans.doc_id.eqNullSafe(named.own_id) & (spans.text_hash == named.own_hash))
+    each = each.groupBy("value_hash", "owner", "repo").agg(F.sum("n").alias("n"))
+    owners = each.groupBy("value_hash", "owner").agg(F.sum("n").alias("n")).groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_seen"))
+    repos = each.groupBy("value_hash", "repo").agg(F.lit(1)).groupBy("value_hash").agg(F.count("*").alias("n_repos"))
+    return owners.join(repos, "value_hash")
+
+
+def judged(docs: DataFrame, doc_id: str, text: str, repo: Column | None, owner: Column | None, most_owners: int, most_repos: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates of each row, spans that are reported with their owners, repositories and whether they look live)."""
     owner = F.col("source") if owner is None else owner
     repo = F.concat_ws("/", "source", "lang") if repo is None else repo
     found = scratch(candidates(docs, doc_id, text, repo, owner))
-    some = found.where((F.size("base") > 0) | (F.size("opaque") > 0)).select("doc_id", "text_hash", "base", "opaque").distinct()
-    each = some.select("doc_id", "text_hash", F.explode(F.concat("base", "opaque")).alias("s")).withColumn("value_hash", F.sha2(F.col("s.value"), 256))
-    seen = each.join(ownership(found), "value_hash").withColumn("live", F.col("n_owners") <= most_owners)
-    seen = seen.where(F.col("live") | (F.col("s.kind") != "opaque"))
-    own = seen.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("s")).alias("all"), F.array_sort(F.collect_list(F.when(F.col("live"), F.col("s")))).alias("live"), F.max("n_owners").alias("most_owners"))
+    spans = scratch(placed(found).withColumn("value_hash", F.sha2("value", 256)))
+    owned = ownership(spans, found.where(F.size("found") > 0))
+    # a value that stands everywhere is dealt out over salts
+    owned = owned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = spans.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.lit(SALTS)).cast("int"))
+    live = (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos)
+    seen = salted.join(owned, ["value_hash", "salt"]).withColumn("live", live)
+    return found, seen.where(F.col("live") | (F.col("rank") < KINDS.index("opaque")))
+
+
+def scan(docs: DataFrame, doc_id="doc_id", text="text", repo: Column | None = None, owner: Column | None = None, most_owners: int = 2, most_repos: int = 4) -> DataFrame:
+    """One row per row of docs: base spans, all spans reported, and which of them look live: their value is held by most_owners
+    owners and most_repos repositories at most. most_owners, most_repos: the widest spread of a value in the text, else null.
+
+    Null texts are empty; null repositories or owners count as one of their own; a null id is an id; repeated rows get equal
+    rows; an empty table gives none; other columns are not read."""
+    found, seen = judged(docs, doc_id, text, repo, owner, most_owners, most_repos)
+    span = F.struct("start", "rank", "kind", "end", "value")
+    own = seen.groupBy("doc_id", "text_hash").agg(
+        F.array_sort(F.collect_list(F.when(F.col("rank") < KINDS.index("opaque"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("all"),
+        F.array_sort(F.collect_list(F.when(F.col("live"), span))).alias("live"), F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos"),
+    )
     own = own.withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"})
     both = found.join(own, found.doc_id.eqNullSafe(own.own_id) & (found.text_hash == own.own_hash), "left")
-    none = F.array().cast(SPAN)
-    return both.select("doc_id", "text_hash", "base", F.coalesce("all", none).alias("all"), F.coalesce("live", none).alias("live"), "most_owners")
-
-
-def redact(docs: DataFrame, doc_id="doc_id", text="text", mask: str = "[SECRET]", **how) -> DataFrame:
-    """docs, all rows and columns, with the values of live-looking candidates masked in their texts."""
-    live = scan(docs, doc_id, text, **how).where(F.size("live") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.array_sort(F.transform("live", lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end")))).alias("__cut")).distinct()
-    both = docs.join(live, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__hash")), "left")
-    part = lambda at, to: F.substring(F.col(text), at + 1, F.greatest(to - at, F.lit(0)))
-    step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], part(acc["at"], s["start"]), F.lit(mask)).alias("out")))
-    done = F.aggregate("__cut", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], part(acc["at"], F.length(text))))
-    return both.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(done)).select(*docs.columns)
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
+    return both.select("doc_id", "text_hash", *(F.coalesce(c, none).alias(c) for c in ("base", "all", "live")), "most_owners", "most_repos")
+
+
+def redact(docs: DataFrame, doc_id="doc_id", text="text", mask: str = "[SECRET]", repo: Column | None = None, owner: Column | None = None, most_owners: int = 2, most_repos: int = 4, length: str | None = None) -> DataFrame:
+    """docs, all rows and columns, with the values of live-looking candidates masked in their texts. length: a column to hold
+    the new length of each text that was changed."""
+    live = judged(docs, doc_id, text, repo, owner, most_owners, most_repos)[1].where("live")
+    # values that meet are masked as one; by bytes, as a piece of a binary is cut out in the time of its own length
+    live = live.select("doc_id", "text_hash", (F.col("end_bytes") - F.octet_length("value")).alias("from"), F.col("end_bytes").alias("to"))
+    by = Window.partitionBy("doc_id", "text_hash").orderBy("from", "to")
+    reach = F.max("to").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    live = live.withColumn("opens", F.when(F.col("from") < reach, 0).otherwise(1)).withColumn("cut", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    live = live.groupBy("doc_id", "text_hash", "cut").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    given, hash_, cut = fresh(docs, "__id", "__hash", "__cut")
+    live = live.groupBy(F.col("doc_id").alias(given), F.col("text_hash").alias(hash_)).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias(cut))
+    both = docs.join(live, col(doc_id).eqNullSafe(F.col(given)) & (F.xxhash64(F.coalesce(col(text), F.lit(""))) == F.col(hash_)), "left")
+    body = col(text).cast("binary")
+    part = lambda at, to: F.substring(body, at + 1, to - at).cast("string")
+    before = lambda i: F.when(i > 0, F.get(F.col(cut), i - 1)["to"]).otherwise(0)
+    done = F.concat(F.array_join(F.transform(cut, lambda s, i: F.concat(part(before(i), s["from"]), F.lit(mask))), ""), part(F.element_at(cut, -1)["to"], F.octet_length(body)))
+    both = both.withColumn(cut, F.when(F.col(cut).isNotNull(), done))
+    new = {text: F.coalesce(F.col(cut), col(text))} | ({length: F.when(F.col(cut).isNull(), col(length)).otherwise(F.length(cut))} if length else {})
+    return both.select(*((new[c].cast(docs.schema[c].dataType) if c in new else col(c)).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("all")).alias("spans"), F.size("live").cast("long").alias("n_live"))
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("all")).alias("spans"), F.size("live").cast("long").alias("n_live"), F.col("most_owners").alias("n_owners"), F.col("most_repos").alias("n_repos"))
 
 
 def _places(kind: str, pattern: str, group: int, keep: str) -> str:
@@ -136,13 +168,13 @@ ORACLE = (
 base AS (SELECT * FROM assign_s UNION ALL SELECT * FROM access_s UNION ALL SELECT * FROM hex_s),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM opaque_s o
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = o.rid AND b.s < o.s + o.n AND o.s < b.s + b.n)),
-freq AS (SELECT value, count(DISTINCT owner) AS owners FROM spans JOIN d USING (rid) GROUP BY 1),
-kept AS (SELECT spans.*, owners <= 2 AS live FROM spans JOIN freq USING (value) WHERE kind <> 'opaque' OR owners <= 2),
+freq AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM spans JOIN d USING (rid) GROUP BY 1),
+kept AS (SELECT spans.*, owners, repos, owners <= 2 AND repos <= 4 AS live FROM spans JOIN freq USING (value) WHERE kind <> 'opaque' OR (owners <= 2 AND repos <= 4)),
 agg AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
-  count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live,
+  count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live, max(owners) AS n_owners, max(repos) AS n_repos,
   string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, rank) FILTER (kind <> 'opaque') AS base,
   string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, rank) AS spans FROM kept GROUP BY rid)
 SELECT d.rid AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, n_owners, n_repos
 FROM d LEFT JOIN agg USING (rid)"""
 )
