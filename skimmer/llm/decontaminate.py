@@ -1,17 +1,18 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams against the token windows of each text.
 
 DataFrame functions only. Each word position is exploded straight into a broadcast hash join on the hash of the window that
-begins there, all in one stage of generated code without a shuffle, and each hit is verified by its words. Only hits are shuffled.
+begins there, all in one stage of generated code without a shuffle. Only hits are shuffled; each is verified by its words, and
+ranges are merged by windows over the hits of a text, so time grows with their number.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skimmer.llm.common import scratch, table
+from skimmer.llm.common import col, fresh, let, scratch, table
 
 # Fixed by the contract: words of lower-cased texts, and the same words before lower-casing.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,38 +40,50 @@ def windows(bench: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
 
 def _key(doc_id: str, text: str) -> list[Column]:
     """Names a row; rows that repeat id and text share it, and so share their result."""
-    return [F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")]
+    return [col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("text_hash")]
 
 
 def hits(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", size: int = 13, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(doc_id, text_hash, spans, n_hit, items) of each document with a hit. spans: merged ranges of word positions, end exclusive.
 
-    The window set is broadcast up to broadcast_rows windows, counted first; beyond, the join shuffles by window hash."""
+    Only hash and length of each window are broadcast (a dozen bytes a row), up to broadcast_rows of them, counted first; beyond,
+    positions are shuffled by window hash, without the words, and the words of texts with a hit are fetched again to verify."""
     tests = scratch(windows(bench, item_id, item_text, size))
     count, lens = tests.agg(F.count("*"), F.sort_array(F.collect_set("len"))).first()
-    if count <= broadcast_rows:
-        tests = F.broadcast(tests)
+    few, keys = count <= broadcast_rows, tests.select("h", "len").distinct()
     n = F.size("words")
     # Plain array access in generated code: slice() copies the whole array, once for each window.
     window = lambda k: [F.get("words", F.col("start") + j) for j in range(k)]
-    rows = docs.select(*_key(doc_id, text), words_of(F.col(text)).alias("words"))
+    texts = docs.select(*_key(doc_id, text), words_of(col(text)).alias("words"))
     # The outer form: for the inner one Catalyst adds a filter on the array and tokenises again to test it.
-    met = rows.select("doc_id", "text_hash", "words", F.posexplode_outer("words").alias("start", "word")).drop("word")
+    met = texts.select("doc_id", "text_hash", "words", F.posexplode_outer("words").alias("start", "word")).drop("word")
     met = met.where(F.col("start") + min(lens, default=1) <= n)
     if len(lens) == 1:
         met = met.withColumn("h", F.xxhash64(*window(lens[0])))
     else:
         met = met.withColumn("h", F.explode(F.array(*(F.xxhash64(*window(k)) for k in lens)).cast("array<bigint>")))
-    met = met.join(tests, "h")
-    same = [F.when(F.col("len") == k, F.array(*window(k)) == F.col("window")) for k in lens]
-    met = met.where((F.col("start") + F.col("len") <= n) & F.coalesce(*same, F.lit(False)))
-    met = met.select("doc_id", "text_hash", F.struct(F.col("start"), (F.col("start") + F.col("len")).alias("end")).alias("span"), "items")
-    per = met.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("span")).alias("all"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    kind = "array<struct<start:int,end:int>>"
-    last = lambda acc: F.element_at(acc, -1)
-    grow = lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1))), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))).cast(kind)
-    per = per.select("doc_id", "text_hash", "items", F.aggregate("all", F.array().cast(kind), grow).alias("spans"))
-    return per.select("doc_id", "text_hash", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_hit"), "items")
+    joined = lambda k: F.array(*window(k))
+    if few:
+        met = met.join(F.broadcast(keys), "h")
+        found = F.coalesce(*(F.when(F.col("len") == k, joined(k)) for k in lens), F.array().cast("array<string>"))
+        met = met.where(F.col("start") + F.col("len") <= n).select("doc_id", "text_hash", "start", "h", "len", found.alias("window"))
+    else:
+        met = met.select("doc_id", "text_hash", "start", n.alias("n"), "h").join(keys, "h").where(F.col("start") + F.col("len") <= F.col("n"))
+        places = scratch(met.select("doc_id", "text_hash", "start", "h", "len").distinct())
+        some = places.select(F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash")).distinct()
+        again = texts.join(some, texts.doc_id.eqNullSafe(some.own) & (texts.text_hash == some.own_hash), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        again = again.select(F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash"), "words")
+        met = places.join(again, places.doc_id.eqNullSafe(again.own) & (places.text_hash == again.own_hash)).select("doc_id", "text_hash", "start", "h", "len", F.slice("words", F.col("start") + 1, F.col("len")).alias("window"))
+    met = met.join(tests.select("h", "window", "items"), ["h", "window"]).select("doc_id", "text_hash", "start", (F.col("start") + F.col("len")).alias("end"), "items")
+    by = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    met = met.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("span", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = met.groupBy("doc_id", "text_hash", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.collect_set("items").alias("items"))
+    span = F.struct("start", "end")
+    return spans.groupBy("doc_id", "text_hash").agg(
+        F.array_sort(F.collect_list(span)).alias("spans"), F.sum((F.col("end") - F.col("start")).cast("long")).alias("n_hit"),
+        F.array_distinct(F.flatten(F.flatten(F.collect_list("items")))).alias("items"),
+    )
 
 
 def report(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame:
@@ -80,7 +93,7 @@ def report(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", **ho
     gives no hits; repeated rows get equal rows; other columns of either table are not read."""
     found = hits(docs, bench, doc_id, text, **how).withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
     # The method's own hits are few; only counts of the rest are joined.
-    base = docs.select(*_key(doc_id, text), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
+    base = docs.select(*_key(doc_id, text), F.regexp_count(F.coalesce(col(text), F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
     both = base.join(found, base.doc_id.eqNullSafe(found.hit_id) & (base.text_hash == found.hit_hash), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.array_sort(F.transform(F.coalesce("items", F.array()), lambda x: x.cast("string")))
@@ -91,20 +104,35 @@ def report(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", **ho
     )
 
 
+def _named(found: DataFrame, docs: DataFrame, doc_id: str, text: str, *more: str):
+    """(found under names that docs does not have, the condition that joins it to docs, the names of ``more``)."""
+    given, hash_, *names = fresh(docs, "__id", "__hash", *(f"__{m}" for m in more))
+    found = found.select(F.col("doc_id").alias(given), F.col("text_hash").alias(hash_), *(F.col(m).alias(x) for m, x in zip(more, names)))
+    return found, col(doc_id).eqNullSafe(F.col(given)) & (F.xxhash64(F.coalesce(col(text), F.lit(""))) == F.col(hash_)), names
+
+
 def drop_documents(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame:
     """docs without the contaminated rows; all columns stay."""
-    bad = report(docs, bench, doc_id, text, **how).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__hash")), "left_anti")
+    bad, same, _ = _named(report(docs, bench, doc_id, text, **how).where("contaminated"), docs, doc_id, text)
+    return docs.join(bad, same, "left_anti")
 
 
 def drop_spans(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame:
     """docs with the hit words taken out of their texts; what stands between words stays."""
-    found = hits(docs, bench, doc_id, text, **how).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    both = docs.join(found, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__hash")), "left")
-    gaps, own = F.split(text, ANY_CASE, -1), F.regexp_extract_all(F.col(text), F.lit(ANY_CASE), F.lit(0))
-    kept = F.transform(own, lambda w, i: F.when(F.exists("__spans", lambda s: (s["start"] <= i) & (i < s["end"])), F.lit("")).otherwise(w))
-    rebuilt = F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with(kept, F.slice(gaps, F.lit(2), F.size(gaps)), lambda w, g: F.concat(w, g)), ""))
-    return both.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(rebuilt)).select(*docs.columns)
+    found, same, (spans,) = _named(hits(docs, bench, doc_id, text, **how), docs, doc_id, text, "spans")
+    both = docs.join(found, same, "left")
+
+    def rebuilt(x: Column) -> Column:  # x.z: each word with what follows it; x.g: what follows each word
+        ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+        part = lambda array, at, to: F.array_join(F.slice(array, at + 1, to - at), "")
+        steps = F.transform(spans, lambda s, i: F.concat(part(x["z"], F.get(ends, i), s["start"]), part(x["g"], s["start"], s["end"])))
+        return F.concat(x["head"], F.array_join(steps, ""), part(x["z"], F.element_at(ends, -1), F.size(x["z"])))
+
+    gaps, own = F.split(col(text), ANY_CASE, -1), F.regexp_extract_all(col(text), F.lit(ANY_CASE), F.lit(0))
+    after = let(gaps, lambda g: F.struct(F.element_at(g, 1).alias("head"), F.slice(g, F.lit(2), F.size(g)).alias("g")))
+    pieces = let(after, lambda a: F.struct(a["head"].alias("head"), a["g"].alias("g"), F.zip_with(own, a["g"], lambda w, g: F.concat(w, g)).alias("z")))
+    done = let(pieces, rebuilt)
+    return both.select(*(F.when(F.col(spans).isNull(), col(c)).otherwise(done).alias(c) if c == text else col(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
