@@ -63,9 +63,10 @@ def placed(found: DataFrame) -> DataFrame:
     mixed = F.col("value").rlike("[A-Z]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[0-9]")
     some = some.where(F.when(of("assign"), n >= 8).when(of("access"), n >= 16).when(of("opaque"), mixed).otherwise(True))
     some = some.withColumn("start", F.col("end") - F.col("size"))
-    order, base = text.orderBy("start", "rank"), F.col("rank") < KINDS.index("opaque")
-    before = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    base, so_far = F.col("rank") < KINDS.index("opaque"), (Window.unboundedPreceding, 0)
+    before = F.max(F.when(base, F.col("end"))).over(text.orderBy("start", "rank").rowsBetween(*so_far))
+    # from the last one back: a frame that runs to the end would be gone over for each row
+    after = F.min(F.when(base, F.col("start"))).over(text.orderBy(F.desc("start"), F.desc("rank")).rowsBetween(*so_far))
     some = some.withColumns({"before": before, "after": after})
     clear = (F.coalesce("before", F.lit(-1)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
@@ -129,10 +130,14 @@ def redact(docs: DataFrame, doc_id="doc_id", text="text", mask: str = "[SECRET]"
     given, hash_, cut = fresh(docs, "__id", "__hash", "__cut")
     live = live.groupBy(F.col("doc_id").alias(given), F.col("text_hash").alias(hash_)).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias(cut))
     both = docs.join(live, col(doc_id).eqNullSafe(F.col(given)) & (F.xxhash64(F.coalesce(col(text), F.lit(""))) == F.col(hash_)), "left")
-    body = col(text).cast("binary")
-    part = lambda at, to: F.substring(body, at + 1, to - at).cast("string")
+    part = lambda body, at, to: F.substring(body, at + 1, to - at).cast("string")
     before = lambda i: F.when(i > 0, F.get(F.col(cut), i - 1)["to"]).otherwise(0)
-    done = F.concat(F.array_join(F.transform(cut, lambda s, i: F.concat(part(before(i), s["from"]), F.lit(mask))), ""), part(F.element_at(cut, -1)["to"], F.octet_length(body)))
+
+    def masked(body: Column) -> Column:
+        pieces = F.transform(cut, lambda s, i: F.concat(part(body, before(i), s["from"]), F.lit(mask)))
+        return F.concat(F.array_join(pieces, ""), part(body, F.element_at(cut, -1)["to"], F.octet_length(body)))
+
+    done = let(col(text).cast("binary"), masked)  # bound once: each cast copies the text
     both = both.withColumn(cut, F.when(F.col(cut).isNotNull(), done))
     new = {text: F.coalesce(F.col(cut), col(text))} | ({length: F.when(F.col(cut).isNull(), col(length)).otherwise(F.length(cut))} if length else {})
     return both.select(*((new[c].cast(docs.schema[c].dataType) if c in new else col(c)).alias(c) for c in docs.columns))

@@ -239,6 +239,56 @@ def test_decontamination(spark):
     assert decontaminate.report(d, bench.limit(0)).where("n_hit > 0").count() == 0 and decontaminate.report(d.limit(0), bench).count() == 0
 
 
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, __id string, __hash string, __cut string, __spans string, `__given.x` int, found int, cut int"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(*r, "en", "s", 7, "a", "b", "c", "d", 1, 2, 3) for r in rows], CLASH)
+
+
+def test_names_that_clash(spark):
+    own = "password=" + "Q" * 12
+    d = clashing(spark, [(1, f"é {own} and {own}! x"), (1, "other"), (None, f"a {own}"), (2, None), (3, "one two three four")])
+    out = secret_scan.redact(d, length="n_chars")
+    assert out.schema == d.schema
+    assert sorted(((r.doc_id or 0, r.text, r.n_chars) for r in out.collect()), key=str) == [(0, "a password=[SECRET]", 19), (1, "other", 7), (1, "é password=[SECRET] and password=[SECRET]! x", 44), (2, None, 7), (3, "one two three four", 7)]
+    bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    cut = decontaminate.drop_spans(d, bench)
+    assert cut.columns == d.columns and {r.doc_id: r.text for r in cut.collect()}[3] == "one   four"
+    kept = decontaminate.drop_documents(d, bench)
+    assert kept.columns == d.columns and kept.count() == 4
+
+
+def test_spans_taken_out_are_those_of_a_loop(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 80) for _ in range(30)]
+    items = [(i, " ".join(slow_words(texts[i])[k : k + n])) for i, k, n in [(0, 0, 3), (1, 77, 3), (2, 10, 14), (2, 40, 2), (3, 5, 1), (4, 0, 80)]]
+    d, bench = docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: r.spans for r in decontaminate.hits(d, bench).collect()}
+    got = {r.doc_id: r.text for r in decontaminate.drop_spans(d, bench).collect()}
+    for i, t in enumerate(texts):
+        hit = {p for s in found.get(i, []) for p in range(s.start, s.end)}
+        at = iter(range(10**6))
+        want = re.sub(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lambda m: "" if next(at) in hit else m[0], t)
+        assert got[i] == want
+    again = {r.doc_id: r.spans for r in decontaminate.hits(d, bench, broadcast_rows=0).collect()}
+    assert again == found
+
+
+def test_long_texts_of_many_matches(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice(["é ", "word\n", f"token: abcd{i:07d} ", "0a" * 20 + " ", "aB3" * 15 + " "]) for i in range(60_000))
+    d = docs(spark, [text, "short"])
+    rows = {r.doc_id: r.d for r in secret_scan.scan(d).select("doc_id", secret_scan.digest(F.col("base")).alias("d")).collect()}
+    assert rows == {0: slow_spans(text), 1: ""}
+    masked = {r.doc_id: r.text for r in secret_scan.redact(d).collect()}[0]
+    assert "token: abcd" not in masked and masked.count("[SECRET]") > 10_000
+    bench = spark.createDataFrame([(1, "word word")], "item_id long, text string")
+    long = "word " * 100_000 + "end"
+    report = decontaminate.report(docs(spark, [long]), bench).first()
+    assert (report.n_words, report.n_hit, report.contaminated) == (100_001, 100_000, True)
+
+
 # -- 8 ------------------------------------------------------------------------------------------------------------------
 
 
