@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -172,6 +173,47 @@ def test_index_probes_every_code_within_the_radius():
         assert len(found) >= 40 and set(np.flatnonzero(d <= d[found].max())) == set(found)
 
 
+def test_within_is_every_code_of_the_radius():
+    rng = np.random.default_rng(9)
+    code = np.concatenate([rng.integers(0, 1 << 63, 2000, dtype=np.uint64), np.full(40, 77, np.uint64)])
+    index = nearest.Index(code, 64, 4)
+    for q in [*code[:4], np.uint64(77)]:
+        for radius in (0, 1, 2, 3, 4, 7, 21, 26):
+            assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(code ^ q) <= radius).tolist()
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_on_the_embeddings(spark, folder, parts):
+    path = f"/root/testdata/{folder}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    df = spark.read.parquet(path)
+    got: dict = {}
+    for r in nearest.search(df, parts=parts).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    rows = [r for r in df.collect() if r.embedding and None not in r.embedding]
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    keep = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    ids, x = ids[keep], x[keep]
+    u, hit, total = x / np.linalg.norm(x, axis=1, keepdims=True), 0, 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[q]
+        s[q] = -9
+        found = sorted(got[ids[q]])
+        assert [f[0] for f in found] == [1, 2, 3, 4, 5] and all(abs(f[2] - s[ids == f[1]].max()) < 1e-9 for f in found)
+        hit, total = hit + len({f[1] for f in found} & set(ids[np.argsort(-s)[:5]])), total + 5
+    assert hit / total >= 0.9
+
+
+def test_nearest_of_odd_rows(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(0, v), (0, v), (0, [3.0, 0.0, 1.0]), (50, v), (None, v), (7, [-1.0, 0.0, 0.0]), (100, None)]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("key", F.lit("x")))
+    found = {(r.query_id, r["rank"]): r.vec_id for r in got.collect()}
+    assert found[50, 1] == 0 and {q for q, _ in found} == {0, 50}
+
+
 # -- 6 ------------------------------------------------------------------------------------------------------------------
 
 
