@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skimmer.llm.common import chunks, mix, scratch, table
+from skimmer.llm.common import chunks, col, mix, scratch, table
 
 BITS = 16
 GRAM = 4
@@ -22,13 +22,50 @@ GRAM = 4
 # This operator's reading of country suffixes.
 COUNTRIES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ie": "en", "au": "en", "it": "it", "nl": "nl", "pt": "pt", "br": "pt", "pl": "pl"}
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+# Second-level labels under which countries register, so that a domain has three labels there.
+SHARED = {"ac", "co", "com", "edu", "gob", "gov", "net", "nom", "or", "org"}
+
+_SCRIPT = re.compile(r"<(script|style)\b", re.I)
+_SCRIPT_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style")}
+_HTML, _LANG = re.compile(r"<html\b", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 _ADDRESS = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)(?::\d+)?(?:/([A-Za-z]{2})(?:[/?#]|$))?")
 
 
 def visible(html: str) -> str:
-    return _HIDDEN.sub(" ", html)
+    """The text outside of tags, comments, scripts and styles, each of which reads as a blank. What never closes counts as a
+    tag up to the next >, or as text if there is none. One pass: an end that was not found is not looked for again."""
+    out, at, ends = [], 0, {"-->": True, "script": True, "style": True}
+    while (i := html.find("<", at)) >= 0:
+        end = -1
+        if html.startswith("<!--", i) and ends["-->"]:
+            end = html.find("-->", i + 4) + 3
+            ends["-->"] = end > 2
+            end = end if end > 2 else -1
+        elif m := _SCRIPT.match(html, i):
+            kind = m[1].lower()
+            if ends[kind]:
+                close = _SCRIPT_END[kind].search(html, m.end())
+                ends[kind] = close is not None
+                end = close.end() if close else -1
+        if end < 0 and (end := html.find(">", i + 1) + 1) == 0:
+            break
+        out += (html[at:i], " ")
+        at = end
+    return "".join(out) + html[at:]
+
+
+def declared_language(html: str) -> str | None:
+    """Two letters of the first lang attribute of an html tag."""
+    at = 0
+    while m := _HTML.search(html, at):
+        end = html.find(">", m.end())
+        if found := _LANG.search(html, m.end(), len(html) if end < 0 else end + 4):
+            if end < 0 or found.start() < end:
+                return found[1][:2].lower()
+        if end < 0:
+            return None
+        at = end
+    return None
 
 
 def address(url: str) -> tuple[str, str, str, str]:
@@ -38,7 +75,8 @@ def address(url: str) -> tuple[str, str, str, str]:
         return "", "", "", ""
     host = m[1].lower().rstrip(".")
     labels = host.split(".")
-    return host, ".".join(labels[-2:]), labels[-1], (m[2] or "").lower()
+    own = 3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SHARED else 2
+    return host, ".".join(labels[-own:]), labels[-1], (m[2] or "").lower()
 
 
 def grams(data: np.ndarray, offsets: np.ndarray):
@@ -60,11 +98,16 @@ def grams(data: np.ndarray, offsets: np.ndarray):
     return (mix(value[inside]) & np.uint64((1 << BITS) - 1)).astype(np.int64), rows[:n][inside]
 
 
-def train(docs: DataFrame, text="text", lang="lang", doc_id="doc_id", sample: int = 8000) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probability by language and bucket) from a bounded sample of labelled rows, of smallest hash of the id."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    chosen = rows.select(F.col(doc_id).alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(sample).distinct()
-    some = rows.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select(F.lower(lang).alias("lang"), F.col(text).alias("text"))
+def train(docs: DataFrame, text="text", lang="lang", doc_id="doc_id", sample: int = 8000, most_langs: int = 64) -> tuple[list[str], np.ndarray]:
+    """(languages, log-probability by language and bucket) from a bounded sample of labelled rows, of smallest hash of the id; the
+    most_langs languages that it holds most of."""
+    rows = docs.select(col(doc_id).alias("id"), col(lang).alias("lang"), col(text).alias("text")).where("id is not null and lang is not null and text is not null")
+    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
+    some = rows.join(F.broadcast(chosen), "id").select(F.lower("lang").alias("lang"), "text")
+
+    some = scratch(some)
+    names = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    some = some.join(F.broadcast(names.select("lang")), "lang")
 
     def count(batches):
         import pyarrow as pa
@@ -94,7 +137,8 @@ def train(docs: DataFrame, text="text", lang="lang", doc_id="doc_id", sample: in
 def evidence(pages: DataFrame, model, page_id="page_id", url="url", html="html", most_grams: float = 40.0, declared_right: float = 0.9, suffix_right: float = 0.8) -> DataFrame:
     """(page_id, host, domain, suffix, declared, logs, text_lang, vote): logs adds up the page's own evidence by language.
 
-    n-grams of one text depend on each other, so a text counts as most_grams of them at most."""
+    All n-grams of a text count; as those of one text depend on each other, their mean weighs like most_grams independent ones
+    at most, else a long text would outvote any other evidence by its length alone."""
     langs, logs = model
     shared = pages.sparkSession.sparkContext.broadcast(logs)
 
@@ -118,7 +162,7 @@ def evidence(pages: DataFrame, model, page_id="page_id", url="url", html="html",
                     own[first : first + k, i] = np.bincount(row, shared.value[i, bucket], k)
             own *= (np.minimum(n, most_grams) / np.maximum(n, 1))[:, None]
             text_lang = [langs[i] if k else None for i, k in zip(own.argmax(axis=1), n)]
-            declared = [(m[1][:2].lower() if (m := _DECLARED.search(p[:4096]) or _DECLARED.search(p)) else None) for p in pages_]
+            declared = [declared_language(p) for p in pages_]
             places = [address(u) for u in urls]
             for i, (d, (_, _, suffix, path)) in enumerate(zip(declared, places)):
                 own[i] += told(d or "", declared_right) + told(COUNTRIES.get(suffix, ""), suffix_right) + told(path, suffix_right)
@@ -127,7 +171,7 @@ def evidence(pages: DataFrame, model, page_id="page_id", url="url", html="html",
             if cols:
                 yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "domain", "suffix", "declared", "logs", "text_lang", "vote"])
 
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    rows = pages.select(col(page_id).cast("long").alias("page_id"), col(url).cast("string").alias("url"), col(html).cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, host string, domain string, suffix string, declared string, logs array<double>, text_lang string, vote string")
 
 
@@ -140,7 +184,7 @@ def identify(pages: DataFrame, model, page_id="page_id", url="url", html="html",
     langs = model[0]
     if not langs:
         null = F.lit(None).cast("string")
-        return pages.select(F.col(page_id).cast("long").alias("page_id"), null.alias("lang"), F.lit(0.0).alias("confidence"), null.alias("text_lang"), null.alias("declared"), null.alias("host"), F.lit(0).cast("long").alias("host_pages"))
+        return pages.select(col(page_id).cast("long").alias("page_id"), null.alias("lang"), F.lit(0.0).alias("confidence"), null.alias("text_lang"), null.alias("declared"), null.alias("host"), F.lit(0).cast("long").alias("host_pages"))
     own = scratch(evidence(pages, model, page_id, url, html, **how))
     votes = [f"v{i}" for i in range(len(langs))]
     total = lambda cols: sum((F.col(c) for c in cols[1:]), F.col(cols[0]))

@@ -6,6 +6,7 @@ import os
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import numpy as np
@@ -354,6 +355,34 @@ def test_license_base_and_fuzzy(spark):
         assert set(filter(None, r.labels.split(","))) == want and 0 <= r.score <= 1
 
 
+def test_license_spans_and_edits(spark):
+    index = license_scan.Seeds(license_scan.NOTICES, 12)
+    text = "alpha beta all rights reserved gamma licenced under the mit license end"
+    got = license_scan.scan_text(text.encode(), index)
+    spans = {(s["label"], s["start"], s["end"]): s["edits"] for s in got[7]}
+    assert spans["reserved", 2, 5] == 0 and got[:5] == (12, 1, 2, 2, "reserved")
+    (edits,) = [e for (label, a, b), e in spans.items() if label == "mit"]
+    assert edits == 1 and got[6] == 1.0 and got[5] == "mit,reserved"
+    alone = license_scan.scan_text(b"all rights reservd", index)
+    assert alone[5] == "reserved" and alone[6] == 1 - 1 / index.longest["reserved"] and alone[1] == 0
+    none = license_scan.Seeds({}, 12)
+    assert license_scan.scan_text(b"all rights reserved", none)[5] == "reserved" and license_scan.scan_text(b"", none)[:3] == (0, 0, None)
+
+
+def test_license_of_long_texts_grows_with_their_length(spark):
+    index, times = license_scan.Seeds(license_scan.NOTICES, 12), []
+    for n in (4_000, 32_000):
+        text = ("all rights reserved released under the mit licence " * n).encode()
+        began = time.process_time()
+        got = license_scan.scan_text(text, index)
+        times.append(time.process_time() - began)
+        assert got[:4] == (8 * n, n, 0, 8 * n - 8) and len(got[7]) == 2 * n
+    assert times[1] < 8 * 3 * times[0] + 1
+    assert license_scan.scan(docs(spark, ["x", "x", None]).limit(0)).count() == 0
+    rows = license_scan.scan(docs(spark, ["all rights reserved"] * 2, [5, 5])).collect()
+    assert rows[0] == rows[1]
+
+
 # -- 1, 3, 10 -----------------------------------------------------------------------------------------------------------
 
 
@@ -485,6 +514,68 @@ def test_language_fusion(spark):
     assert language_id.identify(pages, ([], None)).where("lang is null").count() == 5
 
 
+def plain_visible(html):
+    return re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", html)
+
+
+def test_visible_text_and_declared_language():
+    rng = random.Random(13)
+    bits = ["<!--", "-->", "<script>", "</script >", "<STYLE x", "</style>", "<", ">", "<b>", "word", " ", "<scripted>", "<html", " lang=fr", "<html lang='EN'>", "\n", "<!-->"]
+    for _ in range(4000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        assert language_id.visible(html) == plain_visible(html), html
+        m = re.search(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", html)
+        assert language_id.declared_language(html) == (m[1][:2].lower() if m else None), html
+    for bit in ("<!--", "<script", "<html ", "<style>"):
+        began = time.process_time()
+        language_id.visible(bit * 400_000)
+        language_id.declared_language(bit * 400_000)
+        assert time.process_time() - began < 5
+    assert language_id.address("http://a.b.co.uk/x")[1] == "b.co.uk" and language_id.address("http://www.example.fr/")[1] == "example.fr"
+
+
+def test_language_posterior_by_hand(spark):
+    rng = random.Random(14)
+    words = {"en": "the cat and dog with that thing on".split(), "fr": "le chat et chien avec cette chose sur".split(), "de": "die katze und hund mit diesem ding auf".split()}
+    say = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    d = spark.createDataFrame([(i, say(x, 30), x) for i, x in enumerate(list(words) * 15)], "doc_id long, text string, lang string")
+    model = langs, logs = language_id.train(d)
+    rows = []
+    for i in range(120):
+        x, host = rng.choice(list(words)), rng.choice(["a.example.com", "b.example.com", "c.example.de", "www.one.co.uk", ""])
+        body = rng.choice(["", say(x, rng.randrange(1, 40))])
+        rows.append((i, f"http://{host}/{rng.choice(['', 'fr/x', 'q'])}" if host else None, rng.choice(["<html>", f'<html lang="{x}-XX">']) + f"<p>{body}</p>" if i % 9 else None))
+    rows += [rows[3], (500, "http://a.example.com/", "<p>" + say("de", 60_000))]
+    pages = spark.createDataFrame([(*r, "e", 1) for r in rows], "page_id long, url string, html string, vote string, v0 int")
+    own = []
+    for _, url, html in rows:
+        host, domain, suffix, path = language_id.address(url or "")
+        text = plain_visible(html or "").encode()
+        low = bytes(b if b >= 128 else b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in text)
+        grams = [low[i : i + 4] for i in range(len(low) - 3) if low[i : i + 4] != b"    "]
+        value = [sum(c * 257 ** (3 - j) for j, c in enumerate(g)) for g in grams]
+        bucket = (pieces.mix(np.array(value, np.uint64)) & np.uint64(65535)).astype(int) if grams else np.zeros(0, int)
+        e = logs[:, bucket].astype(float).sum(axis=1) * (min(len(grams), 40) / max(len(grams), 1))
+        m = re.search(r'lang="(..)', html or "")
+        for code, right in ((m[1] if m else "", 0.9), (language_id.COUNTRIES.get(suffix, ""), 0.8), (path, 0.8)):
+            if code in langs:
+                e = e + np.log([right if x == code else (1 - right) / 2 for x in langs])
+        own.append((host, domain, suffix, e, int(e.argmax())))
+    want = {}
+    for (page, *_), (host, domain, suffix, e, vote) in zip(rows, own):
+        share = np.full(3, 1 / 3)
+        for level, name in ((None, None), (2, suffix), (1, domain), (0, host)):
+            n = np.bincount([o[4] for o in own if level is None or (o[level] == name and (level == 2 or o[2] == suffix) and (level > 0 or o[1] == domain))], minlength=3).astype(float)
+            n[vote] -= 1
+            share = (n + 5 * share) / (n.sum() + 5)
+        post = e + np.log(share)
+        want[page] = (langs[int(post.argmax())], 1 / np.exp(post - post.max()).sum())
+    got = language_id.identify(pages, model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang == want[r.page_id][0] and r.confidence == pytest.approx(want[r.page_id][1], rel=1e-6)
+
+
 # -- 2 ------------------------------------------------------------------------------------------------------------------
 
 
