@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skimmer.llm.common import mix, table
+from skimmer.llm.common import col, mix, table
 
 BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -63,7 +63,10 @@ def chunked(text: str) -> tuple[list[str], str]:
         return [], ""
     own = ""
     if BLANK in text:
-        own = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text)
+        used = set(text)
+        own = next((c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))) if c not in used), None)
+        if own is None:
+            raise ValueError("a text holds every private character")
         text = text.replace(BLANK, own)
     return _CHUNK.findall(BLANK + text.replace(" ", BLANK)), own
 
@@ -448,7 +451,9 @@ def sample_encodings(docs: DataFrame, doc_id="doc_id", text="text", k: int = 2,
 
     Null texts are empty, and an empty text has one empty segmentation; a text with fewer than k segmentations gives them
     all, with inclusion score 0 (certain); a null id is a key of its own; repeated rows get equal rows; an empty table gives
-    none; other columns are not read."""
+    none; other columns are not read. k is 64 at most."""
+    if not 0 < k <= 64:
+        raise ValueError("k must be within 1 and 64")
 
     def run(batches):
         import pyarrow as pa
@@ -482,7 +487,7 @@ def sample_encodings(docs: DataFrame, doc_id="doc_id", text="text", k: int = 2,
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(x.split()[0] for x in SAMPLE.split(", "))] + ["ids"] * with_ids)
                 at = to
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id long, {SAMPLE}" + ", ids array<int>" * with_ids)
 
 

@@ -603,3 +603,47 @@ def test_encode_and_decode(spark):
     again = {(r.doc_id, r["sample"]): r.ids_crc32 for r in pieces.sample_encodings(d.repartition(3), k=3, alpha=0.5).collect()}
     assert again == {(r.doc_id, r["sample"]): r.ids_crc32 for r in rows}  # however rows are dealt out
     assert pieces.sample_encodings(d.limit(0)).count() == 0
+
+
+def test_the_library_decodes_sampled_ids(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(15)
+    texts = [prose(rng, 12).replace("\n", " ").replace("  ", " ").strip() + " 😀é" for _ in range(20)] + ["x"]
+    rows = pieces.sample_encodings(docs(spark, texts), k=4, alpha=0.6).collect()
+    assert all(sp.decode(list(r.ids)) == texts[r.doc_id] and r.exact for r in rows)
+    assert max(len({tuple(r.ids) for r in rows if r.doc_id == i}) for i in range(21)) == 4
+
+
+def test_sampling_of_odd_rows(spark):
+    private = "▁" + "".join(map(chr, range(0xE000, 0xF8FF)))
+    rows = [(None, "a b"), (None, "a b"), (7, "a b"), (7, "a b"), (7, "c"), (8, private)]
+    got = pieces.sample_encodings(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, sample int"), k=2, alpha=0.5).collect()
+    assert all(r.exact for r in got)
+    same = Counter((r.doc_id, r["sample"], tuple(r.ids)) for r in got if r.doc_id != 8)
+    assert sorted(same.values(), reverse=True)[:4] == [2, 2, 2, 2] and len({k[2] for k in same if k[0] is None}) == 2
+    with pytest.raises(ValueError):
+        pieces.sample_encodings(docs(spark, ["a"]), k=65)
+
+
+def test_lm_probabilities_sum_to_one():
+    rng = random.Random(16)
+    texts = [[rng.choice("abcd") for _ in range(rng.randrange(1, 9))] for _ in range(50)]
+    one, two = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:]))
+    last = Counter(t[-1] for t in texts)
+    model = lm_score.Model(np.array([sum(one.values())]), 4)
+    for a in "abcd":  # after a: each word, or the end of the text
+        counts = np.array([one[a]] + [x for b in "abcd" for x in (one[b], two[a, b])], float)
+        p = [math.exp(-model.losses(counts, np.array([0, 1 + 2 * i]), np.array([2 + 2 * i]), np.array([False, True]))[1]) for i in range(4)]
+        assert sum(p) + last[a] / (one[a] + lm_score.STRENGTH) == pytest.approx(1) and max(p) <= 1
+
+
+def test_lm_of_odd_tables(spark):
+    d = docs(spark, ["alpha beta", "alpha beta", None, "beta " * 200_000], [3, 3, None, 4]).withColumn("target", F.lit(True)).withColumn("block", F.lit("x"))
+    rows = lm_score.score(d, lm_score.train(d)).collect()
+    assert len(rows) == 4 and rows[0].asDict().keys() == {"doc_id", "n_tokens", "ce_target", "ce_background", "score"}
+    twice = [tuple(r) for r in rows if r.doc_id == 3]
+    assert twice[0] == twice[1] and all(r.ce_background >= 0 for r in rows if r.n_tokens)
+    assert lm_score.score(d.limit(0), lm_score.train(d.limit(0))).count() == 0
