@@ -55,3 +55,24 @@ def test_stages_take_an_empty_table(spark, folder):
 
 def test_queries_are_all_there():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("toxic", [0, 1, None])
+def test_stages_on_odd_tables(spark, tmp_path, toxic):
+    """Labels of one class, repeated ids with other texts, nulls in every column, and columns that operators also use."""
+    rng = random.Random(17)
+    own = "password=" + "Q" * 12
+    rows = [(1, prose(rng, 40)), (1, prose(rng, 40)), (1, None), (2, f"é {own}"), (2, f"é {own}"), (None, None), (3, "")]
+    rows = [(*r, None if i % 2 else "en", None if i % 3 else "s", None, "a", "b", "c", "d", "e", 1, 2) for i, r in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __id string, __hash string, __cut string, __grade string, __spans string, found int, root int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, toxic), (2, 0, toxic), (3, None, toxic), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, "x y"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = corpus_pipeline.table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.scratch(stage(spark, docs, str(tmp_path)))
+        assert after.columns == docs.columns
+        docs = after
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in docs.collect()), key=str)
+    assert got == sorted([(1, rows[0][1], None), (1, rows[1][1], None), (1, None, None), (2, "é password=[SECRET]", 19), (None, None, None)], key=str)
+    assert all(r.exact for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
