@@ -3,13 +3,12 @@ encodes what is left.
 
 Defined results: a null or empty text is kept by every filter (it is neither toxic nor a test passage) but for
 near-duplicates, where texts without words are alike; a row without an id is never taken for a duplicate; repeated rows
-count as copies; an empty table goes through as one.
+count as copies, other texts of one id don't; labels that tell nothing reject nothing; an empty table goes through as one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skimmer.llm import decontaminate, pieces, secret_scan, simhash, toxicity
 from skimmer.llm.common import scratch, table
@@ -18,11 +17,11 @@ from skimmer.llm.common import scratch, table
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of severity grade 1 or more go."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("`__grade` = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: the one of the smallest id."""
+    """One document of each near-duplicate component stays: the one of the smallest id, then of the least hash of its text."""
     return simhash.keep_one(docs)
 
 
@@ -32,8 +31,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; values that look like live secrets are masked and n_chars follows the text."""
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents stay; values that look like live secrets are masked, and n_chars follows the texts that changed."""
+    return secret_scan.redact(docs, length="n_chars")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
