@@ -11,13 +11,12 @@ from __future__ import annotations
 import struct
 import zlib
 from array import array
-from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skimmer.llm.common import scratch_path, table
+from skimmer.llm.common import chunks, mix, scratch_path, table
 
 LANES, BLOCK, SEGMENT = 32, 4096, 1 << 21
 STEPS = BLOCK // LANES
@@ -160,15 +159,72 @@ def crc32_joined(a: int, b: int, size: int) -> int:
     return times(power, a) ^ b
 
 
+LONGEST = 31  # bytes of a part that is kept: with its length it fills four words
+_MASKS = np.array([[((1 << 8 * min(max(n - 8 * w, 0), 8)) - 1) for w in range(4)] for n in range(LONGEST + 1)], np.uint64)
+_MASKS_LENGTH = np.arange(LONGEST + 1, dtype=np.uint64) << np.uint64(56)
+
+
+class Known:
+    """Parts and their ids: an open hash table in arrays, looked up and filled many keys at a time. Keys are compared in full."""
+
+    def __init__(self, most: int, more: int):
+        """most: entries beyond which it is cleared; more: how many may still come before that."""
+        self.most, self.size = most, 1 << (2 * (most + more)).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.used, self.slots = 0, 0, np.full(self.size, -1, np.int32)
+        self.keys = np.zeros((1024, 4), np.uint64)
+        self.at, self.count, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.uint32)
+
+    @staticmethod
+    def hashes(keys: np.ndarray) -> np.ndarray:
+        h = keys[:, 0].copy()
+        for w in range(1, 4):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + keys[:, w]
+        return mix(h)
+
+    def find(self, keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 for none."""
+        out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        slot = (h & np.uint64(self.size - 1)).astype(np.int64)
+        while len(left):
+            entry = self.slots[slot[left]]
+            left, entry = left[entry >= 0], entry[entry >= 0]
+            same = (self.keys[entry] == keys[left]).all(axis=1)
+            out[left[same]] = entry[same]
+            left = left[~same]
+            slot[left] = (slot[left] + 1) & (self.size - 1)
+        return out
+
+    def add(self, keys: np.ndarray, h: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """New and distinct keys with their ids, one after another."""
+        n, used = self.n + len(keys), self.used + len(ids)
+        grown = lambda x, to: x if len(x) >= to else np.concatenate([x, np.zeros((max(to, 2 * len(x)) - len(x), *x.shape[1:]), x.dtype)])
+        self.keys, self.at, self.count, self.ids = grown(self.keys, n), grown(self.at, n), grown(self.count, n), grown(self.ids, used)
+        self.keys[self.n : n], self.count[self.n : n], self.ids[self.used : used] = keys, count, ids
+        self.at[self.n : n] = self.used + np.cumsum(count) - count
+        entry, slot = np.arange(self.n, n, dtype=np.int32), (h & np.uint64(self.size - 1)).astype(np.int64)
+        self.n, self.used = n, used
+        while len(entry):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entry[free]
+            left = self.slots[slot] != entry
+            entry, slot = entry[left], (slot[left] + 1) & (self.size - 1)
+
+
 class Encoder:
-    """The tokenizers library's ids of whole texts. Its pre-tokenizer never joins what stands before a single space between
-    non-blank characters with what follows, so the parts between such spaces are kept with their ids, up to ``most`` of them;
-    unknown ones are encoded many in a row and cut apart by the bytes that each id stands for. Texts that hold an added token
-    are encoded whole, as the library cuts them at that token first."""
+    """The tokenizers library's ids of whole texts.
+
+    Its pre-tokenizer never joins what stands before a single space or line feed between non-blank characters with what follows, nor
+    a letter or digit with a symbol after it. So texts are cut there into parts (each with the space or line feed before it);
+    the ids of parts are kept, up to ``most`` of them, and unknown parts are encoded many in a row and cut apart by the bytes
+    that each id stands for. What begins a text is encoded on its own. Texts that hold an added token are encoded whole, as
+    the library cuts them at that token first."""
 
-    RUN, PIECE = 2048, 1 << 18
+    BLOCK, RUN = 1 << 16, 1 << 16  # parts looked up at a time, bytes encoded at a time
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -179,83 +235,176 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.size[list(vocabulary.values())] = list(map(len, vocabulary))  # byte-level: a character stands for a byte
-        self.most, self.known = most, {}
-        self.mark = dict(zip(".,", self.raw([".", ","])))
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def spaced(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part with a space before it."""
-        out = []
-        for at in range(0, len(parts), self.RUN):
-            some = parts[at : at + self.RUN]
-            (ids,) = self.raw([" " + " ".join(some)])
-            ends = np.cumsum(self.size[np.frombuffer(ids, "<u4")])
-            want = np.cumsum([len(p.encode()) + 1 for p in some])
-            cut = np.searchsorted(ends, want)
-            if not np.array_equal(ends[cut], want):
-                raise ValueError("a token goes on after a space; parts are no unit of this tokenizer")
-            cut = (4 * (cut + 1)).tolist()
-            out += map(ids.__getitem__, map(slice, [0, *cut], cut))
-        return out
-
-    def learn(self, parts: set[str]) -> None:
-        """Encodes parts. A mark after a letter or digit is always a token of its own, so it is taken off."""
-        known, mark = self.known, self.mark
-        if len(known) > self.most:  # the older half goes; what is common comes back at once
-            for p in list(islice(known, self.most // 2)):
-                del known[p]
-        marked = [p for p in parts if p and p[-1] in mark and p[:-1].isalnum()]
-        bare = parts.difference(marked)
-        bare.update(p[:-1] for p in marked)
-        bare = [p for p in bare if p not in known]
-        known.update(zip(bare, self.spaced(bare)))
-        for p in marked:
-            known[p] = known[p[:-1]] + mark[p[-1]]
+        # The same model behind another door: letters alone need no pattern to be cut by, so words come one a line, their bytes
+        # spelled as the vocabulary has them.
+        from tokenizers import pre_tokenizers
+
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        other = [b for b in range(256) if b not in plain]
+        self.spelling = {b: chr(256 + i) for i, b in enumerate(other)} | {b: chr(b) for b in plain}
+        self.spelling[0x20] = "\n" + self.spelling[0x20]
+        self.known = Known(most, self.BLOCK)
+        self.symbols = np.zeros((256, 2), np.int64)  # a symbol at the end of a part: its id, if it is one
+        for c in range(0x21, 0x7F):
+            ids = self.raw([chr(c)])[0]
+            if not chr(c).isalnum() and len(ids) == 1:
+                self.symbols[c] = ids[0], 1
+
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(array("I", e.ids), np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where parts begin, whether a part is a symbol) in the bytes of some texts; a text's first part begins with it."""
+        blank = _BLANKS[data]
+        lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+        if len(lead):  # the white space beyond ASCII
+            one, two = (data[np.minimum(lead + k, len(data) - 1)] for k in (1, 2))
+            first = data[lead]
+            short = (first == 0xC2) & ((one == 0x85) | (one == 0xA0))
+            general = (first == 0xE2) & (one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF))
+            long = general | ((first == 0xE1) & (one == 0x9A) & (two == 0x80)) | ((first == 0xE2) & (one == 0x81) & (two == 0x9F)) | ((first == 0xE3) & (one == 0x80) & (two == 0x80))
+            for at, n in ((lead[short], 1), (lead[long], 2)):
+                blank[at] = True
+                blank[at + n] = True
+        edge = np.zeros(len(data) + 1, bool)  # texts begin and end here
+        edge[offsets] = True
+        begin = np.zeros(len(data) + 1, bool)
+        begin[1:-2] = ((data[1:-1] == 0x20) | (data[1:-1] == 0x0A)) & ~blank[:-2] & ~blank[2:] & ~edge[1:-2] & ~edge[2:-1]
+        begin |= edge
+        # a symbol after a letter or digit, before the end of its part
+        symbol = np.zeros(len(data) + 1, bool)
+        symbol[1:-1] = (self.symbols[data[1:], 1] > 0) & _ALNUM[data[:-1]] & begin[2:] & ~edge[1:-1]
+        begin |= symbol
+        at = np.flatnonzero(begin[:-1])
+        return at, symbol[at]
+
+    def run(self, text: bytes) -> np.ndarray:
+        """The ids of parts in a row."""
+        words = text.decode()
+        if text[:1] == b" " and words.replace(" ", "").isalpha():
+            spelled = text.decode("latin-1").translate(self.spelling)
+            (found,) = self.letters.encode_batch_fast([spelled], add_special_tokens=False)
+            return np.array(array("I", found.ids), np.uint32)
+        return self.raw([words])[0]
+
+    def fresh_ids(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each) of parts, encoded in runs: those of letters together, then the rest."""
+        take = lambda at, n: data[np.repeat(at - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        begin = np.cumsum(lengths) - lengths
+        odd = (np.add.reduceat(~_LETTER[take(starts, lengths)], begin, dtype=np.int64) > 1) | (data[starts] != 0x20)
+        order = np.argsort(odd, kind="stable")
+        ids, count = [], np.zeros(len(starts), np.int64)
+        for kind in (order[: len(odd) - int(odd.sum())], order[len(odd) - int(odd.sum()) :]):
+            n, text, at = lengths[kind], take(starts[kind], lengths[kind]).tobytes(), 0
+            ends = np.cumsum(n)
+            while at < len(kind):
+                base = int(ends[at] - n[at])
+                to = max(at + 1, int(np.searchsorted(ends, base + self.RUN, "right")))
+                got = self.run(text[base : int(ends[to - 1])])
+                reach = np.cumsum(self.size[got])
+                cut = np.searchsorted(reach, ends[at:to] - base)
+                if not np.array_equal(reach[cut], ends[at:to] - base):
+                    raise ValueError("a token goes on from one part to the next; parts are no unit of this tokenizer")
+                count[kind[at:to]] = np.diff(cut + 1, prepend=0)
+                ids.append(got)
+                at = to
+        ids, mine = np.concatenate(ids), count[order]
+        first = np.empty(len(order), np.int64)
+        first[order] = np.cumsum(mine) - mine
+        return ids[np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(ids))], count
+
+    def parts(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each part) of a block of parts that begin with a space or a line feed."""
+        known = self.known
+        if known.n > known.most:  # what is common comes back at once
+            known.clear()
+        short = np.flatnonzero(lengths <= LONGEST)
+        padded = np.lib.stride_tricks.sliding_window_view(data, 32)[starts[short]]
+        keys = padded.view(np.uint64) & _MASKS[lengths[short]]
+        keys[:, 3] |= _MASKS_LENGTH[lengths[short]]
+        h = known.hashes(keys)
+        entry = np.full(len(starts), -1, np.int64)
+        entry[short] = known.find(keys, h)
+        lost = np.flatnonzero(entry[short] < 0)
+        if len(lost):
+            _, first, back = np.unique(h[lost], return_index=True, return_inverse=True)
+            alike = (keys[lost[first[back]]] == keys[lost]).all(axis=1)  # else two keys share a hash: the later one is looked up again
+            new = lost[first]
+            ids, count = self.fresh_ids(data, starts[short[new]], lengths[short[new]])
+            n = known.n
+            known.add(keys[new], h[new], ids, count)
+            entry[short[lost[alike]]] = n + back[alike]
+        many = np.zeros(len(starts), np.int64)
+        some = entry >= 0
+        many[some] = known.count[entry[some]]
+        rest = np.flatnonzero(~some)  # long ones, and clashes
+        if len(rest):
+            other, many[rest] = self.fresh_ids(data, starts[rest], lengths[rest])
+        end = np.cumsum(many)
+        out = np.zeros(int(end[-1]) if len(end) else 0, np.uint32)
+        place = lambda to, n: np.repeat(to - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        out[place((end - many)[some], many[some])] = known.ids[place(known.at[entry[some]], many[some])]
+        if len(rest):
+            out[place((end - many)[rest], many[rest])] = other
+        return out, many
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each row) of an Arrow string column without nulls."""
+        ids, counts = [], []
+        for first, data, offsets in chunks(column):
+            rows = len(offsets) - 1
+            whole = np.zeros(rows, bool)
+            text = data.tobytes()
+            for a in self.added:
+                at = text.find(a.encode())
+                while at >= 0:
+                    whole[np.searchsorted(offsets, at, "right") - 1] = True
+                    at = text.find(a.encode(), at + 1)
+            padded = np.concatenate([data, np.zeros(32, np.uint8)])
+            at, symbol = self.cuts(data, offsets) if len(data) else (np.zeros(0, np.int64), np.zeros(0, bool))
+            lengths = np.diff(np.append(at, len(data)))
+            row = np.searchsorted(offsets, at, "right") - 1
+            head = np.isin(at, offsets[:-1]) & ~whole[row]
+            plain = np.flatnonzero(~head & ~symbol & ~whole[row])
+            many = np.zeros(len(at), np.int64)
+            many[symbol & ~whole[row]] = 1
+            begins = self.raw([text[a : a + n].decode() for a, n in zip(at[head].tolist(), lengths[head].tolist())])
+            many[head] = list(map(len, begins))
+            found = []
+            for k in range(0, len(plain), self.BLOCK):
+                some = plain[k : k + self.BLOCK]
+                got, many[some] = self.parts(padded, at[some], lengths[some])
+                found.append(got)
+            wholes = np.flatnonzero(whole)
+            by_library = self.raw([text[offsets[r] : offsets[r + 1]].decode() for r in wholes])
+            anchor = np.searchsorted(row, wholes)  # all ids of such a text stand at its first part
+            many[anchor] = list(map(len, by_library))
+            end = np.cumsum(many)
+            out = np.zeros(int(end[-1]) if len(end) else 0, np.uint32)
+            place = lambda which: np.repeat((end - many)[which] - np.cumsum(many[which]) + many[which], many[which]) + np.arange(int(many[which].sum()))
+            none = np.zeros(0, np.uint32)
+            out[place(plain)] = np.concatenate([none, *found])
+            out[place(np.flatnonzero(head))] = np.concatenate([none, *begins])
+            out[place(anchor)] = np.concatenate([none, *by_library])
+            marks = np.flatnonzero(symbol & ~whole[row])
+            out[(end - many)[marks]] = self.symbols[data[at[marks]], 0]
+            ids.append(out)
+            counts.append(np.bincount(row, many, rows).astype(np.int64))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        import re
-
-        safe, odd = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" (?:\s|\Z)").search
-        heads, tails, owner = [], [], []  # a long text is more than one tail; later ones have no head
-        for i, text in enumerate(texts):
-            at, first = 0, True
-            if any(a in text for a in self.added):
-                heads.append(text)
-                continue
-            while first or at >= 0:
-                cut = safe.search(text, at + self.PIECE) if len(text) - at > self.PIECE else None
-                piece = text[at : cut.start()] if cut else text[at:] if at else text
-                rest = safe.split(piece) if odd(piece) else piece.split(" ")
-                if first:
-                    heads.append(rest[0])
-                    del rest[0]
-                tails.append(rest)
-                owner.append(i)
-                first, at = False, cut.end() if cut else -1
-        begin = self.raw(heads)
-        out: list[list[bytes]] = [[h] for h in begin]
-        missing = set()
-        for k in range(0, len(tails), 64):
-            group = tails[k : k + 64]
-            found = [list(map(self.known.get, rest)) for rest in group]
-            missing.clear()
-            for rest, ids in zip(group, found):
-                if None in ids:
-                    missing.update(p for p, x in zip(rest, ids) if x is None)
-            if missing:
-                self.learn(set(missing))
-                get = self.known.__getitem__
-                for j, (rest, ids) in enumerate(zip(group, found)):
-                    if None in ids:
-                        found[j] = [get(p) if x is None else x for p, x in zip(rest, ids)]
-                for p in missing:
-                    if len(p) > 40:  # not worth its place
-                        self.known.pop(p, None)
-            for i, ids in zip(owner[k : k + 64], found):
-                out[i].append(b"".join(ids))
-        return [np.frombuffer(b"".join(x), "<u4") for x in out]
+        import pyarrow as pa
+
+        ids, n = self.encode(pa.array(texts, pa.large_string()))
+        return np.split(ids, np.cumsum(n)[:-1]) if len(n) else []
+
+
+_BLANKS = np.zeros(256, bool)
+_BLANKS[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_LETTER = np.array([chr(c).isalpha() or c >= 0x80 for c in range(256)])
+_ALNUM = np.array([chr(c).isalnum() and c < 0x80 for c in range(256)])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -304,10 +453,11 @@ def write(docs: DataFrame, path: str, doc_id="doc_id", text="text", tokenizer: s
             count += len(ids) // 4
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            for at in range(0, len(ids), 256):
-                for i, got in zip(ids[at : at + 256], code(texts.slice(at, 256).fill_null("").to_pylist())):
-                    left = memoryview(got.tobytes() + closing)
+            for at in range(0, b.num_rows, 256):
+                rows = b.slice(at, 256)
+                got, n = code.encode(rows.column(1).cast(pa.large_binary()).fill_null(b""))
+                for i, ids in zip(rows.column(0).to_pylist(), np.split(got, np.cumsum(n)[:-1])):
+                    left = memoryview(ids.astype("<u4").tobytes() + closing)
                     while count + len(left) // 4 > size:
                         room = 4 * (size - count)
                         hold(i, left[:room])
