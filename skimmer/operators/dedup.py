@@ -82,7 +82,7 @@ def unseen(rows: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
 def related_and_pushed(accepted: DataFrame, thresholds: DataFrame, cap: int = 10, scope: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(related, pushed) of accepted rows (seq, hash, orig_id, pid, score): the sequential rule in window form.
 
-    Equal where rows of one orig_id have one profile and equal hashes one orig_id; streaming.push holds the stateful form."""
+    Equal where rows of one orig_id have one profile and equal hashes one orig_id; streaming.push.engine is the stateful form."""
     first = first_by(accepted, ["hash"], ["seq"])
     over = first.join(F.broadcast(thresholds.select("pid", "threshold")), "pid") if thresholds.limit(100_001).count() <= 100_000 else first.join(thresholds.select("pid", "threshold"), "pid")
     over = first_by(over.where(F.round("score", 12) > F.col("threshold")), ["orig_id"], ["seq"]).drop("threshold")

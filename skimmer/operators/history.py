@@ -44,6 +44,7 @@ def moving_average(stats: DataFrame, value: str, days: int = 3) -> DataFrame:
     return stats.select("pid", "day", F.avg(value).over(over).alias("average"))
 
 
-def matrix(stats: DataFrame, value: str, days: list[str]) -> DataFrame:
-    """One column per day; days are given, so no pass looks for them."""
-    return stats.groupBy("pid").pivot("day", days).agg(F.first(value))
+def matrix(stats: DataFrame, value: str, days: list[str] | None = None) -> DataFrame:
+    """One column per day. Days that are given need no pass to look for them; else all of the table's, as many as the result is wide."""
+    rows = stats.groupBy("pid")
+    return (rows.pivot("day") if days is None else rows.pivot("day", days)).agg(F.first(value))

@@ -64,3 +64,8 @@ def identify(docs: DataFrame, key: str, text: str, weights: DataFrame, longest:
 def english_lines(lines: DataFrame, key: str, text: str, weights: DataFrame, longest: int = 3) -> DataFrame:
     """The rows found to be English."""
     return lines.join(identify(lines, key, text, weights, longest).where("lang = 'en'").select(key), key, "left_semi")
+
+
+def label_lists(rows: DataFrame, label: str, key: str) -> DataFrame:
+    """(label, ids): the keys of each label, in order."""
+    return rows.groupBy(label).agg(F.sort_array(F.collect_list(key)).alias("ids"))

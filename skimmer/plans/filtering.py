@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skimmer.functions import features as R
-from skimmer.functions import text as X
 from skimmer.operators import dedup, match, push, ranker, similarity
 
 
@@ -49,17 +48,18 @@ def classify(docs: DataFrame, profiles: Profiles, key: str, text: str = "text",
     return similarity.argmax(scores, key)
 
 
-def filtered(messages: DataFrame, profiles: Profiles, model, thresholds: DataFrame, is_english=None, tag_cap: int = push.CAP, by: str = "score") -> tuple[DataFrame, DataFrame]:
-    """(digest, pushes) of extracted messages (sources.readers.extract). is_english: rows -> rows."""
-    rows = messages.withColumns({"seq": F.col("timestamp_ms").cast("long"), "day": F.date_format(F.timestamp_millis(F.col("timestamp_ms").cast("long")), "yyyyMMdd")})
-    rows = rows.withColumn("hash", dedup.bit_votes(dedup.shingled(F.col("full_text"))))
+def filtered(messages: DataFrame, profiles: Profiles, model, thresholds: DataFrame, is_english=None, tag_cap: int = push.CAP, hash_of=None, lang: str | None = None, unicode: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(digest, pushes) of extracted messages (sources.readers.extract).
+
+    model: the quality model, or a function rows -> rows with score. is_english: rows -> rows, a trained language gate; lang: a
+    column that tells the language. hash_of: text -> content hash, by default the bit votes of its shingles."""
+    ms = F.col("timestamp_ms").cast("long")
+    rows = messages.withColumns({"seq": ms, "day": F.date_format(F.timestamp_millis(ms), "yyyyMMdd"), "hash": (hash_of or dedup.fingerprint)(F.col("full_text"))})
     kept = is_english(rows) if is_english else rows
-    best = classify(kept, profiles, "tid", "full_text")
-    scored = ranker.predict(model, ranker.numeric(rows.withColumns(R.of_message()))).select("tid", "orig_id", "seq", "day", "hash", F.col("full_text").alias("text"), "score")
+    kept = kept.where(F.col(lang) == "en") if lang else kept
+    best = classify(kept, profiles, "tid", "full_text", unicode=unicode)
+    scored = model(kept) if callable(model) else ranker.predict(model, ranker.numeric(kept.withColumns(R.of_message())))
+    scored = scored.select("tid", "orig_id", "seq", "day", "hash", F.col("full_text").alias("text"), "score")
     accepted = push.total_score(scored.join(best, "tid"))
     related, pushed = dedup.related_and_pushed(accepted, thresholds, tag_cap, scope=["day"])
     return push.digest(related), pushed.withColumn("delivered", F.unix_timestamp())
-
-
-def clean(text):
-    return X.strip_marks(text)

@@ -46,12 +46,13 @@ def _smooth(value: str) -> str:
 THR = f"{STATS}, {_smooth('rank_score')}, thr AS (SELECT pid, f / 2 AS threshold FROM sm)"
 
 VEC = """w AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-tokens AS (SELECT CAST(i // 10 AS INTEGER) AS t, i AS id FROM range(400) AS r(i)),
-keys AS (SELECT CAST(i // 7 AS INTEGER) AS pid, i AS id FROM range(35) AS r(i)),
+tokens AS (SELECT CAST(vec_id // 10 AS INTEGER) AS t, vec_id AS id FROM embeddings),
+keys AS (SELECT CAST(vec_id // 100 % 5 AS INTEGER) AS pid, vec_id AS id FROM embeddings WHERE vec_id % 100 = 0),
+sizes AS (SELECT pid, count(*) AS n FROM keys GROUP BY pid),
 pairs AS (SELECT a.id AS word, b.id AS keyword, CASE WHEN a.id = b.id THEN 1.0 ELSE list_cosine_similarity(x.v, y.v) END AS sim
-  FROM (SELECT id FROM tokens) a, (SELECT id FROM keys) b, w x, w y WHERE x.id = a.id AND y.id = b.id),
-best AS (SELECT t, pid, keyword, greatest(max(sim), 0) AS best FROM tokens JOIN pairs ON word = tokens.id JOIN keys ON keyword = keys.id GROUP BY ALL)"""
-_V = {1: "sqrt(count(*) FILTER (best > 0.25) / 7)", 2: "sum(best) / 7", 3: "sum(best)"}
+  FROM tokens a, keys b, w x, w y WHERE x.id = a.id AND y.id = b.id),
+best AS (SELECT t, pid, n, keyword, greatest(max(sim), 0) AS best FROM tokens JOIN pairs ON word = tokens.id JOIN keys ON keyword = keys.id JOIN sizes USING (pid) GROUP BY ALL)"""
+_V = {1: "sqrt(count(*) FILTER (best > 0.25) / max(n))", 2: "sum(best) / max(n)", 3: "sum(best)"}
 
 
 def _sim(version: int) -> str:
@@ -76,6 +77,12 @@ NGRAMS = f"""wt AS (SELECT * FROM (VALUES {GRAMS}) AS v(ngram, lang, weight)),
 ng AS (SELECT doc_id, ngram, (SELECT count(*) FROM unnest(range(1, length(t) + 1)) AS r(i) WHERE substr(t, i, length(ngram)) = ngram) AS n
   FROM d, (SELECT DISTINCT ngram FROM wt))"""
 
+MESSAGE = r"""m AS (SELECT CAST(doc_id AS VARCHAR) AS tid, doc_id, doc_id % 5 = 0 AS again, text AS own, CASE WHEN doc_id % 5 = 0 THEN 'Again: ' || text ELSE text END AS body,
+  CAST(CASE WHEN doc_id % 5 = 0 THEN doc_id // 5 ELSE doc_id END AS VARCHAR) AS orig_id, source, lang, n_chars, 1704067200000 + doc_id * 3600000 AS ms FROM documents WHERE text IS NOT NULL),
+full_m AS (SELECT *, source || ' ' || regexp_replace(body, '\t+|\n+', ' ', 'g') AS full_text, strftime(make_timestamp(ms * 1000), '%Y%m%d') AS day FROM m)"""
+_LOG = "round(CASE WHEN {0} > 0 THEN log10({0}) ELSE 0 END, 9)"
+FULL = {"gated": GATED.replace("SELECT doc_id, text FROM documents", "SELECT doc_id, text FROM (SELECT doc_id, full_text AS text, lang FROM full_m)")}
+
 ORACLES = {
     "q_extract_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE starts_with(props, '{') AND json_extract(props, '$.k') IS NOT NULL",
     "q_clean_text": rf"SELECT doc_id, md5(regexp_replace({CLEAN}, '\t+|\n+', ' ', 'g')) AS clean_md5 FROM documents",
@@ -113,7 +120,7 @@ ORACLES = {
     "q_exp_smoothing": f"WITH {STATS}, {_smooth('n_related')} SELECT pid, round(f, 6) AS forecast FROM sm",
     "q_moving_avg_3d": f"WITH {STATS} SELECT pid, day, round(avg(n_related) OVER (PARTITION BY pid ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) AS average FROM st",
     "q_threshold_col13": f"WITH {STATS} SELECT pid, round(list(rank_score ORDER BY day)[14], 9) AS threshold FROM st GROUP BY pid",
-    "q_history_pivot": f"WITH {STATS} SELECT pid, " + ", ".join(f"""max(n_related) FILTER (day = '{d}') AS "{d}" """ for d in ("20240101", "20240102", "20240103")) + " FROM st GROUP BY pid",
+    "q_history_pivot": f"WITH {STATS} PIVOT (SELECT pid, day, n_related FROM st) ON day USING max(n_related) GROUP BY pid",
     "q_push_cap": f"WITH {THR} SELECT seq, s.pid, day, row_number() OVER (PARTITION BY s.pid, day ORDER BY seq) AS nth FROM s JOIN thr ON thr.pid = s.pid WHERE round(score, 12) > threshold QUALIFY nth <= 10",
     "q_push_counters": f"WITH {S} SELECT seq, pid, count(*) OVER w AS received, CAST(sum(CASE WHEN score > 0.5 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS n_pushed FROM s WINDOW w AS (PARTITION BY pid ORDER BY seq ROWS UNBOUNDED PRECEDING)",
     "q_push_dedup_pipeline": f"""WITH {THR}, {PUSHED}
@@ -135,4 +142,42 @@ ORACLES = {
       SELECT doc_id, CASE WHEN p >= 0.6 THEN lang ELSE '' END AS label, round(p, 6) AS p FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, lang) = 1""",
     "q_stream_push": f"WITH {S} SELECT seq, pid, day, row_number() OVER (PARTITION BY pid, day ORDER BY seq) AS nth FROM s WHERE round(score, 12) > 0.5 QUALIFY nth <= 10",
     "q_stream_daily": f"WITH {S} SELECT day, pid, count(*) AS n, round(max(score), 9) AS best FROM s GROUP BY 1, 2",
+    "q_source_messages": f"""WITH {MESSAGE} SELECT tid, orig_id, md5(full_text) AS text_md5, day, doc_id % 3 = 0 AS "Url", doc_id % 4 = 0 AS "Mention",
+      {_LOG.format('(CASE WHEN again THEN doc_id * 3 ELSE n_chars END)')} AS followers, {_LOG.format('(CASE WHEN again THEN doc_id * 7 ELSE doc_id END)')} AS statuses,
+      CASE WHEN again THEN doc_id % 1000 ELSE 0 END AS retweets, CASE WHEN again AND doc_id % 1000 > 0 THEN length(CAST(doc_id % 1000 AS VARCHAR)) ELSE 0 END AS level FROM full_m""",
+    "q_source_language_lines": rf"""WITH {MESSAGE} SELECT tid, md5(regexp_replace(regexp_replace(own, '\t+|\n+', ' ', 'g'), '(https?:/*)[^ ]+|#|@', '', 'g')) AS text_md5 FROM m WHERE lang = 'en'""",
+    "q_enriched_json": f"WITH {MESSAGE} SELECT tid, n_chars % 100 / 100 AS score, lang FROM m",
+    "q_source_keywords": f"WITH {PROFILE} SELECT pid, clause, word FROM reqs",
+    "q_source_topics": "SELECT n_nationkey AS pid, 'MB' || (n_nationkey + 226) AS num, n_name AS title FROM nation",
+    "q_source_vectors": "SELECT CAST(vec_id AS VARCHAR) AS word, len(embedding) AS size, round(list_reduce(list_prepend(0.0::DOUBLE, CAST(embedding AS DOUBLE[])), lambda a, b: a + b), 6) AS total FROM embeddings",
+    "q_source_training": rf"""WITH {MESSAGE}, {FEATURES.replace('FROM documents', 'FROM (SELECT doc_id, body AS text FROM m)')} SELECT quality AS "Importance", count(*) AS n, count(*) FILTER (m.doc_id % 3 = 0) AS url, count(*) FILTER (m.doc_id % 4 = 0) AS mention,
+      CAST(sum("WordCount") AS BIGINT) AS words, round(sum({_LOG.format('(CASE WHEN again THEN m.doc_id * 7 ELSE m.doc_id END)').replace('round(', '(').replace(', 9)', ')')}), 6) AS statuses
+      FROM labels JOIN m USING (doc_id) JOIN f USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1""",
+    "q_source_wiki": """SELECT line, len(string_split(line, ' ')) AS n FROM (SELECT n_name || ' | ' || n_name || ' lies in ' || r_name || ' end' AS line
+      FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0)""",
+    "q_source_corpus": r"SELECT lang, count(*) AS n, CAST(sum(length(regexp_replace(translate(text, chr(9), ' '), '[\r\n]+', ' ', 'g'))) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY 1",
+    "q_source_feature_counts": "SELECT coalesce(lang, 'none') AS ngram, count(*) AS n FROM documents GROUP BY 1",
+    "q_label_lists": "SELECT lang, md5(string_agg(doc_id, ',' ORDER BY doc_id)) AS ids_md5, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1",
+    "q_file_digest": f"""WITH {S}, r AS (SELECT *, round(score, 6) AS total, row_number() OVER (PARTITION BY day, pid ORDER BY round(score, 6) DESC, seq) AS rank FROM s)
+      SELECT concat_ws(chr(9), day, 'MB' || (pid + 226), 'Q0', CAST(seq AS VARCHAR), CAST(rank AS VARCHAR), printf('%.6f', total), 'RUN') AS line FROM r WHERE rank <= 100""",
+    "q_file_push_log": f"""WITH {THR}, p AS (SELECT s.*, concat_ws(chr(9), 'MB' || (s.pid + 226), CAST(seq AS VARCHAR), CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR), 'RUN') AS line FROM s JOIN thr ON thr.pid = s.pid
+      WHERE round(score, 12) > threshold QUALIFY row_number() OVER (PARTITION BY s.pid, day ORDER BY seq) <= 10)
+      SELECT line FROM p UNION ALL SELECT concat_ws(chr(9), line, '0.75', '0.5', day) FROM p""",
+    "q_file_history_matrix": f"WITH {STATS} SELECT row_number() OVER (ORDER BY pid) - 1 AS at, CAST(sum(n_related) AS DOUBLE) AS total, count(*) AS days FROM st GROUP BY pid",
+    "q_file_profiles": f"WITH {S} SELECT day, pid, count(*) AS n, round(sum(round(score, 6)), 6) AS total, count(*) AS n_lines FROM s WHERE score > 0.6 GROUP BY 1, 2",
+    "q_filtered": f"""WITH {PROFILE}, {MESSAGE}, {FULL['gated']}, {PLAIN}, {TOKEN}, {MET},
+      sc AS (SELECT met.doc_id, met.pid, sqrt(count(tok.word) / (SELECT count(*) FROM opts o WHERE o.pid = met.pid)) AS sim
+        FROM met JOIN opts USING (pid) LEFT JOIN tok ON tok.doc_id = met.doc_id AND tok.word = opts.word GROUP BY met.doc_id, met.pid),
+      top AS (SELECT doc_id, pid, sim / 2 + 0.5 AS similarity FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, pid) = 1),
+      acc AS (SELECT tid, ms AS seq, day, pid, orig_id, md5(full_text) AS hash, (n_chars % 100 + 1) / 100 AS score, similarity * ((n_chars % 100 + 1) / 100) AS total FROM full_m JOIN top USING (doc_id) WHERE similarity * ((n_chars % 100 + 1) / 100) >= 0.15),
+      fst AS (SELECT * FROM acc QUALIFY row_number() OVER (PARTITION BY hash ORDER BY seq) = 1),
+      cand AS (SELECT * FROM fst WHERE round(score, 12) > 0.5 QUALIFY row_number() OVER (PARTITION BY orig_id ORDER BY seq) = 1),
+      psh AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY pid, day ORDER BY seq) <= 10),
+      rel AS (SELECT fst.* FROM fst LEFT JOIN psh USING (orig_id) WHERE psh.seq IS NULL OR fst.seq <= psh.seq)
+      SELECT tid, pid, 'digest' AS kind, row_number() OVER (PARTITION BY day, pid ORDER BY total DESC, seq) AS rank FROM rel QUALIFY rank <= 100 UNION ALL SELECT tid, pid, 'push', 0 FROM psh""",
+    "q_stream_engine": f"""WITH {S}, acc AS (SELECT *, orig_id || '-' || (seq % 3) AS hash FROM s WHERE score >= 0.15),
+      fst AS (SELECT * FROM acc QUALIFY row_number() OVER (PARTITION BY day, hash ORDER BY seq) = 1),
+      cand AS (SELECT * FROM fst WHERE round(score, 12) > 0.5 QUALIFY row_number() OVER (PARTITION BY day, orig_id ORDER BY seq) = 1),
+      psh AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY pid, day ORDER BY seq) <= 10)
+      SELECT fst.seq, 'related' AS kind FROM fst LEFT JOIN psh ON psh.orig_id = fst.orig_id AND psh.day = fst.day WHERE psh.seq IS NULL OR fst.seq <= psh.seq UNION ALL SELECT seq, 'pushed' FROM psh""",
 }

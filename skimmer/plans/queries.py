@@ -11,7 +11,8 @@ from skimmer.functions import features as R
 from skimmer.functions import text as X
 from skimmer.operators import checks, dedup, feedback, history, keywords, language, match, push, ranker, similarity
 from skimmer.plans import filtering
-from skimmer.sources import readers
+from skimmer.scratch import scratch_path
+from skimmer.sources import readers, writers
 from skimmer.sources.writers import digest_line
 
 #: Stand-in keyword profiles (pid, optional, required), of words and word pairs that the documents hold.
@@ -151,10 +152,13 @@ def _vectors(spark, sf_dir):
 
 
 def _vector_case(spark, sf_dir):
-    """Texts t = 0..39 of the words 10t..10t+9; profiles p = 0..4 of the keywords 7p, 7p + 1, .., 7p + 6."""
-    tokens = spark.range(400).select((F.col("id") / 10).cast("int").alias("t"), F.col("id").cast("string").alias("word"))
-    opts = spark.range(35).select((F.col("id") / 7).cast("int").alias("pid"), F.col("id").cast("string").alias("word"), F.lit(7).alias("n_optional"))
-    met = tokens.select("t").distinct().join(F.broadcast(opts.select("pid").distinct()), how="cross")
+    """Every vector is a word: texts t of ten words each, and a stated set of keywords, the words divisible by 100, dealt out
+    to five profiles. All words meet that set; it is broadcast behind a check of its size."""
+    ids = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    tokens = ids.select(F.floor(F.col("id") / 10).cast("int").alias("t"), F.col("id").cast("string").alias("word"))
+    opts = ids.where("id % 100 = 0").select((F.floor(F.col("id") / 100) % 5).cast("int").alias("pid"), F.col("id").cast("string").alias("word"))
+    opts = opts.join(F.broadcast(opts.groupBy("pid").agg(F.count("*").cast("int").alias("n_optional"))), "pid")  # five rows
+    met = tokens.select("t").distinct().join(F.broadcast(opts.select("pid").distinct()), how="cross")  # the result's own size
     return tokens, opts, met, similarity.word_pairs(tokens, opts, _vectors(spark, sf_dir))
 
 
@@ -208,17 +212,171 @@ def ranker_training_join(spark, sf_dir):
     return rows.groupBy("Importance").agg(F.count("*").alias("n"), F.sum("WordCount").alias("words"), F.sum("Capital").alias("capitals"))
 
 
+def _messages(spark, sf_dir):
+    """documents as messages: (doc_id, and the columns of schema.MESSAGE). Every fifth is a retweet of message doc_id / 5."""
+    d = _t(spark, sf_dir, "documents")
+    i, none = F.col("doc_id"), F.lit(None)
+    filled = lambda every, of: F.when(i % every == 0, F.array(F.struct(F.lit("x").alias(of)))).otherwise(F.array().cast(f"array<struct<{of}:string>>"))
+    again = F.struct(F.floor(i / 5).cast("string").alias("id_str"), F.concat(F.lit("Again: "), "text").alias("text"), (i % 1000).alias("retweet_count"), F.struct((i * 3).alias("followers_count"), (i * 7).alias("statuses_count")).alias("user"))
+    return d.select(
+        "doc_id", i.cast("string").alias("id_str"), "text", F.lit("now").alias("created_at"), (F.lit(1704067200000) + i * 3_600_000).cast("string").alias("timestamp_ms"),
+        F.struct(F.col("source").alias("screen_name"), "lang", F.col("n_chars").alias("followers_count"), i.alias("statuses_count")).alias("user"),
+        F.struct(filled(3, "url").alias("urls"), filled(4, "screen_name").alias("user_mentions")).alias("entities"), F.when(i % 5 == 0, again).otherwise(none).alias("retweeted_status"),
+    )
+
+
 def ranker_score(spark, sf_dir):
-    rows = _features(_docs(spark, sf_dir)).withColumns({c: F.lit(0) for c in R.NAMES if c not in ("Topic", "WordCount", "Capital", "CharacterPerWord", "ellipsis", "Personal")})
-    rows = ranker.numeric(rows)
+    rows = ranker.numeric(_messages(spark, sf_dir).withColumns(R.of_message()).select("doc_id", *R.NAMES))
     model = ranker.fit(rows.join(_t(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("Importance")), "doc_id"))
     return ranker.predict(model, rows).select("doc_id", "score")
 
 
 def word2vec(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select(X.tokens(X.strip_marks(F.col("text"))).alias("words"))
-    parts = max(1, docs.rdd.getNumPartitions())
-    return ranker.word2vec(docs, size=32, parts=parts).getVectors().select("word", F.size(vector_to_array("vector")).alias("size"))
+    """Parts and seed are fixed and rows are dealt by id, so runs agree."""
+    docs = _docs(spark, sf_dir).repartition(8, "doc_id").sortWithinPartitions("doc_id").select(X.tokens(X.strip_marks(F.col("text"))).alias("words"))
+    return ranker.word2vec(docs, size=32, parts=8).getVectors().select("word", F.size(vector_to_array("vector")).alias("size"))
+
+
+# -- files: written in their format, read back ---------------------------------------------------------------------------
+
+
+def _lines(df, value, compression="gzip"):
+    path = scratch_path(df.sparkSession)
+    df.select(value.alias("value")).write.text(path, compression=compression)
+    return path
+
+
+def _elements(df, element):
+    """A file with all elements under a root; for tables of a fixed few rows."""
+    whole = df.agg(F.concat(F.lit("<root>"), F.array_join(F.collect_list(element), "\n"), F.lit("</root>")).alias("value"))
+    return _lines(whole, F.col("value"), "none")
+
+
+def _message_file(spark, sf_dir):
+    """Messages as gzip JSON lines, with notices of deletion and noise between them."""
+    m = _messages(spark, sf_dir).where("text is not null")
+    line = F.to_json(F.struct(*[c for c in m.columns if c != "doc_id"]))
+    noise = F.when(F.col("doc_id") % 7 == 0, F.array(line, F.lit('{"delete": 1}'), F.lit("noise"), F.lit('{"broken'))).otherwise(F.array(line))
+    return _lines(m.select(F.explode(noise).alias("line")), F.col("line"))
+
+
+def source_messages(spark, sf_dir):
+    m = readers.extract(readers.messages(spark, _message_file(spark, sf_dir))).withColumns(R.of_message())
+    day = F.date_format(F.timestamp_millis(F.col("timestamp_ms").cast("long")), "yyyyMMdd")
+    return m.select("tid", "orig_id", F.md5("full_text").alias("text_md5"), day.alias("day"), "Url", "Mention", F.round("Followers", 9).alias("followers"), F.round("Statuses", 9).alias("statuses"), F.col("RetweetCount").cast("long").alias("retweets"), F.col("RetweetLevel").alias("level"))
+
+
+def source_language_lines(spark, sf_dir):
+    rows = readers.language_lines(spark, _message_file(spark, sf_dir))
+    return rows.select(F.get_json_object("json", "$.id_str").alias("tid"), F.md5("text").alias("text_md5"))
+
+
+def enriched_json(spark, sf_dir):
+    """Messages serialised with a score, read again."""
+    lines = readers.messages(spark, _message_file(spark, sf_dir)).withColumn("score", (F.col("user.followers_count") % 100) / 100)
+    path = scratch_path(spark)
+    writers.write_json(readers.enriched(lines, "score"), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.id_str").alias("tid"), F.get_json_object("value", "$.score").cast("double").alias("score"), F.get_json_object("value", "$.user.lang").alias("lang"))
+
+
+def source_keywords(spark, sf_dir):
+    rows = spark.createDataFrame(PROFILES, "pid int, optional string, required string")
+    text = F.concat(F.lit('{"tid": "'), readers.profile_id(F.col("pid")), F.lit('", "keyword": {"0": "'), "optional", F.lit('", "1": "'), "required", F.lit('"}}\r'))
+    return keywords.requirements(keywords.compiled(readers.keywords(spark, _lines(rows, text))))
+
+
+def source_topics(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation")
+    line = F.concat(F.lit("<top>\r\n<num> Number: "), readers.profile_id(F.col("n_nationkey")), F.lit(" </num>\r\n<title>\r\n"), "n_name", F.lit("\r\n</title>\r\n</top>"))
+    return readers.topics(spark, _elements(n, line)).select("pid", "num", "title")
+
+
+def source_vectors(spark, sf_dir):
+    path = scratch_path(spark)
+    writers.write_vector_lines(_vectors(spark, sf_dir), path)
+    back = readers.word_vectors(spark, path)
+    return back.select("word", F.size("vec").alias("size"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+def source_training(spark, sf_dir):
+    """The training file of the twelve features: written, read, fitted inputs summed."""
+    rows = _messages(spark, sf_dir).withColumns(R.of_message()).join(_t(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.col("quality").alias("Importance")), "doc_id")
+    path = scratch_path(spark)
+    writers.write_training(rows, path)
+    back = readers.training_rows(spark, path)
+    n = lambda c: F.sum(F.col(c).cast("int")).alias(c.lower())
+    return back.groupBy("Importance").agg(F.count("*").alias("n"), n("Url"), n("Mention"), F.sum("WordCount").cast("long").alias("words"), F.round(F.sum("Statuses"), 6).alias("statuses"))
+
+
+def source_wiki(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows at any scale
+    body = F.concat(F.lit("\'\'\'"), "n_name", F.lit("\'\'\' lies in [[Region|"), "r_name", F.lit("]] {{box}} &lt;ref&gt;x&lt;/ref&gt; end"))
+    more = F.when(F.col("n_nationkey") % 5 == 0, "<redirect title='x'/>").otherwise("")
+    page = F.concat(F.lit("<page><title>"), "n_name", F.lit("</title><ns>0</ns>"), more, F.lit("<revision><text>"), body, F.lit("</text></revision></page>"))
+    pages = readers.wiki_pages(spark, _elements(n, page))
+    path = scratch_path(spark)
+    writers.write_lines(pages.select(F.concat_ws(" | ", "title", "text").alias("line")), "line", path)
+    return readers.sentences(spark, path).select(F.array_join("words", " ").alias("line"), F.size("words").alias("n"))
+
+
+def source_corpus(spark, sf_dir):
+    d = _docs(spark, sf_dir).where("text is not null and lang is not null")
+    path = _lines(d, F.concat_ws("\t", "lang", writers.one_line(F.translate("text", "\t", " "))))
+    langs = [r.lang for r in d.select("lang").distinct().orderBy("lang").limit(1000).collect()]  # labels are declared with a corpus
+    rows = readers.language_corpus(spark, path, langs)
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def source_feature_counts(spark, sf_dir):
+    d = _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"))
+    return readers.feature_counts(spark, _lines(d, F.concat_ws("\t", F.coalesce("lang", F.lit("none")), F.col("n").cast("string")))).select("ngram", "n")
+
+
+def label_lists(spark, sf_dir):
+    return language.label_lists(_docs(spark, sf_dir).where("lang is not null"), "lang", "doc_id").select("lang", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"), F.size("ids").alias("n"))
+
+
+def file_digest(spark, sf_dir):
+    rows = _scored(spark, sf_dir).withColumns({"total": F.round(F.col("score"), 6), "tid": F.col("seq").cast("string")})
+    path = scratch_path(spark)
+    writers.write_digest(push.digest(rows), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def file_push_log(spark, sf_dir):
+    pushed = push.capped(_scored(spark, sf_dir), _thresholds(spark, sf_dir), scope=["day"])
+    pushed = pushed.withColumns({"tid": F.col("seq").cast("string"), "delivered": F.unix_timestamp("ts"), "similarity": F.lit(0.75), "total": F.lit(0.5), "text": F.col("day")})
+    plain, extended = scratch_path(spark), scratch_path(spark)
+    writers.write_pushes(pushed, plain)
+    writers.write_pushes(pushed, extended, extended=True)
+    return spark.read.text(plain).select(F.col("value").alias("line")).unionByName(spark.read.text(extended).select(F.col("value").alias("line")))
+
+
+def file_history_matrix(spark, sf_dir):
+    stats, path = _stats(spark, sf_dir), scratch_path(spark)
+    wide = history.matrix(stats, "n_related")
+    writers.write_history_matrix(wide, path, wide.columns[1:])
+    back = writers.read_history_matrix(spark, path)
+    return back.select(F.col("pid").cast("long").alias("at"), F.aggregate("values", F.lit(0.0), lambda s, x: s + x).alias("total"), F.size("values").alias("days"))
+
+
+def file_profiles(spark, sf_dir):
+    rows = _scored(spark, sf_dir).where("score > 0.6").withColumns({"tid": F.col("seq").cast("string"), "similarity": F.round("score", 6), "text": F.concat(F.lit("m"), F.col("seq").cast("string"))})
+    path = scratch_path(spark)
+    writers.write_profiles(rows.select("day", "pid", "tid", "similarity", "text"), path)
+    kept = spark.read.schema("day string, pid int, tid string, similarity double, text string").json(f"{path}/json")
+    lines = spark.read.text(f"{path}/text").groupBy("day", "pid").agg(F.count("*").alias("n_lines"))
+    return kept.groupBy(F.col("day").cast("string").alias("day"), "pid").agg(F.count("*").alias("n"), F.round(F.sum("similarity"), 6).alias("total")).join(lines.withColumn("day", F.col("day").cast("string")), ["day", "pid"])
+
+
+def filtered(spark, sf_dir):
+    """The engine from message lines to digest and pushes: gates, classification, score, duplicates, cap. The score is a stand-in
+    for the fitted model's, so that SQL can follow."""
+    messages = readers.extract(readers.messages(spark, _message_file(spark, sf_dir)))
+    scorer = lambda rows: rows.withColumn("score", (F.col("user.followers_count") % 100 + 1) / 100)
+    thresholds = spark.createDataFrame([(p[0], 0.5) for p in PROFILES], "pid int, threshold double")
+    digest, pushed = filtering.filtered(messages, _profiles(spark), scorer, thresholds, hash_of=lambda t: F.md5(t), lang="user.lang", unicode=False)
+    return digest.select("tid", "pid", F.lit("digest").alias("kind"), "rank").unionByName(pushed.select("tid", "pid", F.lit("push").alias("kind"), F.lit(0).alias("rank")))
 
 
 # -- scored stream ------------------------------------------------------------------------------------------------------
@@ -252,7 +410,7 @@ def threshold_col13(spark, sf_dir):
 
 
 def history_pivot(spark, sf_dir):
-    return history.matrix(_stats(spark, sf_dir), "n_related", ["20240101", "20240102", "20240103"])
+    return history.matrix(_stats(spark, sf_dir), "n_related")
 
 
 def push_cap(spark, sf_dir):
@@ -352,11 +510,26 @@ def stream_daily(spark, sf_dir):
     return daily.select(F.date_format("start", "yyyyMMdd").alias("day"), "pid", "n", F.round("best", 9).alias("best"))
 
 
+def stream_engine(spark, sf_dir):
+    """Duplicates by content and origin, and the cap, in one state, over several micro-batches."""
+    from skimmer.streaming import push as S
+
+    path, rows_to = scratch_path(spark), _t(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    rows = _scored(spark, sf_dir).withColumn("hash", F.concat_ws("-", F.col("orig_id").cast("string"), (F.col("seq") % 3).cast("string")))
+    rows = rows.where("score >= 0.15").withColumn("threshold", F.lit(0.5)).drop("user_id")
+    for i in range(4):  # one after another: files are read in the order of their times
+        rows.where(F.floor(F.col("seq") * 4 / (rows_to + 1)) == i).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return S.run_available(S.engine(stream)).select("seq", "kind")
+
+
 NAMES = [
     extract_json, clean_text, char_ratio, tokenize_count, stopwords, text_normalize, collapse_runs, en_counts, keyword_compile, inverted_index,
     prefix_lookup, multigram_contains, candidates, cnf_match, topic_match, cosine_pairs, sim_v1, sim_v2, sim_v3, argmax_profile,
     ranker_features_text, ranker_features_user, ranker_training_join, ranker_score, word2vec, total_score, day_counts_zero_filled, rank_k,
     exp_smoothing, moving_avg_3d, threshold_col13, history_pivot, push_cap, push_counters, push_dedup_pipeline, digest_top100, anti_join_seen,
     running_max_feedback, top2_expansion, sortedness_check, dedup_exact, simhash, ngram_counts, lang_softmax, lang_trained, stream_push, stream_daily,
+    source_messages, source_language_lines, enriched_json, source_keywords, source_topics, source_vectors, source_training, source_wiki, source_corpus,
+    source_feature_counts, label_lists, file_digest, file_push_log, file_history_matrix, file_profiles, filtered, stream_engine,
 ]
 QUERIES = {f"q_{f.__name__}": f for f in NAMES}

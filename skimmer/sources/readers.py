@@ -41,6 +41,11 @@ def messages(spark: SparkSession, path: str) -> DataFrame:
     return parse_messages(spark.read.text(path))
 
 
+def enriched(messages: DataFrame, *more: str) -> DataFrame:
+    """(value): messages as JSON objects, with more of their columns."""
+    return messages.select(F.to_json(F.struct(*MESSAGE.fieldNames(), *more)).alias("value"))
+
+
 def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
     """Lines of files as they come in."""
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
@@ -116,7 +121,7 @@ def materialised(spark: SparkSession, path: str, compute) -> DataFrame:
 
 def training_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of an ARFF file of the twelve features and the class; what precedes the data isn't comma-separated."""
-    raw = spark.read.text(path).select(F.trim(F.regexp_replace("value", "\r$", "")).alias("value"))
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select(F.trim(F.regexp_replace("value", "\r$", "")).alias("value"))
     rows = raw.where(~F.col("value").rlike(r"^\s*([@%].*)?$")).select(F.from_csv("value", TRAINING).alias("r"))
     return rows.select("r.*")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skimmer.functions.features import NAMES
 from skimmer.sources.readers import profile_id
 
 
@@ -53,7 +54,7 @@ def write_history_matrix(wide: DataFrame, path: str, days: list[str]) -> None:
 
 def read_history_matrix(spark, path: str) -> DataFrame:
     """(pid, values) back from it; rows stand in the order of profiles."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))  # a row per profile
     kept = lines.where("at >= 2 and line <> ''")
     return kept.select((F.col("at") - 2).alias("pid"), F.transform(F.split("line", "\t"), lambda x: x.try_cast("double")).alias("values"))
 
@@ -63,6 +64,24 @@ def write_lines(rows: DataFrame, column: str, path: str, mode: str = "overwrite"
     rows.select(one_line(F.col(column)).alias("value")).write.mode(mode).text(path)
 
 
+def write_json(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON objects (value), one a line."""
+    lines.select("value").write.mode(mode).text(path)
+
+
+def write_training(rows: DataFrame, path: str) -> None:
+    """The twelve features and the class as data rows of the training format; the header stands in each file."""
+    names = [*NAMES, "Importance"]
+    head = "@relation messages\n\n" + "\n".join(f"@attribute {c} {'{1,0}' if c == 'Importance' else 'real'}" for c in names) + "\n\n@data"
+    rows.select(F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in names)).alias("value")).write.option("lineSep", "\n").mode("overwrite").text(f"{path}/data")
+    rows.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+
+
+def write_vector_lines(vectors: DataFrame, path: str) -> None:
+    """(word, vec) in the text layout of word vectors, without its header."""
+    vectors.select(F.concat_ws(" ", "word", F.array_join(F.col("vec").cast("array<string>"), " ")).alias("value")).write.mode("overwrite").text(path)
+
+
 def one_line(text: Column) -> Column:
     return F.regexp_replace(text, r"[\r\n]+", " ")
 

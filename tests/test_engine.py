@@ -123,6 +123,33 @@ def test_window_form_equals_the_sequence(spark, seed):
     assert (sorted(r.seq for r in related.collect()), sorted(r.seq for r in pushed.collect())) == (want[0], sorted(want[1]))
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_stream_equals_the_sequence(spark, tmp_path, seed):
+    """Over several micro-batches, with origins of many profiles and contents of many origins: where the window form may differ."""
+    from skimmer.streaming import push as S
+
+    rng = random.Random(seed)
+    rows = [(seq, f"h{rng.randrange(60)}", rng.randrange(40), rng.randrange(3), rng.random()) for seq in range(240)]
+    schema = "seq long, hash string, orig_id long, pid int, score double"
+    for i in range(3):
+        part = spark.createDataFrame(rows[i * 80 : i * 80 + 80], schema).withColumns({"threshold": F.lit(0.6), "day": F.lit("20240101"), "all": F.lit(0), "ts": F.timestamp_seconds(F.lit(1704067200) + F.col("seq"))})
+        part.repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = S.run_available(S.engine(stream, cap=4, scope=("all",))).collect()
+    counts: dict = {}
+    hashes, ids, related, pushed = set(), set(), [], []
+    for seq, h, orig, pid, score in rows:  # one cap for the whole scope
+        if h in hashes or orig in ids:
+            continue
+        if counts.get(0, 0) < 4 and round(score, 12) > 0.6:
+            counts[0] = counts.get(0, 0) + 1
+            pushed.append(seq)
+            ids.add(orig)
+        related.append(seq)
+        hashes.add(h)
+    assert (sorted(r.seq for r in got if r.kind == "related"), sorted(r.seq for r in got if r.kind == "pushed")) == (related, pushed)
+
+
 def test_fingerprints(spark):
     a, b, c = col(spark, ["The same text!", "the  SAME text", "another one"], lambda v: dedup.bit_votes(dedup.shingled(v)))
     assert a == b != c
@@ -213,3 +240,48 @@ def test_writers_round_trip(spark, tmp_path):
     wide = spark.createDataFrame([(1, 3.0, 4.0), (0, 1.0, 2.0)], "pid int, a double, b double")
     writers.write_history_matrix(wide, str(tmp_path / "m"), ["a", "b"])
     assert [r["values"] for r in writers.read_history_matrix(spark, str(tmp_path / "m")).orderBy("pid").collect()] == [[1.0, 2.0], [3.0, 4.0]]
+
+
+def test_readers_of_folders_and_tables(spark, tmp_path):
+    for day, line in (("01", "20150701\tMB226\tQ0\t9\t1\t0.5\tRUN"), ("02", "20150702\tMB227\tQ0\t8\t1\t0.25\tRUN")):
+        (tmp_path / "h").mkdir(exist_ok=True)
+        (tmp_path / "h" / f"day{day}").write_text(line + "\n")
+    rows = readers.history(spark, str(tmp_path / "h")).collect()
+    assert sorted(map(tuple, rows)) == [("01", 0, "9", 0.5), ("02", 1, "8", 0.25)]
+    writers.write_history(spark.createDataFrame([("01", 0, "9", 0.5)], "day string, pid int, tid string, score double"), str(tmp_path / "t"))
+    assert tuple(readers.named_history(spark, str(tmp_path / "t")).first()) == ("01", 0, "9", 0.5)
+    made = []
+    compute = lambda: made.append(1) or spark.range(3)
+    assert [readers.materialised(spark, str(tmp_path / "m"), compute).count() for _ in range(2)] == [3, 3] and made == [1]
+    (tmp_path / "e").write_text("a  b c\n")
+    assert readers.expanded_profiles(spark, str(tmp_path / "e")).first().words == ["a", "b", "c"]
+    pages = spark.createDataFrame([("T", "Some Words " * 30), ("short", "a b")], "title string, text string")
+    assert [(r.title, len(r.words)) for r in readers.wiki_words(pages).collect()] == [("T", 60)]
+    spark.createDataFrame([("ab", "en", 1.0)], "ngram string, lang string, weight double").write.parquet(str(tmp_path / "w"))
+    assert readers.language_weights(spark, str(tmp_path / "w")).first().weight == 1.0
+
+
+def test_stream_of_lines_and_contents(spark, tmp_path):
+    from skimmer.streaming import push as S
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text("x\ny\nx\n")
+    seen, log = [], []
+    listener = S.progress_listener(lambda *a: log.append(a))
+    spark.streams.addListener(listener)
+    query = S.start(readers.stream_lines(spark, str(tmp_path / "in")), lambda batch, i: seen.extend(r.value for r in batch.collect()), str(tmp_path / "c"))
+    query.awaitTermination()
+    spark.streams.removeListener(listener)
+    assert sorted(seen) == ["x", "x", "y"]
+    rows = readers.stream_lines(spark, str(tmp_path / "in")).select(F.col("value").alias("hash"), F.timestamp_seconds(F.lit(1704067200)).alias("ts"))
+    assert sorted(r.hash for r in S.run_available(S.new_contents(rows)).collect()) == ["x", "y"]
+
+
+def test_expansion_and_english_gate(spark):
+    terms = spark.createDataFrame([(1, "new"), (1, "a")], "pid int, word string")
+    got = feedback.expanded(spark.createDataFrame([(1, ["a"]), (2, ["b"])], "pid int, optional array<string>"), terms)
+    assert {r.pid: r.optional for r in got.collect()} == {1: ["a", "new"], 2: ["b"]}
+    corpus = spark.createDataFrame([("en", "the cat and the dog"), ("fr", "le chat et le chien")] * 5, "lang string, text string")
+    lines = spark.createDataFrame([(1, "the dog and cat"), (2, "le chien et chat")], "k int, text string")
+    assert [r.k for r in language.english_lines(lines, "k", "text", language.train(corpus, 2), 2).collect()] == [1]
+    assert [r.word for r in K.lookup(spark.createDataFrame([("a",)], "word string"), spark.createDataFrame([("a",), ("b",)], "word string")).collect()] == ["a"]

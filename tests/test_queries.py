@@ -9,7 +9,7 @@ from skimmer.plans.oracles import ORACLES
 from skimmer.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "customer events documents embeddings labels".split()
+TABLES = "customer events documents embeddings labels nation region".split()
 
 
 @pytest.fixture(scope="module")
