@@ -50,7 +50,7 @@ def hits(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", item_i
     positions are shuffled by window hash, without the words, and the words of texts with a hit are fetched again to verify."""
     tests = scratch(windows(bench, item_id, item_text, size))
     count, lens = tests.agg(F.count("*"), F.sort_array(F.collect_set("len"))).first()
-    few, keys = count <= broadcast_rows, tests.select("h", "len").distinct()
+    few, keys = count <= broadcast_rows, tests.select("h", "len")
     n = F.size("words")
     # Plain array access in generated code: slice() copies the whole array, once for each window.
     window = lambda k: [F.get("words", F.col("start") + j) for j in range(k)]
