@@ -445,7 +445,7 @@ def log_inclusion(logp: float, bound: float) -> float:
 SAMPLE = "sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, exact boolean"
 
 
-def sample_encodings(docs: DataFrame, doc_id="doc_id", text="text", k: int = 2, seed: int = 0, model: str | None = None, alpha: float = 1.0, with_ids: bool = True, group: int = 150_000) -> DataFrame:
+def sample_encodings(docs: DataFrame, doc_id="doc_id", text="text", k: int = 2, seed: int = 0, model: str | None = None, alpha: float = 1.0, with_ids: bool = True, group: int = 60_000) -> DataFrame:
     """Up to k distinct segmentations per row of docs, best perturbed value first (sample 0), with their ids and whether the
     ids decode to the very text. alpha: exponent of the piece probabilities.
 
