@@ -90,6 +90,15 @@ class Trie:
         order = np.argsort(keys)
         self.keys, self.next = keys[order], np.array(list(child.values()), np.int64)[order]
         self.value, self.logp = np.array(value), np.array(logp)
+        self.first = np.full(0x110000, -1, np.int64)  # from the root, by character
+        top = self.keys < 1 << 21
+        self.first[self.keys[top]] = self.next[top]
+
+    def begin(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """step() from the root."""
+        node = self.first[c]
+        on = np.flatnonzero(node >= 0)
+        return on, node[on]
 
     def step(self, node: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which go on, their next nodes)."""
@@ -117,7 +126,7 @@ class Lattices:
         node, frm, to, ids, own = np.zeros(len(text), np.int64), [], [], [], []
         here = pos
         for k in range(1, self.v.longest + 1):
-            on, node = self.trie.step(node, text[here + k - 1])
+            on, node = self.trie.begin(text) if k == 1 else self.trie.step(node, text[here + k - 1])
             here = here[on]
             found = self.trie.value[node] >= 0
             frm.append(here[found])
