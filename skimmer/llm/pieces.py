@@ -55,6 +55,9 @@ class Vocabulary:
             self.bytes[i] = sp.id_to_piece(i).replace(BLANK, " ").encode()
         for b, i in self.byte_id.items():
             self.bytes[i] = bytes([b])
+        self.sizes = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
 
 def chunked(text: str) -> tuple[list[str], str]:
@@ -72,7 +75,9 @@ def chunked(text: str) -> tuple[list[str], str]:
 
 
 class Trie:
-    """The vocabulary's pieces by character, as sorted (node, character) keys: one search steps many strings at once."""
+    """The vocabulary's pieces by character, as (node, character) keys in an open hash table: one look steps many strings at once."""
+
+    BITS = 18
 
     def __init__(self, vocabulary: Vocabulary):
         child: dict[tuple[int, str], int] = {}
@@ -87,12 +92,24 @@ class Trie:
                 node = child[node, c]
             value[node], logp[node] = i, p
         keys = np.array([(n << 21) | ord(c) for n, c in child], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.next = keys[order], np.array(list(child.values()), np.int64)[order]
+        following = np.array(list(child.values()), np.int64)
+        while len(keys) > 1 << self.BITS - 2:
+            self.BITS += 1
+        self.keys, self.next = np.full(1 << self.BITS, -1, np.int64), np.zeros(1 << self.BITS, np.int64)
+        left, slot = np.arange(len(keys)), self.slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            taken, who = np.unique(slot[free], return_index=True)
+            self.keys[taken], self.next[taken] = keys[left[free[who]]], following[left[free[who]]]
+            rest = np.flatnonzero(self.keys[slot] != keys[left])
+            left, slot = left[rest], (slot[rest] + 1) & ((1 << self.BITS) - 1)
         self.value, self.logp = np.array(value), np.array(logp)
         self.first = np.full(0x110000, -1, np.int64)  # from the root, by character
-        top = self.keys < 1 << 21
-        self.first[self.keys[top]] = self.next[top]
+        top = keys < 1 << 21
+        self.first[keys[top]] = following[top]
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).view(np.int64)
 
     def begin(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """step() from the root."""
@@ -103,9 +120,17 @@ class Trie:
     def step(self, node: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which go on, their next nodes)."""
         key = (node << 21) | c
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        on = np.flatnonzero(self.keys[at] == key)
-        return on, self.next[at[on]]
+        slot = self.slot(key)
+        held = self.keys[slot]
+        hit = held == key
+        open_ = np.flatnonzero(~hit & (held >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.BITS) - 1)
+            held = self.keys[slot[open_]]
+            hit[open_] = held == key[open_]
+            open_ = open_[~hit[open_] & (held >= 0)]
+        on = np.flatnonzero(hit)
+        return on, self.next[slot[on]]
 
 
 class Lattices:
@@ -113,8 +138,53 @@ class Lattices:
     order of their nodes. cum[e] is the node plus the summed conditional probability of its edges up to e, so one sorted
     search draws an edge for any node."""
 
+    KEPT, SHORT, BLOCK = 1 << 20, 24, 1 << 16  # edges kept, characters of a kept chunk at most, characters built at once
+
     def __init__(self, vocabulary: Vocabulary, alpha: float = 1.0):
         self.v, self.alpha, self.trie = vocabulary, alpha, Trie(vocabulary)
+        self.first: dict[str, int] = {}
+        self.passing: list[str] = []
+        self.nodes, self.edges = 0, 0  # kept
+        self.room = np.zeros(1, np.int64), *(np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.float64))
+
+    def of(self, kinds: list[str]):
+        """((edge, to, id, cum, logq), first node by chunk) of these chunks at least, until the next call. Lattices of short chunks stay for
+        later calls while there is room; others are built anew when they come again."""
+        for c in self.passing:
+            del self.first[c]
+        new = [c for c in kinds if c not in self.first]
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        order = np.argsort(size > self.SHORT, kind="stable")
+        new, size = [new[i] for i in order.tolist()], size[order]
+        # blocks of about as many characters, and none of short and long chunks
+        block = np.cumsum(size) // self.BLOCK + (size > self.SHORT) * (int(size.sum()) // self.BLOCK + 1)
+        cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(new)).tolist()
+        self.passing, parts, nodes, edges = [], [], self.nodes, self.edges
+        for at, to in zip(cuts, cuts[1:]):
+            (edge, *part), first = self.build(new[at:to])
+            self.first.update(zip(new[at:to], (first + nodes).tolist()))
+            part[0] += nodes
+            part[2] += nodes
+            parts.append((edge[1:] + edges, *part))
+            nodes, edges = nodes + len(edge) - 1, edges + len(part[0])
+            if not self.passing and edges <= self.KEPT and size[to - 1] <= self.SHORT:
+                self.nodes, self.edges = nodes, edges
+            else:
+                self.passing += new[at:to]
+        grown = sum(len(p[0]) for p in parts), sum(len(p[1]) for p in parts)
+        n, e = nodes - grown[0], edges - grown[1]
+        room = self.room
+        if nodes >= len(room[0]) or edges > len(room[1]):
+            more = [nodes + nodes // 2 + 1 - n - 1] + [edges + edges // 2 - e] * 4
+            room = tuple(np.concatenate([r[:had], np.zeros(m, r.dtype)]) for r, had, m in zip(room, [n + 1] + [e] * 4, more))
+            if edges <= 2 * self.KEPT:  # beyond, for this call only
+                self.room = room
+        for edge, *part in parts:
+            room[0][n + 1 : n + 1 + len(edge)] = edge
+            for r, x in zip(room[1:], part):
+                r[e : e + len(x)] = x
+            n, e = n + len(edge), e + len(part[0])
+        return (room[0][: nodes + 1], *(r[:edges] for r in room[1:])), self.first
 
     def build(self, chunks: list[str]):
         """((edge, to, id, cum, logq), first node of each chunk)."""
@@ -269,10 +339,9 @@ def sample_group(lattices: Lattices, keys: np.ndarray, chunk_lists: list[list[st
     """For each text of a group a list of (edges, log-probability, perturbed value), best first, and the bound that was left."""
     counts = np.array([len(c) for c in chunk_lists], np.int64)
     kinds = list(dict.fromkeys(chain.from_iterable(chunk_lists)))
-    number = dict(zip(kinds, range(len(kinds))))
     if kinds:
-        arrays, first = lattices.build(kinds)
-        start = first[np.fromiter(map(number.__getitem__, chain.from_iterable(chunk_lists)), np.int64, int(counts.sum()))]
+        arrays, first = lattices.of(kinds)
+        start = np.fromiter(map(first.__getitem__, chain.from_iterable(chunk_lists)), np.int64, int(counts.sum()))
     else:
         arrays, start = None, np.zeros(0, np.int64)
     ends = np.cumsum(counts)
@@ -404,9 +473,16 @@ def sum_counts(count_of, q, a, b):
     return count_of[q][a:b].sum()
 
 
-def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> bytes:
+def decode_ids(vocabulary: Vocabulary, ids, block: int = 1 << 18) -> bytes:
     """The text's bytes; the blank before it is taken off."""
-    return b"".join(map(vocabulary.bytes.__getitem__, ids))[1:]
+    ids, out = np.asarray(ids, np.int64), []
+    for i in range(0, len(ids), block):
+        some = ids[i : i + block]
+        sizes = vocabulary.sizes[some]
+        at = np.repeat(vocabulary.starts[some] - (np.cumsum(sizes) - sizes), sizes)
+        at += np.arange(len(at))
+        out.append(vocabulary.flat[at].tobytes())
+    return b"".join(out)[1:]
 
 
 def spelled(vocabulary: Vocabulary, ids: np.ndarray, own: str) -> np.ndarray:
@@ -488,8 +564,8 @@ def sample_encodings(docs: DataFrame, doc_id="doc_id", text="text", k: int = 2,
                     whole = texts[at + i].encode("utf-8", "replace")
                     for s, (edges, logp, value) in enumerate(found):
                         ids = spelled(v, arrays[2][edges], owns[i]) if len(edges) else np.zeros(0, np.int64)
-                        raw, ids = ids.astype("<u4").tobytes(), ids.tolist()
-                        row = (names[at + i], s, len(ids), logp, value, log_inclusion(logp, bound), zlib.crc32(raw), decode_ids(v, ids) == whole)
+                        crc = zlib.crc32(ids.astype("<u4").tobytes())
+                        row = (names[at + i], s, len(ids), logp, value, log_inclusion(logp, bound), crc, decode_ids(v, ids) == whole)
                         rows.append((*row, ids) if with_ids else row)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()] + [pa.list_(pa.int32())] * with_ids
                 cols = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)]
