@@ -138,7 +138,7 @@ class Lattices:
     order of their nodes. cum[e] is the node plus the summed conditional probability of its edges up to e, so one sorted
     search draws an edge for any node."""
 
-    KEPT, SHORT, BLOCK = 1 << 20, 24, 1 << 16  # edges kept, characters of a kept chunk at most, characters built at once
+    KEPT, SHORT, BLOCK = 1 << 18, 24, 1 << 16  # edges kept, characters of a kept chunk at most, characters built at once
 
     def __init__(self, vocabulary: Vocabulary, alpha: float = 1.0):
         self.v, self.alpha, self.trie = vocabulary, alpha, Trie(vocabulary)
@@ -172,18 +172,20 @@ class Lattices:
             else:
                 self.passing += new[at:to]
         grown = sum(len(p[0]) for p in parts), sum(len(p[1]) for p in parts)
-        n, e = nodes - grown[0], edges - grown[1]
+        n, e = had = nodes - grown[0], edges - grown[1]
         room = self.room
         if nodes >= len(room[0]) or edges > len(room[1]):
             more = [nodes + nodes // 2 + 1 - n - 1] + [edges + edges // 2 - e] * 4
-            room = tuple(np.concatenate([r[:had], np.zeros(m, r.dtype)]) for r, had, m in zip(room, [n + 1] + [e] * 4, more))
-            if edges <= 2 * self.KEPT:  # beyond, for this call only
-                self.room = room
+            room = tuple(np.concatenate([r[:i], np.zeros(m, r.dtype)]) for r, i, m in zip(room, [n + 1] + [e] * 4, more))
         for edge, *part in parts:
             room[0][n + 1 : n + 1 + len(edge)] = edge
             for r, x in zip(room[1:], part):
                 r[e : e + len(x)] = x
             n, e = n + len(edge), e + len(part[0])
+        if edges <= 2 * self.KEPT:
+            self.room = room
+        elif had != (self.nodes, self.edges):  # beyond, what passes by is for this call only
+            self.room = room[0][: self.nodes + 1].copy(), *(r[: self.edges].copy() for r in room[1:])
         return (room[0][: nodes + 1], *(r[:edges] for r in room[1:])), self.first
 
     def build(self, chunks: list[str]):

@@ -592,6 +592,26 @@ def test_sampling_without_replacement():
     assert weight == pytest.approx(1, abs=0.03)  # weighted by inclusion, samples stand for the whole
 
 
+def test_kept_lattices_equal_new_ones():
+    """Lattices that stay from call to call, pass by or outgrow their room against ones built alone."""
+    from skimmer.llm.pieces import Lattices
+
+    own = Lattices(pieces.lattices(None, 1.0).v)
+    own.KEPT, own.SHORT, own.BLOCK = 120, 6, 40
+    alone = pieces.lattices(None, 1.0)
+    calls = [["▁the", "▁cat", "▁\u4e2d\u2603x"], ["▁the", "▁" + "long" * 40, "▁dog"], [], ["▁cat", "▁dog", "▁" + "z" * 300], ["▁the", *(f"▁w{i}" for i in range(60))], ["▁cat", "▁w3"]]
+    for kinds in calls:
+        (edge, to, ids, cum, logq), first = own.of(kinds)
+        for kind in kinds:
+            (edge1, to1, ids1, cum1, logq1), _ = alone.build([kind])
+            n, e = first[kind], int(edge[first[kind]])
+            span = slice(e, e + len(ids1))
+            assert (edge[n : n + len(kind) + 2] - e == edge1).all()
+            assert (to[span] - n == to1).all() and (ids[span] == ids1).all()
+            assert np.allclose(cum[span] - n, cum1, atol=1e-9) and np.allclose(logq[span], logq1)
+    assert own.edges <= own.KEPT and all(len(c) <= own.SHORT for c in own.first if c not in own.passing)
+
+
 def test_encode_and_decode(spark):
     texts = ["Hello  world\n", "", None, " x", "a▁b", "漢字 😀", "ab", "x" * 3000, "tab\tand more "]
     d = docs(spark, texts)
