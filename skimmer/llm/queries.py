@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skimmer.llm import decontaminate, language_id, license_scan, lm_score, nearest, pieces, secret_scan, simhash, token_file, toxicity
+from skimmer.llm import conversation_repair, decontaminate, language_id, license_scan, lm_score, nearest, pieces, secret_scan, sharding, simhash, token_file, toxicity, whitening
 
 QUERIES = {
     "op1_lm_score": lm_score.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_token_file": token_file.query,
     "op10_language_id": language_id.query,
+    "op11_conversation_repair": conversation_repair.query,
+    "op12_whitening": whitening.query,
+    "op13_sharding": sharding.query,
 }
 
 ORACLES: dict[str, str] = {
