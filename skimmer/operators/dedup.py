@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skimmer.functions.text import characters, let
+from skimmer.operators.match import small
+from skimmer.scratch import scratch
 
 
 def bit_votes(words: Column, bits: int = 64) -> Column:
@@ -82,11 +84,13 @@ def unseen(rows: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
 def related_and_pushed(accepted: DataFrame, thresholds: DataFrame, cap: int = 10, scope: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(related, pushed) of accepted rows (seq, hash, orig_id, pid, score): the sequential rule in window form.
 
-    Equal where rows of one orig_id have one profile and equal hashes one orig_id; streaming.push.engine is the stateful form."""
-    first = first_by(accepted, ["hash"], ["seq"])
-    over = first.join(F.broadcast(thresholds.select("pid", "threshold")), "pid") if thresholds.limit(100_001).count() <= 100_000 else first.join(thresholds.select("pid", "threshold"), "pid")
+    Equal where rows of one orig_id have one profile and equal hashes one orig_id; streaming.push.engine is the stateful form. First
+    rows and pushes are written once."""
+    first = scratch(first_by(accepted, ["hash"], ["seq"]))
+    over = first.join(small(scratch(thresholds.select("pid", "threshold"))), "pid")
     over = first_by(over.where(F.round("score", 12) > F.col("threshold")), ["orig_id"], ["seq"]).drop("threshold")
     pushed = over.withColumn("at", F.row_number().over(Window.partitionBy("pid", *scope).orderBy("seq"))).where(F.col("at") <= cap).drop("at")
+    pushed = scratch(pushed)
     earlier = pushed.select("orig_id", F.col("seq").alias("pushed_at"))
     related = first.join(earlier, "orig_id", "left").where("pushed_at is null or seq <= pushed_at").drop("pushed_at")
     return related, pushed

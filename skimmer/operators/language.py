@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skimmer.functions import text as X
+from skimmer.functions.decode import html_entities
+from skimmer.operators import trie
 from skimmer.operators.match import small
 
 LEAST_PROBABILITY = 0.6
@@ -20,7 +23,11 @@ def substrings(docs: DataFrame, key: str, text: Column, longest: int) -> DataFra
 
 
 def ngram_counts(docs: DataFrame, key: str, text: Column, longest: int, dictionary: DataFrame | None = None) -> DataFrame:
-    """(key, ngram, n); only n-grams of the dictionary, looked up before anything is shuffled."""
+    """(key, ngram, n); with a dictionary only its n-grams, found by a walk of their trie: other substrings are never rows."""
+    words = None if dictionary is None else trie.gathered(dictionary, "ngram")
+    if words is not None:
+        found = trie.pattern_rows(docs, key, text, trie.shared_patterns(docs.sparkSession, [w for w in words if len(w) <= longest]))
+        return found.groupBy(key, F.col("word").alias("ngram")).agg(F.sum("n").alias("n"))
     rows = substrings(docs, key, text, longest)
     if dictionary is not None:
         rows = rows.join(small(dictionary.select("ngram").distinct(), 2_000_000), "ngram")
@@ -45,7 +52,7 @@ def train(corpus: DataFrame, longest: int = 3, smoothing: float = 0.5, least: in
     """(ngram, lang, weight): log-probabilities of n-grams by language against their mean, from texts (lang, text).
 
     Counts are grouped with partial sums; n-grams of fewer than ``least`` occurrences are left out."""
-    rows = substrings(corpus, "lang", X.with_bounds(X.normalise_language(F.col("text"))), longest)
+    rows = substrings(corpus.select("lang", body_of(F.col("text")).alias("text")), "lang", F.col("text"), longest)
     n = rows.groupBy("ngram", "lang").agg(F.count("*").alias("n"))
     langs, by_lang = n.select("lang").distinct(), n.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = n.groupBy("ngram").agg(F.sum("n").alias("seen")).where(F.col("seen") >= least).select("ngram")
@@ -56,14 +63,63 @@ def train(corpus: DataFrame, longest: int = 3, smoothing: float = 0.5, least: in
     return full.select("ngram", "lang", logp.alias("l")).select("ngram", "lang", (F.col("l") - mean).alias("weight"))
 
 
+def label_of(text: Column, weights: DataFrame, least: float = LEAST_PROBABILITY, most: int = 2_000_000) -> Column:
+    """struct<lang, p> of each text, as labels() of probabilities() give it, with no shuffle: on a stream, too. Null if the text holds
+    no n-gram of the model. The model, up to ``most`` weights, goes to every worker as a trie and a matrix."""
+    spark = weights.sparkSession
+    table = weights.select("ngram", "lang", F.col("weight").cast("double").alias("weight")).where("ngram <> '' and lang is not null").limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise ValueError("a model of so many weights is joined: see probabilities()")
+    ngrams, langs = table.column("ngram").to_pylist(), table.column("lang").to_pylist()
+    names, words = sorted(set(langs)), sorted(set(ngrams))
+    at, col = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(names)}
+    matrix = np.zeros((len(words), len(names)))
+    there = np.zeros((len(words), len(names)), bool)
+    where = (np.array([at[w] for w in ngrams], int), np.array([col[x] for x in langs], int))
+    np.add.at(matrix, where, table.column("weight").to_numpy())
+    there[where] = True
+    patterns, model = trie.shared_patterns(spark, words), spark.sparkContext.broadcast((names, matrix, there))
+
+    @F.pandas_udf("lang string, p double")
+    def run(texts):
+        import pandas as pd
+
+        names, matrix, there = model.value
+        row, pattern, n = trie.built(patterns).counts([t or "" for t in texts])
+        size = len(texts)
+        sums = np.stack([np.bincount(row, matrix[pattern, j] * n, size) for j in range(len(names))], axis=1) if names else np.zeros((size, 1))
+        met = np.stack([np.bincount(row, there[pattern, j], size) > 0 for j in range(len(names))], axis=1) if names else np.zeros((size, 1), bool)
+        sums = np.where(met, sums, -np.inf)
+        best = sums.argmax(axis=1)  # the first of equal ones, by name
+        top = sums[np.arange(size), best]
+        some = np.isfinite(top)
+        p = 1 / np.exp(sums - np.where(some, top, 0)[:, None]).sum(axis=1, where=met, initial=1e-300)
+        lang = [None if not s else names[b] if q >= least else "" for s, b, q in zip(some, best, p)]
+        return pd.DataFrame({"lang": lang, "p": np.where(some, p, np.nan)})
+
+    found = run(text)
+    return F.when(found["lang"].isNotNull(), found)
+
+
+def body_of(text: Column) -> Column:
+    """What n-grams are taken from: entities decoded, normalised, with its bounds marked."""
+    return X.with_bounds(X.normalise_language(html_entities(text)))
+
+
 def identify(docs: DataFrame, key: str, text: str, weights: DataFrame, longest: int = 3) -> DataFrame:
-    body = X.with_bounds(X.normalise_language(F.col(text)))
-    return labels(probabilities(ngram_counts(docs, key, body, longest, weights), weights, key), key)
+    """(key, lang, p); keys are unique. weights: as train() makes them, n-grams of up to longest."""
+    rows = docs.select(key, label_of(body_of(F.col(text)), weights.where(F.length("ngram") <= longest)).alias("__label"))
+    return rows.where("`__label` is not null").select(key, "__label.lang", "__label.p")
+
+
+def english(rows: DataFrame, text: str, weights: DataFrame) -> DataFrame:
+    """The rows found to be English, batch or stream."""
+    return rows.withColumn("__label", label_of(body_of(F.col(text)), weights)).where(F.col("__label")["lang"] == "en").drop("__label")
 
 
 def english_lines(lines: DataFrame, key: str, text: str, weights: DataFrame, longest: int = 3) -> DataFrame:
     """The rows found to be English."""
-    return lines.join(identify(lines, key, text, weights, longest).where("lang = 'en'").select(key), key, "left_semi")
+    return english(lines, text, weights.where(F.length("ngram") <= longest))
 
 
 def label_lists(rows: DataFrame, label: str, key: str) -> DataFrame:

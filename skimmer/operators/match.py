@@ -56,7 +56,67 @@ def matches(tokens: DataFrame, requirements: DataFrame, n_clauses: DataFrame, ke
     return hit.join(small(n_clauses.select("pid", "n_clauses")), "pid").where("hit = n_clauses").select(key, "pid")
 
 
+def scored_matches(tokens: DataFrame, compiled: DataFrame, key: str, optionals: DataFrame | None = None) -> DataFrame:
+    """(key, pid, met, n_optional) of matches(), with the number of the profile's optional words that the text holds: one join and
+    one aggregate over the tokens. optionals: (pid, optional) where other words than compiled's count, such as expanded ones."""
+    own = compiled.select("pid", "optional") if optionals is None else optionals.select("pid", "optional")
+    asked = compiled.select("pid", F.posexplode("clauses").alias("clause", "words")).select("pid", "clause", F.explode("words").alias("word"))
+    words = asked.unionByName(own.select("pid", F.lit(None).cast("int").alias("clause"), F.explode("optional").alias("word")))
+    sizes = compiled.select("pid", "n_clauses").join(own.select("pid", F.size("optional").alias("n_optional")), "pid")
+    hit = tokens.join(small(words), "word").groupBy(key, "pid").agg(F.size(F.collect_set("clause")).alias("hit"), F.count_if(F.col("clause").isNull()).alias("met"))
+    return hit.join(small(sizes), "pid").where("hit = n_clauses").select(key, "pid", "met", "n_optional")
+
+
 def matches_by_arrays(docs: DataFrame, compiled: DataFrame, key: str, words: Column) -> DataFrame:
     """The same by array tests; for few profiles, where no shuffle at all is wanted."""
     rows = docs.select(key, words.alias("words")).join(small(compiled.select("pid", "clauses", F.flatten("clauses").alias("any"))), F.arrays_overlap("words", "any"))
     return rows.where(F.forall("clauses", lambda c: F.arrays_overlap(c, F.col("words")))).select(key, "pid")
+
+
+class Index:
+    """Compiled profiles as look-up tables of a task: a text's words to its best profile, row by row. It is what matches(),
+    exact_score() and argmax() give, with no shuffle, for streams."""
+
+    def __init__(self, compiled: DataFrame, most: int = 100_000):
+        rows = compiled.select("pid", "optional", "clauses").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError("so many profiles are joined: see matches()")
+        self.shared = compiled.sparkSession.sparkContext.broadcast([(r.pid, list(r.optional), [list(c) for c in r.clauses]) for r in rows])
+
+    def best(self, words: Column) -> Column:
+        """struct<pid, similarity>, null if no profile is met."""
+        shared = self.shared
+
+        @F.pandas_udf("pid int, similarity double")
+        def run(texts):
+            import pandas as pd
+
+            asked, n, own = _tables(shared)
+            out = []
+            for text in texts:
+                met: dict = {}
+                for w in () if text is None else text:
+                    for pid, clause in asked.get(w, ()):
+                        met.setdefault(pid, set()).add(clause)
+                found = [(-((sum(o in text for o in own[pid]) / len(own[pid])) ** 0.5), pid) for pid, hit in met.items() if len(hit) == n[pid]]
+                out.append((min(found)[1], -min(found)[0] / 2 + 0.5) if found else (None, None))
+            return pd.DataFrame(out, columns=["pid", "similarity"]).astype({"pid": "Int32", "similarity": "Float64"})
+
+        found = run(words)
+        return F.when(found["pid"].isNotNull(), found)
+
+
+_indices: dict = {}
+
+
+def _tables(shared):
+    """({word: [(pid, clause)]}, {pid: number of clauses}, {pid: its optional words}), made once a worker."""
+    if id(shared.value) not in _indices:
+        asked: dict = {}
+        for pid, _, clauses in shared.value:
+            for i, c in enumerate(clauses):
+                for w in c:
+                    asked.setdefault(w, []).append((pid, i))
+        _indices.clear()
+        _indices[id(shared.value)] = shared.value, (asked, {pid: len(c) for pid, _, c in shared.value}, {pid: o for pid, o, _ in shared.value})
+    return _indices[id(shared.value)][1]

@@ -57,8 +57,13 @@ def final(sim: Column) -> Column:
 
 def argmax(scores: DataFrame, key: str) -> DataFrame:
     """(key, pid, similarity): the best profile, the lowest on ties."""
-    best = scores.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("sim"), "pid"))).where("at = 1")
-    return best.select(key, "pid", final(F.col("sim")).alias("similarity"))
+    best = scores.groupBy(key).agg(F.max(F.struct("sim", (-F.col("pid")).alias("back"))).alias("best"))
+    return best.select(key, (-F.col("best.back")).alias("pid"), final(F.col("best.sim")).alias("similarity"))
+
+
+def exact_sim(met: Column, n_optional: Column, version: int = 1) -> Column:
+    """score() where only equal words count: met of n_optional keywords are there."""
+    return {1: F.sqrt(F.try_divide(met, n_optional)), 2: F.try_divide(met, n_optional), 3: met.cast("double")}[version]
 
 
 def exact_score(matched: DataFrame, tokens: DataFrame, optionals: DataFrame, key: str) -> DataFrame:

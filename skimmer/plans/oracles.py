@@ -83,7 +83,53 @@ full_m AS (SELECT *, source || ' ' || regexp_replace(body, '\t+|\n+', ' ', 'g')
 _LOG = "round(CASE WHEN {0} > 0 THEN log10({0}) ELSE 0 END, 9)"
 FULL = {"gated": GATED.replace("SELECT doc_id, text FROM documents", "SELECT doc_id, text FROM (SELECT doc_id, full_text AS text, lang FROM full_m)")}
 
+# The days that events has; a view can't take its columns from the data.
+DAYS = [f"202401{i:02d}" for i in range(1, 31)]
+
+# The adaptive threshold as a fold over a profile's day: (rows, pushed, threshold, window, seqs pushed).
+ADAPTIVE = f"""WITH {S}, pr AS (SELECT pid, avg(n) AS predicted FROM (SELECT pid, day, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT s.pid, day, list({{'r': 0::BIGINT, 'n': 0::BIGINT, 't': 0.3::DOUBLE, 'w': 0.618::DOUBLE, 'out': []::BIGINT[], 'seq': seq, 'score': score, 'p': predicted}} ORDER BY seq) AS x
+  FROM s JOIN pr ON pr.pid = s.pid GROUP BY 1, 2),
+f AS (SELECT pid, day, list_reduce(list_prepend({{'r': 0::BIGINT, 'n': 0::BIGINT, 't': 0.3::DOUBLE, 'w': 0.618::DOUBLE, 'out': []::BIGINT[], 'seq': 0::BIGINT, 'score': 0::DOUBLE, 'p': 1::DOUBLE}}, x),
+  lambda a, b: {{'r': a.r + 1, 'n': a.n + CASE WHEN a.n < 10 AND round(b.score, 12) > a.t THEN 1 ELSE 0 END,
+    't': CASE WHEN a.n < 10 AND (a.r + 1) / b.p > a.w THEN a.t * 0.95 ELSE a.t END, 'w': CASE WHEN a.n < 10 AND (a.r + 1) / b.p > a.w THEN a.w * 1.1 ELSE a.w END,
+    'out': CASE WHEN a.n < 10 AND round(b.score, 12) > a.t THEN list_append(a.out, b.seq) ELSE a.out END, 'seq': b.seq, 'score': b.score, 'p': b.p}}) AS y FROM g)
+SELECT unnest(y.out) AS seq, pid, day, CAST(unnest(range(1, len(y.out) + 1)) AS BIGINT) AS nth FROM f"""
+
+# The engine on a stream: contents once for all, pushes and origins by profile and day.
+STREAMED = f"""{PROFILE}, {MESSAGE}, {FULL['gated']}, {PLAIN}, {TOKEN}, {MET},
+  sc AS (SELECT met.doc_id, met.pid, sqrt(count(tok.word) / (SELECT count(*) FROM opts o WHERE o.pid = met.pid)) AS sim
+    FROM met JOIN opts USING (pid) LEFT JOIN tok ON tok.doc_id = met.doc_id AND tok.word = opts.word GROUP BY met.doc_id, met.pid),
+  top AS (SELECT doc_id, pid, sim / 2 + 0.5 AS similarity FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, pid) = 1),
+  acc AS (SELECT tid, ms AS seq, day, pid, orig_id, md5(full_text) AS hash, (n_chars % 100 + 1) / 100 AS score FROM full_m JOIN top USING (doc_id) WHERE similarity * ((n_chars % 100 + 1) / 100) >= 0.15),
+  fst AS (SELECT * FROM acc QUALIFY row_number() OVER (PARTITION BY hash ORDER BY seq) = 1),
+  cand AS (SELECT * FROM fst WHERE round(score, 12) > 0.5 QUALIFY row_number() OVER (PARTITION BY pid, day, orig_id ORDER BY seq) = 1),
+  psh AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY pid, day ORDER BY seq) <= 10),
+  rel AS (SELECT fst.*, psh.seq IS NOT NULL AND psh.seq = fst.seq AS is_pushed FROM fst LEFT JOIN psh USING (pid, day, orig_id) WHERE psh.seq IS NULL OR fst.seq <= psh.seq),
+  cnt AS (SELECT *, count(*) OVER w AS received, CAST(count_if(is_pushed) OVER w AS BIGINT) AS pushed FROM rel WINDOW w AS (PARTITION BY pid, day ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
+
+
+def _feedback(n: int = 4) -> str:
+    """Batch by batch: the two best words of what was learnt, the batch's best profiles with them, its records, what is learnt then."""
+    parts = [f"""{PROFILE}, {GATED}, {PLAIN}, {TOKEN}, {MET}, b AS (SELECT doc_id, CAST(doc_id * {n} // ((SELECT max(doc_id) FROM documents) + 1) AS INTEGER) AS batch FROM documents),
+      best0 AS (SELECT 0 AS pid, 0.0::DOUBLE AS best WHERE false), terms0 AS (SELECT 0 AS pid, '' AS word, 0.0::DOUBLE AS score WHERE false)"""]
+    for i in range(n):
+        parts.append(f"""own{i} AS (SELECT pid, word FROM opts UNION SELECT pid, word FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, word) AS nth FROM terms{i}) WHERE nth <= 2),
+      top{i} AS (SELECT doc_id, pid, sim / 2 + 0.5 AS similarity FROM (SELECT met.doc_id, met.pid, count(tok.word) AS sim FROM met JOIN b ON b.doc_id = met.doc_id AND b.batch = {i}
+        JOIN own{i} USING (pid) LEFT JOIN tok ON tok.doc_id = met.doc_id AND tok.word = own{i}.word GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, pid) = 1),
+      rec{i} AS (SELECT doc_id, pid, similarity FROM (SELECT *, greatest(coalesce(max(CASE WHEN similarity > 1 THEN similarity END) OVER (PARTITION BY pid ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0),
+        coalesce((SELECT best FROM best{i} z WHERE z.pid = t.pid), 0)) AS before FROM top{i} t) WHERE similarity > before AND similarity > 1),
+      terms{i + 1} AS (SELECT pid, word, sum(score) AS score FROM (SELECT * FROM terms{i} UNION ALL SELECT rec{i}.pid, tok.word, similarity FROM rec{i} JOIN tok USING (doc_id)) GROUP BY 1, 2),
+      best{i + 1} AS (SELECT pid, max(best) AS best FROM (SELECT * FROM best{i} UNION ALL SELECT pid, similarity FROM rec{i}) GROUP BY 1)""")
+    return f"WITH {', '.join(x.strip() for x in parts)} " + " UNION ALL ".join(f"SELECT doc_id, pid, round(similarity, 9) AS similarity, {i} AS batch FROM top{i}" for i in range(n))
+
+
 ORACLES = {
+    "q_stream_filtered": f"WITH {STREAMED} SELECT tid, pid, 'related' AS kind, received, pushed FROM cnt UNION ALL SELECT tid, pid, 'pushed', received, pushed FROM cnt WHERE is_pushed",
+    "q_stream_counts": f"WITH {STREAMED} SELECT (SELECT count(*) FROM m) AS received, (SELECT count(*) FROM acc) AS accepted, count(*) AS related, count_if(is_pushed)::BIGINT AS pushed FROM rel",
+    "q_stream_feedback": _feedback(),
+    "q_adaptive_threshold": ADAPTIVE,
+    "q_stream_adaptive": ADAPTIVE,
     "q_extract_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE starts_with(props, '{') AND json_extract(props, '$.k') IS NOT NULL",
     "q_clean_text": rf"SELECT doc_id, md5(regexp_replace({CLEAN}, '\t+|\n+', ' ', 'g')) AS clean_md5 FROM documents",
     "q_char_ratio": f"SELECT doc_id, round({RATIO}, 9) AS ratio FROM documents WHERE text <> '' AND {RATIO} >= 0.7",
@@ -120,7 +166,7 @@ ORACLES = {
     "q_exp_smoothing": f"WITH {STATS}, {_smooth('n_related')} SELECT pid, round(f, 6) AS forecast FROM sm",
     "q_moving_avg_3d": f"WITH {STATS} SELECT pid, day, round(avg(n_related) OVER (PARTITION BY pid ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) AS average FROM st",
     "q_threshold_col13": f"WITH {STATS} SELECT pid, round(list(rank_score ORDER BY day)[14], 9) AS threshold FROM st GROUP BY pid",
-    "q_history_pivot": f"WITH {STATS} PIVOT (SELECT pid, day, n_related FROM st) ON day USING max(n_related) GROUP BY pid",
+    "q_history_pivot": f"WITH {STATS} SELECT pid, {', '.join(f'max(n_related) FILTER (day = {d!r}) AS {chr(34)}{d}{chr(34)}' for d in DAYS)} FROM st GROUP BY pid",
     "q_push_cap": f"WITH {THR} SELECT seq, s.pid, day, row_number() OVER (PARTITION BY s.pid, day ORDER BY seq) AS nth FROM s JOIN thr ON thr.pid = s.pid WHERE round(score, 12) > threshold QUALIFY nth <= 10",
     "q_push_counters": f"WITH {S} SELECT seq, pid, count(*) OVER w AS received, CAST(sum(CASE WHEN score > 0.5 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS n_pushed FROM s WINDOW w AS (PARTITION BY pid ORDER BY seq ROWS UNBOUNDED PRECEDING)",
     "q_push_dedup_pipeline": f"""WITH {THR}, {PUSHED}

@@ -11,7 +11,7 @@ from skimmer.functions import features as R
 from skimmer.functions import text as X
 from skimmer.operators import checks, dedup, feedback, history, keywords, language, match, push, ranker, similarity
 from skimmer.plans import filtering
-from skimmer.scratch import scratch_path
+from skimmer.scratch import scratch, scratch_path
 from skimmer.sources import readers, writers
 from skimmer.sources.writers import digest_line
 
@@ -373,9 +373,8 @@ def filtered(spark, sf_dir):
     """The engine from message lines to digest and pushes: gates, classification, score, duplicates, cap. The score is a stand-in
     for the fitted model's, so that SQL can follow."""
     messages = readers.extract(readers.messages(spark, _message_file(spark, sf_dir)))
-    scorer = lambda rows: rows.withColumn("score", (F.col("user.followers_count") % 100 + 1) / 100)
     thresholds = spark.createDataFrame([(p[0], 0.5) for p in PROFILES], "pid int, threshold double")
-    digest, pushed = filtering.filtered(messages, _profiles(spark), scorer, thresholds, hash_of=lambda t: F.md5(t), lang="user.lang", unicode=False)
+    digest, pushed = filtering.filtered(messages, _profiles(spark), _stand_in, thresholds, hash_of=lambda t: F.md5(t), lang="user.lang", unicode=False)
     return digest.select("tid", "pid", F.lit("digest").alias("kind"), "rank").unionByName(pushed.select("tid", "pid", F.lit("push").alias("kind"), F.lit(0).alias("rank")))
 
 
@@ -474,9 +473,8 @@ def ngram_counts(spark, sf_dir):
 
 def lang_softmax(spark, sf_dir):
     weights = spark.createDataFrame(WEIGHTS, "ngram string, lang string, weight double").withColumn("weight", F.col("weight") / 64)
-    d = _docs(spark, sf_dir).select("doc_id", F.lower(F.col("text")).alias("t"))
-    p = language.probabilities(language.ngram_counts(d, "doc_id", F.col("t"), 3, weights), weights, "doc_id")
-    return language.labels(p, "doc_id").select("doc_id", F.col("lang").alias("label"), F.round("p", 6).alias("p"))
+    d = _docs(spark, sf_dir).select("doc_id", language.label_of(F.lower("text"), weights).alias("found")).where("found is not null")
+    return d.select("doc_id", F.col("found.lang").alias("label"), F.round("found.p", 6).alias("p"))
 
 
 def lang_trained(spark, sf_dir):
@@ -510,17 +508,100 @@ def stream_daily(spark, sf_dir):
     return daily.select(F.date_format("start", "yyyyMMdd").alias("day"), "pid", "n", F.round("best", 9).alias("best"))
 
 
+def _in_batches(rows, by, n=4, files=2):
+    """A stream of rows in n micro-batches by ranges of a column, each of so many files, written one after another: files are read in
+    the order of their times."""
+    path, top = scratch_path(rows.sparkSession), (rows.agg(F.max(by)).first()[0] or 0) + 1
+    for i in range(n):
+        part = rows.where(F.floor(F.col(by) * n / top) == i)
+        part.repartitionByRange(files, by).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def stream_engine(spark, sf_dir):
     """Duplicates by content and origin, and the cap, in one state, over several micro-batches."""
     from skimmer.streaming import push as S
 
-    path, rows_to = scratch_path(spark), _t(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
     rows = _scored(spark, sf_dir).withColumn("hash", F.concat_ws("-", F.col("orig_id").cast("string"), (F.col("seq") % 3).cast("string")))
     rows = rows.where("score >= 0.15").withColumn("threshold", F.lit(0.5)).drop("user_id")
-    for i in range(4):  # one after another: files are read in the order of their times
-        rows.where(F.floor(F.col("seq") * 4 / (rows_to + 1)) == i).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return S.run_available(S.engine(stream)).select("seq", "kind")
+    return S.run_available(S.engine(_in_batches(rows, "seq"))).select("seq", "kind")
+
+
+def _message_batches(spark, sf_dir, n=4, files=2):
+    """Message lines as a stream of text files in n micro-batches, by time, with noise between them."""
+    m = _messages(spark, sf_dir).where("text is not null")
+    noise = F.when(F.col("doc_id") % 7 == 0, F.array(F.to_json(F.struct(*[c for c in m.columns if c != "doc_id"])), F.lit('{"delete": 1}'), F.lit("noise"))).otherwise(F.array(F.to_json(F.struct(*[c for c in m.columns if c != "doc_id"]))))
+    lines, path = scratch(m.select("doc_id", F.explode(noise).alias("value"))), scratch_path(spark)
+    top = (lines.agg(F.max("doc_id")).first()[0] or 0) + 1
+    for i in range(n):
+        lines.where(F.floor(F.col("doc_id") * n / top) == i).repartitionByRange(files, "doc_id").select("value").write.mode("append").option("compression", "gzip").text(path)
+    return path
+
+
+def _stand_in(rows):
+    """A score that SQL can follow, for the fitted model's."""
+    return rows.withColumn("score", (F.col("user.followers_count") % 100 + 1) / 100)
+
+
+def _streamed(spark, sf_dir, files=2):
+    from skimmer.streaming import engine as E
+
+    thresholds = spark.createDataFrame([(p[0], 0.5) for p in PROFILES], "pid int, threshold double")
+    lines = readers.stream_lines(spark, _message_batches(spark, sf_dir, files=files), files)
+    # contents stay known for the whole of this run, as the rule in SQL has it
+    return E.filtered(lines, _profiles(spark), thresholds, _stand_in, keep_days=36_500, hash_of=F.md5, lang="user.lang", unicode=False)
+
+
+def stream_filtered(spark, sf_dir):
+    """The whole engine on a stream, from JSON lines: parsed, gated, classified, scored, contents and pushes in two states."""
+    from skimmer.streaming import engine as E
+
+    stream, out = _streamed(spark, sf_dir), scratch_path(spark)
+    E.start(stream, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return E.read_batches(spark, f"{out}/rows", stream.schema).select("tid", "pid", "kind", "received", "pushed")
+
+
+def stream_counts(spark, sf_dir):
+    """What the listener counts while that runs."""
+    from skimmer.streaming import engine as E
+    from skimmer.streaming.metrics import Counts
+
+    stream, out, counts = _streamed(spark, sf_dir), scratch_path(spark), Counts()
+    spark.streams.addListener(counts)
+    E.start(stream, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    counts.wait()
+    spark.streams.removeListener(counts)
+    n = [counts.total(*x) for x in (("received", "n"), ("accepted", "n"), ("decided", "related"), ("decided", "pushed"))]
+    return spark.createDataFrame([n], "received long, accepted long, related long, pushed long")
+
+
+def stream_feedback(spark, sf_dir):
+    """Version 3 over four micro-batches: a batch is classified with the words that earlier batches' records lent."""
+    from skimmer.streaming import engine as E
+
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text", "lang")
+    out = scratch_path(spark)
+    E.start(_in_batches(docs, "seq"), out, f"{out}-checkpoint", write=E.Feedback(_profiles(spark), out, lang="lang", unicode=False)).awaitTermination()
+    return spark.read.schema("seq long, pid int, similarity double, batch int").parquet(f"{out}/rows").select(F.col("seq").alias("doc_id"), "pid", F.round("similarity", 9).alias("similarity"), "batch")
+
+
+def _predicted(spark, sf_dir):
+    """Scored rows with a threshold that few pass, and the mean day of their profile for a prediction."""
+    rows = _scored(spark, sf_dir).drop("user_id", "hash", "orig_id").withColumn("threshold", F.lit(0.3))
+    mean = rows.groupBy("pid", "day").agg(F.count("*").alias("n")).groupBy("pid").agg(F.avg("n").alias("predicted"))
+    return scratch(rows.join(match.small(scratch(mean)), "pid"))
+
+
+def adaptive_threshold(spark, sf_dir):
+    """The threshold that gives way, as an ordered fold of each profile's day."""
+    return push.adaptive(_predicted(spark, sf_dir), scope=["day"]).select("seq", "pid", "day", F.col("at").alias("nth"))
+
+
+def stream_adaptive(spark, sf_dir):
+    """The same as keyed state."""
+    from skimmer.streaming import push as S
+
+    return S.run_available(S.adaptive(_in_batches(_predicted(spark, sf_dir), "seq"))).select("seq", "pid", "day", F.col("pushed").alias("nth"))
 
 
 NAMES = [
@@ -531,5 +612,6 @@ NAMES = [
     running_max_feedback, top2_expansion, sortedness_check, dedup_exact, simhash, ngram_counts, lang_softmax, lang_trained, stream_push, stream_daily,
     source_messages, source_language_lines, enriched_json, source_keywords, source_topics, source_vectors, source_training, source_wiki, source_corpus,
     source_feature_counts, label_lists, file_digest, file_push_log, file_history_matrix, file_profiles, filtered, stream_engine,
+    stream_filtered, stream_counts, stream_feedback, adaptive_threshold, stream_adaptive,
 ]
 QUERIES = {f"q_{f.__name__}": f for f in NAMES}

@@ -1,80 +1,39 @@
 """The push decision as a stream.
 
 Each profile keeps what it has received and pushed; rows of a micro-batch are put in order of arrival first. A message's
-content is remembered within the watermark, so the state is bounded, unlike sets that only grow.
+content is remembered within the watermark, so the state is bounded, unlike sets that only grow. State is in skimmer.streaming.state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from skimmer.operators.push import CAP
 from skimmer.scratch import scratch_path
-
-OUT = "seq long, pid int, day string, score double, received long, pushed long"
+from skimmer.streaming import state
 
 
 def pushes(scored: DataFrame, cap: int = CAP, keep_days: int = 2) -> DataFrame:
     """Rows (seq, pid, day, score, threshold, ts) that are pushed, with the counters of their profile and day. State of a day ends
     keep_days after the watermark has passed it."""
-    import pandas as pd
-
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("seq")
-        received, pushed = state.get if state.exists else (0, 0)
-        out = []
-        for seq, score, threshold in zip(rows["seq"], rows["score"], rows["threshold"]):
-            received += 1
-            if pushed < cap and round(score, 12) > threshold:
-                pushed += 1
-                out.append((seq, key[0], key[1], score, received, pushed))
-        state.update((received, pushed))
-        day_ends = int(pd.Timestamp(rows["day"].iloc[0]).timestamp() * 1000) + (1 + keep_days) * 86_400_000
-        state.setTimeoutTimestamp(max(day_ends, state.getCurrentWatermarkMs() + 1))
-        if out:  # an empty frame has no types
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    return scored.withWatermark("ts", "1 day").groupBy("pid", "day").applyInPandasWithState(step, OUT, "received long, pushed long", "append", GroupStateTimeout.EventTimeTimeout)
+    found = state.decided(scored.withWatermark("ts", "1 day"), ["pid", "day"], cap, keep_days, related=False)
+    return found.select("seq", "pid", "day", "score", "received", "pushed")
+
+
+def adaptive(scored: DataFrame, cap: int = CAP, keep_days: int = 2) -> DataFrame:
+    """pushes() where a profile that receives more than predicted lowers its own threshold; rows have predicted, too."""
+    found = state.decided(scored.withWatermark("ts", "1 day"), ["pid", "day"], cap, keep_days, related=False, adaptive=True)
+    return found.select("seq", "pid", "day", "score", "received", "pushed")
 
 
 def engine(accepted: DataFrame, cap: int = CAP, keep_days: int = 2, scope: tuple[str, ...] = ("pid", "day")) -> DataFrame:
     """(seq, pid, day, score, kind) of accepted rows (seq, hash, orig_id, pid, day, score, threshold, ts), kind related or pushed: the
     sequential rule. A row is left out if its content was related before or its origin pushed before; contents of rows that never
-    came this far aren't remembered. The state of a scope holds its counter, contents and origins, and ends keep_days after the
+    came this far aren't remembered. Contents and origins are entries of their scope's state; they end keep_days after the
     watermark has passed its day. Rows of one origin or content should fall into one scope."""
-    import pandas as pd
-
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("seq")
-        count, hashes, origins = state.get if state.exists else (0, [], [])
-        hashes, origins, out = set(hashes), set(origins), []
-        for seq, h, orig, pid, day, score, threshold in rows[["seq", "hash", "orig_id", "pid", "day", "score", "threshold"]].itertuples(index=False):
-            if h in hashes or orig in origins:
-                continue
-            if count < cap and round(score, 12) > threshold:
-                count += 1
-                origins.add(orig)
-                out.append((seq, pid, day, score, "pushed"))
-            out.append((seq, pid, day, score, "related"))
-            hashes.add(h)
-        state.update((count, sorted(hashes), sorted(int(x) for x in origins)))
-        day_ends = int(pd.Timestamp(rows["day"].max()).timestamp() * 1000) + (1 + keep_days) * 86_400_000
-        state.setTimeoutTimestamp(max(day_ends, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["seq", "pid", "day", "score", "kind"])
-
-    rows = accepted.withWatermark("ts", "1 day").groupBy(*scope)
-    return rows.applyInPandasWithState(step, "seq long, pid int, day string, score double, kind string", "pushed long, hashes array<string>, origins array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    found = state.decided(accepted.withWatermark("ts", "1 day"), list(scope), cap, keep_days, contents=True, more=["pid"])
+    return found.select("seq", "pid", "day", "score", "kind")
 
 
 def new_contents(rows: DataFrame, key: str = "hash", within: str = "1 day") -> DataFrame:

@@ -9,7 +9,7 @@ from skimmer.plans.oracles import ORACLES
 from skimmer.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "customer events documents embeddings labels nation region".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,8 @@ def rows(cols, found):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, DATA)
-    want = duck.execute(ORACLES[name])
+    duck.execute(f"CREATE OR REPLACE VIEW wanted AS {ORACLES[name]}")  # a statement that can't be a view can't be checked
+    want = duck.execute("FROM wanted")
     cols = [c[0] for c in want.description]
     assert sorted(cols) == sorted(df.columns)
     assert rows(df.columns, df.collect()) == rows(cols, want.fetchall())
