@@ -124,7 +124,17 @@ def _feedback(n: int = 4) -> str:
     return f"WITH {', '.join(x.strip() for x in parts)} " + " UNION ALL ".join(f"SELECT doc_id, pid, round(similarity, 9) AS similarity, {i} AS batch FROM top{i}" for i in range(n))
 
 
+SOFTMAX = f"""d AS (SELECT doc_id, lower(text) AS t FROM documents), {NGRAMS},
+      sc AS (SELECT doc_id, wt.lang, sum(n * weight) AS s FROM ng JOIN wt USING (ngram) WHERE n > 0 GROUP BY 1, 2),
+      e AS (SELECT doc_id, lang, exp(s - max(s) OVER (PARTITION BY doc_id)) AS e FROM sc),
+      p AS (SELECT doc_id, lang, e / sum(e) OVER (PARTITION BY doc_id) AS p FROM e)"""
+
 ORACLES = {
+    "q_pattern_offsets": """WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]{4,12}') AS w FROM benchmark),
+      pat AS (SELECT DISTINCT word FROM (SELECT unnest(w) AS word FROM w UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)),
+      here AS (SELECT doc_id, instr(lower(text), word) - 1 AS start FROM documents, pat WHERE contains(lower(text), word))
+      SELECT doc_id, count(*) AS n_words, CAST(sum(start) AS BIGINT) AS starts FROM here GROUP BY 1""",
+    "q_english_gate": f"WITH {SOFTMAX}, best AS (SELECT doc_id, lang, p FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, lang) = 1) SELECT doc_id, round(p, 6) AS p FROM best WHERE p >= 0.6 AND lang = 'en'",
     "q_stream_filtered": f"WITH {STREAMED} SELECT tid, pid, 'related' AS kind, received, pushed FROM cnt UNION ALL SELECT tid, pid, 'pushed', received, pushed FROM cnt WHERE is_pushed",
     "q_stream_counts": f"WITH {STREAMED} SELECT (SELECT count(*) FROM m) AS received, (SELECT count(*) FROM acc) AS accepted, count(*) AS related, count_if(is_pushed)::BIGINT AS pushed FROM rel",
     "q_stream_feedback": _feedback(),

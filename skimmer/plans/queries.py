@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skimmer.functions import features as R
 from skimmer.functions import text as X
-from skimmer.operators import checks, dedup, feedback, history, keywords, language, match, push, ranker, similarity
+from skimmer.operators import checks, dedup, feedback, history, keywords, language, match, push, ranker, similarity, trie
 from skimmer.plans import filtering
 from skimmer.scratch import scratch, scratch_path
 from skimmer.sources import readers, writers
@@ -129,6 +129,28 @@ def multigram_contains(spark, sf_dir):
     return found
 
 
+def _bench_words(spark, sf_dir):
+    """The distinct words of four to twelve letters that benchmark holds, and their pairs: patterns out of a table."""
+    w = _t(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,12}"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(2), F.greatest(F.size("w"), F.lit(2))), lambda i: F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)))
+    return w.select(F.explode(F.array_union("w", pairs)).alias("word")).where("word <> ''").distinct()
+
+
+def pattern_offsets(spark, sf_dir):
+    """All places of all patterns in each text, overlaps included: which patterns a text holds, and where each stands first."""
+    patterns = trie.shared_patterns(spark, trie.gathered(_bench_words(spark, sf_dir), "word"))
+    found = trie.place_rows(_docs(spark, sf_dir), "doc_id", F.lower("text"), patterns)
+    first = found.groupBy("doc_id", "word").agg(F.min("start").alias("start"))
+    return first.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum("start").alias("starts"))
+
+
+def english_gate(spark, sf_dir):
+    """The texts that a model of fixed weights calls English, with their probability."""
+    weights = spark.createDataFrame(WEIGHTS, "ngram string, lang string, weight double").withColumn("weight", F.col("weight") / 64)
+    d = _docs(spark, sf_dir).select("doc_id", language.label_of(F.lower("text"), weights).alias("found"))
+    return d.where("found.lang = 'en'").select("doc_id", F.round("found.p", 6).alias("p"))
+
+
 def candidates(spark, sf_dir):
     return match.candidates(_tokens(spark, sf_dir), keywords.requirements(_compiled(spark)), "doc_id")
 
@@ -612,6 +634,6 @@ NAMES = [
     running_max_feedback, top2_expansion, sortedness_check, dedup_exact, simhash, ngram_counts, lang_softmax, lang_trained, stream_push, stream_daily,
     source_messages, source_language_lines, enriched_json, source_keywords, source_topics, source_vectors, source_training, source_wiki, source_corpus,
     source_feature_counts, label_lists, file_digest, file_push_log, file_history_matrix, file_profiles, filtered, stream_engine,
-    stream_filtered, stream_counts, stream_feedback, adaptive_threshold, stream_adaptive,
+    pattern_offsets, english_gate, stream_filtered, stream_counts, stream_feedback, adaptive_threshold, stream_adaptive,
 ]
 QUERIES = {f"q_{f.__name__}": f for f in NAMES}
