@@ -29,13 +29,14 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
 
 
-def windows(bench: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
-    """(h, len, window, items): each distinct window with the items that hold it."""
-    items = bench.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
+def windows(bench: DataFrame, item_id: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """((wid, h, len, window) of each distinct window, (wid, item) of each item that has an id and the window)."""
+    items = bench.select(col(item_id).alias("item"), words_of(col(text)).alias("words")).where(F.size("words") > 0)
     n = F.size("words")
     cut = F.when(n <= size, F.array("words")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.slice("words", i, F.lit(size))))
-    each = items.select("item", F.explode(cut).alias("window"))
-    return each.groupBy("window").agg(F.collect_set("item").alias("items")).select(F.xxhash64("window").alias("h"), F.size("window").alias("len"), "window", "items")
+    each = scratch(items.select("item", F.explode(cut).alias("window")).withColumn("wid", F.md5(F.array_join("window", " "))).distinct())
+    tests = each.select("wid", "window").distinct().select("wid", F.xxhash64("window").alias("h"), F.size("window").alias("len"), "window")
+    return tests, each.where(F.col("item").isNotNull()).select("wid", "item")
 
 
 def _key(doc_id: str, text: str) -> list[Column]:
@@ -43,57 +44,75 @@ def _key(doc_id: str, text: str) -> list[Column]:
     return [col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("text_hash")]
 
 
-def hits(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", size: int = 13, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(doc_id, text_hash, spans, n_hit, items) of each document with a hit. spans: merged ranges of word positions, end exclusive.
+def scan(docs: DataFrame, tests: DataFrame, doc_id: str, text: str, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, text_hash, n_words) of each row, (doc_id, text_hash, start, end, wid) of each verified place of a window).
 
-    Only hash and length of each window are broadcast (a dozen bytes a row), up to broadcast_rows of them, counted first; beyond,
-    positions are shuffled by window hash, without the words, and the words of texts with a hit are fetched again to verify."""
-    tests = scratch(windows(bench, item_id, item_text, size))
+    Only hash and length of each window are broadcast (a dozen bytes a row), up to broadcast_rows of them, counted first; texts are
+    then read and cut into words once, and each leaves a row of its own beside its hits. Beyond, positions are shuffled by window
+    hash, without the words, and the words of texts with a hit are fetched again to verify."""
     count, lens = tests.agg(F.count("*"), F.sort_array(F.collect_set("len"))).first()
     few, keys = count <= broadcast_rows, tests.select("h", "len")
     n = F.size("words")
     # Plain array access in generated code: slice() copies the whole array, once for each window.
     window = lambda k: [F.get("words", F.col("start") + j) for j in range(k)]
     texts = docs.select(*_key(doc_id, text), words_of(col(text)).alias("words"))
-    # The outer form: for the inner one Catalyst adds a filter on the array and tokenises again to test it.
-    met = texts.select("doc_id", "text_hash", "words", F.posexplode_outer("words").alias("start", "word")).drop("word")
-    met = met.where(F.col("start") + min(lens, default=1) <= n)
+    # Place -1 is the row itself. The outer form: for the inner one Catalyst adds a filter on the array and tokenises again to test it.
+    met = texts.select("doc_id", "text_hash", "words", F.explode_outer(F.sequence(F.lit(-1 if few else 0), n - 1 if few else F.greatest(n - 1, F.lit(0)))).alias("start"))
+    own = F.col("start") < 0
+    met = met.where(own | (F.col("start") + min(lens, default=1) <= n))
     if len(lens) == 1:
-        met = met.withColumn("h", F.xxhash64(*window(lens[0])))
+        met = met.withColumn("h", F.when(~own, F.xxhash64(*window(lens[0]))))
     else:
-        met = met.withColumn("h", F.explode(F.array(*(F.xxhash64(*window(k)) for k in lens)).cast("array<bigint>")))
+        each = F.array(*(F.xxhash64(*window(k)) for k in lens)).cast("array<bigint>")
+        met = met.withColumn("h", F.explode_outer(F.when(~own, each)))
     joined = lambda k: F.array(*window(k))
     if few:
-        met = met.join(F.broadcast(keys), "h")
+        met = met.join(F.broadcast(keys), "h", "left").where(own | (F.col("start") + F.col("len") <= n))
         found = F.coalesce(*(F.when(F.col("len") == k, joined(k)) for k in lens), F.array().cast("array<string>"))
-        met = met.where(F.col("start") + F.col("len") <= n).select("doc_id", "text_hash", "start", "h", "len", found.alias("window"))
+        met = scratch(met.select("doc_id", "text_hash", n.cast("long").alias("n_words"), "start", "h", "len", F.when(~own, found).alias("window")))
+        base, met = met.where(own).select("doc_id", "text_hash", "n_words"), met.where(~own)
     else:
+        base = texts.select("doc_id", "text_hash", n.cast("long").alias("n_words"))
         met = met.select("doc_id", "text_hash", "start", n.alias("n"), "h").join(keys, "h").where(F.col("start") + F.col("len") <= F.col("n"))
         places = scratch(met.select("doc_id", "text_hash", "start", "h", "len").distinct())
         some = places.select(F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash")).distinct()
         again = texts.join(some, texts.doc_id.eqNullSafe(some.own) & (texts.text_hash == some.own_hash), "left_semi").dropDuplicates(["doc_id", "text_hash"])
         again = again.select(F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash"), "words")
         met = places.join(again, places.doc_id.eqNullSafe(again.own) & (places.text_hash == again.own_hash)).select("doc_id", "text_hash", "start", "h", "len", F.slice("words", F.col("start") + 1, F.col("len")).alias("window"))
-    met = met.join(tests.select("h", "window", "items"), ["h", "window"]).select("doc_id", "text_hash", "start", (F.col("start") + F.col("len")).alias("end"), "items")
+    met = met.join(tests.select("h", "window", "wid"), ["h", "window"])
+    return base, scratch(met.select("doc_id", "text_hash", "start", (F.col("start") + F.col("len")).alias("end"), "wid"))
+
+
+def _hits(met: DataFrame, owners: DataFrame) -> DataFrame:
     by = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    met = met.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("span", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = met.groupBy("doc_id", "text_hash", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.collect_set("items").alias("items"))
-    span = F.struct("start", "end")
-    return spans.groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_list(span)).alias("spans"), F.sum((F.col("end") - F.col("start")).cast("long")).alias("n_hit"),
-        F.array_distinct(F.flatten(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    opened = met.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("span", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = opened.groupBy("doc_id", "text_hash", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum((F.col("end") - F.col("start")).cast("long")).alias("n_hit"))
+    # which items: once for each window of a text, after all else
+    items = met.select(F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash"), "wid").distinct().join(owners, "wid")
+    items = items.groupBy("own", "own_hash").agg(F.collect_set("item").alias("items"))
+    both = spans.join(items, spans.doc_id.eqNullSafe(items.own) & (spans.text_hash == items.own_hash), "left")
+    return both.select("doc_id", "text_hash", "spans", "n_hit", F.coalesce("items", F.array().cast(items.schema["items"].dataType)).alias("items"))
+
+
+def hits(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", size: int = 13, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """(doc_id, text_hash, spans, n_hit, items) of each document with a hit. spans: merged ranges of word positions, end exclusive;
+    items: the ids of items with a window there. Windows of items without an id count as hits, under no item. Rows that repeat an id
+    (or have none) and a text are one document."""
+    tests, owners = windows(bench, item_id, item_text, size)
+    return _hits(scan(docs, tests, doc_id, text, broadcast_rows)[1], owners)
 
 
-def report(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame:
+def report(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", size: int = 13, broadcast_rows: int = 2_000_000) -> DataFrame:
     """One row per row of docs, with its words, hits, items and whether it counts as contaminated.
 
-    Null and empty texts have no words and no hits; a null item id or an item without words is no test; an empty benchmark
-    gives no hits; repeated rows get equal rows; other columns of either table are not read."""
-    found = hits(docs, bench, doc_id, text, **how).withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
-    # The method's own hits are few; only counts of the rest are joined.
-    base = docs.select(*_key(doc_id, text), F.regexp_count(F.coalesce(col(text), F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
+    Null and empty texts have no words and no hits; a null document id is an id like others; an item without an id makes hits but is
+    no item in n_items and items; an item without words is no test; an empty benchmark gives no hits; repeated rows get equal rows;
+    other columns of either table are not read."""
+    tests, owners = windows(bench, item_id, item_text, size)
+    base, met = scan(docs, tests, doc_id, text, broadcast_rows)
+    found = _hits(met, owners).withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
     both = base.join(found, base.doc_id.eqNullSafe(found.hit_id) & (base.text_hash == found.hit_hash), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.array_sort(F.transform(F.coalesce("items", F.array()), lambda x: x.cast("string")))
@@ -112,13 +131,15 @@ def _named(found: DataFrame, docs: DataFrame, doc_id: str, text: str, *more: str
 
 
 def drop_documents(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame:
-    """docs without the contaminated rows; all columns stay."""
+    """docs without the contaminated rows, as report() has them; all columns stay, also those of a clashing name. Null ids and
+    repeated rows are judged by their own text; an empty table stays empty."""
     bad, same, _ = _named(report(docs, bench, doc_id, text, **how).where("contaminated"), docs, doc_id, text)
     return docs.join(bad, same, "left_anti")
 
 
 def drop_spans(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame:
-    """docs with the hit words taken out of their texts; what stands between words stays."""
+    """docs with the hit words taken out of their texts; what stands between words stays. A null text stays null; repeated rows and
+    rows without an id are treated alike if their texts are; an empty table stays empty; other columns stay."""
     found, same, (spans,) = _named(hits(docs, bench, doc_id, text, **how), docs, doc_id, text, "spans")
     both = docs.join(found, same, "left")
 
@@ -157,7 +178,7 @@ places AS (
 ), met AS (SELECT doc_id, i, k, item_id FROM places JOIN tests USING (k, win)),
 words AS (SELECT DISTINCT doc_id, p FROM met, unnest(range(i, i + k)) AS r(p)),
 h AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY 1),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+t AS (SELECT doc_id, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM met) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,

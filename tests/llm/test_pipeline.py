@@ -54,7 +54,7 @@ def test_stages_take_an_empty_table(spark, folder):
 
 
 def test_queries_are_all_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
 @pytest.mark.parametrize("toxic", [0, 1, None])
