@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skimmer.operators import scan
 from skimmer.operators.match import small
 
 
 def record_rows(rows: DataFrame, least: float = 1.0, start: DataFrame | None = None) -> DataFrame:
     """Rows (seq, pid, sim) over all earlier ones of their topic and over least. start: (pid, best), what was before."""
-    before = Window.partitionBy("pid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.coalesce(F.max(F.when(F.col("sim") > least, F.col("sim"))).over(before), F.lit(0.0))
+    rows = scan.running(rows, ["pid"], "seq", maxima={"best_before": F.when(F.col("sim") > least, F.col("sim"))}, before=True)
+    best = F.coalesce("best_before", F.lit(0.0).cast(rows.schema["sim"].dataType))
     if start is not None:
         rows = rows.join(small(start.select("pid", F.col("best").alias("__start"))), "pid", "left")
         best = F.greatest(best, F.coalesce("__start", F.lit(0.0)))
-        return rows.withColumn("best_before", best).drop("__start").where((F.col("sim") > F.col("best_before")) & (F.col("sim") > least))
-    return rows.withColumn("best_before", best).where((F.col("sim") > F.col("best_before")) & (F.col("sim") > least))
+    found = rows.withColumn("best_before", best).drop("__start")
+    return found.where((F.col("sim") > F.col("best_before")) & (F.col("sim") > least))
 
 
 def term_scores(records: DataFrame, words: DataFrame, key: str = "seq") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skimmer.operators import scan
 from skimmer.operators.match import small
 
 LEAST_TOTAL, CAP, DIGEST = 0.15, 10, 100
@@ -39,9 +40,8 @@ def adaptive(rows: DataFrame, cap: int = CAP, by: str = "score", scope: list[str
 
 
 def counters(rows: DataFrame, pushed: str = "pushed") -> DataFrame:
-    """Rows received and pushed so far, by profile."""
-    so_far = Window.partitionBy("pid").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({"received": F.count("*").over(so_far), "n_pushed": F.sum(F.col(pushed).cast("long")).over(so_far)})
+    """Rows received and pushed so far, by profile; a hot profile takes many tasks."""
+    return scan.running(rows, ["pid"], "seq", sums={"received": F.lit(1).cast("long"), "n_pushed": F.col(pushed).cast("long")})
 
 
 def digest(rows: DataFrame, size: int = DIGEST) -> DataFrame:

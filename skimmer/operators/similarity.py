@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skimmer.operators import simjoin
 from skimmer.operators.match import small
+from skimmer.scratch import scratch
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,18 +23,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def word_pairs(words: DataFrame, keywords: DataFrame, vectors: DataFrame, least: float | None = None) -> DataFrame:
-    """(word, keyword, sim) of each word in use with each keyword; words without vectors have 0 with all but themselves.
-
-    The keywords are a stated, small query set; the vectors are normalised once and the keywords' side is broadcast behind a
-    check of its size."""
-    size = F.sqrt(dot(F.col("vec"), F.col("vec")))
-    unit = vectors.select("word", "vec", size.alias("size")).where("size > 0")
-    own = words.select("word").distinct().join(unit, "word")
-    keys = small(keywords.select(F.col("word").alias("keyword")).distinct().join(unit.withColumnRenamed("word", "keyword"), "keyword").select("keyword", F.col("vec").alias("kvec"), F.col("size").alias("ksize")), 50_000)
-    near = own.join(keys, F.col("word") != F.col("keyword")).select("word", "keyword", (dot(F.col("vec"), F.col("kvec")) / (F.col("size") * F.col("ksize"))).alias("sim"))
+    """(word, keyword, sim) of each word in use with each keyword; words without vectors have 0 with all but themselves, and no row.
+    Few keywords are one broadcast matrix behind a check of its bytes; many are joined in tiles, see simjoin. Vectors that are null, zero
+    or hold null or non-finite entries count as none."""
+    fine = simjoin.usable(vectors)
+    used, asked = words.select("word").distinct(), keywords.select("word").distinct()
+    own, keys = used.join(fine, "word"), scratch(asked.join(fine, "word"))
+    near = simjoin.against_few(own, keys)
+    if near is None:
+        near = simjoin.over(own, keys, -2.0 if least is None else least)[0]
+    near = near.where(F.col("word") != F.col("keyword"))
     if least is not None:
         near = near.where(F.col("sim") > least)
-    same = words.select("word").distinct().join(keywords.select("word").distinct(), "word").select("word", F.col("word").alias("keyword"), F.lit(1.0).alias("sim"))
+    same = used.join(small(asked), "word").select("word", F.col("word").alias("keyword"), F.lit(1.0).alias("sim"))
     return near.unionByName(same)
 
 

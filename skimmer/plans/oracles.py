@@ -134,6 +134,8 @@ ORACLES = {
       pat AS (SELECT DISTINCT word FROM (SELECT unnest(w) AS word FROM w UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)),
       here AS (SELECT doc_id, instr(lower(text), word) - 1 AS start FROM documents, pat WHERE contains(lower(text), word))
       SELECT doc_id, count(*) AS n_words, CAST(sum(start) AS BIGINT) AS starts FROM here GROUP BY 1""",
+    "q_similarity_join": """WITH w AS (SELECT CAST(vec_id AS VARCHAR) AS word, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+      SELECT word, keyword, round(sim, 9) AS sim FROM (SELECT a.word AS word, b.word AS keyword, list_cosine_similarity(a.v, b.v) AS sim FROM w a JOIN w b ON a.word <> b.word) WHERE sim > 0.4""",
     "q_english_gate": f"WITH {SOFTMAX}, best AS (SELECT doc_id, lang, p FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, lang) = 1) SELECT doc_id, round(p, 6) AS p FROM best WHERE p >= 0.6 AND lang = 'en'",
     "q_stream_filtered": f"WITH {STREAMED} SELECT tid, pid, 'related' AS kind, received, pushed FROM cnt UNION ALL SELECT tid, pid, 'pushed', received, pushed FROM cnt WHERE is_pushed",
     "q_stream_counts": f"WITH {STREAMED} SELECT (SELECT count(*) FROM m) AS received, (SELECT count(*) FROM acc) AS accepted, count(*) AS related, count_if(is_pushed)::BIGINT AS pushed FROM rel",

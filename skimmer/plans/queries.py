@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skimmer.functions import features as R
 from skimmer.functions import text as X
-from skimmer.operators import checks, dedup, feedback, history, keywords, language, match, push, ranker, similarity, trie
+from skimmer.operators import checks, dedup, feedback, history, keywords, language, match, push, ranker, similarity, simjoin, trie
 from skimmer.plans import filtering
 from skimmer.scratch import scratch, scratch_path
 from skimmer.sources import readers, writers
@@ -175,13 +175,14 @@ def _vectors(spark, sf_dir):
 
 def _vector_case(spark, sf_dir):
     """Every vector is a word: texts t of ten words each, and a stated set of keywords, the words divisible by 100, dealt out
-    to five profiles. All words meet that set; it is broadcast behind a check of its size."""
-    ids = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
-    tokens = ids.select(F.floor(F.col("id") / 10).cast("int").alias("t"), F.col("id").cast("string").alias("word"))
-    opts = ids.where("id % 100 = 0").select((F.floor(F.col("id") / 100) % 5).cast("int").alias("pid"), F.col("id").cast("string").alias("word"))
-    opts = opts.join(F.broadcast(opts.groupBy("pid").agg(F.count("*").cast("int").alias("n_optional"))), "pid")  # five rows
+    to five profiles. All words meet that set; it is broadcast behind a check of its size. Vectors and pairs are written once."""
+    vectors = scratch(_vectors(spark, sf_dir))
+    ids = vectors.select(F.col("word").cast("long").alias("id"), "word")
+    tokens = ids.select(F.floor(F.col("id") / 10).cast("int").alias("t"), "word")
+    opts = ids.where("id % 100 = 0").select((F.floor(F.col("id") / 100) % 5).cast("int").alias("pid"), "word")
+    opts = scratch(opts.join(F.broadcast(opts.groupBy("pid").agg(F.count("*").cast("int").alias("n_optional"))), "pid"))  # five rows
     met = tokens.select("t").distinct().join(F.broadcast(opts.select("pid").distinct()), how="cross")  # the result's own size
-    return tokens, opts, met, similarity.word_pairs(tokens, opts, _vectors(spark, sf_dir))
+    return tokens, opts, met, scratch(similarity.word_pairs(tokens, opts, vectors))
 
 
 def _sims(spark, sf_dir, version):
@@ -195,6 +196,12 @@ def cosine_pairs(spark, sf_dir):
     return pairs.where("sim > 0.25 and word <> keyword").select("word", "keyword", F.round("sim", 9).alias("sim"))
 
 
+def similarity_join(spark, sf_dir):
+    """All vectors with all others over a cut."""
+    v = _vectors(spark, sf_dir)
+    return simjoin.over(v, v, 0.4)[0].where("word <> keyword").select("word", "keyword", F.round("sim", 9).alias("sim"))
+
+
 def sim_v1(spark, sf_dir):
     return _sims(spark, sf_dir, 1).select("t", "pid", F.round("sim", 9).alias("sim"))
 
@@ -634,6 +641,6 @@ NAMES = [
     running_max_feedback, top2_expansion, sortedness_check, dedup_exact, simhash, ngram_counts, lang_softmax, lang_trained, stream_push, stream_daily,
     source_messages, source_language_lines, enriched_json, source_keywords, source_topics, source_vectors, source_training, source_wiki, source_corpus,
     source_feature_counts, label_lists, file_digest, file_push_log, file_history_matrix, file_profiles, filtered, stream_engine,
-    pattern_offsets, english_gate, stream_filtered, stream_counts, stream_feedback, adaptive_threshold, stream_adaptive,
+    pattern_offsets, english_gate, similarity_join, stream_filtered, stream_counts, stream_feedback, adaptive_threshold, stream_adaptive,
 ]
 QUERIES = {f"q_{f.__name__}": f for f in NAMES}
