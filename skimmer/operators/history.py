@@ -27,6 +27,36 @@ def smoothed(values: Column, alpha: float = ALPHA) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(values, seed.cast("double"), lambda s, x: alpha * x + (1 - alpha) * s))
 
 
+def decayed(stats: DataFrame, value: str, alpha: float = ALPHA) -> DataFrame:
+    """(pid, n, weight, total, first, second): what smoothed() needs of these days, in a form that merges; no list of days is kept.
+
+    total is the decayed sum of the values, weight what a forecast from before them is multiplied by."""
+    order = Window.partitionBy("pid")
+    rows = stats.select("pid", F.col(value).cast("double").alias("v"), F.row_number().over(order.orderBy("day")).alias("at"), F.count("*").over(order).alias("n"))
+    fall = F.pow(F.lit(1 - alpha), F.col("n") - F.col("at"))
+    pick = lambda i: F.max(F.when(F.col("at") == i, F.col("v")))
+    return rows.groupBy("pid").agg(F.first("n").alias("n"), F.pow(F.lit(1 - alpha), F.first("n")).alias("weight"), F.sum(alpha * F.col("v") * fall).alias("total"), pick(1).alias("first"), pick(2).alias("second"))
+
+
+def merged(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """decayed() of the days of both, all of earlier's before all of later's: a row a profile is read, whatever the days."""
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    both = earlier.alias("a").join(later.alias("b"), F.col("a.pid").eqNullSafe(F.col("b.pid")), "full")
+    zero = F.lit(0.0)
+    return both.select(
+        F.coalesce(a("pid"), b("pid")).alias("pid"), (F.coalesce(a("n"), F.lit(0)) + F.coalesce(b("n"), F.lit(0))).alias("n"),
+        (F.coalesce(a("weight"), F.lit(1.0)) * F.coalesce(b("weight"), F.lit(1.0))).alias("weight"),
+        (F.coalesce(a("total"), zero) * F.coalesce(b("weight"), F.lit(1.0)) + F.coalesce(b("total"), zero)).alias("total"),
+        F.coalesce(a("first"), b("first")).alias("first"), F.when(a("n") >= 2, a("second")).when(a("n") == 1, b("first")).otherwise(b("second")).alias("second"),
+    )
+
+
+def forecasts(state: DataFrame) -> DataFrame:
+    """(pid, threshold) from decayed days, as thresholds() gives it from all of them."""
+    seed = F.when(F.col("n") >= 2, (F.col("first") + F.col("second")) / 2).otherwise(F.col("first"))
+    return state.select("pid", (F.col("weight") * seed + F.col("total")).alias("threshold"))
+
+
 def ordered(stats: DataFrame, value: str, by: str = "pid") -> DataFrame:
     """(pid, values) by day; a profile has as many values as there are days."""
     rows = F.array_sort(F.collect_list(F.struct("day", F.col(value).cast("double").alias("v"))))

@@ -129,7 +129,30 @@ SOFTMAX = f"""d AS (SELECT doc_id, lower(text) AS t FROM documents), {NGRAMS},
       e AS (SELECT doc_id, lang, exp(s - max(s) OVER (PARTITION BY doc_id)) AS e FROM sc),
       p AS (SELECT doc_id, lang, e / sum(e) OVER (PARTITION BY doc_id) AS p FROM e)"""
 
+# A keyword profile of each text: x of its first words; required (x2 or "x3 x4") and (x5 or x0), optional x0 and x1.
+DOC_PROFILE = """dw AS (SELECT doc_id AS pid, list_transform(regexp_extract_all(text, '[A-Za-z]{3,}'), lambda x: lower(x)) AS w FROM documents),
+dr AS (SELECT DISTINCT pid, clause, word FROM (SELECT pid, unnest([0, 0, 1, 1]) AS clause, unnest([w[3], w[4] || ' ' || w[5], w[6], w[1]]) AS word FROM dw WHERE len(w) >= 6))"""
+
 ORACLES = {
+    "q_keyword_compile": f"WITH {DOC_PROFILE} SELECT pid, clause, word FROM dr",
+    "q_source_keywords": f"WITH {DOC_PROFILE} SELECT pid, clause, word FROM dr",
+    "q_inverted_index": f"WITH {DOC_PROFILE} SELECT word, string_agg(pid, ',' ORDER BY pid) AS pids FROM (SELECT DISTINCT word, pid FROM dr) GROUP BY word",
+    "q_prefix_lookup": f"WITH {DOC_PROFILE} SELECT DISTINCT pid, word FROM dr WHERE word LIKE 'th%'",
+    "q_source_topics": """SELECT doc_id % 700 AS pid, 'MB' || (doc_id % 700 + 226) AS num, 'Texts in ' || coalesce(max(lang), 'none') || ': ' || count(*) AS title FROM documents GROUP BY doc_id % 700""",
+    "q_source_wiki": r"""SELECT md5(line) AS line_md5, len(string_split(line, ' ')) AS n FROM (SELECT trim(regexp_replace('T' || doc_id || ' | ' || doc_id || ' lies in ' || coalesce(lang, 'none') || ' ' ||
+      regexp_replace(text, '[\x00-\x20\[\]{}|<>&''=]|https?:|[^\x{0}-\x{D7FF}\x{E000}-\x{FFFD}]', ' ', 'g') || ' end', ' +', ' ', 'g')) AS line FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0)""",
+    "q_smoothing_by_day": f"WITH {STATS}, {_smooth('rank_score')} SELECT pid, round(f, 9) AS forecast FROM sm",
+    "q_history_folder": f"""WITH {S}, r AS (SELECT pid, day, round(score, 6) AS score, row_number() OVER (PARTITION BY day, pid ORDER BY round(score, 6) DESC, seq) AS rank FROM s),
+      h AS (SELECT * FROM r WHERE rank <= 100), grid AS (SELECT a.pid, b.day FROM (SELECT DISTINCT pid FROM h) a, (SELECT DISTINCT day FROM h) b),
+      k AS (SELECT pid, day, score, row_number() OVER (PARTITION BY pid, day ORDER BY score DESC) AS r FROM h WHERE score >= 0.15),
+      st AS (SELECT g.pid, g.day, coalesce(min(k.score) FILTER (r <= 10), 0.15) AS rank_score FROM grid g LEFT JOIN k ON k.pid = g.pid AND k.day = g.day GROUP BY 1, 2), {_smooth('rank_score')}
+      SELECT pid, round(f, 9) AS threshold FROM sm""",
+    "q_word2vec": f"SELECT word, 32 AS size, true AS moved FROM (SELECT unnest({TOKENS}) AS word FROM documents) GROUP BY word HAVING count(*) >= 5",
+    "q_collapse_runs": r"""WITH c AS (SELECT doc_id, unnest(string_split(lower(text), '')) AS c, unnest(range(length(text))) AS i FROM documents WHERE text <> ''),
+      b AS (SELECT *, c IS DISTINCT FROM lag(c) OVER (PARTITION BY doc_id ORDER BY i) AS opens FROM c), r AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+      l AS (SELECT doc_id, c, count(*) AS k FROM r GROUP BY doc_id, run, c)
+      SELECT doc_id, CAST(coalesce(sum(CASE WHEN k IS NULL THEN 0 WHEN regexp_matches(c, '^[a-z\x{e0}-\x{24f}]$') THEN least(k, 2) ELSE 1 END), CASE WHEN any_value(text) = '' THEN 0 END) AS INTEGER) AS n
+      FROM documents LEFT JOIN l USING (doc_id) GROUP BY doc_id""",
     "q_pattern_offsets": """WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]{4,12}') AS w FROM benchmark),
       pat AS (SELECT DISTINCT word FROM (SELECT unnest(w) AS word FROM w UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)),
       here AS (SELECT doc_id, instr(lower(text), word) - 1 AS start FROM documents, pat WHERE contains(lower(text), word))
@@ -151,9 +174,6 @@ ORACLES = {
       '[^\x{20}-\x{7e}\x{a1}-\x{24f}\x{300}-\x{36f}\x{1e00}-\x{1eff}]+', ' ', 'g'), '  +', ' ', 'g') AS x FROM documents)
       SELECT doc_id, md5(translate(array_to_string(list_transform(string_split(x, 'I'), lambda p: lower(p)), 'I'), 'șț', 'şţ')) AS normal_md5 FROM t""",
     "q_en_counts": "SELECT count(*) AS total, count(*) FILTER (lang = 'en') AS english FROM documents",
-    "q_keyword_compile": f"WITH {PROFILE} SELECT pid, clause, word FROM reqs",
-    "q_inverted_index": f"WITH {PROFILE} SELECT word, string_agg(pid, ',' ORDER BY pid) AS pids FROM (SELECT DISTINCT word, pid FROM reqs) GROUP BY word",
-    "q_prefix_lookup": f"WITH {PROFILE} SELECT DISTINCT pid, word FROM reqs WHERE word LIKE 'th%'",
     "q_multigram_contains": f"WITH {PROFILE} SELECT doc_id, word FROM documents, multi WHERE contains({CLEAN}, word)",
     "q_candidates": f"WITH {PROFILE}, {GATED}, {PLAIN} SELECT DISTINCT doc_id, pid FROM plain JOIN reqs USING (word)",
     "q_cnf_match": f"WITH {PROFILE}, {GATED}, {PLAIN}, {TOKEN}, {MET} SELECT doc_id, pid FROM met",
@@ -205,14 +225,10 @@ ORACLES = {
       CASE WHEN again THEN doc_id % 1000 ELSE 0 END AS retweets, CASE WHEN again AND doc_id % 1000 > 0 THEN length(CAST(doc_id % 1000 AS VARCHAR)) ELSE 0 END AS level FROM full_m""",
     "q_source_language_lines": rf"""WITH {MESSAGE} SELECT tid, md5(regexp_replace(regexp_replace(own, '\t+|\n+', ' ', 'g'), '(https?:/*)[^ ]+|#|@', '', 'g')) AS text_md5 FROM m WHERE lang = 'en'""",
     "q_enriched_json": f"WITH {MESSAGE} SELECT tid, n_chars % 100 / 100 AS score, lang FROM m",
-    "q_source_keywords": f"WITH {PROFILE} SELECT pid, clause, word FROM reqs",
-    "q_source_topics": "SELECT n_nationkey AS pid, 'MB' || (n_nationkey + 226) AS num, n_name AS title FROM nation",
     "q_source_vectors": "SELECT CAST(vec_id AS VARCHAR) AS word, len(embedding) AS size, round(list_reduce(list_prepend(0.0::DOUBLE, CAST(embedding AS DOUBLE[])), lambda a, b: a + b), 6) AS total FROM embeddings",
     "q_source_training": rf"""WITH {MESSAGE}, {FEATURES.replace('FROM documents', 'FROM (SELECT doc_id, body AS text FROM m)')} SELECT quality AS "Importance", count(*) AS n, count(*) FILTER (m.doc_id % 3 = 0) AS url, count(*) FILTER (m.doc_id % 4 = 0) AS mention,
       CAST(sum("WordCount") AS BIGINT) AS words, round(sum({_LOG.format('(CASE WHEN again THEN m.doc_id * 7 ELSE m.doc_id END)').replace('round(', '(').replace(', 9)', ')')}), 6) AS statuses
       FROM labels JOIN m USING (doc_id) JOIN f USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1""",
-    "q_source_wiki": """SELECT line, len(string_split(line, ' ')) AS n FROM (SELECT n_name || ' | ' || n_name || ' lies in ' || r_name || ' end' AS line
-      FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0)""",
     "q_source_corpus": r"SELECT lang, count(*) AS n, CAST(sum(length(regexp_replace(translate(text, chr(9), ' '), '[\r\n]+', ' ', 'g'))) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY 1",
     "q_source_feature_counts": "SELECT coalesce(lang, 'none') AS ngram, count(*) AS n FROM documents GROUP BY 1",
     "q_label_lists": "SELECT lang, md5(string_agg(doc_id, ',' ORDER BY doc_id)) AS ids_md5, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1",

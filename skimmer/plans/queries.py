@@ -27,6 +27,10 @@ PROFILES = [
 WEIGHTS = [("th", "en", 0.9), ("ng ", "en", 0.7), ("he", "en", 0.4), ("de", "fr", 0.3), ("eau", "fr", 0.8), ("ch", "de", 0.4), ("sch", "de", 0.8), ("ei", "de", 0.5), ("ció", "es", 0.9), ("os", "es", 0.5), ("de", "es", 0.3), ("é", "fr", 0.5)]
 
 
+#: What texts are rid of before they go into articles, so that SQL can follow the cleaning: markup, and what XML can't hold.
+WIKI_MARKS = r"[\x00-\x20\[\]{}|<>&'=]|https?:|[^\x00-\x{D7FF}\x{E000}-\x{FFFD}]"
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -110,16 +114,27 @@ def en_counts(spark, sf_dir):
 # -- keywords and matching ----------------------------------------------------------------------------------------------
 
 
+def _doc_profiles(spark, sf_dir):
+    """A keyword profile of each text with at least six words: of its first ones, as an expression."""
+    w = _docs(spark, sf_dir).select(F.col("doc_id").alias("pid"), F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w")).where(F.size("w") >= 6)
+    at = lambda i: F.get("w", F.lit(i))
+    return w.select("pid", F.concat(at(0), F.lit("\t"), at(1), F.lit("||"), at(0)).alias("optional"), F.concat(at(2), F.lit("||"), at(3), F.lit(" "), at(4), F.lit(" && "), at(5), F.lit("|| ||"), at(0)).alias("required"))
+
+
+def _doc_requirements(spark, sf_dir):
+    return keywords.requirements(keywords.compiled(_doc_profiles(spark, sf_dir)))
+
+
 def keyword_compile(spark, sf_dir):
-    return keywords.requirements(_compiled(spark))
+    return _doc_requirements(spark, sf_dir)
 
 
 def inverted_index(spark, sf_dir):
-    return keywords.inverted_index(keywords.requirements(_compiled(spark))).select("word", F.array_join(F.col("pids").cast("array<string>"), ",").alias("pids"))
+    return keywords.inverted_index(_doc_requirements(spark, sf_dir)).select("word", F.array_join(F.col("pids").cast("array<string>"), ",").alias("pids"))
 
 
 def prefix_lookup(spark, sf_dir):
-    return keywords.subtree(keywords.requirements(_compiled(spark)), "th").select("pid", "word").distinct()
+    return keywords.subtree(_doc_requirements(spark, sf_dir), "th").select("pid", "word").distinct()
 
 
 def multigram_contains(spark, sf_dir):
@@ -261,9 +276,11 @@ def ranker_score(spark, sf_dir):
 
 
 def word2vec(spark, sf_dir):
-    """Parts and seed are fixed and rows are dealt by id, so runs agree."""
-    docs = _docs(spark, sf_dir).repartition(8, "doc_id").sortWithinPartitions("doc_id").select(X.tokens(X.strip_marks(F.col("text"))).alias("words"))
-    return ranker.word2vec(docs, size=32, parts=8).getVectors().select("word", F.size(vector_to_array("vector")).alias("size"))
+    """Which words get a vector, and whether training has moved it to a finite one. Parts and seed are fixed and rows are dealt by id."""
+    docs = _docs(spark, sf_dir).repartition(8, "doc_id").sortWithinPartitions("doc_id").select(X.tokens(X.strip_marks(F.col("text")), unicode=False).alias("words"))
+    v = ranker.word2vec(docs, size=32, parts=8).getVectors().select("word", vector_to_array("vector").alias("v"))
+    norm = F.sqrt(similarity.dot(F.col("v"), F.col("v")))
+    return v.select("word", F.size("v").alias("size"), ((norm > 0) & (norm < 1e6)).alias("moved"))
 
 
 # -- files: written in their format, read back ---------------------------------------------------------------------------
@@ -275,12 +292,6 @@ def _lines(df, value, compression="gzip"):
     return path
 
 
-def _elements(df, element):
-    """A file with all elements under a root; for tables of a fixed few rows."""
-    whole = df.agg(F.concat(F.lit("<root>"), F.array_join(F.collect_list(element), "\n"), F.lit("</root>")).alias("value"))
-    return _lines(whole, F.col("value"), "none")
-
-
 def _message_file(spark, sf_dir):
     """Messages as gzip JSON lines, with notices of deletion and noise between them."""
     m = _messages(spark, sf_dir).where("text is not null")
@@ -309,15 +320,16 @@ def enriched_json(spark, sf_dir):
 
 
 def source_keywords(spark, sf_dir):
-    rows = spark.createDataFrame(PROFILES, "pid int, optional string, required string")
+    """Keyword lines with raw tabs, one for each text, written and read."""
     text = F.concat(F.lit('{"tid": "'), readers.profile_id(F.col("pid")), F.lit('", "keyword": {"0": "'), "optional", F.lit('", "1": "'), "required", F.lit('"}}\r'))
-    return keywords.requirements(keywords.compiled(readers.keywords(spark, _lines(rows, text))))
+    return keywords.requirements(keywords.compiled(readers.keywords(spark, _lines(_doc_profiles(spark, sf_dir), text))))
 
 
 def source_topics(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation")
-    line = F.concat(F.lit("<top>\r\n<num> Number: "), readers.profile_id(F.col("n_nationkey")), F.lit(" </num>\r\n<title>\r\n"), "n_name", F.lit("\r\n</title>\r\n</top>"))
-    return readers.topics(spark, _elements(n, line)).select("pid", "num", "title")
+    """Profile elements in many files: texts dealt to 700 profiles, whose numbers have three digits."""
+    n = _docs(spark, sf_dir).groupBy((F.col("doc_id") % 700).alias("at")).agg(F.count("*").alias("n"), F.max("lang").alias("lang"))
+    line = F.concat(F.lit("<top>\r\n<num> Number: "), readers.profile_id(F.col("at")), F.lit(" </num>\r\n<title>\r\nTexts in "), F.coalesce("lang", F.lit("none")), F.lit(": "), F.col("n").cast("string"), F.lit("\r\n</title>\r\n</top>"))
+    return readers.topics(spark, _lines(n, line, "none")).select("pid", "num", "title")
 
 
 def source_vectors(spark, sf_dir):
@@ -338,14 +350,17 @@ def source_training(spark, sf_dir):
 
 
 def source_wiki(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation").join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows at any scale
-    body = F.concat(F.lit("\'\'\'"), "n_name", F.lit("\'\'\' lies in [[Region|"), "r_name", F.lit("]] {{box}} &lt;ref&gt;x&lt;/ref&gt; end"))
-    more = F.when(F.col("n_nationkey") % 5 == 0, "<redirect title='x'/>").otherwise("")
-    page = F.concat(F.lit("<page><title>"), "n_name", F.lit("</title><ns>0</ns>"), more, F.lit("<revision><text>"), body, F.lit("</text></revision></page>"))
-    pages = readers.wiki_pages(spark, _elements(n, page))
+    """Every text as an article with markup five levels deep, in a dump of many files: read, cleaned, written a line each, cut into words."""
+    d = _docs(spark, sf_dir).where("text is not null")
+    plain = F.regexp_replace("text", WIKI_MARKS, " ")
+    nested = "{{a|{{b {{c {{d|x {{e}} y}} }} }} }} {| class\n| {{f}}\n|} [[File:x.png|thumb|see [[Other|one]]]] "
+    body = F.concat(F.lit(nested + "'''"), F.col("doc_id").cast("string"), F.lit("''' lies in [[Region|"), F.coalesce("lang", F.lit("none")), F.lit("]] &lt;ref&gt;x {{y}}&lt;/ref&gt; "), plain, F.lit(" end"))
+    more = F.when(F.col("doc_id") % 5 == 0, "<redirect title='x'/>").otherwise("")
+    page = F.concat(F.lit("<page><title>T"), F.col("doc_id").cast("string"), F.lit("</title><ns>0</ns>"), more, F.lit("<revision><text>"), body, F.lit("</text></revision></page>"))
+    pages = readers.wiki_pages(spark, _lines(d, page, "bzip2"))
     path = scratch_path(spark)
     writers.write_lines(pages.select(F.concat_ws(" | ", "title", "text").alias("line")), "line", path)
-    return readers.sentences(spark, path).select(F.array_join("words", " ").alias("line"), F.size("words").alias("n"))
+    return readers.sentences(spark, path).select(F.md5(F.array_join("words", " ")).alias("line_md5"), F.size("words").alias("n"))
 
 
 def source_corpus(spark, sf_dir):
@@ -429,6 +444,26 @@ def exp_smoothing(spark, sf_dir):
     return history.thresholds(_stats(spark, sf_dir), "n_related").select("pid", F.round("threshold", 6).alias("forecast"))
 
 
+def smoothing_by_day(spark, sf_dir):
+    """The forecast with history merged as days come: a stored state and a batch of days, four times."""
+    stats = scratch(_stats(spark, sf_dir).withColumn("part", F.ceil(F.substring("day", 7, 2).cast("int") / 8)))
+    kept = None
+    for i in range(1, 5):
+        new = history.decayed(stats.where(F.col("part") == i), "rank_score")
+        kept = scratch(new if kept is None else history.merged(kept, new))
+    return history.forecasts(kept).select("pid", F.round("threshold", 9).alias("forecast"))
+
+
+def history_folder(spark, sf_dir):
+    """Digest folders written day by day, read back as history, and the thresholds that they give."""
+    path = scratch_path(spark)
+    rows = _scored(spark, sf_dir).withColumns({"total": F.round(F.col("score"), 6), "tid": F.col("seq").cast("string")})
+    writers.write_digest(push.digest(rows), path)
+    back = readers.materialised(spark, scratch_path(spark), lambda: readers.digest_history(spark, path))
+    stats = history.daily(back, back.select("pid").distinct(), back.select("day").distinct())
+    return history.thresholds(scratch(stats)).select("pid", F.round("threshold", 9).alias("threshold"))
+
+
 def moving_avg_3d(spark, sf_dir):
     return history.moving_average(_stats(spark, sf_dir), "n_related").select("pid", "day", F.round("average", 9).alias("average"))
 
@@ -641,6 +676,6 @@ NAMES = [
     running_max_feedback, top2_expansion, sortedness_check, dedup_exact, simhash, ngram_counts, lang_softmax, lang_trained, stream_push, stream_daily,
     source_messages, source_language_lines, enriched_json, source_keywords, source_topics, source_vectors, source_training, source_wiki, source_corpus,
     source_feature_counts, label_lists, file_digest, file_push_log, file_history_matrix, file_profiles, filtered, stream_engine,
-    pattern_offsets, english_gate, similarity_join, stream_filtered, stream_counts, stream_feedback, adaptive_threshold, stream_adaptive,
+    pattern_offsets, english_gate, similarity_join, smoothing_by_day, history_folder, stream_filtered, stream_counts, stream_feedback, adaptive_threshold, stream_adaptive,
 ]
 QUERIES = {f"q_{f.__name__}": f for f in NAMES}

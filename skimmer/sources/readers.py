@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skimmer.functions import text as X
+from skimmer.functions.markup import nested_markup
 from skimmer.schema import HISTORY, KEYWORDS, MESSAGE, TRAINING
 
 #: Profiles are numbered from here: index 0 is MB226.
@@ -58,8 +59,9 @@ def language_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, path: str) -> DataFrame:
-    """(pid, num, title) of <top> elements; the number is the last five characters."""
-    raw = spark.read.format("xml").option("rowTag", "top").schema("num string, title string").load(path)
+    """(pid, num, title) of <top> elements, under a root or not; the number is the last five characters. The parser that looks for row
+    tags is chosen: the other one reads no second element of a file without a root."""
+    raw = spark.read.format("xml").option("useLegacyXMLParser", True).option("rowTag", "top").schema("num string, title string").load(path)
     num = F.right(F.trim(F.regexp_replace("num", r"\s+", " ")), F.lit(5))
     return raw.select(profile_index(num).alias("pid"), num.alias("num"), F.trim(F.regexp_replace(X.collapse_breaks(F.col("title"), ""), "\r", "")).alias("title"))
 
@@ -107,6 +109,13 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(name.alias("day"), profile_index(F.col("profile")).alias("pid"), "tid", "score")
 
 
+def digest_history(spark: SparkSession, path: str) -> DataFrame:
+    """(day, pid, tid, rank, score) of a digest folder as writers.write_digest leaves it, a folder of lines for each day."""
+    part = F.split("value", "\t")
+    raw = spark.read.schema("value string, day string").text(path)
+    return raw.select(part[0].alias("day"), profile_index(part[1]).alias("pid"), part[3].alias("tid"), part[4].cast("int").alias("rank"), part[5].cast("double").alias("score"))
+
+
 def named_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY).parquet(path)
 
@@ -127,10 +136,11 @@ def training_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(title, text) of the articles of an XML dump, markup taken out; redirects and other name spaces are left out."""
-    raw = spark.read.format("xml").option("rowTag", "page").schema("title string, ns int, redirect string, revision struct<text:string>").load(path)
-    body = F.col("revision.text")
-    for pattern, by in ((r"(?s)<!--.*?-->|<ref[^>/]*/>|<ref.*?</ref>|<(math|nowiki|gallery)\b.*?</\1>", " "), (r"(?s)\{\{[^{}]*\}\}", " "), (r"(?s)\{\{[^{}]*\}\}", " "), (r"(?s)\{\|.*?\|\}", " "), (r"\[\[(?:File|Image|Category):[^\]]*\]\]", " "), (r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1"), (r"\[https?://\S+ ?([^\]]*)\]", "$1"), (r"<[^>]+>|'{2,}|={2,}", " "), (r"\s+", " ")):
+    """(title, text) of the articles of an XML dump, plain or bz2 in many files, markup taken out at any depth; redirects and other name
+    spaces are left out."""
+    raw = spark.read.format("xml").option("useLegacyXMLParser", True).option("rowTag", "page").schema("title string, ns int, redirect string, revision struct<text:string>").load(path)
+    body = nested_markup(F.regexp_replace("revision.text", r"(?s)<!--.*?-->|<ref[^>/]*/>|<ref.*?</ref>|<(math|nowiki|gallery)\b.*?</\1>", " "))
+    for pattern, by in ((r"\[https?://\S+ ?([^\]]*)\]", "$1"), (r"<[^>]+>|'{2,}|={2,}", " "), (r"\s+", " ")):
         body = F.regexp_replace(body, pattern, by)
     return raw.where((F.coalesce("ns", F.lit(0)) == 0) & F.col("redirect").isNull() & F.col("revision.text").isNotNull()).select("title", F.trim(body).alias("text"))
 

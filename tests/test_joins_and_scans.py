@@ -58,3 +58,19 @@ def test_running_scan_equals_a_loop_and_cuts_a_hot_key(spark):
     sizes = [r["count"] for r in df.where("pid = 0").withColumn("b", scan.cut(df, "seq")).groupBy("b").count().collect()]
     assert len(sizes) == scan.BLOCKS and max(sizes) < 3 * sum(sizes) / scan.BLOCKS
     assert scan.running(df.limit(0), ["pid"], "seq", sums={"n": F.lit(1)}).collect() == []
+
+
+@pytest.mark.parametrize("cuts", [[], [1], [2, 3], [1, 2, 5, 9]])
+def test_days_merged_equal_the_whole(spark, cuts):
+    from skimmer.operators import history
+
+    rng = np.random.default_rng(6)
+    rows = [(p, f"{d:02d}", float(rng.random())) for p in range(4) for d in range(1 if p == 0 else 12) if p < 3 or d > 4]
+    stats = spark.createDataFrame(rows, "pid int, day string, rank_score double")
+    want = {r.pid: round(r.threshold, 12) for r in history.thresholds(stats).collect()}
+    kept = None
+    for low, high in zip([0, *cuts], [*cuts, 99]):
+        new = history.decayed(stats.where(F.col("day").cast("int").between(low, high - 1)), "rank_score")
+        kept = new if kept is None else history.merged(kept, new)
+    assert {r.pid: round(r.threshold, 12) for r in history.forecasts(kept).collect()} == want
+    assert history.forecasts(history.decayed(stats.limit(0), "rank_score")).collect() == []
