@@ -141,6 +141,10 @@ ORACLES = {
     "q_source_topics": """SELECT doc_id % 700 AS pid, 'MB' || (doc_id % 700 + 226) AS num, 'Texts in ' || coalesce(max(lang), 'none') || ': ' || count(*) AS title FROM documents GROUP BY doc_id % 700""",
     "q_source_wiki": r"""SELECT md5(line) AS line_md5, len(string_split(line, ' ')) AS n FROM (SELECT trim(regexp_replace('T' || doc_id || ' | ' || doc_id || ' lies in ' || coalesce(lang, 'none') || ' ' ||
       regexp_replace(text, '[\x00-\x20\[\]{}|<>&''=]|https?:|[^\x{0}-\x{D7FF}\x{E000}-\x{FFFD}]', ' ', 'g') || ' end', ' +', ' ', 'g')) AS line FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0)""",
+    "q_model_saved": "SELECT doc_id, true AS same FROM documents",
+    "q_file_english_lines": rf"WITH {SOFTMAX}, best AS (SELECT doc_id, lang, p FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, lang) = 1) SELECT md5(regexp_replace(text, '[\r\n]+', ' ', 'g')) AS line_md5 FROM best JOIN documents USING (doc_id) WHERE p >= 0.6 AND best.lang = 'en'",
+    "q_source_expanded": "SELECT md5(array_to_string(w, ' ')) AS words_md5, len(w) AS n FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE text IS NOT NULL)",
+    "q_source_lines": "SELECT object, count(*) AS lines FROM (SELECT unnest(CASE WHEN doc_id % 7 = 0 THEN [true, true, false] ELSE [true] END) AS object FROM documents WHERE text IS NOT NULL) GROUP BY 1",
     "q_smoothing_by_day": f"WITH {STATS}, {_smooth('rank_score')} SELECT pid, round(f, 9) AS forecast FROM sm",
     "q_history_folder": f"""WITH {S}, r AS (SELECT pid, day, round(score, 6) AS score, row_number() OVER (PARTITION BY day, pid ORDER BY round(score, 6) DESC, seq) AS rank FROM s),
       h AS (SELECT * FROM r WHERE rank <= 100), grid AS (SELECT a.pid, b.day FROM (SELECT DISTINCT pid FROM h) a, (SELECT DISTINCT day FROM h) b),

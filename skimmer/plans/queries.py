@@ -275,6 +275,23 @@ def ranker_score(spark, sf_dir):
     return ranker.predict(model, rows).select("doc_id", "score")
 
 
+def model_saved(spark, sf_dir):
+    """The quality model fitted, saved and loaded: its scores are those of the fitted one, and of the loaded coefficients by hand."""
+    rows = scratch(ranker.numeric(_messages(spark, sf_dir).withColumns(R.of_message()).select("doc_id", *R.NAMES)))
+    model = ranker.fit(rows.join(_t(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("Importance")), "doc_id"))
+    path = scratch_path(spark)
+    model.write().save(path)
+    loaded = ranker.load(path)
+    scale, weights = loaded.stages[1], loaded.stages[2]
+    line = F.lit(float(weights.intercept))
+    for name, mean, std, w in zip(R.NAMES, scale.mean.toArray(), scale.std.toArray(), weights.coefficients.toArray()):
+        line = line + ((F.col(name) - float(mean)) / float(std) if std else F.lit(0.0)) * float(w)
+    both = ranker.predict(loaded, rows).withColumns({"loaded": F.col("score"), "by_hand": 1 / (1 + F.exp(-line))}).drop("score")
+    both = ranker.predict(model, both)
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-9
+    return both.select("doc_id", (near("loaded", "score") & near("loaded", "by_hand") & (F.col("score") < 1)).alias("same"))
+
+
 def word2vec(spark, sf_dir):
     """Which words get a vector, and whether training has moved it to a finite one. Parts and seed are fixed and rows are dealt by id."""
     docs = _docs(spark, sf_dir).repartition(8, "doc_id").sortWithinPartitions("doc_id").select(X.tokens(X.strip_marks(F.col("text")), unicode=False).alias("words"))
@@ -332,6 +349,30 @@ def source_topics(spark, sf_dir):
     return readers.topics(spark, _lines(n, line, "none")).select("pid", "num", "title")
 
 
+def file_english_lines(spark, sf_dir):
+    """The texts that a model of fixed weights calls English, a line each, written and read."""
+    weights = spark.createDataFrame(WEIGHTS, "ngram string, lang string, weight double").withColumn("weight", F.col("weight") / 64)
+    found = _docs(spark, sf_dir).withColumn("found", language.label_of(F.lower("text"), weights)).where("found.lang = 'en'")
+    path = scratch_path(spark)
+    writers.write_lines(found, "text", path)
+    return spark.read.text(path).select(F.md5("value").alias("line_md5"))
+
+
+def source_expanded(spark, sf_dir):
+    """Expanded profiles, lines of words, written from texts and read."""
+    line = F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), "  ")
+    back = readers.expanded_profiles(spark, _lines(_docs(spark, sf_dir).where("text is not null"), line))
+    return back.select(F.md5(F.array_join("words", " ")).alias("words_md5"), F.size("words").alias("n"))
+
+
+def source_lines(spark, sf_dir):
+    """Message lines of many files as a stream, each with its length and hash."""
+    from skimmer.streaming import push as S
+
+    lines = readers.stream_lines(spark, _message_batches(spark, sf_dir), 2)
+    return S.run_available(lines.select(F.length("value").alias("n"), F.startswith("value", F.lit("{")).alias("object"))).groupBy("object").agg(F.count("*").alias("lines"))
+
+
 def source_vectors(spark, sf_dir):
     path = scratch_path(spark)
     writers.write_vector_lines(_vectors(spark, sf_dir), path)
@@ -676,6 +717,7 @@ NAMES = [
     running_max_feedback, top2_expansion, sortedness_check, dedup_exact, simhash, ngram_counts, lang_softmax, lang_trained, stream_push, stream_daily,
     source_messages, source_language_lines, enriched_json, source_keywords, source_topics, source_vectors, source_training, source_wiki, source_corpus,
     source_feature_counts, label_lists, file_digest, file_push_log, file_history_matrix, file_profiles, filtered, stream_engine,
-    pattern_offsets, english_gate, similarity_join, smoothing_by_day, history_folder, stream_filtered, stream_counts, stream_feedback, adaptive_threshold, stream_adaptive,
+    pattern_offsets, english_gate, similarity_join, smoothing_by_day, history_folder, model_saved, file_english_lines,
+    source_expanded, source_lines, stream_filtered, stream_counts, stream_feedback, adaptive_threshold, stream_adaptive,
 ]
 QUERIES = {f"q_{f.__name__}": f for f in NAMES}
