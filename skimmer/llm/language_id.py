@@ -98,16 +98,17 @@ def grams(data: np.ndarray, offsets: np.ndarray):
     return (mix(value[inside]) & np.uint64((1 << BITS) - 1)).astype(np.int64), rows[:n][inside]
 
 
-def train(docs: DataFrame, text="text", lang="lang", doc_id="doc_id", sample: int = 8000, most_langs: int = 64) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probability by language and bucket) from a bounded sample of labelled rows, of smallest hash of the id; the
-    most_langs languages that it holds most of."""
+def train(docs: DataFrame, text="text", lang="lang", doc_id="doc_id", sample: int = 8000, most_bytes: int = 1 << 28) -> tuple[list[str], np.ndarray]:
+    """(languages, log-probability by language and bucket) from a bounded sample of labelled rows, of smallest hash of the id.
+
+    All languages of the sample are in the model, which every worker holds: 256 KB each. It fails beyond most_bytes, and drops none."""
     rows = docs.select(col(doc_id).alias("id"), col(lang).alias("lang"), col(text).alias("text")).where("id is not null and lang is not null and text is not null")
     chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
     some = rows.join(F.broadcast(chosen), "id").select(F.lower("lang").alias("lang"), "text")
 
     some = scratch(some)
-    names = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
-    some = some.join(F.broadcast(names.select("lang")), "lang")
+    if (n := some.select("lang").distinct().count()) << BITS + 2 > most_bytes:
+        raise ValueError(f"a model of {n} languages is over most_bytes")
 
     def count(batches):
         import pyarrow as pa
@@ -201,15 +202,15 @@ def identify(pages: DataFrame, model, page_id="page_id", url="url", html="html",
     prior = host.join(domain.withColumnsRenamed({v: f"domain_{v}" for v in votes}), ["domain", "suffix"])
     rows = own.join(prior.drop("domain", "suffix"), "host")
 
-    def level(prefix, below):
+    def level(prefix, size, below):
         """Smoothed shares by language, the page's own vote taken out."""
         n = [F.col(f"{prefix}{v}") - F.when(F.col("vote") == x, 1.0).otherwise(0.0) for x, v in zip(langs, votes)]
-        size = sum(n[1:], n[0])
-        return [(a + strength * b) / (size + strength) for a, b in zip(n, below)]
+        return [(a + strength * b) / (F.col(size) - 1.0 + strength) for a, b in zip(n, below)]
 
     share = [F.lit(1.0 / len(langs))] * len(langs)
     for k, prefix in enumerate(("all_", "suffix_", "domain_", "")):
-        rows = rows.withColumns({f"s{k}_{i}": c for i, c in enumerate(level(prefix, share))})
+        rows = rows.withColumn(f"size{k}", total([f"{prefix}{v}" for v in votes]))
+        rows = rows.withColumns({f"s{k}_{i}": c for i, c in enumerate(level(prefix, f"size{k}", share))})
         share = [F.col(f"s{k}_{i}") for i in range(len(langs))]
     posts = [F.element_at("logs", i + 1) + F.log(share[i]) for i in range(len(langs))]
     rows = rows.withColumns({f"l{i}": p for i, p in enumerate(posts)})

@@ -709,3 +709,17 @@ def test_lm_of_odd_tables(spark):
     twice = [tuple(r) for r in rows if r.doc_id == 3]
     assert twice[0] == twice[1] and all(r.ce_background >= 0 for r in rows if r.n_tokens)
     assert lm_score.score(d.limit(0), lm_score.train(d.limit(0))).count() == 0
+
+
+def test_no_language_is_dropped(spark):
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqr"]
+    rng = random.Random(80)
+    word = {n: ["".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(12)] for n in names}
+    text = lambda n: " ".join(rng.choice(word[n]) for _ in range(40))
+    d = spark.createDataFrame([(i, text(n), n) for i, n in enumerate(names * 3)], "doc_id long, text string, lang string")
+    model = language_id.train(d)
+    assert model[0] == sorted(names)
+    pages = spark.createDataFrame([(i, f"http://h{i}.example/", f"<p>{text(n)}</p>") for i, n in enumerate(names)], "page_id long, url string, html string")
+    assert [r.lang for r in language_id.identify(pages, model).orderBy("page_id").collect()] == names
+    with pytest.raises(ValueError, match="most_bytes"):
+        language_id.train(d, most_bytes=1 << 20)
