@@ -138,7 +138,7 @@ class Lattices:
     order of their nodes. cum[e] is the node plus the summed conditional probability of its edges up to e, so one sorted
     search draws an edge for any node."""
 
-    KEPT, SHORT, BLOCK = 1 << 18, 24, 1 << 16  # edges kept, characters of a kept chunk at most, characters built at once
+    KEPT, SHORT, BLOCK = 1 << 20, 24, 1 << 16  # edges kept, characters of a kept chunk at most, characters built at once
 
     def __init__(self, vocabulary: Vocabulary, alpha: float = 1.0):
         self.v, self.alpha, self.trie = vocabulary, alpha, Trie(vocabulary)
@@ -147,12 +147,22 @@ class Lattices:
         self.nodes, self.edges = 0, 0  # kept
         self.room = np.zeros(1, np.int64), *(np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.float64))
 
+    def known(self, chunks: list[str]) -> list:
+        """The first node of each chunk whose lattice is kept, else None."""
+        self.forget()
+        return list(map(self.first.get, chunks))
+
+    def forget(self) -> None:
+        """What passed by is gone."""
+        for c in self.passing:
+            del self.first[c]
+        self.passing = []
+
     def of(self, kinds: list[str]):
         """((edge, to, id, cum, logq), first node by chunk) of these chunks at least, until the next call. Lattices of short chunks stay for
         later calls while there is room; others are built anew when they come again."""
-        for c in self.passing:
-            del self.first[c]
-        new = [c for c in kinds if c not in self.first]
+        self.forget()
+        new = list(dict.fromkeys(c for c in kinds if c not in self.first))
         size = np.fromiter(map(len, new), np.int64, len(new))
         order = np.argsort(size > self.SHORT, kind="stable")
         new, size = [new[i] for i in order.tolist()], size[order]
@@ -231,24 +241,15 @@ class Lattices:
         chunk = np.repeat(np.arange(len(chunks)), lens)
         n_edges = np.bincount(frm, minlength=len(text))
         first_edge = np.cumsum(n_edges) - n_edges
-        beta, far = np.zeros(len(text) + 1), (end - pos)
-        value = np.empty(len(frm))
-        # backward sums, from the last characters of all chunks to the first ones; a chunk's end has the sum of nothing, 0
-        ends_there = to == end[frm]
+        far = end - pos
+        target = np.where(to == end[frm], len(text), to)  # a chunk's end has the sum of nothing
         by = far[frm]
         by = np.argsort(by.astype(np.uint16) if by.max(initial=0) < 1 << 16 else by, kind="stable")  # short keys: radix sort
         d = far[frm][by]
         cuts = np.flatnonzero(np.diff(d, prepend=-1))
-        for i, j in zip(cuts, np.append(cuts[1:], len(by))):
-            e = by[i:j]
-            v = value[e] = own[e] + np.where(ends_there[e], 0.0, beta[np.minimum(to[e], len(text))])
-            f = frm[e]
-            heads = np.flatnonzero(np.diff(f, prepend=-1))
-            top = np.maximum.reduceat(v, heads)
-            sizes = np.diff(np.append(heads, len(f)))
-            beta[f[heads]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, sizes)), heads))
-        logq = value - beta[frm]
-        run = np.cumsum(np.exp(logq))
+        slices = list(zip(cuts, np.append(cuts[1:], len(by))))
+        share = self.shares(frm, target, own, by, slices, len(text))
+        logq, run = np.log(share), np.cumsum(share)
         before = np.where(first_edge > 0, run[np.maximum(first_edge - 1, 0)], 0.0)
         number = pos + chunk
         cum = number[frm] + np.minimum(run - before[frm], 1.0)
@@ -258,6 +259,33 @@ class Lattices:
         return (np.cumsum(edge), to + chunk[frm], ids, cum, logq), last - lens + np.arange(len(chunks))
 
 
+    @staticmethod
+    def shares(frm, target, own, by, slices, n: int) -> np.ndarray:
+        """The conditional probability of each edge at its node, by backward sums from the last characters of all chunks to the first
+        ones; slices of ``by`` are edges at one distance from the end, by node. Sums are plain numbers, logarithms where those run out."""
+        p, beta = np.exp(own), np.zeros(n + 1)
+        beta[n] = 1.0
+        value = np.empty(len(own))
+        for i, j in slices:
+            e = by[i:j]
+            v = value[e] = p[e] * beta[target[e]]
+            f = frm[e]
+            heads = np.flatnonzero(np.diff(f, prepend=-1))
+            beta[f[heads]] = np.add.reduceat(v, heads)
+        if value.min(initial=1.0) > 1e-280:
+            return value / beta[frm]
+        beta[n] = 0.0
+        for i, j in slices:
+            e = by[i:j]
+            v = value[e] = own[e] + beta[target[e]]
+            f = frm[e]
+            heads = np.flatnonzero(np.diff(f, prepend=-1))
+            top = np.maximum.reduceat(v, heads)
+            sizes = np.diff(np.append(heads, len(f)))
+            beta[f[heads]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, sizes)), heads))
+        return np.exp(np.maximum(value - beta[frm], -700.0))  # never none at all: its logarithm is asked for
+
+
 def uniform(key: np.ndarray, *at) -> np.ndarray:
     """Numbers within (0, 1), fixed by key and place."""
     h = key
@@ -340,10 +368,14 @@ def redraw(arrays, start: int, banned: list[tuple[int, ...]], draw) -> tuple[tup
 def sample_group(lattices: Lattices, keys: np.ndarray, chunk_lists: list[list[str]], k: int):
     """For each text of a group a list of (edges, log-probability, perturbed value), best first, and the bound that was left."""
     counts = np.array([len(c) for c in chunk_lists], np.int64)
-    kinds = list(dict.fromkeys(chain.from_iterable(chunk_lists)))
-    if kinds:
-        arrays, first = lattices.of(kinds)
-        start = np.fromiter(map(first.__getitem__, chain.from_iterable(chunk_lists)), np.int64, int(counts.sum()))
+    chunks = list(chain.from_iterable(chunk_lists))
+    if chunks:
+        kept = lattices.known(chunks)
+        absent = [i for i, x in enumerate(kept) if x is None]
+        arrays, first = lattices.of([chunks[i] for i in absent])
+        for i in absent:
+            kept[i] = first[chunks[i]]
+        start = np.array(kept, np.int64)
     else:
         arrays, start = None, np.zeros(0, np.int64)
     ends = np.cumsum(counts)
@@ -532,7 +564,7 @@ def log_inclusion(logp: float, bound: float) -> float:
 SAMPLE = "sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, exact boolean"
 
 
-def sample_encodings(docs: DataFrame, doc_id="doc_id", text="text", k: int = 2, seed: int = 0, model: str | None = None, alpha: float = 1.0, with_ids: bool = True, group: int = 60_000) -> DataFrame:
+def sample_encodings(docs: DataFrame, doc_id="doc_id", text="text", k: int = 2, seed: int = 0, model: str | None = None, alpha: float = 1.0, with_ids: bool = True, group: int = 100_000) -> DataFrame:
     """Up to k distinct segmentations per row of docs, best perturbed value first (sample 0), with their ids and whether the
     ids decode to the very text. alpha: exponent of the piece probabilities.
 
