@@ -124,7 +124,9 @@ def _feedback(n: int = 4) -> str:
     return f"WITH {', '.join(x.strip() for x in parts)} " + " UNION ALL ".join(f"SELECT doc_id, pid, round(similarity, 9) AS similarity, {i} AS batch FROM top{i}" for i in range(n))
 
 
-SOFTMAX = f"""d AS (SELECT doc_id, lower(text) AS t FROM documents), {NGRAMS},
+# No n-gram of WEIGHTS overlaps itself, so what is left without it tells how often it was there.
+SOFTMAX = f"""d AS (SELECT doc_id, lower(text) AS t FROM documents), wt AS (SELECT * FROM (VALUES {GRAMS}) AS v(ngram, lang, weight)),
+      ng AS (SELECT doc_id, ngram, (length(t) - length(replace(t, ngram, ''))) // length(ngram) AS n FROM d, (SELECT DISTINCT ngram FROM wt)),
       sc AS (SELECT doc_id, wt.lang, sum(n * weight) AS s FROM ng JOIN wt USING (ngram) WHERE n > 0 GROUP BY 1, 2),
       e AS (SELECT doc_id, lang, exp(s - max(s) OVER (PARTITION BY doc_id)) AS e FROM sc),
       p AS (SELECT doc_id, lang, e / sum(e) OVER (PARTITION BY doc_id) AS p FROM e)"""
