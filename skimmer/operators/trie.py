@@ -111,13 +111,13 @@ _built: OrderedDict = OrderedDict()
 
 
 def built(shared) -> Trie:
-    """The trie of a broadcast list, built once a worker; a few are kept."""
-    key = (shared._jid, len(shared.value)) if hasattr(shared, "_jid") else id(shared)
-    if key not in _built:
-        _built[key] = Trie(shared.value)
+    """The trie of a broadcast list, built once a worker; a few are kept, with their lists, so that none is taken for another."""
+    value = shared.value
+    if id(value) not in _built:
+        _built[id(value)] = value, Trie(value)
         while len(_built) > 4:
             _built.popitem(last=False)
-    return _built[key]
+    return _built[id(value)][1]
 
 
 def shared_patterns(spark: SparkSession, patterns: list[str]):

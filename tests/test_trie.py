@@ -84,3 +84,14 @@ def test_identify_decodes_entities(spark):
     lines = spark.createDataFrame([(1, "&eacute;t&eacute; &#224; la for&ecirc;t"), (2, "the dog")], "k int, t string")
     assert {r.k: r.lang for r in language.identify(lines, "k", "t", model, 2).collect()} == {1: "fr", 2: "en"}
     assert [r.k for r in language.english(lines, "t", model).collect()] == [2]
+
+
+def test_tries_of_other_patterns_are_not_mixed_up():
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    for i in range(50):  # lists come and go, as broadcasts do in a worker
+        assert trie.built(Shared([f"p{i}", f"q{i}"])).patterns == [f"p{i}", f"q{i}"]
+    kept = Shared(["a"])
+    assert trie.built(kept) is trie.built(kept)
