@@ -1,6 +1,9 @@
-"""A pluggable part-of-speech filter. The default goes by a few closed word classes and endings, JVM-side."""
+"""A pluggable part-of-speech filter. The default goes by a few closed word classes and endings, JVM-side; Tagger is trained."""
 
-from pyspark.sql import Column
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLOSED = "and or but nor so yet for the a an this that these those in on at by of to with from as than then there here very too not never also just only".split()
@@ -13,10 +16,131 @@ def open_classes(words: Column) -> Column:
 
 def arrow_tagger(tag) -> "callable":
     """A tagger from tag(list of words) -> list of tags; keeps JJ, NN and VB, an Arrow batch at a time."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
-    def keep(s: pd.Series) -> pd.Series:
+    def keep(s):
         return s.map(lambda ws: None if ws is None else [w for w, t in zip(ws, tag(list(ws))) if t[:2] in ("JJ", "NN", "VB")])
 
     return keep
+
+
+# -- a tagger that is trained -------------------------------------------------------------------------------------------
+
+#: The beginnings of the tags that are kept, and how long an ending of an unknown word counts.
+KEPT, ENDING = ("JJ", "NN", "VB"), 3
+PIECE = 1 << 16  # words that are tagged together
+
+
+class Tagger:
+    """A hidden Markov model of tags: what a tag follows, what it spells, and for words that were never seen what their endings tell.
+
+    Counts are grouped by Spark from a tagged table; the model that comes to the driver has a row for each (word, tag) seen, up to
+    ``most_rows``, and fails beyond. Ties go to the tag that is first in the alphabet. A null or empty text has no tags."""
+
+    def __init__(self, tags: list[str], start, follow, words: dict, endings: dict, rest):
+        self.tags, self.start, self.follow, self.words, self.endings, self.rest = tags, start, follow, words, endings, rest
+
+    @classmethod
+    def train(cls, tagged: DataFrame, smoothing: float = 0.1, most_rows: int = 2_000_000) -> Tagger:
+        """tagged: (sentence, at, word, tag), words in the form that is tagged later. Rows with a null among these are left out."""
+        rows = tagged.where("sentence is not null and at is not null and word is not null and tag is not null")
+        before = F.lag("tag").over(Window.partitionBy("sentence").orderBy("at"))
+        moves = rows.select(before.alias("before"), "tag").groupBy("before", "tag").agg(F.count("*").alias("n"))
+        spelt = rows.groupBy("word", "tag").agg(F.count("*").alias("n")).limit(most_rows + 1).toArrow()
+        if spelt.num_rows > most_rows:
+            raise ValueError("the model has too many rows")
+        pairs = moves.collect()  # tags by tags
+        tags = sorted({r.tag for r in pairs})
+        at, k = {t: i for i, t in enumerate(tags)}, len(tags)
+        start, follow, total = np.full(k, smoothing), np.full((k, k), smoothing), np.full(k, smoothing)
+        for r in pairs:
+            if r.before is None:
+                start[at[r.tag]] += r.n
+            else:
+                follow[at[r.before], at[r.tag]] += r.n
+        words: dict = {}
+        endings: dict = {}
+        for w, t, n in zip(*(spelt.column(c).to_pylist() for c in ("word", "tag", "n"))):
+            total[at[t]] += n
+            words.setdefault(w, np.zeros(k))[at[t]] += n
+            for j in range(1, ENDING + 1):
+                endings.setdefault(w[-j:], np.zeros(k))[at[t]] += 1  # each word once: rare ones are what the unknown are like
+        log = lambda n: np.log(n + smoothing) - np.log(total)
+        return cls(tags, np.log(start / start.sum()), np.log(follow / follow.sum(axis=1, keepdims=True)), {w: log(n) for w, n in words.items()}, {e: log(n) for e, n in endings.items()}, log(np.zeros(k)))
+
+    def spelled(self, word: str) -> np.ndarray:
+        """Log-probability of a word by tag, of the longest known ending of an unknown one."""
+        if word in self.words:
+            return self.words[word]
+        return next((self.endings[word[-j:]] for j in range(min(ENDING, len(word)), 0, -1) if word[-j:] in self.endings), self.rest)
+
+    def tag(self, texts: list[list[str]]) -> list[list[str]]:
+        """The likeliest tags of each text, all texts a word at a time: the longest first, so those that have ended drop out."""
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        size = np.array([len(texts[i]) for i in order])
+        most = int(size.max(initial=0))
+        if not most or not self.tags:
+            return [[] for _ in texts]
+        cache: dict = {}
+        look = lambda w: cache[w] if w in cache else cache.setdefault(w, self.spelled(w))
+        live, back, score = int((size > 0).sum()), [], None
+        ends = np.zeros(len(order), np.int64)
+        for t in range(most):
+            now = int(np.searchsorted(-size, -t, "left"))  # texts of more than t words
+            own = np.stack([look(texts[i][t]) for i in order[:now]])
+            if t == 0:
+                score = self.start + own
+            else:
+                if now < live:
+                    ends[now:live] = score[now:].argmax(axis=1)
+                step = score[:now, :, None] + self.follow
+                best = step.argmax(axis=1)
+                back.append(best.astype(np.int16))
+                score = np.take_along_axis(step, best[:, None, :], 1)[:, 0] + own
+            live = now
+        ends[:live] = score.argmax(axis=1)
+        out: list = [[] for _ in texts]
+        path = [ends]
+        for t in range(most - 1, 0, -1):
+            last, best = path[-1].copy(), back[t - 1]
+            # a text of t words or fewer hasn't begun yet, seen from the end
+            n = len(best)
+            last[:n] = best[np.arange(n), last[:n]]
+            path.append(last)
+        path.reverse()
+        for row, i in enumerate(order):
+            out[i] = [self.tags[path[t][row]] for t in range(size[row])]
+        return out
+
+    def keep(self, words: Column) -> Column:
+        """The words whose tags are nouns, adjectives or verbs; for match.token_set(tagger=...)."""
+        return arrow_tagger_of_batch(self)(words)
+
+
+def arrow_tagger_of_batch(model: Tagger):
+    """keep() of a model, so many words at a time; a text of more than PIECE words begins anew after each PIECE."""
+
+    @F.pandas_udf("array<string>")
+    def keep(texts):
+        import pandas as pd
+
+        held: list = []
+        size = 0
+        kept: list = [None if t is None else [] for t in texts]
+
+        def done():
+            for (i, ws), tags in zip(held, model.tag([ws for _, ws in held])):
+                kept[i] += [w for w, tag in zip(ws, tags) if tag[:2] in KEPT]
+            held.clear()
+
+        for i, t in enumerate(texts):
+            ws = [] if t is None else list(t)
+            for at in range(0, len(ws), PIECE):
+                held.append((i, ws[at : at + PIECE]))
+                size += len(held[-1][1])
+                if size >= PIECE:
+                    done()
+                    size = 0
+        done()
+        return pd.Series(kept)
+
+    return keep

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skimmer.functions.text import STOPWORDS
+from skimmer.operators.tagger import CLOSED
 from skimmer.plans.queries import PROFILES, WEIGHTS
 
 
@@ -145,6 +146,7 @@ ORACLES = {
       regexp_replace(text, '[\x00-\x20\[\]{}|<>&''=]|https?:|[^\x{0}-\x{D7FF}\x{E000}-\x{FFFD}]', ' ', 'g') || ' end', ' +', ' ', 'g')) AS line FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0)""",
     "q_model_saved": "SELECT doc_id, true AS same FROM documents",
     "q_file_english_lines": rf"WITH {SOFTMAX}, best AS (SELECT doc_id, lang, p FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, lang) = 1) SELECT md5(regexp_replace(text, '[\r\n]+', ' ', 'g')) AS line_md5 FROM best JOIN documents USING (doc_id) WHERE p >= 0.6 AND best.lang = 'en'",
+    "q_tagged_filter": f"""SELECT doc_id, len(list_filter({TOKENS}, lambda w: NOT (w IN ({', '.join(map(_q, CLOSED))}) OR regexp_matches(w, '^[0-9]+$') OR ends_with(w, 'ly')))) AS n FROM documents WHERE text IS NOT NULL""",
     "q_source_expanded": "SELECT md5(array_to_string(w, ' ')) AS words_md5, len(w) AS n FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE text IS NOT NULL)",
     "q_source_lines": "SELECT object, count(*) AS lines FROM (SELECT unnest(CASE WHEN doc_id % 7 = 0 THEN [true, true, false] ELSE [true] END) AS object FROM documents WHERE text IS NOT NULL) GROUP BY 1",
     "q_smoothing_by_day": f"WITH {STATS}, {_smooth('rank_score')} SELECT pid, round(f, 9) AS forecast FROM sm",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skimmer.functions import features as R
 from skimmer.functions import text as X
-from skimmer.operators import checks, dedup, feedback, history, keywords, language, match, push, ranker, similarity, simjoin, trie
+from skimmer.operators import checks, dedup, feedback, history, keywords, language, match, push, ranker, similarity, simjoin, tagger, trie
 from skimmer.plans import filtering
 from skimmer.scratch import scratch, scratch_path
 from skimmer.sources import readers, writers
@@ -349,6 +349,16 @@ def source_topics(spark, sf_dir):
     return readers.topics(spark, _lines(n, line, "none")).select("pid", "num", "title")
 
 
+def tagged_filter(spark, sf_dir):
+    """A tagger trained on the texts' words with tags by a rule; how many words of each text are nouns or verbs to it."""
+    words = _docs(spark, sf_dir).select("doc_id", X.tokens(X.strip_marks(F.col("text")), unicode=False).alias("words"))
+    w = F.col("word")
+    by_rule = F.when(w.isin(tagger.CLOSED), "IN").when(w.rlike("^[0-9]+$"), "CD").when(w.endswith("ly"), "RB").when(w.rlike("(ing|ed)$"), "VB").otherwise("NN")
+    table = words.select(F.col("doc_id").alias("sentence"), F.posexplode("words").alias("at", "word")).withColumn("tag", by_rule)
+    model = tagger.Tagger.train(table, smoothing=1e-9)  # a word that was seen keeps its own tag
+    return words.where("words is not null").select("doc_id", F.size(model.keep(F.col("words"))).alias("n"))
+
+
 def file_english_lines(spark, sf_dir):
     """The texts that a model of fixed weights calls English, a line each, written and read."""
     weights = spark.createDataFrame(WEIGHTS, "ngram string, lang string, weight double").withColumn("weight", F.col("weight") / 64)
@@ -718,6 +728,6 @@ NAMES = [
     source_messages, source_language_lines, enriched_json, source_keywords, source_topics, source_vectors, source_training, source_wiki, source_corpus,
     source_feature_counts, label_lists, file_digest, file_push_log, file_history_matrix, file_profiles, filtered, stream_engine,
     pattern_offsets, english_gate, similarity_join, smoothing_by_day, history_folder, model_saved, file_english_lines,
-    source_expanded, source_lines, stream_filtered, stream_counts, stream_feedback, adaptive_threshold, stream_adaptive,
+    source_expanded, source_lines, tagged_filter, stream_filtered, stream_counts, stream_feedback, adaptive_threshold, stream_adaptive,
 ]
 QUERIES = {f"q_{f.__name__}": f for f in NAMES}
