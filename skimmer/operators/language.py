@@ -85,10 +85,13 @@ def label_of(text: Column, weights: DataFrame, least: float = LEAST_PROBABILITY,
         import pandas as pd
 
         names, matrix, there = model.value
-        row, pattern, n = trie.built(patterns).counts([t or "" for t in texts])
         size = len(texts)
-        sums = np.stack([np.bincount(row, matrix[pattern, j] * n, size) for j in range(len(names))], axis=1) if names else np.zeros((size, 1))
-        met = np.stack([np.bincount(row, there[pattern, j], size) > 0 for j in range(len(names))], axis=1) if names else np.zeros((size, 1), bool)
+        sums, met = np.zeros((size, len(names) or 1)), np.zeros((size, len(names) or 1), bool)
+        for row, pattern, n in trie.built(patterns).counted([t or "" for t in texts]):
+            at, to = row[0], row[-1] + 1  # a text is in one piece
+            for j in range(len(names)):
+                sums[at:to, j] = np.bincount(row - at, matrix[pattern, j] * n, to - at)
+                met[at:to, j] = np.bincount(row - at, there[pattern, j], to - at) > 0
         sums = np.where(met, sums, -np.inf)
         best = sums.argmax(axis=1)  # the first of equal ones, by name
         top = sums[np.arange(size), best]

@@ -56,17 +56,22 @@ class Trie:
         found = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
         return np.where(keys[found] == want, found, -1)
 
-    def walk(self, texts: list[str]):
-        """Pieces of (text, start, pattern), numbers all."""
+    def _pieces(self, texts: list[str]):
+        """(first, past the last) of texts that are walked together: PIECE code points, or one text."""
         at = 0
         while at < len(texts):
             to, size = at, 0
             while to < len(texts) and (to == at or size + len(texts[to]) <= PIECE):
                 size += len(texts[to])
                 to += 1
+            yield at, to
+            at = to
+
+    def walk(self, texts: list[str]):
+        """Pieces of (text, start, pattern), numbers all."""
+        for at, to in self._pieces(texts):
             for row, start, pattern in self._walk(texts[at:to]):
                 yield row + at, start, pattern
-            at = to
 
     def _walk(self, texts: list[str]):
         flat, ends = code_points(texts)
@@ -95,16 +100,23 @@ class Trie:
             if not len(place):
                 return
 
+    def counted(self, texts: list[str]):
+        """Pieces of (text, pattern, n), by text, each text in one: places are held a piece at a time, not those of a whole batch."""
+        size = len(self.patterns)
+        for at, to in self._pieces(texts):
+            each = [(row + at) * size + pattern for row, _, pattern in self._walk(texts[at:to])]
+            if each:
+                key, n = np.unique(np.concatenate(each), return_counts=True)
+                yield key // size, key % size, n
+
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, pattern, n), by text."""
-        each, size = [], len(self.patterns)
-        for row, _, pattern in self.walk(texts):
-            each.append(row * size + pattern)
-        if not each:
+        parts = list(self.counted(texts))
+        if not parts:
             none = np.zeros(0, np.int64)
             return none, none, none
-        key, n = np.unique(np.concatenate(each), return_counts=True)
-        return key // size, key % size, n
+        row, pattern, n = (np.concatenate(x) for x in zip(*parts))
+        return row, pattern, n
 
 
 _built: OrderedDict = OrderedDict()
@@ -178,8 +190,8 @@ def pattern_rows(docs: DataFrame, key: str, text: Column, patterns) -> DataFrame
         trie = built(patterns)
         names = pa.array(trie.patterns, pa.string())
         for b in batches:
-            row, pattern, n = trie.counts([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), names.take(pa.array(pattern)), pa.array(n)], [key, "word", "n"])
+            for row, pattern, n in trie.counted([t or "" for t in b.column(1).to_pylist()]):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), names.take(pa.array(pattern)), pa.array(n)], [key, "word", "n"])
 
     return docs.select(key, text.alias("__text")).mapInArrow(run, f"`{key}` {kind}, word string, n long")
 

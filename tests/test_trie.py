@@ -95,3 +95,17 @@ def test_tries_of_other_patterns_are_not_mixed_up():
         assert trie.built(Shared([f"p{i}", f"q{i}"])).patterns == [f"p{i}", f"q{i}"]
     kept = Shared(["a"])
     assert trie.built(kept) is trie.built(kept)
+
+
+def test_places_of_a_batch_are_not_held_together(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(trie, "PIECE", 1 << 12)
+    t, peaks = trie.Trie(["a", "aa", "b"]), []
+    for n in (40, 400):
+        tracemalloc.start()
+        row, pattern, many = t.counts(["a" * 1000] * n)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert row.tolist() == [i for i in range(n) for _ in range(2)] and pattern.tolist() == [0, 1] * n and many.tolist() == [1000, 999] * n
+    assert peaks[1] < 2 * peaks[0]
