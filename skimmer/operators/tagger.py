@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skimmer.scratch import scratch
+
 CLOSED = "and or but nor so yet for the a an this that these those in on at by of to with from as than then there here very too not never also just only".split()
 
 
@@ -28,13 +30,35 @@ def arrow_tagger(tag) -> "callable":
 #: The beginnings of the tags that are kept, and how long an ending of an unknown word counts.
 KEPT, ENDING = ("JJ", "NN", "VB"), 3
 PIECE = 1 << 16  # words that are tagged together
+BLOCK_BITS = 10  # a block that asks a large model for its words is of 1,024 texts
+
+
+def _counts(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(before, tag, n) and (word, tag, n) of a tagged table."""
+    rows = tagged.where("sentence is not null and at is not null and word is not null and tag is not null")
+    before = F.lag("tag").over(Window.partitionBy("sentence").orderBy("at"))
+    moves = rows.select(before.alias("before"), "tag").groupBy("before", "tag").agg(F.count("*").alias("n"))
+    return moves, rows.groupBy("word", "tag").agg(F.count("*").alias("n"))
+
+
+def _moves(pairs: list, smoothing: float) -> tuple:
+    """(tags, log-probabilities of the first tag, of a tag after another); pairs are tags by tags."""
+    tags = sorted({r.tag for r in pairs})
+    at, k = {t: i for i, t in enumerate(tags)}, len(tags)
+    start, follow = np.full(k, smoothing), np.full((k, k), smoothing)
+    for r in pairs:
+        if r.before is None:
+            start[at[r.tag]] += r.n
+        else:
+            follow[at[r.before], at[r.tag]] += r.n
+    return tags, np.log(start / start.sum()), np.log(follow / follow.sum(axis=1, keepdims=True))
 
 
 class Tagger:
     """A hidden Markov model of tags: what a tag follows, what it spells, and for words that were never seen what their endings tell.
 
     Counts are grouped by Spark from a tagged table; the model that comes to the driver has a row for each (word, tag) seen, up to
-    ``most_rows``, and fails beyond. Ties go to the tag that is first in the alphabet. A null or empty text has no tags."""
+    ``most_rows``, and fails beyond: see filtered(). Ties go to the tag that is first in the alphabet. A null or empty text has no tags."""
 
     def __init__(self, tags: list[str], start, follow, words: dict, endings: dict, rest):
         self.tags, self.start, self.follow, self.words, self.endings, self.rest = tags, start, follow, words, endings, rest
@@ -42,21 +66,13 @@ class Tagger:
     @classmethod
     def train(cls, tagged: DataFrame, smoothing: float = 0.1, most_rows: int = 2_000_000) -> Tagger:
         """tagged: (sentence, at, word, tag), words in the form that is tagged later. Rows with a null among these are left out."""
-        rows = tagged.where("sentence is not null and at is not null and word is not null and tag is not null")
-        before = F.lag("tag").over(Window.partitionBy("sentence").orderBy("at"))
-        moves = rows.select(before.alias("before"), "tag").groupBy("before", "tag").agg(F.count("*").alias("n"))
-        spelt = rows.groupBy("word", "tag").agg(F.count("*").alias("n")).limit(most_rows + 1).toArrow()
+        moves, spelt = _counts(tagged)
+        spelt = spelt.limit(most_rows + 1).toArrow()
         if spelt.num_rows > most_rows:
             raise ValueError("the model has too many rows")
-        pairs = moves.collect()  # tags by tags
-        tags = sorted({r.tag for r in pairs})
+        tags, start, follow = _moves(moves.collect(), smoothing)
         at, k = {t: i for i, t in enumerate(tags)}, len(tags)
-        start, follow, total = np.full(k, smoothing), np.full((k, k), smoothing), np.full(k, smoothing)
-        for r in pairs:
-            if r.before is None:
-                start[at[r.tag]] += r.n
-            else:
-                follow[at[r.before], at[r.tag]] += r.n
+        total = np.full(k, smoothing)
         words: dict = {}
         endings: dict = {}
         for w, t, n in zip(*(spelt.column(c).to_pylist() for c in ("word", "tag", "n"))):
@@ -65,7 +81,7 @@ class Tagger:
             for j in range(1, ENDING + 1):
                 endings.setdefault(w[-j:], np.zeros(k))[at[t]] += 1  # each word once: rare ones are what the unknown are like
         log = lambda n: np.log(n + smoothing) - np.log(total)
-        return cls(tags, np.log(start / start.sum()), np.log(follow / follow.sum(axis=1, keepdims=True)), {w: log(n) for w, n in words.items()}, {e: log(n) for e, n in endings.items()}, log(np.zeros(k)))
+        return cls(tags, start, follow, {w: log(n) for w, n in words.items()}, {e: log(n) for e, n in endings.items()}, log(np.zeros(k)))
 
     def spelled(self, word: str) -> np.ndarray:
         """Log-probability of a word by tag, of the longest known ending of an unknown one."""
@@ -123,24 +139,75 @@ def arrow_tagger_of_batch(model: Tagger):
     def keep(texts):
         import pandas as pd
 
-        held: list = []
-        size = 0
-        kept: list = [None if t is None else [] for t in texts]
-
-        def done():
-            for (i, ws), tags in zip(held, model.tag([ws for _, ws in held])):
-                kept[i] += [w for w, tag in zip(ws, tags) if tag[:2] in KEPT]
-            held.clear()
-
-        for i, t in enumerate(texts):
-            ws = [] if t is None else list(t)
-            for at in range(0, len(ws), PIECE):
-                held.append((i, ws[at : at + PIECE]))
-                size += len(held[-1][1])
-                if size >= PIECE:
-                    done()
-                    size = 0
-        done()
-        return pd.Series(kept)
+        return pd.Series(_kept(model, texts))
 
     return keep
+
+
+def _kept(model: Tagger, texts) -> list:
+    """The words of each text that are kept, None for None."""
+    held: list = []
+    size = 0
+    kept: list = [None if t is None else [] for t in texts]
+
+    def done():
+        for (i, ws), tags in zip(held, model.tag([ws for _, ws in held])):
+            kept[i] += [w for w, tag in zip(ws, tags) if tag[:2] in KEPT]
+        held.clear()
+
+    for i, t in enumerate(texts):
+        ws = [] if t is None else list(t)
+        for at in range(0, len(ws), PIECE):
+            held.append((i, ws[at : at + PIECE]))
+            size += len(held[-1][1])
+            if size >= PIECE:
+                done()
+                size = 0
+    done()
+    return kept
+
+
+def filtered(docs: DataFrame, key: str, words: str, tagged: DataFrame, smoothing: float = 0.1, most_rows: int = 200_000) -> DataFrame:
+    """(key, kept): the words of each text that a tagger trained on the tagged table keeps, as Tagger.train() and keep() give them.
+
+    A model of up to ``most_rows`` (word, tag) goes to every worker. A larger one stays a table: texts are cut into blocks of
+    1,024, each block asks for its distinct words and is tagged with what the table, or that of the endings, has on them."""
+    moves, spelt = _counts(tagged)
+    spelt = scratch(spelt)
+    if spelt.count() <= most_rows:
+        return docs.select(key, Tagger.train(tagged, smoothing, most_rows).keep(F.col(words)).alias("kept"))
+    tags, start, follow = _moves(moves.collect(), smoothing)
+    at = {t: i for i, t in enumerate(tags)}
+    total = np.full(len(tags), smoothing)
+    for r in spelt.groupBy("tag").agg(F.sum("n").alias("n")).collect():
+        total[at[r.tag]] += r.n
+    log = lambda n: np.log(n + smoothing) - np.log(total)
+    place = F.array_position(F.array(*map(F.lit, tags)), F.col("tag")).cast("int") - 1
+    listed = lambda rows, by: rows.groupBy(by).agg(F.collect_list(F.struct(place.alias("tag"), "n")).alias("seen"))  # noqa: E731  a tag each
+    ends = spelt.select("tag", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(ENDING)), lambda j: F.right("word", j)))).alias("ending"))
+    ends = scratch(listed(ends.groupBy("ending", "tag").agg(F.count("*").alias("n")), "ending"))
+
+    # blocks are written: numbers of rows may differ from run to run
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
+    texts = scratch(docs.select(block.alias("block"), F.col(key).alias("key"), F.col(words).alias("words")))
+    asked = texts.select(F.col("block").alias("asks"), F.explode("words").alias("word")).distinct().join(listed(spelt, "word"), "word", "left")
+    for j in range(ENDING, 0, -1):  # of a word that is known the ending isn't asked for
+        known = ends.select(F.col("ending").alias("__ending"), F.col("seen").alias("__seen"))
+        ending = F.when(F.col("seen").isNull(), F.right("word", F.lit(j)))
+        asked = asked.join(known, ending == F.col("__ending"), "left").select("asks", "word", F.coalesce("seen", "__seen").alias("seen"))
+
+    def tag(own, found):
+        import pyarrow as pa
+
+        counts: dict = {}
+        for w, seen in zip(found.column("word").to_pylist(), found.column("seen").to_pylist()):
+            n = np.zeros(len(tags))
+            for x in seen or ():
+                n[x["tag"]] += x["n"]
+            counts[w] = log(n)
+        model = Tagger(tags, start, follow, counts, {}, log(np.zeros(len(tags))))
+        kept = _kept(model, own.column("words").to_pylist())
+        return pa.table({key: own.column("key"), "kept": pa.array(kept, pa.list_(pa.string()))})
+
+    kind = docs.schema[key].dataType.simpleString()
+    return texts.groupBy("block").cogroup(asked.groupBy("asks")).applyInArrow(tag, f"`{key}` {kind}, kept array<string>")

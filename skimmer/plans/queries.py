@@ -355,8 +355,8 @@ def tagged_filter(spark, sf_dir):
     w = F.col("word")
     by_rule = F.when(w.isin(tagger.CLOSED), "IN").when(w.rlike("^[0-9]+$"), "CD").when(w.endswith("ly"), "RB").when(w.rlike("(ing|ed)$"), "VB").otherwise("NN")
     table = words.select(F.col("doc_id").alias("sentence"), F.posexplode("words").alias("at", "word")).withColumn("tag", by_rule)
-    model = tagger.Tagger.train(table, smoothing=1e-9)  # a word that was seen keeps its own tag
-    return words.where("words is not null").select("doc_id", F.size(model.keep(F.col("words"))).alias("n"))
+    kept = tagger.filtered(words.where("words is not null"), "doc_id", "words", table, smoothing=1e-9)  # a word that was seen keeps its own tag
+    return kept.select("doc_id", F.size("kept").alias("n"))
 
 
 def file_english_lines(spark, sf_dir):

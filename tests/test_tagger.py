@@ -44,3 +44,16 @@ def test_training_and_the_filter(spark, monkeypatch):
     assert {r.k: r.o for r in df.select("k", none.keep(F.col("w")).alias("o")).collect()} == {1: [], 2: [], 3: None}
     with pytest.raises(ValueError, match="too many"):
         Tagger.train(table, most_rows=3)
+
+
+def test_a_large_model_stays_a_table_and_tags_alike(spark, monkeypatch):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randrange(1, 6)))
+    table = spark.createDataFrame([(i, k, word(), r.choice(["DT", "NN", "VB"])) for i in range(60) for k in range(9)], "sentence long, at int, word string, tag string")
+    texts = [(i, None if i % 11 == 0 else [r.choice([word(), word() + "d", "xyz"]) for _ in range(i % 13)]) for i in range(150)]
+    df = spark.createDataFrame(texts, "k long, w array<string>")
+    monkeypatch.setattr(tagger, "BLOCK_BITS", 4)
+    want = {x.k: x.kept for x in tagger.filtered(df, "k", "w", table).collect()}
+    assert want == {x.k: x.kept for x in df.select("k", Tagger.train(table).keep(F.col("w")).alias("kept")).collect()}
+    got = [(x.k, x.kept) for x in tagger.filtered(df, "k", "w", table, most_rows=3).collect()]
+    assert len(got) == 150 and dict(got) == want
