@@ -5,7 +5,8 @@ pairs (word, keyword, sim) hold what two words are to each other: 1 for equal on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skimmer.operators import simjoin
@@ -46,6 +47,70 @@ def best_per_keyword(matched: DataFrame, tokens: DataFrame, optionals: DataFrame
     return keys.join(sims, [key, "keyword"], "left").select(key, "pid", "keyword", "n_optional", F.greatest(F.coalesce("sim", F.lit(0.0)), F.lit(0.0)).alias("best"))
 
 
+def best_sums(tokens: DataFrame, optionals: DataFrame, vectors: DataFrame, key: str, cut: float) -> DataFrame | None:
+    """(key, pid, total, met): the sum of best_per_keyword's best over a profile's keywords, and how many are over the cut. A text's
+    tokens are multiplied with all keywords and only their best is kept, so no pair is a row. None if the keywords are too many for
+    a broadcast, or words have several vectors."""
+    own = scratch(optionals.select("pid", "word").join(simjoin.usable(vectors), "word", "left").select("pid", "word", "vec"))
+    size = own.agg(F.count("*"), F.max(F.size("vec"))).first()
+    if size[0] * (size[1] or 1) * 8 > simjoin.BROADCAST_BYTES or size[0] != optionals.count():
+        return None
+    got = own.orderBy("pid", "word").toArrow().combine_chunks()
+    pids, starts = np.unique(got.column("pid").to_numpy(), return_index=True)
+    places: dict = {}
+    for i, w in enumerate(got.column("word").to_pylist()):
+        places.setdefault(w, []).append(i)
+    shared = tokens.sparkSession.sparkContext.broadcast((pids, starts, places, simjoin.units_or_zero(got.column("vec").combine_chunks(), size[1] or 1)))
+    kinds = tokens.schema[key].dataType.simpleString(), optionals.schema["pid"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        pids, starts, places, units = shared.value
+        step = max(1, (1 << 20) // max(len(units), 1))
+        last, held = None, None  # the text that may go on in the next piece
+
+        def table(texts, best, kind):
+            add = lambda x: np.add.reduceat(x, starts, axis=1).ravel()
+            at = np.repeat(np.arange(len(texts)), len(pids))
+            return pa.RecordBatch.from_arrays([pa.array(texts, kind).take(pa.array(at)), pa.array(np.tile(pids, len(texts))), pa.array(add(best)), pa.array(add((best > cut).astype(np.int64)))], [key, "pid", "total", "met"])
+
+        for b in batches:
+            for at in range(0, b.num_rows if len(units) else 0, step):
+                part = b.slice(at, step)
+                kind, texts = part.schema.field(0).type, part.column(0).to_numpy(zero_copy_only=False)
+                sims = np.maximum(simjoin.units_or_zero(part.column(2), units.shape[1]) @ units.T, 0.0)
+                for i, w in enumerate(part.column(1).to_pylist()):
+                    sims[i, places.get(w, ())] = 1.0
+                first = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]]))
+                texts, best = texts[first], np.maximum.reduceat(sims, first, axis=0)
+                if held is not None and last == texts[0]:
+                    best[0] = np.maximum(best[0], held)
+                elif held is not None:
+                    texts, best = np.concatenate([np.array([last], texts.dtype), texts]), np.concatenate([held[None], best])
+                if len(texts) > 1:
+                    yield table(texts[:-1], best[:-1], kind)
+                last, held = texts[-1], best[-1].copy()
+        if held is not None:
+            yield table(np.array([last]), held[None], kind)
+
+    rows = tokens.select(key, "word").join(simjoin.usable(vectors), "word", "left").select(key, "word", "vec")
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, f"`{key}` {kinds[0]}, pid {kinds[1]}, total double, met long")
+
+
+def scores(matched: DataFrame, tokens: DataFrame, optionals: DataFrame, vectors: DataFrame, key: str, version: int = 1, cut: float = 0.5) -> DataFrame:
+    """(key, pid, sim): score() of best_per_keyword() over all pairs of words and keywords; pairs are rows only where keywords are many."""
+    sums = best_sums(tokens, optionals, vectors, key, cut)
+    if sums is None:
+        pairs = scratch(word_pairs(tokens, optionals, vectors))
+        return score(best_per_keyword(matched, tokens, optionals, pairs, key), key, version, cut)
+    sizes = small(optionals.groupBy("pid").agg(F.first("n_optional").alias("n_optional")))
+    rows = matched.join(sizes, "pid").join(sums, [key, "pid"], "left")
+    total, met, n = F.coalesce("total", F.lit(0.0)), F.coalesce("met", F.lit(0)), F.col("n_optional")
+    form = {1: F.sqrt(F.try_divide(met, n)), 2: F.try_divide(total, n), 3: total}[version]
+    return rows.select(key, "pid", F.coalesce(form, F.lit(0.0)).alias("sim"))
+
+
 def score(best: DataFrame, key: str, version: int = 1, cut: float = 0.5) -> DataFrame:
     """(key, pid, sim). 1: root of the share of keywords met (above cut); 2: mean of the best; 3: their sum."""
     n, total = F.first("n_optional"), F.sum("best")

@@ -28,6 +28,14 @@ def _units(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if len(x) else x
 
 
+def units_or_zero(column, size: int) -> np.ndarray:
+    """Unit rows of one length, zeros for null."""
+    out, there = np.zeros((len(column), size)), np.asarray(column.is_valid())
+    if there.any():
+        out[there] = _units(column.drop_null())
+    return out
+
+
 def usable(vectors: DataFrame, word: str = "word") -> DataFrame:
     """(word, vec) as doubles, of vectors that aren't null, zero or of null or non-finite entries."""
     v = F.col("vec").cast("array<double>")

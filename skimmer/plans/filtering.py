@@ -47,8 +47,7 @@ def classify(docs: DataFrame, profiles: Profiles, key: str, text: str = "text",
         met = match.matches(tokens, profiles.requirements, profiles.compiled, key)
         optionals = wanted.select("pid", F.explode("optional").alias("word"), F.size("optional").alias("n_optional"))
         own = scratch(tokens.join(met.select(key).distinct(), key, "left_semi"))
-        pairs = scratch(similarity.word_pairs(own, optionals, profiles.vectors))
-        scores = similarity.score(similarity.best_per_keyword(met, own, optionals, pairs, key), key, profiles.version)
+        scores = similarity.scores(met, own, optionals, profiles.vectors, key, profiles.version)
     return similarity.argmax(scores, key)
 
 

@@ -190,25 +190,25 @@ def _vectors(spark, sf_dir):
 
 def _vector_case(spark, sf_dir):
     """Every vector is a word: texts t of ten words each, and a stated set of keywords, the words divisible by 100, dealt out
-    to five profiles. All words meet that set; it is broadcast behind a check of its size. Vectors and pairs are written once."""
+    to five profiles. All words meet that set; it is broadcast behind a check of its size. Vectors are written once."""
     vectors = scratch(_vectors(spark, sf_dir))
     ids = vectors.select(F.col("word").cast("long").alias("id"), "word")
     tokens = ids.select(F.floor(F.col("id") / 10).cast("int").alias("t"), "word")
     opts = ids.where("id % 100 = 0").select((F.floor(F.col("id") / 100) % 5).cast("int").alias("pid"), "word")
     opts = scratch(opts.join(F.broadcast(opts.groupBy("pid").agg(F.count("*").cast("int").alias("n_optional"))), "pid"))  # five rows
     met = tokens.select("t").distinct().join(F.broadcast(opts.select("pid").distinct()), how="cross")  # the result's own size
-    return tokens, opts, met, scratch(similarity.word_pairs(tokens, opts, vectors))
+    return tokens, opts, met, vectors
 
 
 def _sims(spark, sf_dir, version):
-    tokens, opts, met, pairs = _vector_case(spark, sf_dir)
+    tokens, opts, met, vectors = _vector_case(spark, sf_dir)
     # random vectors are never as near as those of real words: the cut is lower
-    return similarity.score(similarity.best_per_keyword(met, tokens, opts, pairs, "t"), "t", version, cut=0.25)
+    return similarity.scores(met, tokens, opts, vectors, "t", version, cut=0.25)
 
 
 def cosine_pairs(spark, sf_dir):
-    tokens, _, _, pairs = _vector_case(spark, sf_dir)
-    return pairs.where("sim > 0.25 and word <> keyword").select("word", "keyword", F.round("sim", 9).alias("sim"))
+    tokens, opts, _, vectors = _vector_case(spark, sf_dir)
+    return similarity.word_pairs(tokens, opts, vectors, 0.25).where("word <> keyword").select("word", "keyword", F.round("sim", 9).alias("sim"))
 
 
 def similarity_join(spark, sf_dir):

@@ -74,3 +74,21 @@ def test_days_merged_equal_the_whole(spark, cuts):
         kept = new if kept is None else history.merged(kept, new)
     assert {r.pid: round(r.threshold, 12) for r in history.forecasts(kept).collect()} == want
     assert history.forecasts(history.decayed(stats.limit(0), "rank_score")).collect() == []
+
+
+def test_sums_of_the_best_without_a_row_a_pair(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = frame(spark, rng.normal(size=(60, 5))).unionByName(spark.createDataFrame([("none", None), ("zero", [0.0] * 5)], "word string, vec array<double>"))
+    names = [f"w{i}" for i in range(60)] + ["none", "zero", "unknown"]
+    tokens = spark.createDataFrame(sorted({(i // 9, names[int(j)]) for i, j in enumerate(rng.integers(0, 63, 300))} | {(40, n) for n in names}), "t int, word string")
+    opts = spark.createDataFrame([(p, w, 4) for p, ws in ((0, ["w1", "none", "w5", "unknown"]), (3, ["w1", "w2", "zero", "w9"])) for w in ws], "pid int, word string, n_optional int")
+    met = spark.createDataFrame([(t, p) for t in (*range(30), 40, 99) for p in (0, 3, 7)], "t int, pid int")
+    found = lambda version: {(r.t, r.pid): round(r.sim, 9) for r in similarity.scores(met, tokens, opts, v, "t", version, 0.4).collect()}
+    pairs = similarity.word_pairs(tokens, opts, v)
+    want = [{(r.t, r.pid): round(r.sim, 9) for r in similarity.score(similarity.best_per_keyword(met, tokens, opts, pairs, "t"), "t", x, 0.4).collect()} for x in (1, 2, 3)]
+    whole = similarity.word_pairs
+    monkeypatch.setattr(similarity, "word_pairs", None)
+    assert [found(x) for x in (1, 2, 3)] == want and len(want[0]) == 64
+    monkeypatch.setattr(similarity, "word_pairs", whole)
+    monkeypatch.setattr(simjoin, "BROADCAST_BYTES", 10)
+    assert found(2) == want[1]
