@@ -379,7 +379,7 @@ def source_lines(spark, sf_dir):
     """Message lines of many files as a stream, each with its length and hash."""
     from skimmer.streaming import push as S
 
-    lines = readers.stream_lines(spark, _message_batches(spark, sf_dir), 2)
+    lines = readers.stream_lines(spark, *_message_batches(spark, sf_dir))
     return S.run_available(lines.select(F.length("value").alias("n"), F.startswith("value", F.lit("{")).alias("object"))).groupBy("object").agg(F.count("*").alias("lines"))
 
 
@@ -623,10 +623,22 @@ def stream_daily(spark, sf_dir):
     return daily.select(F.date_format("start", "yyyyMMdd").alias("day"), "pid", "n", F.round("best", 9).alias("best"))
 
 
+#: Bytes of a stream's file, about: a batch of more has more files, as a file of lines is one task.
+STREAM_FILE_BYTES = 16 << 20
+
+
+def _files(rows, by, n, least):
+    """(the largest of a column and one, files of each of n batches): all batches have as many, as that number makes a batch."""
+    size = lambda f: F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() == "string" else F.lit(8)
+    found = rows.agg(F.max(by).alias("top"), F.sum(sum((size(f) for f in rows.schema), F.lit(0).cast("long"))).alias("bytes")).first()
+    return (found.top or 0) + 1, max(least, -(-(found.bytes or 0) // (n * STREAM_FILE_BYTES)))
+
+
 def _in_batches(rows, by, n=4, files=2):
-    """A stream of rows in n micro-batches by ranges of a column, each of so many files, written one after another: files are read in
-    the order of their times."""
-    path, top = scratch_path(rows.sparkSession), (rows.agg(F.max(by)).first()[0] or 0) + 1
+    """A stream of rows in n micro-batches by ranges of a column, each of so many files or more, written one after another: files are
+    read in the order of their times."""
+    path = scratch_path(rows.sparkSession)
+    top, files = _files(rows, by, n, files)
     for i in range(n):
         part = rows.where(F.floor(F.col(by) * n / top) == i)
         part.repartitionByRange(files, by).write.mode("append").parquet(path)
@@ -643,14 +655,14 @@ def stream_engine(spark, sf_dir):
 
 
 def _message_batches(spark, sf_dir, n=4, files=2):
-    """Message lines as a stream of text files in n micro-batches, by time, with noise between them."""
+    """(path, files of a batch): message lines as text files for n micro-batches, by time, with noise between them."""
     m = _messages(spark, sf_dir).where("text is not null")
     noise = F.when(F.col("doc_id") % 7 == 0, F.array(F.to_json(F.struct(*[c for c in m.columns if c != "doc_id"])), F.lit('{"delete": 1}'), F.lit("noise"))).otherwise(F.array(F.to_json(F.struct(*[c for c in m.columns if c != "doc_id"]))))
     lines, path = scratch(m.select("doc_id", F.explode(noise).alias("value"))), scratch_path(spark)
-    top = (lines.agg(F.max("doc_id")).first()[0] or 0) + 1
+    top, files = _files(lines, "doc_id", n, files)
     for i in range(n):
         lines.where(F.floor(F.col("doc_id") * n / top) == i).repartitionByRange(files, "doc_id").select("value").write.mode("append").option("compression", "gzip").text(path)
-    return path
+    return path, files
 
 
 def _stand_in(rows):
@@ -662,7 +674,7 @@ def _streamed(spark, sf_dir, files=2):
     from skimmer.streaming import engine as E
 
     thresholds = spark.createDataFrame([(p[0], 0.5) for p in PROFILES], "pid int, threshold double")
-    lines = readers.stream_lines(spark, _message_batches(spark, sf_dir, files=files), files)
+    lines = readers.stream_lines(spark, *_message_batches(spark, sf_dir, files=files))
     # contents stay known for the whole of this run, as the rule in SQL has it
     return E.filtered(lines, _profiles(spark), thresholds, _stand_in, keep_days=36_500, hash_of=F.md5, lang="user.lang", unicode=False)
 

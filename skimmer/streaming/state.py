@@ -26,8 +26,11 @@ def _gathered(frames, order: str, ts: str, late: int):
     """A key's rows of this batch in order, but those from before ``late``: Spark itself tests against the batch before."""
     import pandas as pd
 
-    got = pd.concat(list(frames), ignore_index=True)
-    return got[got[ts] >= pd.Timestamp(max(late, 0), unit="ms")].sort_values(order, kind="stable")
+    frames = list(frames)
+    got = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    there = got[ts] >= pd.Timestamp(max(late, 0), unit="ms")
+    got = got if there.all() else got[there]
+    return got.sort_values(order, kind="stable") if len(got) > 1 else got  # most keys have a row: each step here counts
 
 
 class FirstContent(StatefulProcessor):
@@ -125,9 +128,12 @@ class Decide(StatefulProcessor):
                 out.append((seq, score, received, pushed, "related"))
         self.counter.update((received, pushed, None if first is None else float(first), lowered))
         if out:
-            found = pd.DataFrame(out, columns=["seq", "score", "received", "pushed", "kind"])
-            more = got.drop_duplicates("seq")[["seq", *[c for c in self.columns if c not in found]]]
-            yield found.merge(more, on="seq")[self.columns]
+            made = dict(zip(["seq", "score", "received", "pushed", "kind"], zip(*out)))
+            first: dict = {}
+            for i, seq in enumerate(got["seq"]):
+                first.setdefault(seq, i)
+            at = [first[seq] for seq in made["seq"]]
+            yield pd.DataFrame({c: made[c] if c in made else got[c].array.take(at) for c in self.columns})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         self.counter.clear()

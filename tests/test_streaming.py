@@ -223,3 +223,21 @@ def test_batch_counts(spark):
     rows, seen = watched_batch(spark.range(100), "b", n=F.count("*"), even=F.count_if(F.col("id") % 2 == 0))
     rows.write.format("noop").mode("overwrite").save()
     assert seen.get == {"n": 100, "even": 50}
+
+
+def test_larger_batches_have_more_files_and_stay_batches(spark, monkeypatch):
+    from skimmer.plans import queries
+    from skimmer.scratch import scratch_path
+
+    rows = spark.createDataFrame([(i, "x" * 100) for i in range(2000)], "seq long, text string")
+    monkeypatch.setattr(queries, "STREAM_FILE_BYTES", 9_000, raising=False)
+    got: dict = {}
+    stream = queries._in_batches(rows, "seq")
+    files = {}
+
+    def write(batch, at):
+        seen = batch.select("seq", F.input_file_name().alias("file")).collect()
+        got[at], files[at] = sorted(r.seq for r in seen), len({r.file for r in seen})
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", scratch_path(spark)).trigger(availableNow=True).start().awaitTermination()
+    assert got == {i: list(range(500 * i, 500 * i + 500)) for i in range(4)} and files == dict.fromkeys(range(4), 6)
