@@ -16,6 +16,7 @@ from skimmer.scratch import scratch
 
 BROADCAST_BYTES = 64 << 20
 MARGIN = 1e-7  # of angles, against rounding
+VISITORS = 256  # rows that are copied to all the groups they visit at a time
 
 
 def _matrix(column) -> np.ndarray:
@@ -112,8 +113,9 @@ def over(left: DataFrame, right: DataFrame, least: float, centres: int = 64, blo
     def visits(batches):
         import pyarrow as pa
 
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, VISITORS):
+                b = whole.slice(at, VISITORS)
                 angle = np.arccos(np.clip(_units(b.column(1)) @ shared.value.T, -1, 1))
                 row, group = np.nonzero((angle <= high + cut) & (angle >= low - cut))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(group, pa.int32())], ["word", "vec", "home"])

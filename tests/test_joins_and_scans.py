@@ -92,3 +92,31 @@ def test_sums_of_the_best_without_a_row_a_pair(spark, monkeypatch):
     monkeypatch.setattr(similarity, "word_pairs", whole)
     monkeypatch.setattr(simjoin, "BROADCAST_BYTES", 10)
     assert found(2) == want[1]
+
+
+def test_visits_are_copied_a_few_rows_at_a_time(spark, monkeypatch):
+    from pyspark import AccumulatorParam
+
+    class Most(AccumulatorParam):  # of the largest batch that goes out
+        def zero(self, value):
+            return 0
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+
+    sizes = spark.sparkContext.accumulator(0, Most())
+    rng = np.random.default_rng(9)
+    v = frame(spark, rng.normal(size=(1500, 4))).coalesce(1)
+    whole = type(v).mapInArrow
+
+    def watched(self, f, schema, *more):
+        def run(batches):
+            for b in f(batches):
+                sizes.add(b.num_rows if "home" in b.schema.names and "angle" not in b.schema.names else 0)
+                yield b
+
+        return whole(self, run, schema, *more)
+
+    monkeypatch.setattr(type(v), "mapInArrow", watched)
+    assert simjoin.over(v, v, -0.5, centres=16)[0].count() > 0
+    assert 0 < sizes.value <= 256 * 16
