@@ -1,10 +1,10 @@
-"""The quality model: twelve features to the probability of an important message; and word vectors."""
+"""The quality model: twelve features to the probability of an important message."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +34,3 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def word2vec(sentences: DataFrame, column: str = "words", size: int = 400, window: int = 5, least: int = 5, parts: int = 1, seed: int = 1, rounds: int = 1):
-    """Word vectors of sentences (array<string>). More parts train faster and differ more from run to run."""
-    return Word2Vec(vectorSize=size, windowSize=window, minCount=least, numPartitions=parts, maxIter=rounds, seed=seed, inputCol=column, outputCol="__v").fit(sentences)

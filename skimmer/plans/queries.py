@@ -3,13 +3,12 @@ word vectors. skimmer.plans.oracles has each as SQL."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skimmer.functions import features as R
 from skimmer.functions import text as X
-from skimmer.operators import checks, dedup, feedback, history, keywords, language, match, push, ranker, similarity, simjoin, tagger, trie
+from skimmer.operators import checks, dedup, feedback, history, keywords, language, match, push, ranker, similarity, simjoin, skipgram, tagger, trie
 from skimmer.plans import filtering
 from skimmer.scratch import scratch, scratch_path
 from skimmer.sources import readers, writers
@@ -293,11 +292,13 @@ def model_saved(spark, sf_dir):
 
 
 def word2vec(spark, sf_dir):
-    """Which words get a vector, and whether training has moved it to a finite one. Parts and seed are fixed and rows are dealt by id."""
-    docs = _docs(spark, sf_dir).repartition(8, "doc_id").sortWithinPartitions("doc_id").select(X.tokens(X.strip_marks(F.col("text")), unicode=False).alias("words"))
-    v = ranker.word2vec(docs, size=32, parts=8).getVectors().select("word", vector_to_array("vector").alias("v"))
-    norm = F.sqrt(similarity.dot(F.col("v"), F.col("v")))
-    return v.select("word", F.size("v").alias("size"), ((norm > 0) & (norm < 1e6)).alias("moved"))
+    """Which words get a vector, and whether training has moved it to a finite one. The seed is fixed, parts are eight or as many as the
+    text needs, and rows are dealt by id."""
+    docs = _docs(spark, sf_dir)
+    words = docs.select("doc_id", X.tokens(X.strip_marks(F.col("text")), unicode=False).alias("words"))
+    v = skipgram.word2vec(words, size=32, parts=skipgram.pieces_of(docs), key="doc_id")
+    moved = X.let(F.sqrt(similarity.dot(F.col("vec"), F.col("vec"))), lambda norm: (norm > 0) & (norm < 1e6))
+    return v.select("word", F.size("vec").alias("size"), moved.alias("moved"))
 
 
 # -- files: written in their format, read back ---------------------------------------------------------------------------

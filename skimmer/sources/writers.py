@@ -86,10 +86,7 @@ def one_line(text: Column) -> Column:
     return F.regexp_replace(text, r"[\r\n]+", " ")
 
 
-def write_vectors(model, path: str) -> None:
-    """A fitted word2vec model, and its vectors in the text layout."""
-    model.write().overwrite().save(f"{path}/model")
-    from pyspark.ml.functions import vector_to_array
-
-    vectors = model.getVectors().select("word", vector_to_array("vector").alias("v"))
-    vectors.select(F.concat_ws(" ", "word", F.array_join(F.col("v").cast("array<string>"), " ")).alias("value")).write.mode("overwrite").text(f"{path}/text")
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """Trained (word, vec) as a table, and from it in the text layout."""
+    vectors.write.mode("overwrite").parquet(f"{path}/model")
+    write_vector_lines(vectors.sparkSession.read.parquet(f"{path}/model"), f"{path}/text")
