@@ -152,7 +152,8 @@ def with_bounds(text: Column) -> Column:
 
 
 def labelled_line(line: Column) -> tuple[Column, Column]:
-    """(label, text): the label before the first tab, "" if there is none, and the field after the last one."""
-    head = r"^([-A-Za-z]+)\t(.+)"
+    """(label, text): the label before the first tab, "" if there is none, and the field after the last one, which may be empty and may
+    hold what Java takes for ends of lines (U+0085, U+2028)."""
+    head = r"(?s)^([-A-Za-z]+)\t(.*)"
     rest = F.when(line.rlike(head), F.regexp_extract(line, head, 2)).otherwise(line)
     return F.regexp_extract(line, head, 1), F.element_at(F.split(rest, "\t"), -1)

@@ -415,12 +415,26 @@ def source_wiki(spark, sf_dir):
     return readers.sentences(spark, path).select(F.md5(F.array_join("words", " ")).alias("line_md5"), F.size("words").alias("n"))
 
 
+#: Labels of a corpus are letters and hyphens; any other is written as two hyphens and its bytes, sixteen letters for the digits.
+_DIGITS, _LETTERS = "0123456789ABCDEF", "abcdefghijklmnop"
+
+
+def _label(lang):
+    plain = lang.rlike(r"\A(?!--)[-A-Za-z]+\z")
+    return F.when(plain, lang).otherwise(F.concat(F.lit("--"), F.translate(F.hex(F.encode(lang, "UTF-8")), _DIGITS, _LETTERS)))
+
+
+def _lang(label):
+    spelt = F.decode(F.unhex(F.translate(F.substring(label, 3, 1 << 30), _LETTERS, _DIGITS)), "UTF-8")
+    return F.when(F.startswith(label, F.lit("--")), spelt).otherwise(label)
+
+
 def source_corpus(spark, sf_dir):
-    d = _docs(spark, sf_dir).where("text is not null and lang is not null")
-    path = _lines(d, F.concat_ws("\t", "lang", writers.one_line(F.translate("text", "\t", " "))))
-    langs = [r.lang for r in d.select("lang").distinct().orderBy("lang").limit(1000).collect()]  # labels are declared with a corpus
-    rows = readers.language_corpus(spark, path, langs)
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    d = _docs(spark, sf_dir).where("text is not null and lang is not null").withColumn("label", _label(F.col("lang")))
+    path = _lines(d, F.concat_ws("\t", "label", writers.one_line(F.translate("text", "\t", " "))))
+    rows = readers.language_corpus(spark, path, d.select(F.col("label").alias("lang")).distinct())  # labels are declared with a corpus
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return found.select(_lang(F.col("lang")).alias("lang"), "n", "chars")
 
 
 def source_feature_counts(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skimmer.functions import text as X
 from skimmer.functions.markup import nested_markup
+from skimmer.operators.match import small
 from skimmer.schema import HISTORY, KEYWORDS, MESSAGE, TRAINING
 
 #: Profiles are numbered from here: index 0 is MB226.
@@ -95,11 +96,16 @@ def feature_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.col("value").rlike(line)).select(F.regexp_extract("value", line, 1).alias("ngram"), F.regexp_extract("value", line, 2).cast("long").alias("n"))
 
 
-def language_corpus(spark: SparkSession, path: str, labels: list[str]) -> DataFrame:
-    """(lang, text) of labelled lines; reading fails on a label that isn't listed."""
+def language_corpus(spark: SparkSession, path: str, labels: list[str] | DataFrame) -> DataFrame:
+    """(lang, text) of labelled lines; reading fails on a label that isn't listed, be it in a list or in a table (lang) of any size."""
     lang, body = X.labelled_line(F.col("value"))
-    known = F.col("lang").isin(labels)
-    return spark.read.text(path).select(lang.alias("lang"), body.alias("text")).where(F.when(known, True).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.col("lang"))).cast("boolean")))
+    rows = spark.read.text(path).select(lang.alias("lang"), body.alias("text"))
+    if isinstance(labels, DataFrame):
+        listed = small(labels.select(F.col("lang").alias("__listed")).distinct())
+        rows, known = rows.join(listed, F.col("lang") == F.col("__listed"), "left"), F.col("__listed").isNotNull()
+    else:
+        known = F.col("lang").isin(labels)
+    return rows.where(F.when(known, True).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.col("lang"))).cast("boolean"))).select("lang", "text")
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:

@@ -285,3 +285,19 @@ def test_expansion_and_english_gate(spark):
     lines = spark.createDataFrame([(1, "the dog and cat"), (2, "le chien et chat")], "k int, text string")
     assert [r.k for r in language.english_lines(lines, "k", "text", language.train(corpus, 2), 2).collect()] == [1]
     assert [r.word for r in K.lookup(spark.createDataFrame([("a",)], "word string"), spark.createDataFrame([("a",), ("b",)], "word string")).collect()] == ["a"]
+
+
+def test_a_corpus_of_odd_texts_and_labels_is_read_whole(spark, tmp_path):
+    import duckdb
+
+    from skimmer.plans.oracles import ORACLES
+    from skimmer.plans.queries import QUERIES
+
+    texts = ["", "\n", "\t", "\u2028", "\u0085x", "a\u2028b\tc\r\nd", "plain", None]
+    langs = ["en", "zh_CN", "", "--", "x\ty\n", "é1", None, *(f"x{i}" for i in range(1100))]
+    rows = [(i, texts[i % 8], langs[i // 8 if i < 56 else i % len(langs)]) for i in range(2300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in QUERIES["q_source_corpus"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert len(got) > 1000 and sorted(got) == sorted(con.execute(ORACLES["q_source_corpus"]).fetchall())
