@@ -2,13 +2,15 @@
 
 Values of a state are read and written alone: a row costs its own look-ups, whatever else its key remembers. Rows of a micro-batch
 are put in order of arrival first, which holds one batch's rows of one key. Rows that come later than the watermark are left out.
+Rows come as they are, not as pandas frames: those cost milliseconds a key, and hold no time after 2262.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -22,15 +24,21 @@ def rocks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _gathered(frames, order: str, ts: str, late: int):
-    """A key's rows of this batch in order, but those from before ``late``: Spark itself tests against the batch before."""
-    import pandas as pd
+def _ms(ts: datetime) -> int:
+    """Milliseconds since 1970, whole ones."""
+    return (ts.replace(tzinfo=ts.tzinfo or timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(milliseconds=1)
+
+
+def _day_ms(day: str) -> int:
+    """The beginning of a day (yyyyMMdd, with hyphens or not)."""
+    day = day.replace("-", "")
+    return _ms(datetime(int(day[:-4]), int(day[-4:-2]), int(day[-2:])))
 
-    frames = list(frames)
-    got = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-    there = got[ts] >= pd.Timestamp(max(late, 0), unit="ms")
-    got = got if there.all() else got[there]
-    return got.sort_values(order, kind="stable") if len(got) > 1 else got  # most keys have a row: each step here counts
+
+def _gathered(rows, order: str, ts: str, late: int) -> list:
+    """A key's rows of this batch in order, but those from before ``late``: Spark itself tests against the batch before."""
+    got = [r for r in rows if r[ts] is not None and _ms(r[ts]) >= max(late, 0)]
+    return sorted(got, key=lambda r: (r[order] is None, r[order] or 0))
 
 
 class FirstContent(StatefulProcessor):
@@ -46,20 +54,20 @@ class FirstContent(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         now = timerValues.getCurrentWatermarkInMs()
         got = _gathered(rows, self.order, self.ts, now)
-        if not len(got):
+        if not got:
             return
         known = self.until.get()
         if known is not None and known[0] <= now:  # its timer goes off after this batch
             self.handle.deleteTimer(known[0])
             known = None
-        until = int(got[self.ts].max().timestamp() * 1000) + self.keep_ms
+        until = max(_ms(r[self.ts]) for r in got) + self.keep_ms
         if known is None or until > known[0]:
             if known is not None:
                 self.handle.deleteTimer(known[0])
             self.until.update((until,))
             self.handle.registerTimer(until)
         if known is None:
-            yield got.head(1)
+            yield got[0]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         self.until.clear()
@@ -87,15 +95,13 @@ class Decide(StatefulProcessor):
         self.passed = handle.getMapState("contents", "hash string", "seq long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
         got = _gathered(rows, "seq", "ts", timerValues.getCurrentWatermarkInMs())
-        if not len(got):
+        if not got:
             return
         state, out = self.counter.get(), []
         received, pushed, first, lowered = state if state is not None else (0, 0, None, 0)
         if state is None:
-            self.handle.registerTimer(int(pd.Timestamp(got["day"].max(), tz="UTC").timestamp() * 1000) + (1 + self.keep_days) * DAY_MS)
+            self.handle.registerTimer(_day_ms(max(r["day"] for r in got)) + (1 + self.keep_days) * DAY_MS)
         # what this batch has met; a scope that is new has nothing else to look up
         known: tuple[dict, dict] = ({}, {})
 
@@ -108,32 +114,29 @@ class Decide(StatefulProcessor):
             known[which][name] = True
             (self.origins, self.passed)[which].updateValue((str(name),), (int(seq),))
 
-        same = lambda name, has: got[name] if has else got["seq"]
-        each = zip(got["seq"], got["score"], got["threshold"], same("orig_id", self.related), same("hash", self.contents), same("predicted", self.adaptive))
-        for seq, score, threshold, orig, content, predicted in each:
+        for row in got:
+            seq, score, threshold = row["seq"], row["score"], row["threshold"]
+            orig, content = row["orig_id"] if self.related else None, row["hash"] if self.contents else None
+            predicted = row["predicted"] if self.adaptive else None
             if self.contents and there(1, content) or self.related and there(0, orig):
                 continue
             received += 1
             first = threshold if first is None or not self.adaptive else first
             if pushed < self.cap:
-                if round(score, 12) > first * LOWER**lowered:
+                if None not in (score, first) and round(score, 12) > first * LOWER**lowered:
                     pushed += 1
                     if self.related:
                         keep(0, orig, seq)
-                    out.append((seq, score, received, pushed, "pushed"))
+                    out.append((row, received, pushed, "pushed"))
                 lowered += bool(self.adaptive and predicted and received / predicted > WINDOW * WIDER**lowered)
             if self.contents:
                 keep(1, content, seq)
             if self.related:
-                out.append((seq, score, received, pushed, "related"))
+                out.append((row, received, pushed, "related"))
         self.counter.update((received, pushed, None if first is None else float(first), lowered))
-        if out:
-            made = dict(zip(["seq", "score", "received", "pushed", "kind"], zip(*out)))
-            first: dict = {}
-            for i, seq in enumerate(got["seq"]):
-                first.setdefault(seq, i)
-            at = [first[seq] for seq in made["seq"]]
-            yield pd.DataFrame({c: made[c] if c in made else got[c].array.take(at) for c in self.columns})
+        for row, *found in out:
+            made = dict(zip(("received", "pushed", "kind"), found))
+            yield Row(**{c: made[c] if c in made else row[c] for c in self.columns})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         self.counter.clear()
@@ -148,7 +151,7 @@ class Decide(StatefulProcessor):
 def first_contents(rows: DataFrame, keys: list[str], keep_days: float = 2, ts: str = "ts", order: str = "seq") -> DataFrame:
     """The first row of each key; rows have a watermark on ts. Keys are many and small, so no profile gathers in one task."""
     rocks(rows.sparkSession)
-    return rows.groupBy(*keys).transformWithStateInPandas(FirstContent(int(keep_days * DAY_MS), ts, order), rows.schema, "append", "eventTime", eventTimeColumnName=ts)
+    return rows.groupBy(*keys).transformWithState(FirstContent(int(keep_days * DAY_MS), ts, order), rows.schema, "append", "eventTime", eventTimeColumnName=ts)
 
 
 def decided(rows: DataFrame, scope: list[str], cap: int, keep_days: int = 2, related: bool = True, contents: bool = False, adaptive: bool = False, more: list[str] = ()) -> DataFrame:
@@ -157,4 +160,4 @@ def decided(rows: DataFrame, scope: list[str], cap: int, keep_days: int = 2, rel
     made = {"seq": LongType(), "received": LongType(), "pushed": LongType(), "kind": StringType()}
     names = list(dict.fromkeys([*scope, "seq", "day", "score", "received", "pushed", "kind", *more]))
     schema = StructType([StructField(c, made.get(c) or rows.schema[c].dataType) for c in names])
-    return rows.groupBy(*scope).transformWithStateInPandas(Decide(cap, keep_days, related, contents, adaptive, names), schema, "append", "eventTime")
+    return rows.groupBy(*scope).transformWithState(Decide(cap, keep_days, related, contents, adaptive, names), schema, "append", "eventTime")

@@ -147,6 +147,15 @@ def test_day_state_ends(spark, tmp_path):
     assert sorted((r.seq, r.received, r.pushed) for r in got) == [(0, 1, 1), (1, 2, 2), (10, 1, 1), (11, 2, 2)]
 
 
+def test_times_after_2262_are_kept(spark, tmp_path):
+    far = T0 + 400 * 365 * DAY
+    parts = [[(1, "a", 1, 0, 0.9, far), (2, "b", 2, 0, 0.9, far + 1000)], [(3, "a", 1, 0, 0.9, far + DAY), (4, "c", 2, 0, 0.9, far + DAY)]]
+    rows = scored_stream(spark, tmp_path, parts).withWatermark("ts", "1 day")
+    got = S.run_available(state.decided(state.first_contents(rows, ["hash"]), ["pid", "day"], cap=1, more=["hash"])).collect()
+    assert sorted((r.seq, r.kind, r.received, r.pushed) for r in got) == [(1, "pushed", 1, 1), (1, "related", 1, 1), (2, "related", 2, 1), (4, "pushed", 1, 1), (4, "related", 1, 1)]
+    assert {r.day[:4] for r in got} == {"2423"}
+
+
 def slow_adaptive(rows, cap):
     state_, out = {}, []
     for seq, pid, score, threshold, predicted in rows:
