@@ -10,6 +10,7 @@ from skimmer.functions import text as X
 from skimmer.functions.decode import html_entities
 from skimmer.operators import trie
 from skimmer.operators.match import small
+from skimmer.scratch import scratch
 
 LEAST_PROBABILITY = 0.6
 
@@ -48,12 +49,79 @@ def labels(p: DataFrame, key: str, least: float = LEAST_PROBABILITY) -> DataFram
     return best.select(key, F.when(F.col("p") >= least, F.col("lang")).otherwise(F.lit("")).alias("lang"), "p")
 
 
-def train(corpus: DataFrame, longest: int = 3, smoothing: float = 0.5, least: int = 2) -> DataFrame:
-    """(ngram, lang, weight): log-probabilities of n-grams by language against their mean, from texts (lang, text).
-
-    Counts are grouped with partial sums; n-grams of fewer than ``least`` occurrences are left out."""
-    rows = substrings(corpus.select("lang", body_of(F.col("text")).alias("text")), "lang", F.col("text"), longest)
-    n = rows.groupBy("ngram", "lang").agg(F.count("*").alias("n"))
+#: Texts whose n-grams are counted together, in characters, about.
+COUNTED = 1 << 20
+
+
+def _counted(texts: list[str], longest: int):
+    """(n-grams as arrays of code points, counts) of each length up to ``longest``, over all texts together: an n-gram of k characters is
+    numbered by that of its first k - 1 and its last one, so numbers stay as small as what is there."""
+    ends = np.cumsum([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return
+    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(codes))  # characters from here to the text's end
+    letters, one = _numbered(codes.astype(np.int64))
+    number, spelt = one, letters[:, None]
+    for k in range(1, longest + 1):
+        if k > 1:
+            there = np.flatnonzero(left >= k)
+            if not len(there):
+                return
+            pairs, small = _numbered(number[there] * len(letters) + one[there + k - 1])
+            spelt = np.column_stack([spelt[pairs // len(letters)], letters[pairs % len(letters)]])
+            number = np.zeros(len(codes), np.int64)
+            number[there] = small
+            yield spelt, np.bincount(small, minlength=len(pairs))
+        else:
+            yield spelt, np.bincount(one, minlength=len(letters))
+
+
+def _numbered(values):
+    """(distinct values in order, the number of each): through a table if they are dense, else sorted."""
+    top = int(values.max()) + 1
+    if top > 4 * COUNTED:
+        return np.unique(values, return_inverse=True)
+    there = np.bincount(values, minlength=top) > 0
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[values]
+
+
+def corpus_counts(corpus: DataFrame, longest: int) -> DataFrame:
+    """(ngram, lang, n) of texts (lang, text). Texts of a batch are counted together by language, so that rows are n-grams of a
+    million characters and not places."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def counts(lang, texts):
+            for spelt, n in _counted(texts, longest):
+                flat = spelt.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                k = spelt.shape[1]
+                yield pa.record_batch({"ngram": [flat[i : i + k] for i in range(0, len(flat), k)], "lang": pa.array([lang] * len(n), pa.string()), "n": pa.array(n, pa.int64())})
+
+        held: dict = {}
+        size: dict = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                if text:
+                    held.setdefault(lang, []).append(text)
+                    size[lang] = size.get(lang, 0) + len(text)
+                    if size[lang] >= COUNTED:
+                        yield from counts(lang, held.pop(lang))
+                        del size[lang]
+        for lang, texts in held.items():
+            yield from counts(lang, texts)
+
+    return corpus.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "ngram string, lang string, n long").groupBy("ngram", "lang").agg(F.sum("n").alias("n"))
+
+
+def train(corpus: DataFrame, longest: int = 3, smoothing: float = 0.5, least: int = 2, bodies: bool = False) -> DataFrame:
+    """(ngram, lang, weight): log-probabilities of n-grams by language against their mean, from texts (lang, text). bodies: texts are as
+    body_of() gives them already.
+
+    Counts are written once, as the model asks for them several times; n-grams of fewer than ``least`` occurrences are left out."""
+    corpus = corpus.select("lang", (F.col("text") if bodies else body_of(F.col("text"))).alias("text"))
+    n = scratch(corpus_counts(corpus, longest))
     langs, by_lang = n.select("lang").distinct(), n.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = n.groupBy("ngram").agg(F.sum("n").alias("seen")).where(F.col("seen") >= least).select("ngram")
     grid = kept.join(F.broadcast(langs), how="cross")  # n-grams x a handful of languages: the model itself
@@ -109,9 +177,11 @@ def body_of(text: Column) -> Column:
     return X.with_bounds(X.normalise_language(html_entities(text)))
 
 
-def identify(docs: DataFrame, key: str, text: str, weights: DataFrame, longest: int = 3) -> DataFrame:
-    """(key, lang, p); keys are unique. weights: as train() makes them, n-grams of up to longest."""
-    rows = docs.select(key, label_of(body_of(F.col(text)), weights.where(F.length("ngram") <= longest)).alias("__label"))
+def identify(docs: DataFrame, key: str, text: str, weights: DataFrame, longest: int = 3, bodies: bool = False) -> DataFrame:
+    """(key, lang, p); keys are unique. weights: as train() makes them, n-grams of up to longest. bodies: texts are as body_of() gives
+    them already."""
+    body = F.col(text) if bodies else body_of(F.col(text))
+    rows = docs.select(key, label_of(body, weights.where(F.length("ngram") <= longest)).alias("__label"))
     return rows.where("`__label` is not null").select(key, "__label.lang", "__label.p")
 
 

@@ -104,10 +104,16 @@ class Trie:
         """Pieces of (text, pattern, n), by text, each text in one: places are held a piece at a time, not those of a whole batch."""
         size = len(self.patterns)
         for at, to in self._pieces(texts):
-            each = [(row + at) * size + pattern for row, _, pattern in self._walk(texts[at:to])]
+            each = [row * size + pattern for row, _, pattern in self._walk(texts[at:to])]
             if each:
-                key, n = np.unique(np.concatenate(each), return_counts=True)
-                yield key // size, key % size, n
+                places = np.concatenate(each)
+                if (to - at) * size <= 4 * len(places):  # few patterns: a table of all, with no sorting
+                    n = np.bincount(places)
+                    key = np.flatnonzero(n)
+                    n = n[key]
+                else:
+                    key, n = np.unique(places, return_counts=True)
+                yield key // size + at, key % size, n
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, pattern, n), by text."""

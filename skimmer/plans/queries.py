@@ -608,9 +608,10 @@ def lang_softmax(spark, sf_dir):
 
 
 def lang_trained(spark, sf_dir):
-    """A model trained on the labelled documents, and how often it is right."""
+    """A model trained on the labelled documents, and how often it is right. Texts are normalised once."""
     docs = _docs(spark, sf_dir)
-    found = language.identify(docs, "doc_id", "text", language.train(docs.select("lang", "text"), 2), 2)
+    bodies = scratch(docs.select("doc_id", "lang", language.body_of(F.col("text")).alias("text")))
+    found = language.identify(bodies, "doc_id", "text", language.train(bodies, 2, bodies=True), 2, bodies=True)
     return docs.select("doc_id", F.col("lang").alias("truth")).join(found, "doc_id").groupBy("truth", "lang").agg(F.count("*").alias("n"))
 
 

@@ -109,3 +109,26 @@ def test_places_of_a_batch_are_not_held_together(monkeypatch):
         tracemalloc.stop()
         assert row.tolist() == [i for i in range(n) for _ in range(2)] and pattern.tolist() == [0, 1] * n and many.tolist() == [1000, 999] * n
     assert peaks[1] < 2 * peaks[0]
+
+
+def test_corpus_counts_equal_those_of_substrings(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(r.choice(["en", "fr", None]), r.choice([None, "", "".join(r.choice("ab\u0001é𝒳 ") for _ in range(r.randrange(30)))])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    want = language.substrings(df, "lang", F.col("text"), 3).groupBy("ngram", "lang").count()
+    for counted in (1 << 20, 7):
+        monkeypatch.setattr(language, "COUNTED", counted)
+        assert sorted(map(str, language.corpus_counts(df, 3).collect())) == sorted(str(x).replace("count=", "n=") for x in want.collect())
+
+
+def test_a_corpus_is_normalised_once_for_training(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        seen.add(1)
+        return t
+
+    rows = spark.createDataFrame([("en", "a b"), ("fr", "c d")] * 3, "lang string, text string")
+    model = language.train(rows.select("lang", counted("text").alias("text")), 2, least=1)
+    assert model.count() > 0 and seen.value == 6
