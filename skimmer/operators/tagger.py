@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skimmer.operators.match import small
 from skimmer.scratch import scratch
 
 CLOSED = "and or but nor so yet for the a an this that these those in on at by of to with from as than then there here very too not never also just only".split()
@@ -34,9 +35,9 @@ BLOCK_BITS = 10  # a block that asks a large model for its words is of 1,024 tex
 
 
 def _counts(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(before, tag, n) and (word, tag, n) of a tagged table."""
+    """(before, tag, n) and (word, tag, n) of a tagged table. Where it has before, the tag of the word before or null, nothing is sorted."""
     rows = tagged.where("sentence is not null and at is not null and word is not null and tag is not null")
-    before = F.lag("tag").over(Window.partitionBy("sentence").orderBy("at"))
+    before = F.col("before") if "before" in tagged.columns else F.lag("tag").over(Window.partitionBy("sentence").orderBy("at"))
     moves = rows.select(before.alias("before"), "tag").groupBy("before", "tag").agg(F.count("*").alias("n"))
     return moves, rows.groupBy("word", "tag").agg(F.count("*").alias("n"))
 
@@ -89,43 +90,68 @@ class Tagger:
             return self.words[word]
         return next((self.endings[word[-j:]] for j in range(min(ENDING, len(word)), 0, -1) if word[-j:] in self.endings), self.rest)
 
+    def decided(self, own: np.ndarray) -> np.ndarray:
+        """The tag of each word (log-probabilities by tag) that has it whatever stands around it, else -1: it is ahead of any other
+        tag by more than the tags before and after can make up for, so no best path has another."""
+        if len(self.tags) == 1:
+            return np.zeros(len(own), np.int64)
+        with np.errstate(invalid="ignore"):
+            into = np.vstack([self.follow, self.start])
+            gain = (into[:, :, None] - into[:, None, :]).max(axis=0)  # of tag b over tag a, by what is before
+            gain += np.maximum((self.follow[:, None, :] - self.follow[None, :, :]).max(axis=2), 0)  # and after; a text may end, too
+            best = own.argmax(axis=1)
+            ahead = own[np.arange(len(own)), best][:, None] - own > gain.T[best] + 1e-6
+        ahead[np.arange(len(own)), best] = True
+        return np.where(ahead.all(axis=1), best, -1)
+
     def tag(self, texts: list[list[str]]) -> list[list[str]]:
-        """The likeliest tags of each text, all texts a word at a time: the longest first, so those that have ended drop out."""
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        size = np.array([len(texts[i]) for i in order])
-        most = int(size.max(initial=0))
-        if not most or not self.tags:
+        """The likeliest tags of each text. Words whose tag is decided by themselves part a text into runs of the others, which
+        are tagged all together, a word at a time: the longest first, so those that have ended drop out."""
+        if not self.tags or not any(map(len, texts)):
             return [[] for _ in texts]
-        cache: dict = {}
-        look = lambda w: cache[w] if w in cache else cache.setdefault(w, self.spelled(w))
-        live, back, score = int((size > 0).sum()), [], None
-        ends = np.zeros(len(order), np.int64)
-        for t in range(most):
-            now = int(np.searchsorted(-size, -t, "left"))  # texts of more than t words
-            own = np.stack([look(texts[i][t]) for i in order[:now]])
-            if t == 0:
-                score = self.start + own
-            else:
-                if now < live:
-                    ends[now:live] = score[now:].argmax(axis=1)
-                step = score[:now, :, None] + self.follow
-                best = step.argmax(axis=1)
-                back.append(best.astype(np.int16))
-                score = np.take_along_axis(step, best[:, None, :], 1)[:, 0] + own
+        cut = np.cumsum([0, *map(len, texts)])
+        place: dict = {}
+        code = np.fromiter((place.setdefault(w, len(place)) for t in texts for w in t), np.int64, cut[-1])
+        found = self._found(cut, code, np.stack([self.spelled(w) for w in place]))
+        names = np.array(self.tags, object)[found].tolist()
+        return [names[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
+    def _found(self, cut: np.ndarray, code: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Numbers of the tags of texts that lie one after another, from cut to cut; code: the row of own that a word has."""
+        found = self.decided(own)[code]
+        opens, closes = np.zeros(len(code) + 1, bool), np.zeros(len(code) + 1, bool)  # of texts: where one begins, past where one ends
+        opens[cut[:-1][np.diff(cut) > 0]] = closes[cut[1:][np.diff(cut) > 0]] = True
+        free = found < 0
+        first = np.flatnonzero(free & (opens[:-1] | ~np.concatenate([[False], free[:-1]])))
+        last = np.flatnonzero(free & (closes[1:] | ~np.concatenate([free[1:], [False]]))) + 1
+        if len(first):
+            order = np.argsort(first - last, kind="stable")
+            self._runs(first[order], last[order], code, own, found, opens, closes)
+        return found
+
+    def _runs(self, first, last, code, own, found, opens, closes) -> None:
+        """Tags of the words from first to last (past it), the longest run first, into found; next to them are texts' ends or tags."""
+        size = last - first
+        start = np.where(opens[first][:, None], self.start, self.follow[found[first - 1]])
+        after = np.where(closes[last][:, None], 0.0, self.follow.T[found[np.minimum(last, len(found) - 1)]])
+        most, live, back = int(size[0]), len(size), []
+        ends = np.zeros(live, np.int64)
+        score = start + own[code[first]]
+        for t in range(1, most):
+            now = int(np.searchsorted(-size, -t, "left"))  # runs of more than t words
+            if now < live:
+                ends[now:live] = (score[now:] + after[now:live]).argmax(axis=1)
+            step = score[:now, :, None] + self.follow
+            best = step.argmax(axis=1)
+            back.append(best.astype(np.int16))
+            score = np.take_along_axis(step, best[:, None, :], 1)[:, 0] + own[code[first[:now] + t]]
             live = now
-        ends[:live] = score.argmax(axis=1)
-        out: list = [[] for _ in texts]
-        path = [ends]
+        ends[:live] = (score + after[:live]).argmax(axis=1)
+        found[last - 1] = ends
         for t in range(most - 1, 0, -1):
-            last, best = path[-1].copy(), back[t - 1]
-            # a text of t words or fewer hasn't begun yet, seen from the end
-            n = len(best)
-            last[:n] = best[np.arange(n), last[:n]]
-            path.append(last)
-        path.reverse()
-        for row, i in enumerate(order):
-            out[i] = [self.tags[path[t][row]] for t in range(size[row])]
-        return out
+            best = back[t - 1]  # runs of more than t words; the others haven't begun yet, seen from the end
+            at = first[: len(best)] + t
+            found[at - 1] = best[np.arange(len(best)), found[at]]
 
     def keep(self, words: Column) -> Column:
         """The words whose tags are nouns, adjectives or verbs; for match.token_set(tagger=...)."""
@@ -192,22 +218,36 @@ def filtered(docs: DataFrame, key: str, words: str, tagged: DataFrame, smoothing
     texts = scratch(docs.select(block.alias("block"), F.col(key).alias("key"), F.col(words).alias("words")))
     asked = texts.select(F.col("block").alias("asks"), F.explode("words").alias("word")).distinct().join(listed(spelt, "word"), "word", "left")
     for j in range(ENDING, 0, -1):  # of a word that is known the ending isn't asked for
-        known = ends.select(F.col("ending").alias("__ending"), F.col("seen").alias("__seen"))
+        known = small(ends.select(F.col("ending").alias("__ending"), F.col("seen").alias("__seen")))
         ending = F.when(F.col("seen").isNull(), F.right("word", F.lit(j)))
         asked = asked.join(known, ending == F.col("__ending"), "left").select("asks", "word", F.coalesce("seen", "__seen").alias("seen"))
 
     def tag(own, found):
         import pyarrow as pa
-
-        counts: dict = {}
-        for w, seen in zip(found.column("word").to_pylist(), found.column("seen").to_pylist()):
-            n = np.zeros(len(tags))
-            for x in seen or ():
-                n[x["tag"]] += x["n"]
-            counts[w] = log(n)
-        model = Tagger(tags, start, follow, counts, {}, log(np.zeros(len(tags))))
-        kept = _kept(model, own.column("words").to_pylist())
-        return pa.table({key: own.column("key"), "kept": pa.array(kept, pa.list_(pa.string()))})
+        import pyarrow.compute as pc
+
+        whole = lambda c, kind: pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], kind)
+        lengths = lambda x: pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+        listed, seen = (whole(t.column(c), t.schema.field(c).type) for t, c in ((own, "words"), (found, "seen")))
+        each, n = seen.flatten(), np.zeros((len(seen) + 1, len(tags)))  # the last row is that of a word which nothing is known of
+        np.add.at(n, (np.repeat(np.arange(len(seen)), lengths(seen)), each.field("tag").to_numpy(zero_copy_only=False)), each.field("n").to_numpy(zero_copy_only=False))
+        model, spelled = Tagger(tags, start, follow, {}, {}, log(np.zeros(len(tags)))), log(n)
+        flat, size = listed.flatten(), lengths(listed)
+        begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        # a text of more than PIECE words begins anew after each PIECE, as in keep(); so many words are tagged together
+        cut = np.concatenate([*(np.arange(a, b, PIECE) for a, b in zip(begin[:-1], begin[1:])), begin[-1:]]).astype(np.int64)
+        keeps, masks = np.array([t[:2] in KEPT for t in tags], bool), []
+        at = 0
+        while at < len(cut) - 1:
+            to = max(at + 1, int(np.searchsorted(cut, cut[at] + 4 * PIECE, "right")) - 1)
+            words = flat.slice(cut[at], cut[to] - cut[at]).dictionary_encode()
+            row = pc.fill_null(pc.index_in(words.dictionary, whole(found.column("word"), pa.string())), len(seen)).to_numpy(zero_copy_only=False)
+            masks.append(keeps[model._found(cut[at : to + 1] - cut[at], words.indices.to_numpy(zero_copy_only=False), spelled[row])])
+            at = to
+        mask = np.concatenate(masks) if masks else np.zeros(0, bool)
+        ends = np.concatenate([[0], np.cumsum(mask)])[begin].astype(np.int32)
+        kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(mask, pa.bool_())), mask=listed.is_null())
+        return pa.table({key: own.column("key"), "kept": kept})
 
     kind = docs.schema[key].dataType.simpleString()
     return texts.groupBy("block").cogroup(asked.groupBy("asks")).applyInArrow(tag, f"`{key}` {kind}, kept array<string>")

@@ -352,10 +352,12 @@ def source_topics(spark, sf_dir):
 
 def tagged_filter(spark, sf_dir):
     """A tagger trained on the texts' words with tags by a rule; how many words of each text are nouns or verbs to it."""
-    words = _docs(spark, sf_dir).select("doc_id", X.tokens(X.strip_marks(F.col("text")), unicode=False).alias("words"))
-    w = F.col("word")
-    by_rule = F.when(w.isin(tagger.CLOSED), "IN").when(w.rlike("^[0-9]+$"), "CD").when(w.endswith("ly"), "RB").when(w.rlike("(ing|ed)$"), "VB").otherwise("NN")
-    table = words.select(F.col("doc_id").alias("sentence"), F.posexplode("words").alias("at", "word")).withColumn("tag", by_rule)
+    words = scratch(_docs(spark, sf_dir).select("doc_id", X.tokens(X.strip_marks(F.col("text")), unicode=False).alias("words")))
+    by_rule = lambda w: F.when(w.isin(tagger.CLOSED), "IN").when(F.ascii(w).between(48, 57) & w.rlike("^[0-9]+$"), "CD").when(w.endswith("ly"), "RB").when(w.endswith("ing") | w.endswith("ed"), "VB").otherwise("NN")
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))))
+    each = words.where("size(words) > 0").select(F.col("doc_id").alias("sentence"), F.posexplode(F.arrays_zip(before.alias("before"), F.col("words").alias("word"))).alias("at", "w"))
+    w = F.col("w.before")
+    table = each.select("sentence", "at", "w.word", by_rule(F.col("w.word")).alias("tag"), F.when(w.isNotNull(), by_rule(w)).alias("before"))
     kept = tagger.filtered(words.where("words is not null"), "doc_id", "words", table, smoothing=1e-9)  # a word that was seen keeps its own tag
     return kept.select("doc_id", F.size("kept").alias("n"))
 

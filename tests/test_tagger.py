@@ -57,3 +57,27 @@ def test_a_large_model_stays_a_table_and_tags_alike(spark, monkeypatch):
     assert want == {x.k: x.kept for x in df.select("k", Tagger.train(table).keep(F.col("w")).alias("kept")).collect()}
     got = [(x.k, x.kept) for x in tagger.filtered(df, "k", "w", table, most_rows=3).collect()]
     assert len(got) == 150 and dict(got) == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_words_that_decide_themselves_part_a_text(seed, monkeypatch):
+    rng, r = np.random.default_rng(seed), random.Random(seed)
+    random_log = lambda *shape: np.log(rng.dirichlet(np.ones(3), *shape))
+    sure = {w: np.where(np.arange(3) == i, 0.0, -60.0) for i, w in enumerate("xyz")}
+    m = Tagger(["DT", "NN", "VB"], random_log(), random_log(3), {w: random_log() for w in "ab"} | sure, {}, np.log(np.ones(3) / 9))
+    assert m.decided(np.stack([sure[w] for w in "xyz"])).tolist() == [0, 1, 2] and (m.decided(np.zeros((1, 3))) == -1).all()
+    texts = [[r.choice("abqxyz") for _ in range(r.randrange(8))] for _ in range(80)]
+    steps, runs = [], Tagger._runs
+    monkeypatch.setattr(Tagger, "_runs", lambda self, first, last, *more: (steps.append(int((last - first).max())), runs(self, first, last, *more))[1])
+    assert m.tag(texts) == [best_of_all(m, t) for t in texts]
+    assert m.tag([list("xyz") * 50_000]) == [["DT", "NN", "VB"] * 50_000]  # no step a word
+    assert len(steps) == 1 and steps[0] <= 7
+
+
+def test_tags_before_may_be_given(spark):
+    rows = [(i, k, w, t) for i in range(5) for k, (w, t) in enumerate([("a", "DT"), ("b", "NN"), ("c", "VB")][: 1 + i % 3])]
+    table = spark.createDataFrame(rows, "sentence long, at int, word string, tag string")
+    given = spark.createDataFrame([(*x, rows[j - 1][3] if x[1] else None) for j, x in enumerate(rows)], "sentence long, at int, word string, tag string, before string")
+    got = tagger._counts(given)[0]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, tagger._counts(table)[0].collect()))
