@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,7 +77,7 @@ LATIN_RUN = r"([a-zà-ɏ])\1{2,}"
 SYMBOL_RUN = r"([^a-zà-ɏ])\1{1,}"
 MARKED = r"(@|#|https?://)[^ ]+"
 FACE = r"(^| )[:;x]-?[\(\)dop]($| )"
-RETWEET = r"(^| )(rt[ :]+)*"
+RETWEET = r"^(rt[ :]+)*| (rt[ :]+)+"  # a blank stays a blank if nothing follows: only the first place changes for each text
 LAUGH = r"([hj])+([aieo])+(\1+\2+){1,}"
 ENDING = r" +(via|live on) *$"
 TONE_BASES = "AEIOUYaeiouyÂÊÔâêôĂăƠơƯư"
@@ -88,8 +91,9 @@ def normalise_message(text: Column, two_laughs_only: bool = False) -> Column:
     """Takes out mentions, tags, addresses, faces, retweet marks and a trailing "via" or "live on"; laughs become two rounds.
 
     two_laughs_only: an old quirk, the first two laughs of a text in lower case; else all, in either case."""
-    for pattern, by in ((MARKED, ""), (FACE, " "), (RETWEET, " ")):
-        text = F.regexp_replace(text, pattern, by)
+    text = _if_any(text, ("@", "#", "http"), lambda t: F.regexp_replace(t, MARKED, ""))
+    text = _if_any(text, (":", ";", " x"), lambda t: F.regexp_replace(t, FACE, " "), F.startswith, "x")
+    text = F.regexp_replace(text, RETWEET, " ")
     if two_laughs_only:
         first = "(?s)^((?:.*" + _DONE + r")?.*?)([hj])+([aieo])+(\2+\3+){1,}"
         for _ in range(2):  # each search begins after what is done
@@ -97,11 +101,22 @@ def normalise_message(text: Column, two_laughs_only: bool = False) -> Column:
         text = F.replace(text, F.lit(_DONE), F.lit(""))
     else:
         text = F.regexp_replace(text, "(?i)" + LAUGH, "$1$2$1$2")
-    return F.regexp_replace(text, ENDING, "")
+    return _if_any(text, (" via", " live on"), lambda t: F.regexp_replace(t, ENDING, ""))
+
+
+def _if_any(text: Column, parts, body, more=None, *those) -> Column:
+    """body(text) where the text holds any of the parts, which body needs to change it: looking for them is cheaper. more: another test
+    of text and literals that will do."""
+
+    def tested(t: Column) -> Column:
+        found = [F.contains(t, F.lit(p)) for p in parts] + ([more(t, *map(F.lit, those))] if more else [])
+        return F.when(reduce(or_, found), body(t)).otherwise(t)
+
+    return let(text, tested)
 
 
 def unify_dashes(text: Column) -> Column:
-    return F.regexp_replace(text, DASHES, "-")
+    return _if_any(text, map(chr, range(0x2010, 0x2016)), lambda t: F.regexp_replace(t, DASHES, "-"))
 
 
 def digits_to_zero(text: Column) -> Column:
@@ -109,7 +124,7 @@ def digits_to_zero(text: Column) -> Column:
 
 
 def latin_only(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, NOT_LATIN, " "), "  +", " ")
+    return _if_any(F.regexp_replace(text, NOT_LATIN, " "), ("  ",), lambda t: F.regexp_replace(t, "  +", " "))
 
 
 def lower_but_i(text: Column) -> Column:
@@ -136,7 +151,7 @@ def compose_tones(text: Column) -> Column:
                 t = F.replace(t, F.lit(base + tone), F.lit(unicodedata.normalize("NFC", base + tone)))
         return t
 
-    return let(text, lambda t: F.when(t.rlike(r"[\u0300-\u0323]"), all_of(t)).otherwise(t))
+    return _if_any(text, TONES, all_of)
 
 
 def normalise_language(text: Column, two_laughs_only: bool = False) -> Column:

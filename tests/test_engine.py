@@ -301,3 +301,20 @@ def test_a_corpus_of_odd_texts_and_labels_is_read_whole(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert len(got) > 1000 and sorted(got) == sorted(con.execute(ORACLES["q_source_corpus"]).fetchall())
+
+
+def test_normaliser_that_looks_first_equals_the_plain_chain(spark):
+    import random
+
+    r = random.Random(11)
+    parts = ["rt", "rt:", "rt ", " ", "  ", ":)", ";-d", "xd", " xo ", "@you", "#x", "http", "https://a", "via", "live on", " via ", "‐", "―", "à", "Ẹ", "Ж", "x", "b", "\n"]
+    texts = ["", "x)", " rt x", "rt rt: a rt b", *("".join(r.choice(parts) for _ in range(r.randrange(9))) for _ in range(400))]
+
+    def plain(v):
+        for pattern, by in ((X.MARKED, ""), (X.FACE, " "), (r"(^| )(rt[ :]+)*", " "), ("(?i)" + X.LAUGH, "$1$2$1$2"), (X.ENDING, "")):
+            v = F.regexp_replace(v, pattern, by)
+        return v
+
+    assert col(spark, texts, X.normalise_message) == col(spark, texts, plain)
+    assert col(spark, texts, X.unify_dashes) == col(spark, texts, lambda v: F.regexp_replace(v, X.DASHES, "-"))
+    assert col(spark, texts, X.latin_only) == col(spark, texts, lambda v: F.regexp_replace(F.regexp_replace(v, X.NOT_LATIN, " "), "  +", " "))
